@@ -7,18 +7,24 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 from .sharding import shard_documents
 from .simhash import near_duplicates
+from .toxicity import score_documents
 
 
 def op1_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"), n_shards=8)
 
 
+def op2_char_ngram_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
     "op1_sampled_splitters": op1_sampled_splitters,
+    "op2_char_ngram_toxicity": op2_char_ngram_toxicity,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
 
