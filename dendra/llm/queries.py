@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
+from .media import fingerprint_documents
 from .sharding import shard_documents
 from .simhash import near_duplicates
 from .toxicity import score_documents
@@ -18,6 +19,10 @@ def op2_char_ngram_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_wav_peak_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint_documents(table(spark, sf_dir, "documents"))
+
+
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -25,6 +30,7 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_sampled_splitters": op1_sampled_splitters,
     "op2_char_ngram_toxicity": op2_char_ngram_toxicity,
+    "op5_wav_peak_pairs": op5_wav_peak_pairs,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
 
