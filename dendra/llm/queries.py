@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
+from .conflict_packing import pack_documents
 from .decontaminate import find_leaks
 from .media import fingerprint_documents
 from .sharding import shard_documents
@@ -20,6 +21,10 @@ def op2_char_ngram_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_conflict_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"))
+
+
 def op5_wav_peak_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_documents(table(spark, sf_dir, "documents"))
 
@@ -35,6 +40,7 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_sampled_splitters": op1_sampled_splitters,
     "op2_char_ngram_toxicity": op2_char_ngram_toxicity,
+    "op4_conflict_best_fit": op4_conflict_best_fit,
     "op5_wav_peak_pairs": op5_wav_peak_pairs,
     "op9_bm25_decontamination": op9_bm25_decontamination,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
