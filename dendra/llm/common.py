@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -10,19 +11,31 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 SPACES = " \t\n\x0b\x0c\r"
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Write df to the cluster's shared checkpoint folder and cut its lineage there.
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder that driver and executors share.
 
-    The folder is spark.checkpoint.dir of the session. Only where that is unset (tests, a single
-    machine) a fresh temporary folder is taken.
+    It is spark.checkpoint.dir of the session. Only where that is unset (tests, a single machine) a fresh
+    temporary folder is taken.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="dendra-"))
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Write df to the shared folder and cut its lineage there; Spark deletes the files when df is no longer used."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as a Parquet table in the shared folder: smaller than a checkpoint, and read by columns."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

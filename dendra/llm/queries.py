@@ -10,6 +10,7 @@ from .decontaminate import find_leaks
 from .media import fingerprint_documents
 from .sharding import shard_documents
 from .simhash import near_duplicates
+from .substring_dedup import find_repeats
 from .toxicity import score_documents
 
 
@@ -29,6 +30,10 @@ def op5_wav_peak_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_documents(table(spark, sf_dir, "documents"))
 
 
+def op7_paragraph_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_repeats(table(spark, sf_dir, "documents"))
+
+
 def op9_bm25_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -42,6 +47,7 @@ QUERIES = {
     "op2_char_ngram_toxicity": op2_char_ngram_toxicity,
     "op4_conflict_best_fit": op4_conflict_best_fit,
     "op5_wav_peak_pairs": op5_wav_peak_pairs,
+    "op7_paragraph_minhash": op7_paragraph_minhash,
     "op9_bm25_decontamination": op9_bm25_decontamination,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
