@@ -7,10 +7,12 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 from .conflict_packing import pack_documents
 from .decontaminate import find_leaks
+from .licenses import scan_documents
 from .media import fingerprint_documents
 from .sharding import shard_documents
 from .simhash import near_duplicates
 from .substring_dedup import find_repeats
+from .token_packing import pack_tokens
 from .toxicity import score_documents
 
 
@@ -22,6 +24,10 @@ def op2_char_ngram_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_token_bfd_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_tokens(table(spark, sf_dir, "documents"))
+
+
 def op4_conflict_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
@@ -30,6 +36,10 @@ def op5_wav_peak_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_documents(table(spark, sf_dir, "documents"))
 
 
+def op6_license_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_documents(table(spark, sf_dir, "documents"))
+
+
 def op7_paragraph_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_repeats(table(spark, sf_dir, "documents"))
 
@@ -45,8 +55,10 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_sampled_splitters": op1_sampled_splitters,
     "op2_char_ngram_toxicity": op2_char_ngram_toxicity,
+    "op3_token_bfd_packing": op3_token_bfd_packing,
     "op4_conflict_best_fit": op4_conflict_best_fit,
     "op5_wav_peak_pairs": op5_wav_peak_pairs,
+    "op6_license_compression": op6_license_compression,
     "op7_paragraph_minhash": op7_paragraph_minhash,
     "op9_bm25_decontamination": op9_bm25_decontamination,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
