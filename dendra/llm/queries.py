@@ -9,6 +9,7 @@ from .conflict_packing import pack_documents
 from .decontaminate import find_leaks
 from .licenses import scan_documents
 from .media import fingerprint_documents
+from .pseudo_likelihood import score_documents as score_likelihood
 from .sharding import shard_documents
 from .simhash import near_duplicates
 from .substring_dedup import find_repeats
@@ -44,6 +45,10 @@ def op7_paragraph_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_repeats(table(spark, sf_dir, "documents"))
 
 
+def op8_masked_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_likelihood(table(spark, sf_dir, "documents"))
+
+
 def op9_bm25_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -60,6 +65,7 @@ QUERIES = {
     "op5_wav_peak_pairs": op5_wav_peak_pairs,
     "op6_license_compression": op6_license_compression,
     "op7_paragraph_minhash": op7_paragraph_minhash,
+    "op8_masked_pseudo_likelihood": op8_masked_pseudo_likelihood,
     "op9_bm25_decontamination": op9_bm25_decontamination,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
