@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import checkpoint
+from .common import checkpoint, without_ids
 
 WORD = re.compile(r"\w+")
 SENTENCE_END = re.compile(r"(?<=[.!?])\s+")
@@ -247,5 +247,4 @@ def find_leaks(docs: DataFrame, items: DataFrame, threshold: float = 0.6, overla
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     """docs without those that hold a test item; columns as they came, rows without a doc_id stay."""
-    gone = find_leaks(docs, items, **options).where("doc_id is not null").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    return without_ids(docs, find_leaks(docs, items, **options).select("doc_id"))

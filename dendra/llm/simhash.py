@@ -14,7 +14,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import checkpoint, chunks
+from .common import checkpoint, chunks, without_ids
 from .components import connected_components
 
 BITS = 64
@@ -141,5 +141,4 @@ def keep_one_of_each(docs: DataFrame, radius: int = 4) -> DataFrame:
     Of each component the document with the smallest doc_id stays (as often as its row is repeated); rows
     without a doc_id can't be named and all stay.
     """
-    gone = near_duplicates(docs, radius).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    return without_ids(docs, near_duplicates(docs, radius).where("doc_id <> component_id").select("doc_id"))
