@@ -13,7 +13,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from .common import chunks
+from .common import chunks, texts_of
 
 #: Fixed wordings: (license, text). Each text is a notice as it is found in documents.
 TEMPLATES = (
@@ -52,7 +52,7 @@ TEMPLATES = (
     ("Proprietary", "All rights reserved. No part of this publication may be reproduced or distributed without the prior written permission of the publisher."),
 )
 #: A sentence with one of these may belong to a notice.
-CUES = r"(?i)licen[cs]|copyright|redistribut|permission|public domain|all rights reserved|warrant|free software|creative commons|\bCC[ -](?:BY|0)"
+CUES = r"(?i)licen[cs]|copyright|redistribut|permission|public domain|all rights reserved|warrant|free software|creative commons|\bCC[ -](?:BY|0)|source code form|\bMPL\b|as[ -]is\b|you (?:can|may) obtain|liab(?:le|ility)"
 _CUE = re.compile(CUES)
 _SENTENCE = re.compile(r"[^\n]+?(?:[.!?;:](?=\s)|(?=\n)|\Z)", re.S)
 _WORD = re.compile(r"[\w.+-]*\w")
@@ -164,5 +164,5 @@ def scan_documents(docs: DataFrame, templates=TEMPLATES, max_difference: float =
             rows = [(i, *r) for i, t in zip(batch.column(0).to_pylist(), batch.column(1)) for r in scanner.scan(t.as_py())]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names)
 
-    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    narrow = texts_of(docs)
     return narrow.where(F.col("text").rlike(CUES)).mapInArrow(scanned, SCHEMA)
