@@ -56,7 +56,7 @@ def answer(
     picked = keep(models.generated(prompted, "_prompt", "raw_output", generator).drop("_prompt"), "picked")
     valid = F.filter(F.array_sort(parsers.paragraph_ids(F.col("raw_output"))), lambda i: F.exists("nodes", lambda n: (n["id"] == i) & (n["type"] == "content")))
     picked = picked.withColumn("cleaned_output", valid).where(F.size("cleaned_output") > 0)
-    picked = picked.withColumn("text", tree.rendered(F.col("nodes"), tree.lit_by_paragraphs(F.col("nodes"), F.col("cleaned_output"))))
+    picked = keep(picked.select("qid", "title", "cleaned_output", tree.rendered(F.col("nodes"), tree.lit_by_paragraphs(F.col("nodes"), F.col("cleaned_output"))).alias("text")), "evidence")
     scored = picked.join(graph.last_scores(hops), ["qid", "title"], "left").withColumn("total_score", F.coalesce("total_score", F.lit(100.0)))
     items = context.score_order(scored, tie="title")
     items = context.within_budget(items, budget) if budget else items
