@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import checkpoint, without_ids
+from .common import arrow_map, checkpoint, texts_of, without_ids
 
 WORD = re.compile(r"\w+")
 SENTENCE_END = re.compile(r"(?<=[.!?])\s+")
@@ -197,7 +197,7 @@ def _index_slices(items: DataFrame):
             split = [words_of(t.as_py()) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([pa.array([sorted(set(w)) for w in split], pa.list_(pa.string())), pa.array([len(w) for w in split], pa.int64())], ["terms", "n"])
 
-    split = checkpoint(items.mapInArrow(terms, "terms array<string>, n long"))
+    split = checkpoint(arrow_map(items, terms, "terms array<string>, n long"))
     total, length = split.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     if not length:
         return
@@ -209,7 +209,7 @@ def _index_slices(items: DataFrame):
         rows = [(r.item_id, r.text) for r in part.collect() if words_of(r.text)]
         if not rows:
             continue
-        used = counts if slices == 1 else counts.join(part.mapInArrow(terms, "terms array<string>, n long").select(F.explode("terms").alias("word")).distinct(), "word", "left_semi")
+        used = counts if slices == 1 else counts.join(arrow_map(part, terms, "terms array<string>, n long").select(F.explode("terms").alias("word")).distinct(), "word", "left_semi")
         yield Bm25Index(rows, dict(map(tuple, used.collect())), total, length / total)
 
 
@@ -225,7 +225,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, threshold: float = 0.6, overla
     """
     schema = "doc_id long, item_id long, passage_start long, score double, overlap double, question_overlap double, answer_overlap double"
     spark = docs.sparkSession
-    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    narrow = texts_of(docs)
     names = [c.split()[0] for c in schema.split(", ")]
     kinds = [pa.int64()] * 3 + [pa.float64()] * 4
 
@@ -240,7 +240,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, threshold: float = 0.6, overla
 
     found = None
     for index in _index_slices(items):
-        part = narrow.mapInArrow(searching(spark.sparkContext.broadcast(index)), schema)
+        part = arrow_map(narrow, searching(spark.sparkContext.broadcast(index)), schema)
         found = part if found is None else found.unionByName(part)
     return spark.createDataFrame([], schema) if found is None else found
 

@@ -13,7 +13,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from .common import chunks, texts_of
+from .common import arrow_map, chunks, texts_of
 
 #: Fixed wordings: (license, text). Each text is a notice as it is found in documents.
 TEMPLATES = (
@@ -165,4 +165,4 @@ def scan_documents(docs: DataFrame, templates=TEMPLATES, max_difference: float =
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names)
 
     narrow = texts_of(docs)
-    return narrow.where(F.col("text").rlike(CUES)).mapInArrow(scanned, SCHEMA)
+    return arrow_map(narrow.where(F.col("text").rlike(CUES)), scanned, SCHEMA)

@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import chunks
+from .common import arrow_map, chunks, texts_of
 
 UNIT = 192
 SAMPLE_RATE = 8000
@@ -108,8 +108,8 @@ def encode_media(docs: DataFrame, id_column: str = "doc_id", text_column: str =
             columns = [batch.column(0), pa.array([n for _, n in made], pa.int64()), pa.array([write_wav(p) for p, _ in made], pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_bytes", "media"])
 
-    narrow = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
-    return narrow.mapInArrow(stored, "doc_id long, n_bytes long, media binary")
+    narrow = texts_of(docs, id_column, text_column)
+    return arrow_map(narrow, stored, "doc_id long, n_bytes long, media binary")
 
 
 FEATURES = (
@@ -137,7 +137,7 @@ def media_features(stored: DataFrame) -> DataFrame:
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32())]
             yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows), kinds)] if rows else [pa.array([], k) for k in kinds], names)
 
-    return stored.mapInArrow(featured, FEATURES)
+    return arrow_map(stored, featured, FEATURES)
 
 
 def fingerprint_documents(docs: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import checkpoint, chunks, without_ids
+from .common import arrow_map, checkpoint, chunks, texts_of, without_ids
 from .components import connected_components
 
 BITS = 64
@@ -53,8 +53,8 @@ def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str =
             fps = np.array([fingerprint(t.as_py()) for t in batch.column(1)], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], ["doc_id", "fp"])
 
-    narrow = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
-    return narrow.mapInArrow(hashed, "doc_id long, fp long")
+    narrow = texts_of(docs, id_column, text_column)
+    return arrow_map(narrow, hashed, "doc_id long, fp long")
 
 
 def segments(radius: int, n: int) -> list[tuple[int, int, int]]:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from .common import chunks
+from .common import arrow_map, chunks, texts_of
 
 #: Default vocabulary, its pattern and a free id that ends each document.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -173,8 +173,8 @@ def pack_tokens(docs: DataFrame, vocabulary: str = VOCABULARY, pattern: str = PA
                 kinds = [pa.int32()] * 4 + [pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int32())]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], [c.split()[0] for c in SCHEMA.split(", ")])
 
-    narrow = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
-    return narrow.mapInArrow(packed, SCHEMA)
+    narrow = texts_of(docs, id_column, text_column)
+    return arrow_map(narrow, packed, SCHEMA)
 
 
 def id_matrix(input_ids: list[bytes], row: int = ROW) -> np.ndarray:
