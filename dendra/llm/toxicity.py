@@ -14,13 +14,13 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import SPACES, checkpoint
+from .common import SPACES, arrow_map, bound_batches, checkpoint, give_back_memory
 
-ORDERS = (4, 5, 6)
-BUCKET_BITS = 18
+ORDERS = (3, 4, 5, 6)
+BUCKET_BITS = 20
 BUCKETS = 1 << BUCKET_BITS
 #: Count vectors are summed in blocks of so many buckets.
-BLOCK = 1 << 13
+BLOCK = 1 << 14
 FOLDS = 5
 #: Labels are broadcast up to so many rows (16 bytes each); a larger table is joined by shuffling.
 BROADCAST_LABELS = 2_000_000
@@ -81,34 +81,33 @@ def count_presence(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """
 
     def counted(batches):
-        counts, documents = np.zeros((2, BUCKETS), dtype=np.int64), np.zeros(2, dtype=np.int64)
+        counts, documents = np.zeros((2, BUCKETS), dtype=np.int32), np.zeros((2, 1), dtype=np.int32)
         for batch in batches:
             for label, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 counts[label, np.unique(ngram_buckets(text.as_py()))] += 1
                 documents[label] += 1
         if documents.any():
-            blocks = range(BUCKETS // BLOCK)
-            held = [counts[:, b * BLOCK : (b + 1) * BLOCK].ravel().tolist() for b in blocks]
-            yield pa.RecordBatch.from_arrays([pa.array([*blocks, -1], pa.int32()), pa.array([*held, documents.tolist()], pa.list_(pa.int64()))], ["block", "counts"])
+            held = [counts[:, b * BLOCK : (b + 1) * BLOCK].tobytes() for b in range(BUCKETS // BLOCK)]
+            yield pa.RecordBatch.from_arrays([pa.array([*range(len(held)), -1], pa.int32()), pa.array([*held, documents.tobytes()], pa.binary())], ["block", "counts"])
 
+    bound_batches(rows.sparkSession)
     tasks = 4 * rows.sparkSession.sparkContext.defaultParallelism
-    parts = rows.select("label", "text").coalesce(tasks).mapInArrow(counted, "block int, counts array<long>")
+    parts = arrow_map(rows.select("label", "text").coalesce(tasks), counted, "block int, counts binary")
 
     def summed(key: tuple[pa.Scalar, ...], tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = None
+        total = np.zeros(1, dtype=np.int64)
         for batch in tables:
             for row in batch.column("counts"):
-                values = row.values.to_numpy()
-                total = values.copy() if total is None else total + values
-        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([total.tolist()], pa.list_(pa.int64()))], ["block", "counts"])
+                total = total + np.frombuffer(row.as_py(), dtype=np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["block", "counts"])
 
-    sums = parts.groupBy("block").applyInArrow(summed, "block int, counts array<long>").collect()
     counts, documents = np.zeros((2, BUCKETS), dtype=np.int64), np.zeros(2, dtype=np.int64)
-    for block, values in sums:
+    for block, values in parts.groupBy("block").applyInArrow(summed, "block int, counts binary").collect():
+        sums = np.frombuffer(bytes(values), dtype=np.int64)
         if block < 0:
-            documents = np.array(values)
+            documents = sums
         else:
-            counts[:, block * BLOCK : (block + 1) * BLOCK] = np.array(values).reshape(2, BLOCK)
+            counts[:, block * BLOCK : (block + 1) * BLOCK] = sums.reshape(2, BLOCK)
     return counts, documents
 
 
@@ -122,7 +121,7 @@ def log_count_ratios(counts: np.ndarray, documents: np.ndarray, features: int, a
     return chosen[stands[chosen] > 0], ratios[chosen][stands[chosen] > 0]
 
 
-def fit_logistic(rows: list[np.ndarray], labels: np.ndarray, ratios: np.ndarray, penalty: float = 1e-4, steps: int = 400, rate: float = 0.1) -> tuple[np.ndarray, float]:
+def fit_logistic(rows: list[np.ndarray], labels: np.ndarray, ratios: np.ndarray, penalty: float = 3e-4, steps: int = 400, rate: float = 0.1) -> tuple[np.ndarray, float]:
     """Weights and bias of a logistic regression over rows of present features, scaled by ratios; full-batch Adam from zero."""
     sizes = np.array([len(r) for r in rows])
     features = np.concatenate([*rows, np.empty(0, dtype=np.int64)]).astype(np.int64)
@@ -149,7 +148,7 @@ def train(rows: DataFrame, features: int = 2048, max_fit_rows: int = 20_000) ->
     counts, documents = count_presence(rows)
     weights = np.zeros(BUCKETS, dtype=np.float32)
     if not documents.all():
-        return Model(weights, float(np.log((documents[1] + 1) / (documents[0] + 1))))
+        return Model(weights, float(np.log((documents[1] + 1) / (documents[0] + 2))))
     chosen, ratios = log_count_ratios(counts, documents, features)
     place = np.full(BUCKETS, -1, dtype=np.int32)
     place[chosen] = np.arange(len(chosen))
@@ -163,7 +162,7 @@ def train(rows: DataFrame, features: int = 2048, max_fit_rows: int = 20_000) ->
 
     part = min(1.0, max_fit_rows / int(documents.sum()))
     drawn = rows.where(F.pmod(F.xxhash64("id", F.lit(7)), F.lit(1 << 20)) < int(part * (1 << 20)))
-    sample = drawn.coalesce(4 * rows.sparkSession.sparkContext.defaultParallelism).mapInArrow(reduced, "id long, label int, found binary").collect()
+    sample = arrow_map(drawn.coalesce(4 * rows.sparkSession.sparkContext.defaultParallelism), reduced, "id long, label int, found binary").collect()
     sample.sort(key=lambda r: (r.id, r.label, r.found))
     fitted, bias = fit_logistic([np.frombuffer(bytes(r.found), dtype="<u2") for r in sample], np.array([r.label for r in sample], dtype=float), ratios)
     weights[chosen] = fitted
@@ -172,11 +171,14 @@ def train(rows: DataFrame, features: int = 2048, max_fit_rows: int = 20_000) ->
 
 def scorer(spark, model: Model):
     """A column function text -> score that reads the model from a broadcast of 4 x BUCKETS bytes."""
+    bound_batches(spark)
     sent = spark.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
-        return pd.Series([sent.value.score(t) for t in texts], dtype="float64")
+        found = pd.Series([sent.value.score(t) for t in texts], dtype="float64")
+        give_back_memory()
+        return found
 
     return score
 
