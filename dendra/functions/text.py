@@ -97,6 +97,17 @@ def sentences(text: Column) -> Column:
     return F.filter(F.transform(F.split(text, r"(?<=[.!?])\s+"), F.trim), lambda s: s != "")
 
 
+def force_citations(text: Column, shown: Column) -> Column:
+    """Each sentence without its own citations and with those of the shown documents (numbers from 0) in front."""
+    marks = F.array_join(F.transform(shown, lambda n: F.concat(F.lit("["), (n + 1).cast("string"), F.lit("]"))), "")
+    return F.array_join(F.transform(sentences(strip_citations(text)), lambda s: F.concat(marks, F.lit(" "), s)), " ")
+
+
+def hit_fields(document_id: Column) -> Column:
+    """struct(title, url) of search hits whose id is a JSON object."""
+    return F.from_json(document_id, "title string, url string")
+
+
 @F.pandas_udf(T.StringType())
 def nfc(text: pd.Series) -> pd.Series:
     """Unicode composition, applied to titles on both sides of a lookup."""

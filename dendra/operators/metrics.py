@@ -228,3 +228,36 @@ def best_output(outputs: DataFrame, key: str = "id", score: str = "score", order
     """(key, output): the output with the largest positive mean score, the first of equal ones; empty if none scores."""
     best = F.max_by("output", F.when(F.col(score) > 0, F.struct(F.col(score), -F.col(order))))
     return outputs.groupBy(key).agg(F.coalesce(best, F.lit("")).alias("output"))
+
+
+def qa_scores(pairs: Column, said: Column, field: str = "short_answers") -> Column:
+    """struct(em, f1, hit) of one model answer per sub-question: the best alias for each, then means; hit if all are exact.
+
+    pairs: array of structs with an array of answers in `field`. said: array of the answers, in the same order.
+    """
+
+    @F.pandas_udf(T.StructType([T.StructField(k, T.DoubleType()) for k in ("em", "f1", "hit")]))
+    def run(golds: pd.Series, answers: pd.Series) -> pd.DataFrame:
+        out = []
+        for gs, ans in zip(golds, answers):
+            rows = []
+            for aliases, a in zip(gs, ans):
+                scores = [(float(g == a), _token_scores(a or "", [g])[2] if g and a else float(g == a)) for g in aliases]
+                rows.append((max((s[0] for s in scores), default=0.0), max((s[1] for s in scores), default=0.0)))
+            n = len(rows)
+            out.append((sum(r[0] for r in rows) / n, sum(r[1] for r in rows) / n, float(all(r[0] for r in rows))) if n else (0.0, 0.0, 0.0))
+        return pd.DataFrame(out, columns=["em", "f1", "hit"], dtype="float64")
+
+    return run(F.transform(pairs, lambda p: F.transform(p[field], normalize_answer)), F.transform(said, normalize_answer))
+
+
+def rerank(outputs: DataFrame, entails, key: str = "id") -> DataFrame:
+    """(key, output): of several outputs the one whose sentences its item's documents together entail most; empty if none scores.
+
+    outputs: (key, at, output, docs array<string>).
+    """
+    from dendra.functions.text import sentences, strip_citations
+
+    rows = outputs.select(key, "at", F.array_join("docs", "\n").alias("premise"), F.explode(sentences(strip_citations(F.col("output")))).alias("claim"))
+    scores = rows.select(key, "at", entails(F.col("premise"), F.col("claim")).alias("e")).groupBy(key, "at").agg(F.avg("e").alias("score"))
+    return best_output(outputs.join(scores, [key, "at"], "left").fillna(0.0, ["score"]), key)

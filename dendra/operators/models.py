@@ -170,6 +170,21 @@ def read(rows: DataFrame, factory: Callable[[], Generator], dataset: str = "gene
     return generated(asked, "prompt", "output", factory, max_tokens)
 
 
+def summarized(items: DataFrame, factory: Callable[[], Generator], top: int = 5, field: str = "summary", max_tokens: int = 100) -> DataFrame:
+    """items(id, question, docs) with `field` in each of the first `top` documents; documents that have it are not asked again.
+
+    docs: array of structs with title, text and `field`.
+    """
+    rows = items.select("id", "question", F.posexplode(F.slice("docs", 1, top)).alias("at", "doc"))
+    todo = rows.where(F.col("doc")[field].isNull())
+    todo = todo.withColumn("_prompt", F.concat(F.lit("Summarize the document for the question in one sentence; answer irrelevant if it does not help.\n\n## Question\n"), "question", F.lit("\n\n## Document\n"), F.col("doc")["title"], F.lit("\n"), F.col("doc")["text"]))
+    made = generated(todo, "_prompt", "made", factory, max_tokens).select("id", "at", "made")
+    done = rows.join(made, ["id", "at"], "left").withColumn("doc", F.col("doc").withField(field, F.coalesce(F.col("doc")[field], "made")))
+    lists = done.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "doc"))), lambda x: x["doc"]).alias("_docs"))
+    rest = F.slice("docs", top + 1, F.greatest(F.lit(0), F.size("docs") - top))
+    return items.join(lists, "id", "left").withColumn("docs", F.when(F.col("_docs").isNull(), F.col("docs")).otherwise(F.concat("_docs", rest))).drop("_docs")
+
+
 def cite_best(sentences: DataFrame, docs: DataFrame, only_uncited: bool = True) -> DataFrame:
     """(id, at, sentence): sentences without a citation (or all) get `[n] ` of the most similar document of their item in front.
 

@@ -604,6 +604,28 @@ def sentence_split(spark, sf_dir):
     return rows.select("conv_id", "turn", F.size("s").alias("n"), F.get("s", F.lit(0)).alias("first"))
 
 
+@query("""SELECT conv_id, turn, array_to_string(list_transform(list_filter(list_transform(regexp_split_to_array(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda x: trim(x)), lambda x: x <> ''),
+  lambda s: '[1][' || (turn % 3 + 2) || '] ' || s), ' ') AS cited FROM conversations WHERE text IS NOT NULL AND NOT contains(text, ']') AND NOT contains(text, ' |')""")
+def force_cite(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").where("text is not null and not contains(text, ']') and not contains(text, ' |')")
+    return rows.select("conv_id", "turn", T.force_citations(F.col("text"), F.expr("array(0, cast(turn % 3 + 1 as int))")).alias("cited"))
+
+
+@query("SELECT doc_id, 'T' || doc_id AS title, source AS url FROM documents")
+def hit_fields(spark, sf_dir):
+    ids = F.to_json(F.struct(F.concat(F.lit("T"), F.col("doc_id").cast("string")).alias("title"), F.col("source").alias("url")))
+    return table(spark, sf_dir, "documents").select("doc_id", T.hit_fields(ids).alias("h")).select("doc_id", "h.*")
+
+
+@query(f"""WITH {TURNS}, r AS (SELECT conv_id, turn, {norm_sql("string_split(gold, '.')[1]")} AS g, {norm_sql("string_split(output, '.')[1]")} AS s FROM turns)
+  SELECT conv_id, turn, (g = s)::INTEGER::DOUBLE AS em, (g = s)::INTEGER::DOUBLE AS hit FROM r""")
+def qa_em_hit(spark, sf_dir):
+    first = lambda c: F.split(c, r"\.")[0]
+    pairs = F.array(F.struct(F.array(first("gold")).alias("short_answers")))
+    rows = _turns(spark, sf_dir).select("conv_id", "turn", metrics.qa_scores(pairs, F.array(first("output"))).alias("s"))
+    return rows.select("conv_id", "turn", "s.em", "s.hit")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return propagate_hop1(spark, sf_dir)
 

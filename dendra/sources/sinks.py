@@ -51,6 +51,11 @@ def remaining_by_count(rows: DataFrame, done: int, order: str) -> DataFrame:
     return rows.where(F.col(order) >= done)
 
 
+def some_rows(rows: DataFrame, n: int, seed: int | None = None) -> DataFrame:
+    """For trial runs: the first n rows, or with a seed n rows drawn without replacement."""
+    return rows.limit(n) if seed is None else rows.orderBy(F.rand(seed)).limit(n)
+
+
 def score_report(scores: DataFrame, path: str) -> None:
     """Aggregates as one JSON line."""
     scores.coalesce(1).write.mode("overwrite").json(path)

@@ -67,3 +67,25 @@ def test_dense_top_in_slices(spark, monkeypatch):
     monkeypatch.setattr(retrieval, "QUERY_ROWS", 1)
     assert key() == whole and len(whole) == 12
     assert retrieval.dense_top(rows, asked.limit(0)).collect() == []
+
+
+def test_qa_rerank_and_forced_citations(spark):
+    from dendra.functions.text import force_citations
+
+    row = spark.sql("SELECT array(named_struct('short_answers', array('The Cat', 'dog house')), named_struct('short_answers', array('x'))) AS p, array('house dog red', 'x') AS s")
+    got = row.select(metrics.qa_scores(F.col("p"), F.col("s"))).first()[0]
+    assert tuple(got) == pytest.approx((0.5, (0.8 + 1) / 2, 0.0))
+    outs = spark.createDataFrame([("i", 0, "alpha. zeta.", ["alpha beta"]), ("i", 1, "alpha. beta [1].", ["alpha beta"]), ("j", 0, "none.", [])], "id string, at int, output string, docs array<string>")
+    assert {r.id: r.output for r in metrics.rerank(outs, models.entailment(models.OverlapEntailment, None)).collect()} == {"i": "alpha. beta [1].", "j": ""}
+    assert one(spark, force_citations(F.col("t"), F.col("n")), t="A b [3]. C d.", n=[0, 2]) == "[1][3] A b. [1][3] C d."
+
+
+def test_summaries_fill_gaps(spark):
+    class Loud:
+        def generate(self, prompts, max_tokens):
+            return ["made" for _ in prompts]
+
+    docs = [("t", "x", None), ("u", "y", "had"), ("v", "z", None)]
+    df = spark.createDataFrame([("i", "q", docs), ("j", "q", [])], "id string, question string, docs array<struct<title:string,text:string,summary:string>>")
+    got = {r.id: [d.summary for d in r.docs] for r in models.summarized(df, Loud, top=2).collect()}
+    assert got == {"i": ["made", "had", None], "j": []}
