@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import table
 from .conflict_packing import pack_documents
@@ -50,7 +50,9 @@ def op8_masked_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_bm25_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    found = find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    shares = ("score", "overlap", "question_overlap", "answer_overlap")
+    return found.withColumns({c: F.round(c, 6) for c in shares})
 
 
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,5 +97,22 @@ SELECT doc_id, size,
        row_number() OVER (PARTITION BY shard ORDER BY key, tie, doc_id) - 1 AS slot,
        NULL::INTEGER AS grown_shard
 FROM s, crc_table
+""",
+    "op9_bm25_decontamination": """
+WITH it AS (SELECT item_id, coalesce(text, '') AS t, regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}_]+') AS w FROM benchmark),
+st AS (SELECT count(*)::DOUBLE AS n, sum(length(w)) / count(*) AS mean, max(length(w)) AS step FROM it),
+tf AS (SELECT item_id, length(w) AS len, term, count(*) AS tf FROM (SELECT item_id, w, unnest(w) AS term FROM it) GROUP BY ALL),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+im AS (SELECT item_id, term, ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / mean)) AS x FROM tf JOIN df USING (term), st),
+share AS (SELECT item_id, term, x / sum(x) OVER (PARTITION BY item_id) AS x FROM im),
+part AS (SELECT item_id, w, list_filter(list_transform(string_split(regexp_replace(t, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda s: regexp_extract_all(lower(s), '[\\p{L}\\p{N}_]+')), lambda s: length(s) > 0) AS p FROM it),
+qa AS (SELECT item_id, w, CASE WHEN length(p) > 1 THEN flatten(p[:-2]) ELSE w END AS q, CASE WHEN length(p) > 1 THEN p[-1] ELSE w END AS a FROM part WHERE length(w) > 0),
+sh AS (SELECT item_id, list_transform([w, q, a], lambda ws: list_distinct(list_transform(range(1, greatest(length(ws) - 3, 2)), lambda i: array_to_string(ws[i:i + 4], ' ')))) AS s FROM qa),
+d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+') AS w FROM documents WHERE text IS NOT NULL),
+win AS (SELECT doc_id, pos, w[pos + 1:(pos + 2 * step)::BIGINT] AS p FROM (SELECT doc_id, w, step, unnest(range(0, length(w)::BIGINT, step::BIGINT)) AS pos FROM d, st)),
+hit AS (SELECT doc_id, pos, item_id, sum(x) AS score FROM (SELECT doc_id, pos, unnest(list_distinct(p)) AS term FROM win) JOIN share USING (term) GROUP BY ALL HAVING sum(x) >= 0.6 - 1e-9),
+ov AS (SELECT doc_id, pos, item_id, score, list_transform(s, lambda g: length(list_filter(g, lambda x: contains(' ' || array_to_string(p, ' ') || ' ', ' ' || x || ' '))) / length(g)) AS o FROM hit JOIN win USING (doc_id, pos) JOIN sh USING (item_id)),
+k AS (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY o[1] DESC, score DESC, pos) AS r FROM ov WHERE o[1] >= 0.8 OR (o[2] >= 0.8 AND o[3] >= 0.8))
+SELECT doc_id, item_id, pos AS passage_start, round(score, 6) AS score, round(o[1], 6) AS overlap, round(o[2], 6) AS question_overlap, round(o[3], 6) AS answer_overlap FROM k WHERE r = 1
 """,
 }
