@@ -1,6 +1,7 @@
 """Each registered analytics query gives the rows of its SQL."""
 
 import duckdb
+import pandas as pd
 import pytest
 
 from dendra.plans import catalog
@@ -15,7 +16,7 @@ def plain(v):
         v = v.tolist()
     if isinstance(v, (list, tuple)):
         return tuple(plain(x) for x in v)
-    if v != v:
+    if pd.isna(v):
         return None
     return round(v, 6) + 0.0 if isinstance(v, float) else v
 
