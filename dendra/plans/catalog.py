@@ -578,7 +578,7 @@ def prompt_pack(spark, sf_dir):
     return rows.select("conv_id", "turn", pack.shown(F.replace(F.col("text"), F.lit("\n"), F.lit(" ")), docs).alias("prompt"))
 
 
-@query("SELECT sum(n_chars) AS prompt_tokens, sum(doc_id) AS completion_tokens, round(sum(n_chars) / 1000 * 0.03 + sum(doc_id) / 1000 * 0.06, 6) AS usd FROM documents")
+@query("SELECT sum(n_chars)::BIGINT AS prompt_tokens, sum(doc_id)::BIGINT AS completion_tokens, round(sum(n_chars) / 1000 * 0.03 + sum(doc_id) / 1000 * 0.06, 6) AS usd FROM documents")
 def token_cost(spark, sf_dir):
     rows = table(spark, sf_dir, "documents").select(F.col("n_chars").alias("prompt_tokens"), F.col("doc_id").alias("completion_tokens"))
     return sinks.token_cost(rows, "gpt-4").withColumn("usd", F.round("usd", 6))
