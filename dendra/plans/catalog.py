@@ -506,25 +506,25 @@ def tfidf_top1(spark, sf_dir):
 # ---------------------------------------------------------------- context, parsers, runs
 
 
-@query("""WITH r AS (SELECT source AS qid, doc_id AS "at", row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) - 1 AS k FROM documents)
+@query("""WITH r AS (SELECT doc_id // 25 AS qid, doc_id AS "at", row_number() OVER (PARTITION BY doc_id // 25 ORDER BY n_chars DESC, doc_id) - 1 AS k FROM documents)
   SELECT qid, "at", row_number() OVER (PARTITION BY qid ORDER BY k % 2, CASE WHEN k % 2 = 0 THEN k ELSE -k END)::INTEGER AS place FROM r""")
 def context_interleave(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").select(F.col("source").alias("qid"), F.col("doc_id").alias("at"), F.col("n_chars").alias("total_score"))
+    rows = table(spark, sf_dir, "documents").select(F.expr("doc_id div 25").alias("qid"), F.col("doc_id").alias("at"), F.col("n_chars").alias("total_score"))
     return context.interleaved(rows).select("qid", "at", "place")
 
 
-@query("""WITH w AS (SELECT source AS qid, doc_id AS place, text, regexp_extract_all(text, '\\S+') AS w FROM documents),
+@query("""WITH w AS (SELECT doc_id // 25 AS qid, doc_id AS place, text, regexp_extract_all(text, '\\S+') AS w FROM documents),
   s AS (SELECT *, length(w) AS n, coalesce(sum(length(w)) OVER (PARTITION BY qid ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM w)
   SELECT qid, place, CASE WHEN b + n <= 3800 THEN text ELSE array_to_string(w[1:(3800 - b)::BIGINT], ' ') END AS text FROM s WHERE b <= 3800 AND NOT EXISTS (SELECT 1 FROM s o WHERE o.qid = s.qid AND o.place < s.place AND o.b + o.n > 3800)""")
 def context_budget(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").select(F.col("source").alias("qid"), F.col("doc_id").alias("place"), "text")
+    rows = table(spark, sf_dir, "documents").select(F.expr("doc_id div 25").alias("qid"), F.col("doc_id").alias("place"), "text")
     return context.within_budget(rows, 3800)
 
 
-@query("""WITH m AS (SELECT source AS qid, doc_id AS "at", CASE WHEN doc_id IN (SELECT doc_id FROM labels) THEN 0 ELSE 1 END AS g FROM documents)
+@query("""WITH m AS (SELECT doc_id // 25 AS qid, doc_id AS "at", CASE WHEN doc_id IN (SELECT doc_id FROM labels) THEN 0 ELSE 1 END AS g FROM documents)
   SELECT qid, "at", row_number() OVER (PARTITION BY qid ORDER BY g, "at")::INTEGER AS place FROM m""")
 def context_matched_first(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").select(F.col("source").alias("qid"), F.col("doc_id").alias("at"), F.col("doc_id").cast("string").alias("title"))
+    rows = table(spark, sf_dir, "documents").select(F.expr("doc_id div 25").alias("qid"), F.col("doc_id").alias("at"), F.col("doc_id").cast("string").alias("title"))
     known = rows.join(table(spark, sf_dir, "labels").select(F.col("doc_id").alias("at")), "at", "left_semi").select("qid", "title")
     return context.matched_first(rows, known).select("qid", "at", "place")
 
