@@ -21,6 +21,8 @@ BUCKET_BITS = 20
 BUCKETS = 1 << BUCKET_BITS
 #: Count vectors are summed in blocks of so many buckets.
 BLOCK = 1 << 14
+#: Bytes of text that are turned into n-grams at once.
+PIECE = 1 << 20
 FOLDS = 5
 #: Labels are broadcast up to so many rows (16 bytes each); a larger table is joined by shuffling.
 BROADCAST_LABELS = 2_000_000
@@ -31,18 +33,29 @@ _SPACES[[ord(c) for c in SPACES]] = True
 
 
 def ngram_buckets(text: str | None) -> np.ndarray:
-    """Buckets of all n-grams of a whole text, repeats included: bytes, A-Z in lower case, each run of spaces as one, one space around."""
+    """Buckets of all n-grams of a whole text: bytes, A-Z in lower case, each run of spaces as one, one space around.
+
+    Repeats are included up to PIECE bytes; a longer text is taken in overlapping pieces and gives each bucket once.
+    """
     raw = np.frombuffer(b" " + (text or "").encode("utf-8", "surrogatepass").lower() + b" ", dtype=np.uint8)
     blank = _SPACES[raw]
-    raw = np.where(blank, np.uint8(32), raw)[~(blank & np.concatenate(([False], blank[:-1])))].astype(np.uint64)
-    found, rolled = [], np.zeros(len(raw), dtype=np.uint64)
+    raw = np.where(blank, np.uint8(32), raw)[~(blank & np.concatenate(([False], blank[:-1])))]
+    if len(raw) <= PIECE:
+        return _grams(raw, len(raw))
+    return np.unique(np.concatenate([np.unique(_grams(raw[a : a + PIECE + max(ORDERS) - 1], PIECE)) for a in range(0, len(raw), PIECE)]))
+
+
+def _grams(raw: np.ndarray, starts: int) -> np.ndarray:
+    """Buckets of the n-grams that begin at the first `starts` bytes."""
+    raw, found = raw.astype(np.uint64), []
+    rolled = np.zeros(len(raw), dtype=np.uint64)
     with np.errstate(over="ignore"):
         for n in range(1, max(ORDERS) + 1):
             if n > len(raw):
                 break
             rolled = rolled[: len(raw) - n + 1] * _BASE + raw[n - 1 :] + np.uint64(1)
             if n in ORDERS:
-                found.append(((rolled * _MIX) >> np.uint64(64 - BUCKET_BITS)).astype(np.int32))
+                found.append(((rolled[:starts] * _MIX) >> np.uint64(64 - BUCKET_BITS)).astype(np.int32))
     return np.concatenate(found) if found else np.empty(0, dtype=np.int32)
 
 

@@ -10,6 +10,8 @@ from .common import SPACES
 
 _SPACES = np.zeros(256, dtype=bool)
 _SPACES[[ord(c) for c in SPACES]] = True
+#: Bytes of text that are hashed at once.
+PIECE = 1 << 20
 WORD_BASE, RUN_BASE, CHECK_BASE = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93
 
 
@@ -62,7 +64,13 @@ class Words:
         inked = np.concatenate(([False], ~_SPACES[data], [False]))
         starts, ends = np.flatnonzero(inked[1:] & ~inked[:-1]), np.flatnonzero(inked[:-1] & ~inked[1:])
         lines = np.searchsorted(np.flatnonzero(data == 10), starts)
-        return cls(raw, starts, ends, run_hashes(data.astype(np.uint64) + np.uint64(1), starts, ends, WORD_BASE), lines)
+        hashes, at = np.empty(len(starts), dtype=np.uint64), 0
+        while at < len(starts):  # by pieces of whole words, so that a very long text isn't widened to 8 bytes a character at once
+            to = max(at + 1, int(np.searchsorted(ends, starts[at] + PIECE)))
+            first = starts[at]
+            hashes[at:to] = run_hashes(data[first : ends[to - 1]].astype(np.uint64) + np.uint64(1), starts[at:to] - first, ends[at:to] - first, WORD_BASE)
+            at = to
+        return cls(raw, starts, ends, hashes, lines)
 
     def shingles(self, size: int, base: int = RUN_BASE) -> np.ndarray:
         """Hash of each run of `size` words; empty if there are fewer."""

@@ -27,6 +27,14 @@ def test_ngram_buckets():
         assert T.ngram_buckets(text).tolist() == plain_ngrams(text)
 
 
+def test_long_texts_in_pieces(monkeypatch):
+    text = prose(random.Random(1), 500)
+    whole = T.ngram_buckets(text)
+    for piece in (7, 64, 1000):
+        monkeypatch.setattr(T, "PIECE", piece)
+        assert T.ngram_buckets(text).tolist() == np.unique(whole).tolist()
+
+
 def test_counts_match_brute_force(spark):
     rng = random.Random(1)
     rows = [(i, i % 2, prose(rng, 20)) for i in range(30)]
