@@ -16,7 +16,7 @@ from .common import checkpoint
 
 CAPACITY = 2048
 #: Documents that are packed together: a task packs whole groups of about so many pieces.
-GROUP_PIECES = 8192
+GROUP_PIECES = 2048
 _EMPTY = -1  # all bits set: no bin below this node
 
 
