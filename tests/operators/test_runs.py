@@ -117,3 +117,26 @@ def test_incremental_run(spark, tmp_path):
     run()
     run()
     assert sorted(r.b for r in spark.read.parquet(sink).collect()) == [2, 4]
+
+
+def test_title_index_takes_the_first(spark, tmp_path):
+    for name, titles in (("a.jsonl", ["x", "y"]), ("b.jsonl", ["y", "z"])):
+        (tmp_path / name).write_text("".join(json.dumps({"title": t, "from": name}) + "\n" for t in titles))
+    rows = readers.title_index(spark.read.schema("title string, from string").json(str(tmp_path))).collect()
+    assert {r.title: r.file.rsplit("/", 1)[-1] for r in rows} == {"x": "a.jsonl", "y": "a.jsonl", "z": "b.jsonl"}
+
+
+def test_reports_and_trial_rows(spark, tmp_path):
+    rows = spark.createDataFrame([(i, i / 2) for i in range(4)], "id int, score double")
+    sinks.score_report(rows.agg(F.avg("score").alias("score")), str(tmp_path / "score"))
+    sinks.item_report(rows, str(tmp_path / "items"))
+    assert spark.read.json(str(tmp_path / "score")).first().score == 0.75
+    assert spark.read.option("header", True).csv(str(tmp_path / "items")).count() == 4
+    assert sinks.some_rows(rows, 2).count() == sinks.some_rows(rows, 2, seed=42).count() == 2
+    sinks.append(rows, str(tmp_path / "p"))
+    sinks.append(rows, str(tmp_path / "p"))
+    assert spark.read.parquet(str(tmp_path / "p")).count() == 8
+    sinks.write_json_lines(rows, str(tmp_path / "j"))
+    assert spark.read.json(str(tmp_path / "j")).count() == 4
+    cost = sinks.token_cost(spark.createDataFrame([(1000, 500)], "prompt_tokens int, completion_tokens int"), "gpt-4").first()
+    assert cost.usd == pytest.approx(0.06)
