@@ -111,7 +111,7 @@ def pack(records: DataFrame, capacity: int = CAPACITY, group_pieces: int = GROUP
     to groups of about `group_pieces`, whose number grows with the input, and each group is packed by itself in
     decreasing length; a group is what one task holds. A bin is (pack_group, bin). Sources and clusters that hold
     a large part of all rows are spread over all groups.
-    Nulls: a null length counts as 0; a null source or cluster conflicts with nothing; null ids are packed like others.
+    Nulls: a null length counts as 0; a null source or cluster conflicts with nothing; null ids are packed like others and dealt by their place.
     """
     narrow = checkpoint(records.select("id", F.coalesce("length", F.lit(0)).cast("long").alias("length"), "source", "cluster"))
     cut = F.greatest(F.lit(1), F.expr(f"(length + {capacity - 1}) div {capacity}"))
@@ -121,7 +121,7 @@ def pack(records: DataFrame, capacity: int = CAPACITY, group_pieces: int = GROUP
         narrow.select("*", F.posexplode(F.sequence(F.lit(0), cut - 1)).alias("piece", "_n"))
         .withColumn("start", F.col("piece").cast("long") * capacity)
         .withColumn("length", F.least(F.lit(capacity), F.col("length") - F.col("start")).cast("int"))
-        .withColumn("pack_group", F.pmod(F.xxhash64("id", "piece", "source", "cluster"), F.lit(groups)).cast("int"))
+        .withColumn("pack_group", F.pmod(F.xxhash64(F.coalesce("id", F.monotonically_increasing_id()), "piece", "source", "cluster"), F.lit(groups)).cast("int"))
         .drop("_n")
     )
 

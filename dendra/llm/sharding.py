@@ -73,12 +73,12 @@ def shard_by_bytes(
 
     Bounds: the driver holds SAMPLES_PER_RANGE keys per range, the range totals and at most
     n_shards / hot_share hot keys. No window holds more than a range (about total / ranges bytes).
-    Nulls: a null id counts as the lowest long, a null key as 0 and a null size as 1. Repeated rows are placed like any others.
+    Nulls: a null id counts as one of the lowest longs, each row as its own, so that even rows without ids can be split; a null key as 0, a null size as 1. Repeated rows are placed like any others.
     An empty table gives an empty result. Other columns are carried, whatever their names, if they are not
     among id, key, size, tie, range, shard and slot; select them away or rename them first.
     """
     records = checkpoint(
-        records.withColumns({"id": F.coalesce("id", F.lit(LOWEST)), "key": F.coalesce("key", F.lit(0).cast("long")), "size": F.coalesce("size", F.lit(1).cast("long"))})
+        records.withColumns({"id": F.coalesce("id", F.lit(LOWEST) + F.monotonically_increasing_id()), "key": F.coalesce("key", F.lit(0).cast("long")), "size": F.coalesce("size", F.lit(1).cast("long"))})
     )
     total, rows = records.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
     if not rows:

@@ -75,3 +75,9 @@ def test_groups_match_best_fit_decreasing(spark):
 
 def test_empty_table(no_docs):
     assert pack_documents(no_docs).collect() == []
+
+
+def test_rows_without_ids_spread_over_groups(spark):
+    df = spark.createDataFrame([(None, 3, "s", "c")] * 300, "id long, length int, source string, cluster string")
+    got = pack(df, 10, 50).collect()
+    assert len({r.pack_group for r in got}) == 6 and len({(r.pack_group, r.bin) for r in got}) == 300

@@ -79,3 +79,12 @@ def test_written_shards(spark, tmp_path):
     write_shards(df, placed, str(tmp_path / "out"))
     back = spark.read.parquet(str(tmp_path / "out"))
     assert ordered(back.select("doc_id", "shard", "slot").collect()) == ordered(placed.select("doc_id", "shard", "slot").collect())
+
+
+def test_copies_without_ids_are_split(spark):
+    rows = [(None, "copy " * 20)] * 900 + [(i, f"text {i} " * 5) for i in range(300)]
+    got = shard_documents(spark.createDataFrame(rows, "doc_id long, text string"), 4).collect()
+    held = [sum(r["size"] for r in got if r.shard == k) for k in range(4)]
+    assert len(got) == 1200 and max(held) < 1.03 * min(held)
+    for k in range(4):
+        assert sorted(r.slot for r in got if r.shard == k) == list(range(sum(r.shard == k for r in got)))
