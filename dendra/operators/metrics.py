@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
@@ -13,6 +14,11 @@ from dendra.functions.text import after_reasoning, list_answers, normalize_answe
 EXACT_ONLY = ("yes", "no", "noanswer")
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value computed once per row: expressions inside array lambdas would repeat it for every element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _normal(golds: Column) -> Column:
     return F.filter(F.transform(golds, normalize_answer), lambda g: g != "")
 
@@ -24,8 +30,7 @@ def exact_match(output: Column, golds: Column) -> Column:
 
 def containment(output: Column, golds: Column) -> Column:
     """Whether the normalized output holds one of the normalized, non-empty golds."""
-    text = normalize_answer(trim_output(output))
-    return F.coalesce(F.exists(_normal(golds), lambda g: F.contains(text, g)), F.lit(False))
+    return F.coalesce(_let(normalize_answer(trim_output(output)), lambda text: F.exists(_normal(golds), lambda g: F.contains(text, g))), F.lit(False))
 
 
 def _shared(a: list[str], b: list[str]) -> int:
@@ -78,13 +83,16 @@ def answer_exact(gold: Column, said: Column) -> Column:
 
 def presence(answers: Column, text: Column) -> Column:
     """Whether the normalized text holds one of the normalized answers; an answer that normalizes to nothing is always there."""
-    inside = normalize_answer(text)
+    return F.coalesce(_let(normalize_answer(text), lambda inside: _present(answers, inside)), F.lit(False))
+
+
+def _present(answers: Column, inside: Column) -> Column:
     return F.coalesce(F.exists(answers, lambda a: F.contains(inside, normalize_answer(a))), F.lit(False))
 
 
 def presence_scores(pairs: Column, output: Column, field: str = "short_answers", top: int | None = None) -> Column:
     """struct(em, hit): the share of question-answer pairs whose answer is present (with `top`, out of at most so many), and whether all are."""
-    found = F.size(F.filter(pairs, lambda p: presence(p[field], output)))
+    found = _let(normalize_answer(output), lambda inside: F.size(F.filter(pairs, lambda p: _present(p[field], inside))))
     n, got = F.size(pairs), found
     if top is not None:
         n, got = F.least(F.lit(top), n), F.least(F.lit(top), found)
@@ -96,15 +104,23 @@ def list_scores(output: Column, answers: Column, reasoning: bool = False) -> Col
     """struct(num_preds, precision, recall, recall_top5, f1, f1_top5) of comma-separated answers against groups of aliases."""
     said = list_answers(after_reasoning(output) if reasoning else output)
     groups = F.transform(answers, lambda g: F.transform(g, normalize_answer))
-    flat = F.flatten(groups)
-    n, total = F.size(said), F.size(groups)
-    right = F.size(F.filter(said, lambda x: F.array_contains(flat, x)))
-    found = F.size(F.filter(groups, lambda g: F.arrays_overlap(g, said)))
-    p = F.when(n > 0, right / n).otherwise(F.lit(0.0))
-    r = F.when(total > 0, found / total).otherwise(F.lit(0.0))
-    r5 = F.when(total > 0, F.least(F.lit(5), found) / F.least(F.lit(5), total)).otherwise(F.lit(0.0))
-    f1 = lambda a, b: F.when(a + b > 0, 2 * a * b / (a + b)).otherwise(F.lit(0.0))
-    return F.struct(n.alias("num_preds"), p.alias("precision"), r.alias("recall"), r5.alias("recall_top5"), f1(p, r).alias("f1"), f1(p, r5).alias("f1_top5"))
+
+    def counted(x: Column) -> Column:
+        right = F.size(F.filter(x["said"], lambda s: F.exists(x["groups"], lambda g: F.array_contains(g, s))))
+        found = F.size(F.filter(x["groups"], lambda g: F.arrays_overlap(g, x["said"])))
+        return F.struct(F.size(x["said"]).alias("n"), F.size(x["groups"]).alias("total"), right.alias("right"), found.alias("found"))
+
+    def scored(c: Column) -> Column:
+        p = F.when(c["n"] > 0, c["right"] / c["n"]).otherwise(F.lit(0.0))
+        r = F.when(c["total"] > 0, c["found"] / c["total"]).otherwise(F.lit(0.0))
+        r5 = F.when(c["total"] > 0, F.least(F.lit(5), c["found"]) / F.least(F.lit(5), c["total"])).otherwise(F.lit(0.0))
+        return F.struct(c["n"].alias("num_preds"), p.alias("precision"), r.alias("recall"), r5.alias("recall_top5"))
+
+    def with_f1(s: Column) -> Column:
+        f1 = lambda a, b: F.when(a + b > 0, 2 * a * b / (a + b)).otherwise(F.lit(0.0))
+        return F.struct(*[s[k].alias(k) for k in ("num_preds", "precision", "recall", "recall_top5")], f1(s["precision"], s["recall"]).alias("f1"), f1(s["precision"], s["recall_top5"]).alias("f1_top5"))
+
+    return _let(_let(_let(F.struct(said.alias("said"), groups.alias("groups")), counted), scored), with_f1)
 
 
 def short_form(items: DataFrame) -> DataFrame:
