@@ -1,13 +1,15 @@
 """License scan by conditional compression.
 
 A candidate block is compressed by itself and with each license template as zstandard raw dictionary; the
-template that saves most is the winner, and it is confirmed by the exact differences in wording.
+template that saves most is the winner, and it is confirmed by the exact differences in wording. A notice may
+be wrapped over lines, so a block is also tried together with the text around it.
 """
 
 from __future__ import annotations
 
 import re
 from difflib import SequenceMatcher
+from itertools import islice
 
 import pyarrow as pa
 import zstandard
@@ -82,6 +84,23 @@ def blocks(text: str) -> list[tuple[int, int]]:
     return [(a, b) for a, b in found]
 
 
+def words_before(text: str, low: int, at: int, n: int) -> int:
+    """Where the last n words of text[low:at] start; low if there are fewer."""
+    size = 16 * n
+    while True:
+        start = max(low, at - size)
+        spans = [m.start() for m in _WORD.finditer(text, start, at)]
+        if start == low or len(spans) > n:
+            return spans[-n] if len(spans) > n else low
+        size *= 2
+
+
+def words_after(text: str, at: int, high: int, n: int) -> int:
+    """Where the first n words of text[at:high] end; high if there are fewer."""
+    ends = [m.end() for m in islice(_WORD.finditer(text, at, high), n)]
+    return ends[-1] if len(ends) == n else high
+
+
 def differences(block: list[str], template: list[str]) -> tuple[int, int, int]:
     """(differing words, first, last) of the part of the block that the template matches: words of either that the other lacks."""
     same = [m for m in SequenceMatcher(None, block, template, autojunk=False).get_matching_blocks() if m.size]
@@ -101,6 +120,8 @@ class Scanner:
         self.alone = zstandard.ZstdCompressor(level=LEVEL)
         self.given = [zstandard.ZstdCompressor(level=LEVEL, dict_data=d) for d in dictionaries]
         self.max_difference = max_difference
+        #: Words around a block that may belong to a notice of it.
+        self.around = int(max(len(w) for *_, w in self.templates) * (1 + max_difference)) + 1
 
     def rank(self, block: str) -> list[tuple[float, int]]:
         """(size reduction in bytes, template), the largest reduction first."""
@@ -122,25 +143,46 @@ class Scanner:
         share, _, reduction, i, n, first, last = best
         return i, -reduction, n, first, last, share <= self.max_difference
 
+    def notice(self, text: str, a: int, b: int, low: int, high: int) -> tuple | None:
+        """(start, end, license, reduction, differences, template words, True) of the confirmed notice in text[a:b] or around it, within low and high.
+
+        The block by itself and the block with as many words on both sides as the longest template has are both tried; the one
+        with fewer differing words for the template's length counts, then the longer template.
+        """
+        wide = words_before(text, low, a, self.around), words_after(text, b, high, self.around)
+        best = None
+        for start, end in dict.fromkeys([(a, b), wide]):
+            i, reduction, n, first, last, sure = self.winner(text[start:end])
+            spans = [m.span() for m in _WORD.finditer(text[start:end].lower())] if sure and len(text[start:end].lower()) == end - start else None
+            if spans:
+                size = len(self.templates[i][2])
+                row = (start + spans[first][0], start + spans[last - 1][1], self.templates[i][0], reduction, n, size, True)
+                best = min(best or (9.0,), (n / size, -size, start != a or end != b, row))
+        return best and best[-1]
+
     def scan(self, text: str | None) -> list[tuple]:
         """(start, end, license, reduction, differences, template words, confirmed) of each notice.
 
-        A confirmed match is taken out of its block and the rest is scanned again, since a block may hold several notices.
+        A confirmed match is taken out of the text and the rest of the blocks is scanned again, since a block may hold several notices.
         """
-        found, open_blocks = [], blocks(text or "")
+        text = text or ""
+        found, taken, open_blocks = [], [], blocks(text)
         while open_blocks:
             a, b = open_blocks.pop(0)
             block = text[a:b]
             if not words_of(block) or not _CUE.search(block):
                 continue
-            i, reduction, n, first, last, sure = self.winner(block)
-            spans = [m.span() for m in _WORD.finditer(block.lower())] if len(block.lower()) == len(block) else None
-            if sure and spans:
-                start, end = a + spans[first][0], a + spans[last - 1][1]
-                open_blocks += [(a, start), (end, b)]
+            low, high = max((e for _, e in taken if e <= a), default=0), min((s for s, _ in taken if s >= b), default=len(text))
+            hit = self.notice(text, a, b, low, high)
+            if hit:
+                start, end = hit[:2]
+                taken.append((start, end))
+                rest = [(a, b), *open_blocks]
+                open_blocks = [p for x, y in rest for p in ((x, min(y, start)), (max(x, end), y)) if p[0] < p[1]]
+                found.append(hit)
             else:
-                start, end = a, b
-            found.append((start, end, self.templates[i][0], reduction, n, len(self.templates[i][2]), sure))
+                i, reduction, n, *_ = self.winner(block)
+                found.append((a, b, self.templates[i][0], reduction, n, len(self.templates[i][2]), False))
         return sorted(found)
 
 

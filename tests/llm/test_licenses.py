@@ -1,6 +1,7 @@
 import random
+import textwrap
 
-from dendra.llm.licenses import TEMPLATES, Scanner, blocks, differences, scan_documents, words_of
+from dendra.llm.licenses import TEMPLATES, Scanner, blocks, differences, scan_documents, words_after, words_before, words_of
 from tests.llm.conftest import prose
 
 
@@ -59,3 +60,27 @@ def test_odd_rows(spark, docs, no_docs):
     rows = [(None, "Released under the MIT License."), (1, "x\n" * 5000 + "Licensed under CC BY-NC 4.0."), (1, "x\n" * 5000 + "Licensed under CC BY-NC 4.0.")]
     got = scan_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((str(r.doc_id), r.license, r.differences) for r in got) == [("1", "CC-BY-NC-4.0", 0)] * 2 + [("None", "MIT", 0)]
+
+
+def test_wrapped_notices():
+    """A notice that is wrapped over lines is the same notice as on one line."""
+    scanner, rng = Scanner(), random.Random(5)
+    for name, text in TEMPLATES:
+        for width, mark in ((76, ""), (40, "# "), (60, " * ")):
+            wrapped = "\n".join(mark + line for line in textwrap.wrap(text, width, break_on_hyphens=False, break_long_words=False))
+            around = f"{prose(rng, 30)}.\n\n{wrapped}\n\n{prose(rng, 30)}"
+            found = scanner.scan(around)
+            assert [(r[2], r[4], r[5], r[6]) for r in found] == [(name, 0, len(words_of(text)), True)], (name, width, found)
+            a, b = found[0][:2]
+            assert words_of(around[a:b]) == words_of(text)
+    mit = textwrap.fill(TEMPLATES[5][1].replace(" The above", "\n\nThe above"), 76, replace_whitespace=False)
+    apache = textwrap.fill(TEMPLATES[1][1], 70, break_on_hyphens=False)
+    found = scanner.scan(f"{apache}\n{mit}\n\nCopyright 2001 {prose(rng, 9)}")
+    assert [(r[2], r[4], r[6]) for r in found if r[6]] == [("Apache-2.0", 0, True), ("MIT", 0, True)]
+
+
+def test_words_around():
+    text = "aa bb " + " " * 500 + "cc dd ee"
+    at = text.index("dd")
+    assert text[words_before(text, 0, at, 2) : at].split() == ["bb", "cc"] and words_before(text, 0, at, 9) == 0
+    assert text[: words_after(text, 0, len(text), 3)].split() == ["aa", "bb", "cc"] and words_after(text, 0, len(text), 9) == len(text)
