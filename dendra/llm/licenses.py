@@ -8,6 +8,7 @@ be wrapped over lines, so a block is also tried together with the text around it
 from __future__ import annotations
 
 import re
+from collections import Counter
 from difflib import SequenceMatcher
 from itertools import islice
 
@@ -62,7 +63,7 @@ LEVEL = 3
 
 
 def words_of(text: str) -> list[str]:
-    return _WORD.findall(text.lower())
+    return [w.lower() for w in _WORD.findall(text)]
 
 
 def blocks(text: str) -> list[tuple[int, int]]:
@@ -133,13 +134,21 @@ class Scanner:
         """(template, reduction, words that differ, first and last word of the match, confirmed).
 
         Of the `tried` largest reductions the one with the fewest differing words for its length wins; it is
-        confirmed if these are at most `max_difference` of the template's words.
+        confirmed if these are at most `max_difference` of the template's words. If it isn't, the other templates
+        follow in order of their reductions until one is confirmed.
         """
-        words, best = words_of(block), None
-        for reduction, i in self.rank(block)[:tried]:
-            template = self.templates[i][2]
+        words, best, held = words_of(block), (9.0,), None
+        for k, (reduction, i) in enumerate(self.rank(block)):
+            template, allowed = self.templates[i][2], self.max_difference * len(self.templates[i][2])
+            if k >= tried:
+                if best[0] <= self.max_difference:
+                    break
+                held = held or Counter(words)
+                if sum(max(0, m - held[w]) for w, m in Counter(template).items()) > allowed:
+                    continue  # words that the block lacks differ in any alignment
             n, first, last = differences(words, template)
-            best = min(best or (9.0,), (n / len(template), -len(template), -reduction, i, n, first, last))
+            if k < tried or n / len(template) <= self.max_difference:
+                best = min(best, (n / len(template), -len(template), -reduction, i, n, first, last))
         share, _, reduction, i, n, first, last = best
         return i, -reduction, n, first, last, share <= self.max_difference
 
@@ -147,16 +156,20 @@ class Scanner:
         """(start, end, license, reduction, differences, template words, True) of the confirmed notice in text[a:b] or around it, within low and high.
 
         The block by itself and the block with as many words on both sides as the longest template has are both tried; the one
-        with fewer differing words for the template's length counts, then the longer template.
+        with fewer differing words for the template's length counts, then the longer template. If neither is confirmed, the block's
+        sentences are tried one by one.
         """
         wide = words_before(text, low, a, self.around), words_after(text, b, high, self.around)
         best = None
-        for start, end in dict.fromkeys([(a, b), wide]):
+        sentences = [m.span() for m in _SENTENCE.finditer(text, a, b) if _CUE.search(m[0])]
+        for k, (start, end) in enumerate(dict.fromkeys([(a, b), wide, *sentences])):
+            if k > 1 and best:
+                break
             i, reduction, n, first, last, sure = self.winner(text[start:end])
-            spans = [m.span() for m in _WORD.finditer(text[start:end].lower())] if sure and len(text[start:end].lower()) == end - start else None
-            if spans:
+            if sure:
+                spans = [m.span() for m in _WORD.finditer(text, start, end)]
                 size = len(self.templates[i][2])
-                row = (start + spans[first][0], start + spans[last - 1][1], self.templates[i][0], reduction, n, size, True)
+                row = (spans[first][0], spans[last - 1][1], self.templates[i][0], reduction, n, size, True)
                 best = min(best or (9.0,), (n / size, -size, start != a or end != b, row))
         return best and best[-1]
 

@@ -84,3 +84,25 @@ def test_words_around():
     at = text.index("dd")
     assert text[words_before(text, 0, at, 2) : at].split() == ["bb", "cc"] and words_before(text, 0, at, 9) == 0
     assert text[: words_after(text, 0, len(text), 3)].split() == ["aa", "bb", "cc"] and words_after(text, 0, len(text), 9) == len(text)
+
+
+def test_every_template_is_tried():
+    """A short exact notice beside reworded ones that share more bytes with other templates."""
+    scanner = Scanner()
+    gnu = [t for n, t in TEMPLATES if "GPL" in n]
+    reworded = " ".join(" ".join(w for k, w in enumerate(t.split()) if k % 3) for t in gnu).replace(".", ",")
+    for name, short in (("MIT", "Released under the MIT License."), ("Proprietary", "All rights reserved."), ("CC-BY-4.0", "Licensed under CC BY 4.0.")):
+        block = f"{reworded} {short}"
+        index = next(i for i, (_, t) in enumerate(TEMPLATES) if t == short)
+        assert index not in [i for _, i in scanner.rank(block)[:5]]
+        i, _, n, _, _, sure = scanner.winner(block)
+        assert (TEMPLATES[i][0], n, sure) == (name, 0, True)
+        assert (name, 0, True) in [(r[2], r[4], r[6]) for r in scanner.scan(block)]
+
+
+def test_letters_that_grow_in_lower_case():
+    """The bounds hold, and further notices are found, where lower() changes the length."""
+    text = "İstanbul İzmir. Released under the MIT License. İ x. Licensed under CC BY-NC 4.0. İ"
+    found = Scanner().scan(text)
+    assert [(r[2], r[4], r[6]) for r in found] == [("MIT", 0, True), ("CC-BY-NC-4.0", 0, True)]
+    assert [words_of(text[a:b]) for a, b, *_ in found] == [words_of("Released under the MIT License"), words_of("Licensed under CC BY-NC 4.0")]
