@@ -26,10 +26,9 @@ PAD = TOKENS
 CLASS_SIZE = 32
 CLASSES = TOKENS // CLASS_SIZE
 WIDTH, RADIUS = 16, 3
-#: Tokens scored at once, tokens of a training step, and the share of tokens that is masked in a training pass.
+#: Tokens scored at once, and tokens of a training step.
 PIECE = 1 << 15
 BATCH = 1024
-MASKED = 0.15
 FAN_IN = 16
 
 
@@ -100,11 +99,12 @@ class Network:
             back[rows] += error @ self.to_token[part]
         back *= 1 - hidden**2
         slope.bias[:] = back.sum(axis=0)
-        for k, offset in enumerate(OFFSETS):
-            near = padded[at + offset]
-            slope.place[k] = (self.embed[near] * back).sum(axis=0)
-            cell = near[:, None] * WIDTH + np.arange(WIDTH)
-            slope.embed += np.bincount(cell.ravel(), weights=(back * self.place[k]).ravel(), minlength=(TOKENS + 1) * WIDTH).reshape(-1, WIDTH).astype(np.float32)
+        near = padded[at[None, :] + np.array(OFFSETS)[:, None]]
+        for k in range(len(OFFSETS)):
+            slope.place[k] = np.einsum("ij,ij->j", self.embed[near[k]], back)
+        cell = near[:, :, None] * WIDTH + np.arange(WIDTH)
+        pull = back[None, :, :] * self.place[:, None, :]
+        slope.embed[:] = np.bincount(cell.ravel(), weights=pull.ravel(), minlength=(TOKENS + 1) * WIDTH).reshape(-1, WIDTH)
         slope.embed[PAD] = 0
         return slope.flat
 
@@ -194,11 +194,16 @@ def count_buckets(docs: DataFrame) -> np.ndarray:
     return np.zeros(1 << BUCKET_BITS) if found is None else found[1]
 
 
+def masked(part: int, run: int, number: int, passes: int, size: int) -> np.ndarray:
+    """Which of the `size` tokens of a task's run of documents are masked in a pass: each token in one of the passes, drawn by a generator seeded by task and run."""
+    return np.random.default_rng((part, run)).integers(passes, size=size) == number
+
+
 def train(docs: DataFrame, passes: int = 2, rate: float = 0.01) -> tuple[np.ndarray, Network]:
     """(token of each bucket, network), learned from all documents.
 
-    In each pass every task starts from the same network, masks a share MASKED of its tokens (drawn by a
-    generator seeded by pass and task) and follows the Adam rule over BATCH of them at a time; the
+    In each pass every task starts from the same network, masks its tokens of this pass (see masked; over
+    the passes every token is a target once) and follows the Adam rule over BATCH of them at a time; the
     tasks' networks are averaged by their masked tokens.
     """
     counts = count_buckets(docs)
@@ -211,11 +216,11 @@ def train(docs: DataFrame, passes: int = 2, rate: float = 0.01) -> tuple[np.ndar
         def learned(batches, number=number, sent=sent):
             tokens, flat = sent.value
             own, part = Network(flat.copy()), TaskContext.get().partitionId()
-            rng, steps, seen = np.random.default_rng((number, part)), 0, 0
+            steps, seen = 0, 0
             first, second = np.zeros(SIZE, dtype=np.float32), np.zeros(SIZE, dtype=np.float32)
-            for _, held in _gathered(batches, tokens):
+            for run, (_, held) in enumerate(_gathered(batches, tokens)):
                 padded, places = _padded(held)
-                places = places[rng.random(len(places)) < MASKED]
+                places = places[masked(part, run, number, passes, len(places))]
                 for at in range(0, len(places), BATCH):
                     some = places[at : at + BATCH]
                     slope = own.gradient(padded, some)

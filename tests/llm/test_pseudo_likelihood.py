@@ -101,3 +101,15 @@ def test_odd_rows(docs, rows, no_docs):
     assert max(same) - min(same) < 1e-5
     assert L.score_documents(no_docs).collect() == []
     assert prose(random.Random(1), 3) == prose(random.Random(1), 3)
+
+
+def test_every_token_is_a_target_once(spark, monkeypatch):
+    """Over the passes each token of the corpus is masked in exactly one."""
+    for passes in (1, 2, 5):
+        assert (sum(L.masked(3, 7, k, passes, 1000).astype(int) for k in range(passes)) == 1).all()
+    texts = [(i, prose(random.Random(i), 300)) for i in range(6)]
+    df = spark.createDataFrame(texts, "doc_id long, text string").coalesce(1)
+    weights, plain = [], L.tree_sum
+    monkeypatch.setattr(L, "tree_sum", lambda parts: (lambda found: weights.append(found[0]) or found)(plain(parts)))
+    L.train(df, passes=2)
+    assert weights[0] == sum(weights[1:]) == 6 * 300 and len(weights) == 3
