@@ -12,17 +12,25 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 #: Spaces as the word rules of these operators see them: blank, tab, line feed, vertical tab, form feed, return.
 SPACES = " \t\n\x0b\x0c\r"
 BATCH_BYTES = 4 << 20
+#: Tables of up to so many rows (about 60 bytes each) are broadcast; larger ones are joined by shuffling.
+BROADCAST_ROWS = 300_000
 
 
 def shared_folder(spark: SparkSession) -> str:
     """The checkpoint folder that driver and executors share.
 
-    It is spark.checkpoint.dir of the session. Only where that is unset (tests, a single machine) a fresh
-    temporary folder is taken.
+    It is spark.checkpoint.dir of the session. Where that is unset a fresh temporary folder is taken, but only
+    on a single machine; elsewhere that is an error. Files of checkpoints that no table needs any more are
+    deleted, and so are shuffle files at the end of each query, so that long runs of loops don't fill the disks.
     """
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="dendra-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context._jsc.sc().isLocal():
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="dendra-"))
+        context._jsc.sc().conf().set("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", True)
     return context._jsc.sc().getCheckpointDir().get()
 
 
@@ -33,12 +41,26 @@ def checkpoint(df: DataFrame) -> DataFrame:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: smaller than a checkpoint, and read by columns."""
+    """df as a Parquet table in the shared folder: smaller than a checkpoint, and read by columns. See removed()."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def removed(df: DataFrame) -> None:
+    """Deletes the files of a table that written() has made; nothing may be left that reads it."""
+    context = df.sparkSession.sparkContext
+    for file in df.inputFiles()[:1]:
+        path = context._jvm.org.apache.hadoop.fs.Path(file).getParent()
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def small(df: DataFrame, lists: str | None = None) -> DataFrame:
+    """df, broadcast if it is small; its size is its rows, or the entries of the array column `lists`."""
+    size = F.count("*") if lists is None else F.coalesce(F.sum(F.size(lists)), F.lit(0))
+    return F.broadcast(df) if df.agg(size).first()[0] <= BROADCAST_ROWS else df
+
+
 def unused(df: DataFrame, name: str) -> str:
     """A column name that df doesn't have, whatever the case."""
     taken = {c.lower() for c in df.columns}

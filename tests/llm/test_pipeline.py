@@ -9,7 +9,7 @@ from dendra.llm.common import table
 from dendra.llm.decontaminate import shingles, words_of
 from dendra.llm.toxicity import score_documents
 from tests.llm.test_simhash import components, plain_fingerprint
-from tests.llm.test_substring_dedup import plain_windows
+from tests.llm.test_substring_dedup import plain_blocks, plain_paragraphs, plain_windows
 from tests.test_catalog import TABLES, rows
 
 
@@ -54,11 +54,11 @@ def test_stages_in_turn(spark, sf_dir, tmp_path):
     before, kept = kept, {r.doc_id: r.text for r in through("simhash_near_dedup")}
     assert kept == {i: before[i] for i in first.values()} and len(kept) < len(before)
 
-    touched = {i for i, _ in plain_windows(kept.items(), 32)}
+    touched = set(plain_blocks(kept.items(), 0.8)) | {i for i, *_ in plain_paragraphs(kept.items(), 50, 0.8)}
     before, after = kept, through("substring_dedup")
     kept = {r.doc_id: r.text for r in after}
     assert all(kept[i] == t for i, t in before.items() if i not in touched)
-    assert plain_windows(kept.items(), 50) == [] and all(r.n_chars == len(r.text) for r in after if r.text != before[r.doc_id])
+    assert not {i for i, _ in plain_windows(before.items(), 50)} - {i for i, t in before.items() if kept.get(i) != t} and all(r.n_chars == len(r.text) for r in after if r.text != before[r.doc_id])
 
     items = [r.text for r in table(spark, sf_dir, "benchmark").collect()]
     parts = [shingles(words_of(t)) for t in items]
