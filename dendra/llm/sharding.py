@@ -9,19 +9,23 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import checkpoint
+from .common import checkpoint, unused
 
 #: Boundaries are drawn from about this many sampled keys per range.
 SAMPLES_PER_RANGE = 32
 LOWEST = -(2**63)
 
 
+def _longs(values) -> Column:
+    """A literal array, sent as one string and folded by the optimizer."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
+
+
 def _below(boundaries: list[tuple[int, int]], key: Column, tie: Column) -> Column:
     """Number of boundaries that are not above (key, tie): a binary search over two literal arrays."""
     if not boundaries:
         return F.lit(0)
-    keys = F.array(*[F.lit(k).cast("long") for k, _ in boundaries])
-    ties = F.array(*[F.lit(t).cast("long") for _, t in boundaries])
+    keys, ties = _longs(k for k, _ in boundaries), _longs(t for _, t in boundaries)
     steps = [1 << b for b in reversed(range(len(boundaries).bit_length()))]
 
     def step(found: Column, jump: Column) -> Column:
@@ -74,15 +78,17 @@ def shard_by_bytes(
     Bounds: the driver holds SAMPLES_PER_RANGE keys per range, the range totals and at most
     n_shards / hot_share hot keys. No window holds more than a range (about total / ranges bytes).
     Nulls: a null id counts as one of the lowest longs, each row as its own, so that even rows without ids can be split; a null key as 0, a null size as 1. Repeated rows are placed like any others.
-    An empty table gives an empty result. Other columns are carried, whatever their names, if they are not
-    among id, key, size, tie, range, shard and slot; select them away or rename them first.
+    Very long records are units like others: a unit is never cut. Ties in key and id are broken by the engine, all within one unit.
+    An empty table gives an empty result. Other columns are carried, whatever their names; only shard and slot may not be among them.
     """
+    others = [c for c in records.columns if c.lower() not in ("id", "key", "size")]
+    rest = F.struct(*[F.col(f"`{c}`") for c in others], F.lit(0).alias("_")).alias("rest")
     records = checkpoint(
-        records.withColumns({"id": F.coalesce("id", F.lit(LOWEST) + F.monotonically_increasing_id()), "key": F.coalesce("key", F.lit(0).cast("long")), "size": F.coalesce("size", F.lit(1).cast("long"))})
+        records.select("id", "key", "size", rest).withColumns({"id": F.coalesce("id", F.lit(LOWEST) + F.monotonically_increasing_id()), "key": F.coalesce("key", F.lit(0).cast("long")), "size": F.coalesce("size", F.lit(1).cast("long"))})
     )
     total, rows = records.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
     if not rows:
-        return records.select("*", F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot"))
+        return _unpacked(records.withColumns({"shard": F.lit(0), "slot": F.lit(0).cast("long")}), others)
     hot = (
         records.groupBy("key").agg(F.sum("size").alias("held"))
         .where(F.col("held") * F.lit(round(n_shards / hot_share)) > F.lit(total))
@@ -100,14 +106,18 @@ def shard_by_bytes(
         over = {r.range: r.held for r in held.where((F.col("held") > F.lit(4 * total // ranges)) & (F.col("kinds") > 1)).collect()}
         if not over:
             break
-        inner = ranged.where(F.col("range").isin(list(over)))
+        inner = ranged.where(F.array_contains(_longs(over), F.col("range").cast("long")))
         finer = share / 4 ** (extra + 1)
         sample: dict[int, list] = {k: [] for k in over}
         low = {k: cuts[k - 1] if k else (LOWEST, LOWEST) for k in over}
         for unit in _sampled(inner, finer, seed + extra + 1):
             sample[max((k for k in over if low[k] <= unit[:2]), key=lambda k: low[k])].append(unit)
         cuts = sorted({*cuts, *(c for k, found in sample.items() for c in _quantiles(found, finer, 2 + over[k] * ranges // total))})
-    return _placed(units.withColumn("range", _below(cuts, F.col("key"), F.col("tie"))), total, n_shards)
+    return _unpacked(_placed(units.withColumn("range", _below(cuts, F.col("key"), F.col("tie"))), total, n_shards), others)
+
+
+def _unpacked(placed: DataFrame, others: list[str]) -> DataFrame:
+    return placed.select("id", "key", "size", *[F.col(f"rest.`{c}`").alias(c) for c in others], "shard", "slot")
 
 
 def _placed(ranged: DataFrame, total: int, n_shards: int) -> DataFrame:
@@ -142,8 +152,9 @@ def shard_documents(docs: DataFrame, n_shards: int = 8, id_column: str = "doc_id
 
     size is the UTF-8 bytes of the text (null: none) plus 1; text_crc32 is the unsigned CRC-32 of these bytes;
     the law is `bytes`. The key is the first 60 bits of the text's MD5, so equal texts stay together unless
-    they fill over `hot_share` of a shard. Only keys and sizes are shuffled, never texts; a null text counts
-    as an empty one, a null doc_id is returned as null. Other columns of docs are not read.
+    they fill over `hot_share` of a shard. Only keys and sizes are shuffled, never texts. The sampled splitters lay out the ranges; shards and slots
+    are exact prefix sums over the key order, whatever the sample. A null text counts as an empty one, a null doc_id is returned as null and comes
+    before others in ties; a very long text is one unit; repeated rows are placed each; an empty table gives an empty result. Other columns of docs are not read, so their names can't clash.
     """
     text = F.coalesce(F.col(text_column), F.lit(""))
     records = docs.select(
@@ -161,6 +172,12 @@ def shard_documents(docs: DataFrame, n_shards: int = 8, id_column: str = "doc_id
 
 
 def write_shards(docs: DataFrame, placed: DataFrame, path: str, id_column: str = "doc_id") -> None:
-    """Write whole documents as Parquet, one folder per shard; ids must be unique. Shards are dealt over tasks by slot, so a shard is never one task's work."""
-    joined = docs.join(placed.select(F.col("doc_id").alias(id_column), "shard", "slot"), id_column)
+    """Write whole documents as Parquet, one folder per shard, ordered by slot.
+
+    Ids must be unique, null being one of them; with repeated ids each row is written once for each row of that id, so ties have no order. Very long
+    and empty or null texts are written as they are; empty tables write no folder; columns other than the id may have any name but shard and slot.
+    Shards are dealt over tasks by slot, so a shard is never one task's work.
+    """
+    name = unused(docs, "placed_id")
+    joined = docs.join(placed.select(F.col("doc_id").alias(name), "shard", "slot"), F.col(id_column).eqNullSafe(F.col(name))).drop(name)
     joined.repartition("shard", F.expr("slot div 100000")).sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)

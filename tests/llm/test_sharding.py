@@ -88,3 +88,11 @@ def test_copies_without_ids_are_split(spark):
     assert len(got) == 1200 and max(held) < 1.03 * min(held)
     for k in range(4):
         assert sorted(r.slot for r in got if r.shard == k) == list(range(sum(r.shard == k for r in got)))
+
+
+def test_names_that_the_operator_uses_inside_are_carried(spark):
+    names = ["row", "unit", "end", "hot", "before", "shift", "tie", "range", "held", "rest", "first", "n"]
+    rows = [(i, i % 7, 1 + i % 5, *(f"{n}{i}" for n in names)) for i in range(200)]
+    got = shard_by_bytes(spark.createDataFrame(rows, ["id", "key", "size", *names]), 4)
+    assert got.columns == ["id", "key", "size", *names, "shard", "slot"]
+    assert sorted(tuple(r)[:-2] for r in got.collect()) == sorted(rows)
