@@ -42,11 +42,12 @@ def question_and_answer(text: str) -> tuple[list[str], list[str]]:
 class Bm25Index:
     """Inverted index of items with block maxima. Impacts are shares of an item's own score, so a score is at most 1."""
 
-    def __init__(self, items: list[tuple[int, str]], frequencies: dict[str, int], total: int, mean: float, k1: float = 1.2, b: float = 0.75, block: int = 16):
+    def __init__(self, items: list[tuple[int, str]], frequencies: dict[str, int], total: int, mean: float, longest: int = 0, k1: float = 1.2, b: float = 0.75, block: int = 16):
         self.items = sorted(items, key=lambda x: (x[0] is None, x[0] or 0, x[1] or ""))
         self.block = block
         self.words = [words_of(t) for _, t in self.items]
-        self.longest = max(map(len, self.words), default=0)
+        #: Words of the longest item, which may stand in another slice of the items.
+        self.longest = max(longest, *map(len, self.words), 1)
         postings: dict[str, list[tuple[int, float]]] = {}
         for i, words in enumerate(self.words):
             norm = k1 * (1 - b + b * len(words) / max(mean, 1e-9))
@@ -146,7 +147,7 @@ class Searcher:
         """(starts of the passages that some item's essential terms allow, term of each word or -1)."""
         get = self.index.terms.get
         terms = np.array([get(w, -1) for w in words], dtype=np.int64)
-        step = max(1, self.index.longest)
+        step = self.index.longest
         at = np.flatnonzero(terms >= 0)
         counts = self.starts[terms[at] + 1] - self.starts[terms[at]]
         at, counts = at[counts > 0], counts[counts > 0]
@@ -169,7 +170,7 @@ class Searcher:
         """(item, passage start in words, score, overlap, question overlap, answer overlap), for each item the passage with most overlap."""
         words = words_of(text)
         starts, terms = self.passages(words)
-        width, best = 2 * max(1, self.index.longest), {}
+        width, best = 2 * self.index.longest, {}
         for at in starts:
             here = [t for t in terms[at : at + width].tolist() if t >= 0]
             found = self.index.retrieve(here, self.threshold)
@@ -179,7 +180,8 @@ class Searcher:
             for item, score in found:
                 whole, question, answer = (len(p & own) / len(p) if p else 0.0 for p in self.parts[item])
                 if whole >= self.overlap or (question >= self.overlap and answer >= self.overlap):
-                    best[item] = max(best.get(item, (-1.0,)), (whole, score, -at, question, answer))
+                    # scores that differ in their last bits only are ties, of which the first passage counts
+                    best[item] = max(best.get(item, (-1.0,)), (whole, round(score, 9), -at, question, answer))
         return [(self.index.items[i][0], -at, score, whole, q, a) for i, (whole, score, at, q, a) in sorted(best.items())]
 
 
@@ -198,7 +200,7 @@ def _index_slices(items: DataFrame):
             yield pa.RecordBatch.from_arrays([pa.array([sorted(set(w)) for w in split], pa.list_(pa.string())), pa.array([len(w) for w in split], pa.int64())], ["terms", "n"])
 
     split = checkpoint(arrow_map(items, terms, "terms array<string>, n long"))
-    total, length = split.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    total, length, longest = split.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0)), F.max("n")).first()
     if not length:
         return
     counts = split.select(F.explode("terms").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
@@ -210,7 +212,7 @@ def _index_slices(items: DataFrame):
         if not rows:
             continue
         used = counts if slices == 1 else counts.join(arrow_map(part, terms, "terms array<string>, n long").select(F.explode("terms").alias("word")).distinct(), "word", "left_semi")
-        yield Bm25Index(rows, dict(map(tuple, used.collect())), total, length / total)
+        yield Bm25Index(rows, dict(map(tuple, used.collect())), total, length / total, longest), slices
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, threshold: float = 0.6, overlap: float = 0.8) -> DataFrame:
@@ -221,7 +223,8 @@ def find_leaks(docs: DataFrame, items: DataFrame, threshold: float = 0.6, overla
     `overlap`, or so of both the question and the answer. An item in several passages is reported once, by the
     passage with most overlap. Null and empty texts match nothing; items without words are left out; a null
     doc_id is returned as null; repeated rows are each reported; empty tables give an empty result; only
-    doc_id, item_id and text are read. Item tables over SLICE_BYTES are searched slice by slice.
+    doc_id, item_id and text are read, so other names can't clash. Very long texts are searched passage by passage. Of passages with equal overlap
+    the one with the higher score (to 9 digits) counts, then the first. Item tables over SLICE_BYTES are searched slice by slice with the same results; passages are as wide as the longest item of all slices asks for.
     """
     schema = "doc_id long, item_id long, passage_start long, score double, overlap double, question_overlap double, answer_overlap double"
     spark = docs.sparkSession
@@ -239,12 +242,20 @@ def find_leaks(docs: DataFrame, items: DataFrame, threshold: float = 0.6, overla
         return searched
 
     found = None
-    for index in _index_slices(items):
-        part = arrow_map(narrow, searching(spark.sparkContext.broadcast(index)), schema)
+    for index, slices in _index_slices(items):
+        sent = spark.sparkContext.broadcast(index)
+        part = arrow_map(narrow, searching(sent), schema)
+        if slices > 1:  # one slice's index at a time is held
+            part = checkpoint(part)
+            sent.destroy()
         found = part if found is None else found.unionByName(part)
     return spark.createDataFrame([], schema) if found is None else found
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
-    """docs without those that hold a test item; columns as they came, rows without a doc_id stay."""
+    """docs without those that hold a test item (see find_leaks); columns as they came, whatever their names.
+
+    Rows without a doc_id stay, and so do null and empty texts; a very long text goes as a whole if any passage of it holds an item; all rows
+    of a doc_id go together, repeated or not, so no ties arise; empty tables drop nothing.
+    """
     return without_ids(docs, find_leaks(docs, items, **options).select("doc_id"))

@@ -112,7 +112,7 @@ d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+') AS w FR
 win AS (SELECT doc_id, pos, w[pos + 1:(pos + 2 * step)::BIGINT] AS p FROM (SELECT doc_id, w, step, unnest(range(0, length(w)::BIGINT, step::BIGINT)) AS pos FROM d, st)),
 hit AS (SELECT doc_id, pos, item_id, sum(x) AS score FROM (SELECT doc_id, pos, unnest(list_distinct(p)) AS term FROM win) JOIN share USING (term) GROUP BY ALL HAVING sum(x) >= 0.6 - 1e-9),
 ov AS (SELECT doc_id, pos, item_id, score, list_transform(s, lambda g: length(list_filter(g, lambda x: contains(' ' || array_to_string(p, ' ') || ' ', ' ' || x || ' '))) / length(g)) AS o FROM hit JOIN win USING (doc_id, pos) JOIN sh USING (item_id)),
-k AS (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY o[1] DESC, score DESC, pos) AS r FROM ov WHERE o[1] >= 0.8 OR (o[2] >= 0.8 AND o[3] >= 0.8))
+k AS (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY o[1] DESC, round(score, 9) DESC, pos) AS r FROM ov WHERE o[1] >= 0.8 OR (o[2] >= 0.8 AND o[3] >= 0.8))
 SELECT doc_id, item_id, pos AS passage_start, round(score, 6) AS score, round(o[1], 6) AS overlap, round(o[2], 6) AS question_overlap, round(o[3], 6) AS answer_overlap FROM k WHERE r = 1
 """,
 }
