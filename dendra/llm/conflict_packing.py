@@ -9,10 +9,12 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, functions as F
 
-from .common import checkpoint
+from .common import arrow_map, bound_batches, checkpoint, chunks
+from .simhash import clustered, fingerprint
 
 CAPACITY = 2048
 #: Documents that are packed together: a task packs whole groups of about so many pieces.
@@ -98,11 +100,6 @@ def best_fit(pieces: Iterable[tuple[int, object, object]], capacity: int) -> lis
     return chosen
 
 
-def text_length(column: str = "text") -> Column:
-    """Words of the text: runs of non-space characters."""
-    return F.regexp_count(F.coalesce(F.col(column), F.lit("")), F.lit(r"[^ \t\n\x0B\f\r]+"))
-
-
 def pack(records: DataFrame, capacity: int = CAPACITY, group_pieces: int = GROUP_PIECES) -> DataFrame:
     """(id, piece, start, length, source, cluster, pack_group, bin, offset) from records(id, length, source, cluster).
 
@@ -111,7 +108,8 @@ def pack(records: DataFrame, capacity: int = CAPACITY, group_pieces: int = GROUP
     to groups of about `group_pieces`, whose number grows with the input, and each group is packed by itself in
     decreasing length; a group is what one task holds. A bin is (pack_group, bin). Sources and clusters that hold
     a large part of all rows are spread over all groups.
-    Nulls: a null length counts as 0; a null source or cluster conflicts with nothing; null ids are packed like others and dealt by their place.
+    Nulls: a null length counts as 0; a null source or cluster conflicts with nothing; null ids are packed like others and dealt by their place. Ties in
+    length go by id, piece, cluster and source, so repeated rows stand beside each other. An empty table gives an empty result; only these four columns are read.
     """
     narrow = checkpoint(records.select("id", F.coalesce("length", F.lit(0)).cast("long").alias("length"), "source", "cluster"))
     cut = F.greatest(F.lit(1), F.expr(f"(length + {capacity - 1}) div {capacity}"))
@@ -125,27 +123,49 @@ def pack(records: DataFrame, capacity: int = CAPACITY, group_pieces: int = GROUP
         .drop("_n")
     )
 
-    def packed(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["length", "id", "piece", "cluster", "source"], ascending=[False, True, True, True, True], kind="stable", ignore_index=True)
-        none = rows[["source", "cluster"]].astype(object).where(rows[["source", "cluster"]].notna(), None)
-        rows["bin"] = best_fit(zip(rows["length"].tolist(), none["source"].tolist(), none["cluster"].tolist()), capacity)
-        rows["offset"] = rows.groupby("bin")["length"].cumsum() - rows["length"]
-        return rows
+    names = [*pieces.columns, "bin", "offset"]
+
+    def packed(table: pa.Table) -> pa.Table:
+        # Arrow columns, so that longs beside nulls stay exact
+        table = table.sort_by([("length", "descending"), *((c, "ascending") for c in ("id", "piece", "cluster", "source"))])
+        lengths = table.column("length").to_numpy()
+        bins = np.array(best_fit(zip(lengths.tolist(), table.column("source").to_pylist(), table.column("cluster").to_pylist()), capacity), dtype=np.int64)
+        order = np.argsort(bins, kind="stable")
+        upto = np.cumsum(lengths[order]) - lengths[order]
+        first = np.flatnonzero(np.concatenate(([True], np.diff(bins[order]) != 0)))
+        offsets = np.empty(len(bins), dtype=np.int64)
+        offsets[order] = upto - np.repeat(upto[first], np.diff(np.append(first, len(bins))))
+        return pa.Table.from_arrays([*table.columns, pa.array(bins), pa.array(offsets)], names)
 
     kinds = {f.name: f.dataType.simpleString() for f in pieces.schema.fields}
     schema = ", ".join(f"{c} {kinds[c]}" for c in pieces.columns) + ", bin long, offset long"
-    return pieces.groupBy("pack_group").applyInPandas(packed, schema)
+    return pieces.groupBy("pack_group").applyInArrow(packed, schema)
+
+
+def _lengths_and_fingerprints(docs: DataFrame) -> DataFrame:
+    """(doc_id, source, length, fp): words and SimHash fingerprint of each whole text."""
+
+    def read(batches):
+        for batch in (part for b in batches for part in chunks([b], 1024)):
+            texts = [t.as_py() for t in batch.column(2)]
+            fps = np.array([fingerprint(t) for t in texts], dtype=np.uint64).view(np.int64)
+            sizes = pa.array([len((t or "").encode("utf-8", "surrogatepass").split()) for t in texts], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), sizes, pa.array(fps, pa.int64())], ["doc_id", "source", "length", "fp"])
+
+    bound_batches(docs.sparkSession)
+    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text"))
+    return arrow_map(narrow, read, "doc_id long, source string, length long, fp long")
 
 
 def pack_documents(docs: DataFrame, capacity: int = CAPACITY, group_pieces: int = GROUP_PIECES) -> DataFrame:
-    """One row for each piece of a document: doc_id, piece, start and length in words, pack_group, bin, and its offset in the bin.
+    """One row for each piece of a document: doc_id, piece, start and length in words, source, cluster, pack_group, bin, and its offset in the bin.
 
-    The length is the text's words, the source the column `source`, the cluster that of equal texts (by SHA-256).
-    No two rows of a bin share a source or a cluster; a bin holds at most `capacity` words. Null and empty texts
-    have length 0 and are packed as well; they are duplicates of each other. A null doc_id is returned as null;
-    repeated rows are duplicates and so land in different bins; an empty table gives an empty result; other columns are not read.
+    The length is the text's words, the source the column `source`, the cluster the component of near-duplicates: texts whose
+    SimHash fingerprints (see simhash) are linked at 4 or fewer differing bits, equal texts among them. No two rows of a bin share a source or a cluster;
+    a bin holds at most `capacity` words. Null and empty texts have length 0 and are packed as well, as near-duplicates of each other. Very long
+    texts are cut into pieces, which conflict with each other. Ties in length go by id, piece, cluster and source. A null doc_id is returned as null;
+    repeated rows are duplicates and so land in different bins; an empty table gives an empty result; other columns are not read, so their names can't clash.
     """
-    text = F.coalesce(F.col("text"), F.lit(""))
-    records = docs.select(F.col("doc_id").cast("long").alias("id"), text_length().alias("length"), F.col("source").cast("string").alias("source"), F.sha2(text, 256).substr(1, 16).alias("cluster"))
-    placed = pack(records, capacity, group_pieces)
-    return placed.select(F.col("id").alias("doc_id"), "piece", "start", "length", "source", "pack_group", "bin", "offset")
+    found = clustered(_lengths_and_fingerprints(docs))
+    placed = pack(found.select(F.col("doc_id").alias("id"), "length", "source", F.col("root").alias("cluster")), capacity, group_pieces)
+    return placed.select(F.col("id").alias("doc_id"), "piece", "start", "length", "source", "cluster", "pack_group", "bin", "offset")

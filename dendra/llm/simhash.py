@@ -14,7 +14,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import arrow_map, checkpoint, chunks, texts_of, without_ids
+from .common import arrow_map, checkpoint, chunks, small, texts_of, without_ids
 from .components import connected_components
 
 BITS = 64
@@ -85,31 +85,39 @@ def link_fingerprints(fps: DataFrame, radius: int = 4) -> DataFrame:
     """(fp, root) of every fingerprint that has another within `radius` bits; root names its component.
 
     fps: a column fp of distinct longs. Groups of thousands of near fingerprints are not paired out: in a
-    crowded segment value each member is compared with PIVOTS members drawn by hash, and the exact search that
-    follows returns only pairs that these links haven't yet joined. It covers every candidate, so no link
-    between components is lost. Segments get longer as the table grows, which keeps buckets small.
+    crowded segment value each member is compared with PIVOTS members drawn by hash. In the exact search that
+    follows, members of the component that leads a crowded value (its first pivot's) meet only the others there, so a
+    value whose fingerprints are joined already costs nothing. Every candidate pair of different components is covered, so no
+    link is lost. Segments get longer as the table grows, which keeps buckets small.
     """
     n = fps.count()
     cut = segments(radius, 3 if n < 1 << 24 else 2)
     entries = fps.select("fp", F.inline(_keys(cut, probes=False))).select("fp", "bucket")
     hot = (
         entries.groupBy("bucket").agg(F.count("*").alias("n"), *[F.min_by("fp", F.xxhash64("fp", F.lit(k))).alias(f"p{k}") for k in range(PIVOTS)])
-        .where(F.col("n") > HOT_BUCKET).select("bucket", F.array_distinct(F.array(*[f"p{k}" for k in range(PIVOTS)])).alias("pivots"))
+        .where(F.col("n") > HOT_BUCKET).select("bucket", F.col("p0").alias("pivot"), F.array_distinct(F.array(*[f"p{k}" for k in range(PIVOTS)])).alias("pivots"))
     )
+    hot = checkpoint(hot)
     near = F.filter("pivots", lambda p: (F.bit_count(p.bitwiseXOR(F.col("fp"))) <= radius) & (p != F.col("fp")))
-    first = entries.join(hot, "bucket").select(F.col("fp").alias("u"), F.explode(near).alias("v"))
+    first = entries.join(small(hot), "bucket").select(F.col("fp").alias("u"), F.explode(near).alias("v"))
     labels = checkpoint(connected_components(first).select(F.col("node").alias("fp"), F.col("root").alias("label")))
     known = checkpoint(fps.join(labels, "fp", "left").select("fp", F.coalesce("label", "fp").alias("label")))
 
-    table = known.select("fp", "label", F.inline(_keys(cut, probes=False))).select("bucket", F.col("fp").alias("fp2"), F.col("label").alias("label2"))
+    lead = small(checkpoint(hot.join(known.withColumnRenamed("fp", "pivot"), "pivot").select("bucket", F.col("label").alias("lead"))))
+    table = known.select("fp", "label", F.inline(_keys(cut, probes=False))).join(lead, "bucket", "left").select("bucket", F.col("fp").alias("fp2"), F.col("label").alias("label2"), "lead")
     probes = known.select("fp", "label", F.inline(_keys(cut, probes=True)))
     match = (
-        (probes.bucket == table.bucket)
-        & (F.col("label") != F.col("label2"))
+        (F.col("label") != F.col("label2"))
         & (F.col("flipped") | (F.col("fp") < F.col("fp2")))
         & (F.bit_count(F.col("fp").bitwiseXOR(F.col("fp2"))) <= radius)
     )
-    links = probes.join(table, match).select(F.col("label").alias("u"), F.col("label2").alias("v"))
+    leading = F.col("label2") == F.col("lead")  # false or null: not of the component that leads the value
+    others = table.where(~F.coalesce(leading, F.lit(False))).drop("lead")
+    links = probes.join(others, (probes.bucket == others.bucket) & match).select(F.col("label").alias("u"), F.col("label2").alias("v"))
+    own = table.where(leading).drop("lead")
+    # the other direction: only probes from outside the leading component meet its members
+    outside = probes.join(lead, "bucket").where("label <> lead").select(F.col("bucket").alias("at"), "fp", "label", "flipped")
+    links = links.unionByName(outside.join(own, (F.col("at") == F.col("bucket")) & match).select(F.col("label").alias("u"), F.col("label2").alias("v")))
     joined = connected_components(links).select(F.col("node").alias("label"), "root")
     linked = known.join(joined, "label", "left").select("fp", F.coalesce("root", "label").alias("root"), "label")
     return linked.where("root <> fp or label <> fp").select("fp", "root").unionByName(
@@ -126,13 +134,20 @@ def near_duplicates(docs: DataFrame, radius: int = 4, id_column: str = "doc_id",
     no id at all). Repeated rows are returned as often as they come; an empty table gives an empty result;
     other columns are not read.
     """
-    fps = checkpoint(fingerprints(docs, id_column, text_column))
+    found = clustered(fingerprints(docs, id_column, text_column), radius)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), BITS // 4, "0")).alias("fingerprint"), "component_id")
+
+
+def clustered(fps: DataFrame, radius: int = 4) -> DataFrame:
+    """Rows (doc_id, fp, ...) with component_id, the smallest doc_id that can be reached, and root, a number of the component that is never null."""
+    fps = checkpoint(fps)
     kinds = checkpoint(fps.groupBy("fp").agg(F.min("doc_id").alias("least")))
     roots = link_fingerprints(kinds.select("fp"), radius)
     known = checkpoint(kinds.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
-    names = known.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = known.join(names, "root").select("fp", "component_id")
-    return fps.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), BITS // 4, "0")).alias("fingerprint"), "component_id")
+    # written before they are joined, so that the adaptive skew join can split a hot component and a hot fingerprint
+    names = checkpoint(known.groupBy("root").agg(F.min("least").alias("component_id")))
+    named = checkpoint(known.join(names, "root").select("fp", "component_id", "root"))
+    return fps.join(named, "fp")
 
 
 def keep_one_of_each(docs: DataFrame, radius: int = 4) -> DataFrame:

@@ -2,6 +2,8 @@ import random
 from collections import defaultdict
 
 from dendra.llm.conflict_packing import best_fit, pack, pack_documents
+from dendra.llm.simhash import near_duplicates
+from tests.llm.conftest import prose
 
 
 def plain_best_fit(pieces, capacity):
@@ -81,3 +83,29 @@ def test_rows_without_ids_spread_over_groups(spark):
     df = spark.createDataFrame([(None, 3, "s", "c")] * 300, "id long, length int, source string, cluster string")
     got = pack(df, 10, 50).collect()
     assert len({r.pack_group for r in got}) == 6 and len({(r.pack_group, r.bin) for r in got}) == 300
+
+
+def test_long_ids_beside_nulls_stay_exact(spark):
+    ids = [2**60 + 1, 2**60 + 3, 2**60 + 5, None, -(2**62) - 1]
+    got = pack(spark.createDataFrame([(i, 3, None, None) for i in ids], "id long, length int, source string, cluster string"), 10, 50).collect()
+    assert sorted((r.id for r in got), key=str) == sorted(ids, key=str) and len({r.pack_group for r in got}) == 1
+    docs = spark.createDataFrame([(i, f"text number {k}", "s") for k, i in enumerate(ids)], "doc_id long, text string, source string")
+    assert sorted((r.doc_id for r in pack_documents(docs).collect()), key=str) == sorted(ids, key=str)
+
+
+def test_near_duplicates_never_share_a_bin(spark):
+    rng = random.Random(3)
+    rows = []
+    for base in range(6):
+        words = prose(rng, 400).split()
+        for k in range(8):
+            near = list(words)
+            near[50 * k] = f"x{k}"
+            rows.append((len(rows), " ".join(near), f"s{len(rows)}"))
+    got = pack_documents(spark.createDataFrame(rows, "doc_id long, text string, source string"), capacity=4096).collect()
+    root = {r.doc_id: r.component_id for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert len(set(root.values())) < 40
+    bins = defaultdict(list)
+    for r in got:
+        bins[r.pack_group, r.bin].append(root[r.doc_id])
+    assert all(len(m) == len(set(m)) for m in bins.values()) and max(map(len, bins.values())) > 1
