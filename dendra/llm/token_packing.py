@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import base64
 import re
+import sys
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -25,19 +27,18 @@ END = 50256
 ROW = 2048
 #: A block is closed when it holds so many pieces or tokens.
 BLOCK_PIECES, BLOCK_TOKENS = 8192, 8 << 20
-#: Pieces of text whose ids a worker remembers.
-REMEMBERED = 200_000
+#: Characters that are encoded at once.
+PIECE = 1 << 20
 
 
 class Encoder:
     """Encodes whole texts to little-endian ids.
 
-    A space between two non-space characters always starts a token of the pattern, so a text is the
-    sequence of its space-separated parts and the ids of frequent parts are remembered.
+    A space between two non-space characters always starts a token of the pattern, so a very long text is
+    encoded in pieces that are cut there.
     """
 
     _lone = re.compile(r"(?<=\S) (?=\S)")
-    _wide = re.compile(r" \s|\s ")
 
     def __init__(self, ranks_file: bytes, pattern: str = PATTERN, end: int | None = END):
         import tiktoken
@@ -46,25 +47,21 @@ class Encoder:
         self.encoding = tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.kind = np.dtype("<u2" if max(max(ranks.values()), end or 0) < 1 << 16 else "<u4")
         self.end = b"" if end is None else np.array([end], dtype=self.kind).tobytes()
-        self.known: dict[str, bytes] = {}
+        self.code = "H" if self.kind.itemsize == 2 else "I"
 
     def _ids(self, text: str) -> bytes:
-        return np.array(self.encoding.encode_ordinary(text), dtype=self.kind).tobytes()
+        found = array(self.code, self.encoding.encode_ordinary(text))
+        if sys.byteorder != "little":
+            found.byteswap()
+        return found.tobytes()
 
     def encode(self, text: str | None) -> np.ndarray:
         """Ids of the text, then the end id."""
-        if not text:
-            return np.frombuffer(self.end, dtype=self.kind)
-        parts = text.split(" ") if not self._wide.search(text) and text[0] != " " and text[-1] != " " else self._lone.split(text)
-        known, out = self.known, [self._ids(parts[0])]
-        for part in parts[1:]:
-            ids = known.get(part)
-            if ids is None:
-                ids = self._ids(" " + part)
-                if len(known) < REMEMBERED:
-                    known[part] = ids
-            out.append(ids)
-        return np.frombuffer(b"".join([*out, self.end]), dtype=self.kind)
+        text, out, at = text or "", [], 0
+        while len(text) - at > PIECE and (cut := self._lone.search(text, at + PIECE)):
+            out.append(self._ids(text[at : cut.start()]))
+            at = cut.start()
+        return np.frombuffer(b"".join([*out, self._ids(text[at:]), self.end]), dtype=self.kind)
 
     def decode(self, ids: np.ndarray) -> str:
         return self.encoding.decode_bytes(ids.tolist()).decode("utf-8")
@@ -140,6 +137,27 @@ def _blocks(batches: Iterable[pa.RecordBatch], encoder: Encoder, row: int) -> It
         yield pieces
 
 
+def _lists(values: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))), pa.int32()), pa.array(values, kind))
+
+
+def _batch(pieces: list[tuple], rows: list[list[int]], place: tuple[int, int, int], row: int, fill: np.unsignedinteger) -> pa.RecordBatch:
+    """Columns SCHEMA of some packed rows; place: part, block and the first row's number."""
+    members, counts = [pieces[p] for r in rows for p in r], np.array([len(r) for r in rows])
+    lengths, after = np.array([len(ids) for _, _, ids in members]), np.cumsum(counts)
+    ends = np.cumsum(lengths)
+    tokens = np.diff(ends[after - 1], prepend=0)
+    starts = ends - lengths - np.repeat(ends[after - 1] - tokens, counts)
+    matrix = np.full((len(rows), row), fill)
+    matrix[np.arange(row) < tokens[:, None]] = np.concatenate([ids for _, _, ids in members])
+    width = row * matrix.itemsize
+    binary = pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(np.arange(0, (len(rows) + 1) * width, width, dtype=np.int32)), pa.py_buffer(matrix)])
+    columns = [pa.array(np.full(len(rows), x), pa.int32()) for x in place[:2]] + [pa.array(np.arange(len(rows)) + place[2], pa.int32()), pa.array(tokens, pa.int32()), binary]
+    columns += [_lists(np.insert(starts, after, tokens), counts + 1, pa.int32()), _lists(starts, counts, pa.int32())]
+    columns += [_lists([i for i, _, _ in members], counts, pa.int64()), _lists([s for _, s, _ in members], counts, pa.int32())]
+    return pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in SCHEMA.split(", ")])
+
+
 def pack_tokens(docs: DataFrame, vocabulary: str = VOCABULARY, pattern: str = PATTERN, end: int | None = END, row: int = ROW, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """One row per packed row, with columns SCHEMA.
 
@@ -151,7 +169,9 @@ def pack_tokens(docs: DataFrame, vocabulary: str = VOCABULARY, pattern: str = PA
 
     A null or empty text is its end id alone (no segment without an end id); a null doc_id is carried as
     null; repeated rows are packed each; an empty table gives an empty result; other columns are not read.
-    The vocabulary file is read by the driver and sent to the tasks (about 1 MB).
+    Very long texts are encoded in pieces and cut into rows without loss; pieces of equal length go in the order they came; names of other columns can't clash.
+    `vocabulary` is a file of base64 tokens with their ids, one to a line; the default is the one that this machine's public tokenizers come with. It is
+    read by the driver, which raises FileNotFoundError without it, and sent to the tasks (about 1 MB).
     """
     with open(vocabulary, "rb") as f:
         sent = docs.sparkSession.sparkContext.broadcast(f.read())
@@ -162,16 +182,7 @@ def pack_tokens(docs: DataFrame, vocabulary: str = VOCABULARY, pattern: str = PA
         for block, pieces in enumerate(_blocks(batches, encoder, row)):
             rows = best_fit_decreasing([len(p[2]) for p in pieces], row)
             for at in range(0, len(rows), 256):
-                out: list[list] = [[] for _ in range(9)]
-                for number, members in enumerate(rows[at : at + 256], start=at):
-                    ids = np.full(row, end or 0, dtype=encoder.kind)
-                    bounds = np.cumsum([0, *(len(pieces[p][2]) for p in members)]).tolist()
-                    ids[: bounds[-1]] = np.concatenate([pieces[p][2] for p in members])
-                    made = (part, block, number, bounds[-1], ids.tobytes(), bounds, bounds[:-1], [pieces[p][0] for p in members], [pieces[p][1] for p in members])
-                    for column, value in zip(out, made):
-                        column.append(value)
-                kinds = [pa.int32()] * 4 + [pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int32())]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], [c.split()[0] for c in SCHEMA.split(", ")])
+                yield _batch(pieces, rows[at : at + 256], (part, block, at), row, encoder.kind.type(end or 0))
 
     narrow = texts_of(docs, id_column, text_column)
     return arrow_map(narrow, packed, SCHEMA)
