@@ -5,6 +5,8 @@ from __future__ import annotations
 import ctypes
 import tempfile
 import uuid
+from contextvars import ContextVar
+from functools import wraps
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -13,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 SPACES = " \t\n\x0b\x0c\r"
 BATCH_BYTES = 4 << 20
 #: Tables of up to so many rows (about 60 bytes each) are broadcast; larger ones are joined by shuffling.
-BROADCAST_ROWS = 300_000
+BROADCAST_ROWS = 200_000
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -34,10 +36,44 @@ def shared_folder(spark: SparkSession) -> str:
     return context._jsc.sc().getCheckpointDir().get()
 
 
+#: Files of the checkpoints made in each settled() call that runs, the innermost last.
+_scopes: ContextVar[tuple[list[str], ...]] = ContextVar("scopes", default=())
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Write df to the shared folder and cut its lineage there; Spark deletes the files when df is no longer used."""
+    """Write df to the shared folder and cut its lineage there. settled() deletes the files, else Spark when df is no longer used."""
     shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    made = df.checkpoint(eager=True)
+    if _scopes.get():
+        _scopes.get()[-1].append(made._jdf.queryExecution().logical().rdd().getCheckpointFile().get())
+    return made
+
+
+def settled(function):
+    """A function whose resulting DataFrames are written to the shared folder; all other checkpoints that it made are deleted as soon as they are."""
+
+    @wraps(function)
+    def run(*args, **options):
+        made: list[str] = []
+        outer = _scopes.get()
+        inside = _scopes.set((*outer, made))
+        try:
+            found = function(*args, **options)
+            _scopes.set(outer)  # results are the caller's to delete
+            found = tuple(map(checkpoint, found)) if isinstance(found, tuple) else checkpoint(found)
+        finally:
+            _scopes.reset(inside)
+            for path in made:
+                _delete(path)
+        return found
+
+    return run
+
+
+def _delete(path: str) -> None:
+    context = SparkSession.active().sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(path)
+    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -49,10 +85,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 def removed(df: DataFrame) -> None:
     """Deletes the files of a table that written() has made; nothing may be left that reads it."""
-    context = df.sparkSession.sparkContext
     for file in df.inputFiles()[:1]:
-        path = context._jvm.org.apache.hadoop.fs.Path(file).getParent()
-        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(file.rpartition("/")[0])
 
 
 def small(df: DataFrame, lists: str | None = None) -> DataFrame:

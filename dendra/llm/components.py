@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from .common import checkpoint
+from .common import checkpoint, settled
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -21,6 +21,7 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
+@settled
 def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     """(node, root) for each node that stands in a link; root is the smallest node of its component.
 

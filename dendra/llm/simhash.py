@@ -14,7 +14,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import arrow_map, checkpoint, chunks, small, texts_of, without_ids
+from .common import arrow_map, checkpoint, chunks, settled, small, texts_of, without_ids
 from .components import connected_components
 
 BITS = 64
@@ -81,6 +81,7 @@ def _keys(cut: list[tuple[int, int, int]], probes: bool):
     return F.concat(*arrays)
 
 
+@settled
 def link_fingerprints(fps: DataFrame, radius: int = 4) -> DataFrame:
     """(fp, root) of every fingerprint that has another within `radius` bits; root names its component.
 
@@ -141,13 +142,18 @@ def near_duplicates(docs: DataFrame, radius: int = 4, id_column: str = "doc_id",
 def clustered(fps: DataFrame, radius: int = 4) -> DataFrame:
     """Rows (doc_id, fp, ...) with component_id, the smallest doc_id that can be reached, and root, a number of the component that is never null."""
     fps = checkpoint(fps)
+    return fps.join(_named(fps, radius), "fp")
+
+
+@settled
+def _named(fps: DataFrame, radius: int) -> DataFrame:
+    """(fp, component_id, root) of each fingerprint."""
     kinds = checkpoint(fps.groupBy("fp").agg(F.min("doc_id").alias("least")))
     roots = link_fingerprints(kinds.select("fp"), radius)
     known = checkpoint(kinds.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
     # written before they are joined, so that the adaptive skew join can split a hot component and a hot fingerprint
     names = checkpoint(known.groupBy("root").agg(F.min("least").alias("component_id")))
-    named = checkpoint(known.join(names, "root").select("fp", "component_id", "root"))
-    return fps.join(named, "fp")
+    return known.join(names, "root").select("fp", "component_id", "root")
 
 
 def keep_one_of_each(docs: DataFrame, radius: int = 4) -> DataFrame:
