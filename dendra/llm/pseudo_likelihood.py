@@ -2,7 +2,8 @@
 
 The network predicts each token from the RADIUS tokens on both of its sides; the sum of the tokens'
 conditional log-probabilities is the document's pseudo-log-likelihood. Counts and training cover the whole
-corpus: every task counts and trains on its own documents, and vectors are merged in a tree of tasks.
+corpus. The vocabulary grows with the corpus. Documents are dealt to rounds and, within a round, to training groups by
+a hash, so that the result doesn't depend on how a table is laid out in files or tasks.
 """
 
 from __future__ import annotations
@@ -11,101 +12,110 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from .common import arrow_map, checkpoint, chunks, texts_of
 from .words import Words
 
-#: Words are hashed to buckets; the FREQUENT most frequent buckets are tokens, the others share RARE tokens.
-BUCKET_BITS = 18
-FREQUENT, RARE = 768, 256
-TOKENS = FREQUENT + RARE
-PAD = TOKENS
-#: A token is predicted by its class first, then within the class.
-CLASS_SIZE = 32
-CLASSES = TOKENS // CLASS_SIZE
+#: The vocabulary has side * side tokens; a token is predicted by its class first, then within the class. A quarter of the classes is for words that aren't frequent.
+LEAST_SIDE, MOST_SIDE = 16, 160
 WIDTH, RADIUS = 16, 3
-#: Tokens scored at once, and tokens of a training step.
+#: Tokens gathered at once, tokens of a training step, and tokens scored in a step.
 PIECE = 1 << 15
-BATCH = 1024
+BATCH = 4096
+STEP = 4096
 FAN_IN = 16
+#: Bytes of text of a training group, and rounds after which the groups' networks are averaged.
+GROUP_BYTES, ROUNDS = 8 << 20, 4
 
 
-def _shapes() -> list[tuple[str, tuple[int, ...]]]:
-    return [
-        ("embed", (TOKENS + 1, WIDTH)), ("place", (2 * RADIUS, WIDTH)), ("bias", (WIDTH,)),
-        ("to_class", (CLASSES, WIDTH)), ("class_bias", (CLASSES,)), ("to_token", (TOKENS, WIDTH)), ("token_bias", (TOKENS,)),
-    ]
+def side_for(words: int) -> int:
+    """Side of the vocabulary for a corpus of so many words: the sixth root of their number, doubled, in steps of 4; so tokens grow as the cube root."""
+    return int(min(MOST_SIDE, max(LEAST_SIDE, 4 * round(words ** (1 / 6) / 2))))
 
 
-SIZE = sum(int(np.prod(s)) for _, s in _shapes())
 OFFSETS = [o for o in range(-RADIUS, RADIUS + 1) if o]
 
 
 class Network:
     """Parameters are views of one flat vector."""
 
-    def __init__(self, flat: np.ndarray):
-        self.flat, at = flat, 0
-        for name, shape in _shapes():
+    def __init__(self, flat: np.ndarray, side: int):
+        self.flat, self.side, self.pad, at = flat, side, side * side, 0
+        for name, shape in self.shapes(side):
             n = int(np.prod(shape))
             setattr(self, name, flat[at : at + n].reshape(shape))
             at += n
 
+    @staticmethod
+    def shapes(side: int) -> list[tuple[str, tuple[int, ...]]]:
+        return [
+            ("embed", (side * side + 1, WIDTH)), ("place", (2 * RADIUS, WIDTH)), ("bias", (WIDTH,)),
+            ("to_class", (side, WIDTH)), ("class_bias", (side,)), ("to_token", (side * side, WIDTH)), ("token_bias", (side * side,)),
+        ]
+
+    @classmethod
+    def size(cls, side: int) -> int:
+        return sum(int(np.prod(s)) for _, s in cls.shapes(side))
+
     @classmethod
     def fresh(cls, counts: np.ndarray) -> Network:
         """Small random weights; biases that give the counts' frequencies without any context."""
-        made = cls(np.random.default_rng(13).normal(0, 0.1, SIZE).astype(np.float32))
-        made.embed[PAD], made.place[:], made.bias[:] = 0, 1 / np.sqrt(2 * RADIUS), 0
-        share = (counts + 0.5).reshape(CLASSES, CLASS_SIZE)
+        side = int(round(len(counts) ** 0.5))
+        made = cls(np.random.default_rng(13).normal(0, 0.1, cls.size(side)).astype(np.float32), side)
+        made.embed[made.pad], made.place[:], made.bias[:] = 0, 1 / np.sqrt(2 * RADIUS), 0
+        share = (counts + 0.5).reshape(side, side)
         made.class_bias[:] = np.log(share.sum(axis=1) / share.sum())
         made.token_bias[:] = np.log(share / share.sum(axis=1, keepdims=True)).ravel()
         return made
 
     def hidden(self, padded: np.ndarray, at: np.ndarray) -> np.ndarray:
-        total = np.tile(self.bias, (len(at), 1))
+        low = at[0] - RADIUS
+        near, total = self.embed[padded[low : at[-1] + RADIUS + 1]], np.tile(self.bias, (len(at), 1))
         for k, offset in enumerate(OFFSETS):
-            total += self.embed[padded[at + offset]] * self.place[k]
-        return np.tanh(total)
+            total += near[at + (offset - low)] * self.place[k]
+        return np.tanh(total, out=total)
 
     def log_probabilities(self, padded: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Conditional log-probability of the token at each place, given its neighbours."""
         hidden, target = self.hidden(padded, at), padded[at]
         logits = hidden @ self.to_class.T + self.class_bias
-        out = _log_softmax_at(logits, target // CLASS_SIZE)
+        out = _log_softmax_at(logits, target // self.side)
         for c, rows, part in self._by_class(target):
-            out[rows] += _log_softmax_at(hidden[rows] @ self.to_token[part].T + self.token_bias[part], target[rows] - c * CLASS_SIZE)
+            out[rows] += _log_softmax_at(hidden[rows] @ self.to_token[part].T + self.token_bias[part], target[rows] - c * self.side)
         return out
 
-    @staticmethod
-    def _by_class(target: np.ndarray):
-        order = np.argsort(target // CLASS_SIZE, kind="stable")
-        bounds = np.searchsorted(target[order] // CLASS_SIZE, np.arange(CLASSES + 1))
-        for c in range(CLASSES):
+    def _by_class(self, target: np.ndarray):
+        order = np.argsort(target // self.side, kind="stable")
+        bounds = np.searchsorted(target[order] // self.side, np.arange(self.side + 1))
+        for c in range(self.side):
             if bounds[c] < bounds[c + 1]:
-                yield c, order[bounds[c] : bounds[c + 1]], slice(c * CLASS_SIZE, (c + 1) * CLASS_SIZE)
+                yield c, order[bounds[c] : bounds[c + 1]], slice(c * self.side, (c + 1) * self.side)
 
     def gradient(self, padded: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Gradient of the mean negative log-probability at these places."""
         hidden, target, n = self.hidden(padded, at), padded[at], len(at)
-        slope = Network(np.zeros(SIZE, dtype=np.float32))
-        error = _softmax_error(hidden @ self.to_class.T + self.class_bias, target // CLASS_SIZE) / n
+        slope = Network(np.zeros(len(self.flat), dtype=np.float32), self.side)
+        error = _softmax_error(hidden @ self.to_class.T + self.class_bias, target // self.side) / n
         slope.to_class[:], slope.class_bias[:] = error.T @ hidden, error.sum(axis=0)
         back = error @ self.to_class
         for c, rows, part in self._by_class(target):
-            error = _softmax_error(hidden[rows] @ self.to_token[part].T + self.token_bias[part], target[rows] - c * CLASS_SIZE) / n
+            error = _softmax_error(hidden[rows] @ self.to_token[part].T + self.token_bias[part], target[rows] - c * self.side) / n
             slope.to_token[part], slope.token_bias[part] = error.T @ hidden[rows], error.sum(axis=0)
             back[rows] += error @ self.to_token[part]
         back *= 1 - hidden**2
         slope.bias[:] = back.sum(axis=0)
-        near = padded[at[None, :] + np.array(OFFSETS)[:, None]]
-        for k in range(len(OFFSETS)):
-            slope.place[k] = np.einsum("ij,ij->j", self.embed[near[k]], back)
-        cell = near[:, :, None] * WIDTH + np.arange(WIDTH)
-        pull = back[None, :, :] * self.place[:, None, :]
-        slope.embed[:] = np.bincount(cell.ravel(), weights=pull.ravel(), minlength=(TOKENS + 1) * WIDTH).reshape(-1, WIDTH)
-        slope.embed[PAD] = 0
+        # what each place in the text gets from all targets around it, then summed by its token
+        low = at[0] - RADIUS
+        tokens = padded[low : at[-1] + RADIUS + 1]
+        near, pull = self.embed[tokens], np.zeros((len(tokens), WIDTH), dtype=back.dtype)
+        for k, offset in enumerate(OFFSETS):
+            beside = at + (offset - low)
+            slope.place[k] = np.einsum("ij,ij->j", near[beside], back)
+            pull[beside] += back * self.place[k]
+        cell = tokens[:, None].astype(np.int64) * WIDTH + np.arange(WIDTH)
+        slope.embed[:] = np.bincount(cell.ravel(), weights=pull.ravel(), minlength=(self.pad + 1) * WIDTH).reshape(-1, WIDTH)
+        slope.embed[self.pad] = 0
         return slope.flat
 
 
@@ -121,37 +131,44 @@ def _softmax_error(logits: np.ndarray, at: np.ndarray) -> np.ndarray:
     return out
 
 
-def buckets_of(text: str | None) -> np.ndarray:
-    return (Words.of(text).hashes >> np.uint64(64 - BUCKET_BITS)).astype(np.int32)
+def hashes_of(text: str | None) -> np.ndarray:
+    return Words.of(text).hashes
+
 
+class Vocabulary:
+    """Tokens of words: the most frequent ones in order of their counts, the others shared by their hash."""
 
-def vocabulary(counts: np.ndarray) -> np.ndarray:
-    """Token of each bucket: the most frequent buckets in order of their counts, all others by their last bits."""
-    tokens = (FREQUENT + np.arange(len(counts)) % RARE).astype(np.int32)
-    top = np.argsort(-counts, kind="stable")[:FREQUENT]
-    top = top[counts[top] > 0]
-    tokens[top] = np.arange(len(top))
-    return tokens
+    def __init__(self, frequent: np.ndarray, side: int):
+        """frequent: hashes of the frequent words, the most frequent first."""
+        self.side, self.frequent = side, side * (side - side // 4)
+        order = np.argsort(frequent)
+        self.sorted, self.rank = frequent[order], order.astype(np.int32)
 
+    def tokens(self, hashes: np.ndarray) -> np.ndarray:
+        shared = (self.frequent + (hashes >> np.uint64(33)) % np.uint64(self.side * (self.side // 4))).astype(np.int32)
+        if not len(self.sorted):
+            return shared
+        at = np.minimum(np.searchsorted(self.sorted, hashes), len(self.sorted) - 1)
+        return np.where(self.sorted[at] == hashes, self.rank[at], shared)
 
-def _padded(documents: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+
+def _padded(documents: list[np.ndarray], pad: int) -> tuple[np.ndarray, np.ndarray]:
     """Documents one after another, RADIUS pads around each, and the places of their tokens."""
-    gap = np.full(RADIUS, PAD, dtype=np.int32)
+    gap = np.full(RADIUS, pad, dtype=np.int32)
     padded = np.concatenate([gap, *(x for d in documents for x in (d, gap))])
-    return padded, np.flatnonzero(padded != PAD)
+    return padded, np.flatnonzero(padded != pad)
 
 
-def _gathered(batches, tokens: np.ndarray) -> Iterator[tuple[list, list[np.ndarray]]]:
-    """(ids, token arrays) of runs of documents of about PIECE tokens."""
+def _gathered(rows, vocabulary: Vocabulary) -> Iterator[tuple[list, list[np.ndarray]]]:
+    """(ids, token arrays) of runs of documents (id, text) of about PIECE tokens."""
     ids, held, n = [], [], 0
-    for batch in (part for b in batches for part in chunks([b], 256)):
-        for i, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-            ids.append(i)
-            held.append(tokens[buckets_of(text.as_py())])
-            n += len(held[-1])
-            if n >= PIECE:
-                yield ids, held
-                ids, held, n = [], [], 0
+    for i, text in rows:
+        ids.append(i)
+        held.append(vocabulary.tokens(hashes_of(text.as_py())))
+        n += len(held[-1])
+        if n >= PIECE:
+            yield ids, held
+            ids, held, n = [], [], 0
     if ids:
         yield ids, held
 
@@ -179,83 +196,134 @@ def tree_sum(parts: DataFrame) -> tuple[float, np.ndarray] | None:
     return (sum(w for _, w, _ in rows), sum(np.frombuffer(v, dtype="<f8") for _, _, v in rows)) if rows else None
 
 
-def count_buckets(docs: DataFrame) -> np.ndarray:
-    """Occurrences of each bucket over all words of all texts."""
+def count_words(docs: DataFrame) -> DataFrame:
+    """(word, n): how often each word, named by its 64-bit hash, occurs in all texts."""
 
     def counted(batches):
-        total = np.zeros(1 << BUCKET_BITS, dtype=np.int64)
         for batch in batches:
-            for text in batch.column(1):
-                np.add.at(total, buckets_of(text.as_py()), 1)
-        if total.any():
-            yield _part(TaskContext.get().partitionId(), total.sum(), total)
-
-    found = tree_sum(arrow_map(texts_of(docs), counted, PART))
-    return np.zeros(1 << BUCKET_BITS) if found is None else found[1]
-
-
-def masked(part: int, run: int, number: int, passes: int, size: int) -> np.ndarray:
-    """Which of the `size` tokens of a task's run of documents are masked in a pass: each token in one of the passes, drawn by a generator seeded by task and run."""
-    return np.random.default_rng((part, run)).integers(passes, size=size) == number
-
-
-def train(docs: DataFrame, passes: int = 2, rate: float = 0.01) -> tuple[np.ndarray, Network]:
-    """(token of each bucket, network), learned from all documents.
-
-    In each pass every task starts from the same network, masks its tokens of this pass (see masked; over
-    the passes every token is a target once) and follows the Adam rule over BATCH of them at a time; the
-    tasks' networks are averaged by their masked tokens.
+            found = np.concatenate([np.empty(0, dtype=np.uint64), *(hashes_of(t.as_py()) for t in batch.column(1))])
+            words, n = np.unique(found, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(n.astype(np.int64))], ["word", "n"])
+
+    return arrow_map(texts_of(docs), counted, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def learn_vocabulary(docs: DataFrame) -> tuple[Vocabulary, np.ndarray]:
+    """(vocabulary, occurrences of each token) of all texts."""
+    counts = checkpoint(count_words(docs))
+    side = side_for(counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
+    most = side * (side - side // 4)
+    top = counts.orderBy(F.desc("n"), "word").limit(most).collect()
+    vocabulary = Vocabulary(np.array([r.word for r in top], dtype=np.int64).view(np.uint64), side)
+    occurrences = np.zeros(side * side)
+    occurrences[: len(top)] = [r.n for r in top]
+    # what isn't frequent, by the tokens that it shares
+    shared = side * (side // 4)
+    remainder = (F.shiftrightunsigned("word", 33) % shared).cast("int")
+    for r in counts.groupBy(remainder.alias("token")).agg(F.sum("n").alias("n")).collect():
+        occurrences[vocabulary.frequent + r.token] = r.n
+    for r in top:
+        occurrences[vocabulary.frequent + (r.word % 2**64 >> 33) % shared] -= r.n
+    return vocabulary, occurrences
+
+
+def _dealt(docs: DataFrame, rounds: int, groups: int) -> DataFrame:
+    """(doc_id, text, round, group, place) by a hash of the row, whatever the layout; the order within a group is that of place, doc_id and text."""
+    narrow = texts_of(docs).withColumn("place", F.xxhash64("doc_id", "text"))
+    return narrow.withColumns({"round": F.pmod("place", F.lit(rounds)), "group": F.pmod(F.shiftrightunsigned("place", 20), F.lit(groups)).cast("int")})
+
+
+def train(docs: DataFrame, rounds: int = ROUNDS, rate: float = 0.01) -> tuple[Vocabulary, Network]:
+    """(vocabulary, network), learned from all documents: every token is masked and predicted in one of the rounds.
+
+    In a round the documents that it is dealt go to groups of about GROUP_BYTES. Each group starts from the same network
+    and follows the Adam rule over BATCH tokens at a time, in the order of a hash; the groups' networks are averaged by their tokens.
     """
-    counts = count_buckets(docs)
-    tokens = vocabulary(counts)
-    network = Network.fresh(np.bincount(tokens, weights=counts, minlength=TOKENS))
+    vocabulary, counts = learn_vocabulary(docs)
+    network, side = Network.fresh(counts), vocabulary.side
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    groups = max(1, -(-size // (GROUP_BYTES * rounds)))
+    dealt = _dealt(docs, rounds, groups)
     context = docs.sparkSession.sparkContext
-    for number in range(passes):
-        sent = context.broadcast((tokens, network.flat))
+    for number in range(rounds):
+        sent = context.broadcast((vocabulary, network.flat))
 
         def learned(batches, number=number, sent=sent):
-            tokens, flat = sent.value
-            own, part = Network(flat.copy()), TaskContext.get().partitionId()
-            steps, seen = 0, 0
-            first, second = np.zeros(SIZE, dtype=np.float32), np.zeros(SIZE, dtype=np.float32)
-            for run, (_, held) in enumerate(_gathered(batches, tokens)):
-                padded, places = _padded(held)
-                places = places[masked(part, run, number, passes, len(places))]
-                for at in range(0, len(places), BATCH):
-                    some = places[at : at + BATCH]
-                    slope = own.gradient(padded, some)
-                    steps, seen = steps + 1, seen + len(some)
-                    first, second = 0.9 * first + 0.1 * slope, 0.99 * second + 0.01 * slope**2
-                    own.flat -= rate / (1 + number) * (first / (1 - 0.9**steps)) / (np.sqrt(second / (1 - 0.99**steps)) + 1e-6)
-            if seen:
-                yield _part(part, seen, own.flat.astype(np.float64) * seen)
-
-        found = tree_sum(arrow_map(texts_of(docs), learned, PART))
-        if found is None:
-            break
-        network = Network((found[1] / found[0]).astype(np.float32))
-    return tokens, network
+            vocabulary, flat = sent.value
+            for group, rows in _by_group(batches):
+                own, steps, seen = Network(flat.copy(), vocabulary.side), 0, 0
+                first, second = np.zeros(len(flat), dtype=np.float32), np.zeros(len(flat), dtype=np.float32)
+                for _, held in _gathered(rows, vocabulary):
+                    padded, places = _padded(held, own.pad)
+                    for at in range(0, len(places), BATCH):
+                        some = places[at : at + BATCH]
+                        slope = own.gradient(padded, some)
+                        steps, seen = steps + 1, seen + len(some)
+                        first += np.float32(0.1) * (slope - first)
+                        second += np.float32(0.01) * (slope * slope - second)
+                        own.flat -= (rate / (1 + number) / (1 - 0.9**steps)) * first / (np.sqrt(second / np.float32(1 - 0.99**steps)) + np.float32(1e-6))
+                if seen:
+                    yield _part(group, seen, own.flat.astype(np.float64) * seen)
+
+        share = dealt.where(F.col("round") == number).select("group", "place", "doc_id", "text")
+        # the shuffle deals by groups and a sort puts their rows together; a task may get several groups
+        share = share.repartition(groups, "group").sortWithinPartitions("group", "place", "doc_id", "text")
+        found = tree_sum(arrow_map(share.select("group", "text"), learned, PART))
+        sent.unpersist()
+        if found is not None:
+            network = Network((found[1] / found[0]).astype(np.float32), side)
+    return vocabulary, network
+
+
+def _by_group(batches):
+    """(group, its rows as (None, text)) of batches (group, text) that are sorted by group."""
+    held: dict = {"batches": iter(batches), "rest": None}
+
+    def advance() -> None:
+        if held["rest"] is None or not held["rest"].num_rows:
+            held["rest"] = next((b for b in held["batches"] if b.num_rows), None)
+
+    def rows(group):
+        while True:
+            advance()
+            batch = held["rest"]
+            if batch is None:
+                return
+            n = int(np.searchsorted(batch.column(0).to_numpy(), group, side="right"))
+            if not n:
+                return
+            held["rest"] = batch.slice(n)
+            for text in batch.slice(0, n).column(1):
+                yield None, text
+
+    while True:
+        advance()
+        if held["rest"] is None:
+            return
+        group = held["rest"].column(0)[0].as_py()
+        yield group, rows(group)
 
 
 SCHEMA = "doc_id long, tokens long, pseudo_log_likelihood double, per_token double"
 
 
-def score_documents(docs: DataFrame, passes: int = 2) -> DataFrame:
+def score_documents(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """Columns SCHEMA: the summed conditional log-probabilities of each whole text, and their mean.
 
-    A text without words (null, empty, blank) has the sum 0 and a null mean; a null doc_id is returned as
-    null; equal texts score equally up to float rounding (values are rounded to 4 and 6 places); repeated rows are scored each; an
-    empty table gives an empty result; other columns are not read.
+    A text without words (null, empty, blank) has the sum 0 and a null mean; very long texts are scored as a whole, in pieces of documents' runs; a null doc_id is returned as
+    null; equal texts score equally up to float rounding (values are rounded to 4 and 6 places), so there are no other ties; repeated rows are scored each; an
+    empty table gives an empty result; other columns are not read, so their names can't clash. Scores don't depend on the layout of docs but for float rounding.
     """
-    tokens, network = train(docs, passes)
-    sent = docs.sparkSession.sparkContext.broadcast((tokens, network.flat))
+    vocabulary, network = train(docs, rounds)
+    sent = docs.sparkSession.sparkContext.broadcast((vocabulary, network.flat))
 
     def scored(batches):
-        tokens, flat = sent.value
-        network = Network(flat)
-        for ids, held in _gathered(batches, tokens):
-            padded, places = _padded(held)
-            found = np.concatenate([network.log_probabilities(padded, places[at : at + PIECE]).astype(np.float64) for at in range(0, len(places), PIECE)] or [np.empty(0)])
+        vocabulary, flat = sent.value
+        network = Network(flat, vocabulary.side)
+        rows = ((i, t) for b in batches for part in chunks([b], 256) for i, t in zip(part.column(0).to_pylist(), part.column(1)))
+        for ids, held in _gathered(rows, vocabulary):
+            padded, places = _padded(held, network.pad)
+            found = np.concatenate([network.log_probabilities(padded, places[at : at + STEP]).astype(np.float64) for at in range(0, len(places), STEP)] or [np.empty(0)])
             sizes = np.array([len(d) for d in held])
             sums = np.diff(np.concatenate(([0.0], np.cumsum(found)))[np.concatenate(([0], np.cumsum(sizes)))])
             means = [round(s / n, 6) if n else None for s, n in zip(sums.tolist(), sizes.tolist())]
