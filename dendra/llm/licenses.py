@@ -60,6 +60,8 @@ _CUE = re.compile(CUES)
 _SENTENCE = re.compile(r"[^\n]+?(?:[.!?;:](?=\s)|(?=\n)|\Z)", re.S)
 _WORD = re.compile(r"[\w.+-]*\w")
 LEVEL = 3
+#: A run of sentences with cues is cut into blocks of about so many characters; what a cut divides is found in the text around a block.
+BLOCK_CHARS = 2000
 
 
 def words_of(text: str) -> list[str]:
@@ -67,7 +69,7 @@ def words_of(text: str) -> list[str]:
 
 
 def blocks(text: str) -> list[tuple[int, int]]:
-    """Bounds of runs of sentences with a cue; one sentence without a cue inside a run doesn't end it. Lines end sentences."""
+    """Bounds of runs of sentences with a cue, up to BLOCK_CHARS or one sentence; one sentence without a cue inside a run doesn't end it. Lines end sentences."""
     found: list[list[int]] = []
     idle = 2
     for m in _SENTENCE.finditer(text):
@@ -75,7 +77,7 @@ def blocks(text: str) -> list[tuple[int, int]]:
             continue
         if _CUE.search(m[0]):
             start = m.start() + len(m[0]) - len(m[0].lstrip())
-            if found and idle < 2:
+            if found and idle < 2 and m.end() - found[-1][0] <= BLOCK_CHARS:
                 found[-1][1] = m.end()
             else:
                 found.append([start, m.end()])

@@ -106,3 +106,36 @@ def test_letters_that_grow_in_lower_case():
     found = Scanner().scan(text)
     assert [(r[2], r[4], r[6]) for r in found] == [("MIT", 0, True), ("CC-BY-NC-4.0", 0, True)]
     assert [words_of(text[a:b]) for a, b, *_ in found] == [words_of("Released under the MIT License"), words_of("Licensed under CC BY-NC 4.0")]
+
+
+def test_long_runs_of_notices_take_time_in_proportion():
+    import time
+
+    scanner, took = Scanner(), []
+    for n in (200, 800):
+        text = " ".join(f"Licensed under the Apache License, Version 2.0. Released under the MIT License. Part {k} follows." for k in range(n))
+        began = time.process_time()
+        got = [r for r in scanner.scan(text) if r[-1]]
+        took.append(time.process_time() - began)
+        assert [r[2] for r in got] == ["Apache-2.0", "MIT"] * n and all(a[1] <= b[0] for a, b in zip(got, got[1:]))
+    assert took[1] < 8 * took[0]
+
+
+def test_scan_matches_brute_force_over_all_templates():
+    """Each confirmed notice is a true one by its exact differences, and no template that stands unchanged in a text is missed."""
+    rng, scanner = random.Random(17), Scanner()
+    for _ in range(40):
+        chosen = [rng.choice(scanner.templates) for _ in range(rng.randrange(1, 4))]
+        text = " ".join(f"{prose(rng, 30)}. {t}" for _, t, _ in chosen) + f" {prose(rng, 20)}."
+        if rng.random() < 0.3:
+            text = "\u0130 " + text
+        got = [r for r in scanner.scan(text) if r[-1]]
+        for a, b, name, _, n, size, _ in got:
+            words = words_of(text[a:b])
+            assert n <= 0.2 * size and any(differences(words, w)[0] <= n for k, _, w in scanner.templates if k == name and len(w) == size)
+        at = 0
+        for name, t, _ in chosen:
+            at = text.index(t, at)
+            held = [r for r in got if r[0] < at + len(t) and at < r[1]]
+            assert held and name in {r[2] for r in held}, (name, held)
+            at += len(t)
