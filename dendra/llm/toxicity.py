@@ -155,8 +155,8 @@ def train(rows: DataFrame, features: int = 2048, max_fit_rows: int = 20_000) ->
     """Model from rows (id, label, text).
 
     Log-count ratios come from all rows. The linear weights are fitted on about `max_fit_rows` rows drawn
-    by a hash of the id, reduced to the chosen features. Without rows, or with rows of one label only,
-    every text gets the smoothed share of label 1.
+    by a hash of the id, reduced to the chosen features: the `features` n-grams that stand out most, which bounds what the driver
+    holds; all others weigh 0. Without rows, or with rows of one label only, every text gets the smoothed share of label 1.
     """
     counts, documents = count_presence(rows)
     weights = np.zeros(BUCKETS, dtype=np.float32)
@@ -200,9 +200,9 @@ def score_documents(docs: DataFrame, labels: DataFrame, label: str = "toxic", **
     """(doc_id, held_out, score, predicted) for each document.
 
     Only documents with a label and outside the held-out fold teach the model, by their text alone. A null
-    text scores as an empty one; a null doc_id is returned as null and counts as an empty id in the fold;
-    repeated rows are scored each; empty tables give an empty result or, without labels, a constant score.
-    Other columns are not read.
+    text scores as an empty one; a very long text is scored as a whole, in pieces; a null doc_id is returned as null and counts as an empty id in the fold;
+    repeated rows are scored each, equal texts equally, and a score of exactly 0.5 counts as toxic, so there are no ties; empty tables give an empty result or, without labels, a constant score.
+    Other columns are not read, so their names can't clash.
     """
     model = train(training_rows(docs, labels, label), **options)
     score = scorer(docs.sparkSession, model)
@@ -211,6 +211,10 @@ def score_documents(docs: DataFrame, labels: DataFrame, label: str = "toxic", **
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **options) -> DataFrame:
-    """docs whose score is below the threshold; columns as they came."""
+    """docs whose score is below the threshold (see score_documents); columns as they came, whatever their names.
+
+    Null and empty texts are scored as empty ones and very long ones as a whole; a score equal to the threshold goes; rows with a null doc_id and repeated
+    rows are judged like others; an empty table stays empty, and without labels the constant score decides.
+    """
     score = scorer(docs.sparkSession, train(training_rows(docs, labels), **options))
     return docs.where(score(F.col("text").cast("string")) < threshold)
