@@ -79,7 +79,8 @@ class Network:
     def log_probabilities(self, padded: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Conditional log-probability of the token at each place, given its neighbours."""
         hidden, target = self.hidden(padded, at), padded[at]
-        logits = hidden @ self.to_class.T + self.class_bias
+        logits = hidden @ self.to_class.T
+        logits += self.class_bias
         out = _log_softmax_at(logits, target // self.side)
         for c, rows, part in self._by_class(target):
             out[rows] += _log_softmax_at(hidden[rows] @ self.to_token[part].T + self.token_bias[part], target[rows] - c * self.side)
@@ -120,15 +121,20 @@ class Network:
 
 
 def _log_softmax_at(logits: np.ndarray, at: np.ndarray) -> np.ndarray:
-    top = logits.max(axis=1)
-    return logits[np.arange(len(at)), at] - top - np.log(np.exp(logits - top[:, None]).sum(axis=1))
+    """Uses up logits."""
+    logits -= logits.max(axis=1, keepdims=True)
+    chosen = logits[np.arange(len(at)), at]
+    np.exp(logits, out=logits)
+    return chosen - np.log(logits.sum(axis=1))
 
 
 def _softmax_error(logits: np.ndarray, at: np.ndarray) -> np.ndarray:
-    out = np.exp(logits - logits.max(axis=1, keepdims=True))
-    out /= out.sum(axis=1, keepdims=True)
-    out[np.arange(len(at)), at] -= 1
-    return out
+    """Uses up logits."""
+    logits -= logits.max(axis=1, keepdims=True)
+    np.exp(logits, out=logits)
+    logits /= logits.sum(axis=1, keepdims=True)
+    logits[np.arange(len(at)), at] -= 1
+    return logits
 
 
 def hashes_of(text: str | None) -> np.ndarray:
@@ -267,7 +273,7 @@ def train(docs: DataFrame, rounds: int = ROUNDS, rate: float = 0.01) -> tuple[Vo
 
         share = dealt.where(F.col("round") == number).select("group", "place", "doc_id", "text")
         # the shuffle deals by groups and a sort puts their rows together; a task may get several groups
-        share = share.repartition(groups, "group").sortWithinPartitions("group", "place", "doc_id", "text")
+        share = share.repartitionById(groups, "group").sortWithinPartitions("group", "place", "doc_id", "text")
         found = tree_sum(arrow_map(share.select("group", "text"), learned, PART))
         sent.unpersist()
         if found is not None:

@@ -49,13 +49,12 @@ def run_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: i
 
 @dataclass
 class Words:
-    """Words of a whole text: byte bounds, hashes (A-Z in lower case), and the number of the line each stands in."""
+    """Words of a whole text: byte bounds and hashes (A-Z in lower case)."""
 
     raw: bytes
     starts: np.ndarray
     ends: np.ndarray
     hashes: np.ndarray
-    lines: np.ndarray
 
     @classmethod
     def of(cls, text: str | None) -> Words:
@@ -63,14 +62,18 @@ class Words:
         data = np.frombuffer(raw.lower(), dtype=np.uint8)
         inked = np.concatenate(([False], ~_SPACES[data], [False]))
         starts, ends = np.flatnonzero(inked[1:] & ~inked[:-1]), np.flatnonzero(inked[:-1] & ~inked[1:])
-        lines = np.searchsorted(np.flatnonzero(data == 10), starts)
         hashes, at = np.empty(len(starts), dtype=np.uint64), 0
         while at < len(starts):  # by pieces of whole words, so that a very long text isn't widened to 8 bytes a character at once
             to = max(at + 1, int(np.searchsorted(ends, starts[at] + PIECE)))
             first = starts[at]
             hashes[at:to] = run_hashes(data[first : ends[to - 1]].astype(np.uint64) + np.uint64(1), starts[at:to] - first, ends[at:to] - first, WORD_BASE)
             at = to
-        return cls(raw, starts, ends, hashes, lines)
+        return cls(raw, starts, ends, hashes)
+
+    @property
+    def lines(self) -> np.ndarray:
+        """The number of the line that each word stands in."""
+        return np.searchsorted(np.flatnonzero(np.frombuffer(self.raw, dtype=np.uint8) == 10), self.starts)
 
     def shingles(self, size: int, base: int = RUN_BASE) -> np.ndarray:
         """Hash of each run of `size` words; empty if there are fewer."""
