@@ -7,10 +7,14 @@ from pyspark.sql import DataFrame, functions as F
 from .common import checkpoint, settled
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+#: Links that one task writes at least.
+TASK_LINKS = 200_000
+
+
+def _large_star(edges: DataFrame, tasks: int) -> DataFrame:
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     # written first, so that the join has an exchange on either side and the adaptive skew join can split a hot node's rows
-    least = checkpoint(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+    least = checkpoint(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")).coalesce(tasks))
     return both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
@@ -36,7 +40,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     for _ in range(max_rounds):
         if mark[0] == 0:
             break
-        now = checkpoint(_small_star(_large_star(now)))
+        tasks = 1 + mark[0] // TASK_LINKS  # few links don't make many small files
+        now = checkpoint(_small_star(_large_star(now, tasks)).coalesce(tasks))
         before, mark = mark, _mark(now)
         if before == mark:
             break
