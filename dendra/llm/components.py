@@ -4,25 +4,29 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from .common import checkpoint, settled
+from .common import checkpoint, settled, small
 
 
 #: Links that one task writes at least.
 TASK_LINKS = 200_000
 
 
+def _least(links: DataFrame, least, tasks: int) -> DataFrame:
+    """(u, m) with the aggregate m of each u: written first, so that a small one is broadcast and else the adaptive skew join can split a hot node's rows."""
+    return small(checkpoint(links.groupBy("u").agg(least.alias("m")).coalesce(tasks)))
+
+
 def _large_star(edges: DataFrame, tasks: int) -> DataFrame:
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    # written first, so that the join has an exchange on either side and the adaptive skew join can split a hot node's rows
-    least = checkpoint(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")).coalesce(tasks))
-    return both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    least = _least(both, F.least(F.first("u"), F.min("v")), tasks)
+    return both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct().coalesce(tasks)
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, tasks: int) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
+    least = _least(down, F.min("v"), tasks)
     moved = down.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
+    return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct().coalesce(tasks)
 
 
 @settled
@@ -40,8 +44,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     for _ in range(max_rounds):
         if mark[0] == 0:
             break
-        tasks = 1 + mark[0] // TASK_LINKS  # few links don't make many small files
-        now = checkpoint(_small_star(_large_star(now, tasks)).coalesce(tasks))
+        tasks = 1 + mark[0] // TASK_LINKS  # few links don't make many small tasks and files
+        now = checkpoint(_small_star(checkpoint(_large_star(now, tasks)), tasks))
         before, mark = mark, _mark(now)
         if before == mark:
             break
