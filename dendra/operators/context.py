@@ -2,29 +2,33 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from dendra.functions.text import word_count
+from dendra.operators.shared import running
+
+
+def _placed(items: DataFrame, key: str, order: list[Column]) -> DataFrame:
+    return running(items, key, order, F.lit(1)).withColumn("place", (F.col("_before") + 1).cast("int")).drop("_before", "_total")
 
 
 def interleaved(items: DataFrame, key: str = "qid", score: str = "total_score", tie: str = "at") -> DataFrame:
     """items with `place`: by decreasing score the 1st, 3rd, 5th … come first and …, 6th, 4th, 2nd last."""
-    rank = F.row_number().over(Window.partitionBy(key).orderBy(F.desc(score), tie)) - 1
-    ranked = items.withColumn("rank", rank)
-    order = F.when(F.col("rank") % 2 == 0, F.col("rank")).otherwise(-F.col("rank"))
-    return ranked.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy(F.col("rank") % 2, order))).drop("rank")
+    ranked, rank = running(items, key, [F.desc(score), F.asc(tie)], F.lit(1)), F.col("_before")
+    place = F.when(rank % 2 == 0, F.expr("_before div 2") + 1).otherwise(F.col("_total") - F.expr("_before div 2"))
+    return ranked.withColumn("place", place.cast("int")).drop("_before", "_total")
 
 
 def matched_first(items: DataFrame, passages: DataFrame, key: str = "qid", title: str = "title", order: str = "at") -> DataFrame:
     """items with `place`: those whose title was retrieved before, then the others, each in their order."""
     known = passages.select(key, F.trim(title).alias("_title"), F.lit(0).alias("_group")).distinct()
     rows = items.withColumn("_title", F.trim(title)).join(known, [key, "_title"], "left").withColumn("_group", F.coalesce("_group", F.lit(1)))
-    return rows.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy("_group", order))).drop("_title", "_group")
+    return _placed(rows, key, [F.asc("_group"), F.asc(order)]).drop("_title", "_group")
 
 
 def score_order(items: DataFrame, key: str = "qid", score: str = "total_score", tie: str = "at") -> DataFrame:
     """items with `place`, by decreasing score."""
-    return items.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(score), tie)))
+    return _placed(items, key, [F.desc(score), F.asc(tie)])
 
 
 def within_budget(items: DataFrame, budget: int, key: str = "qid", order: str = "place", text: str = "text", length: Column | None = None) -> DataFrame:
@@ -33,13 +37,11 @@ def within_budget(items: DataFrame, budget: int, key: str = "qid", order: str =
     Lengths count blank-separated words unless another length is given; the cut is made in words.
     """
     n = word_count(F.col(text)) if length is None else length
-    group = Window.partitionBy(key).orderBy(order)
-    rows = items.withColumn("_n", n).withColumn("_before", F.coalesce(F.sum("_n").over(group.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    rows = rows.withColumn("_over", F.max(F.when(F.col("_before") + F.col("_n") > budget, 1).otherwise(0)).over(group.rowsBetween(Window.unboundedPreceding, -1)))
-    kept = rows.where(F.coalesce("_over", F.lit(0)) == 0)
+    rows = running(items.withColumn("_n", n), key, [F.asc(order)], F.col("_n"))
+    kept = rows.where(F.col("_before") <= budget)
     words = F.filter(F.split(text, r"\s+"), lambda w: w != "")
-    cut = F.array_join(F.slice(words, 1, F.greatest(F.lit(0), F.lit(budget) - F.col("_before"))), " ")
-    return kept.withColumn(text, F.when(F.col("_before") + F.col("_n") > budget, cut).otherwise(F.col(text))).drop("_n", "_before", "_over")
+    cut = F.array_join(F.slice(words, 1, F.greatest(F.lit(0), F.lit(budget) - F.col("_before")).cast("int")), " ")
+    return kept.withColumn(text, F.when(F.col("_before") + F.col("_n") > budget, cut).otherwise(F.col(text))).drop("_n", "_before", "_total")
 
 
 def assembled(items: DataFrame, key: str = "qid", order: str = "place", text: str = "text", separator: str = "\n\n") -> DataFrame:

@@ -2,19 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from dendra.functions.vector import combined, cosine
-
-
-def _cut(df: DataFrame) -> DataFrame:
-    """df written to the session's shared checkpoint folder, so that a loop's plan doesn't grow."""
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="dendra-"))
-    return df.checkpoint()
+from dendra.operators.shared import cut
 
 
 def upsert_vertices(batches: DataFrame, key: str = "title", order: str = "seq") -> DataFrame:
@@ -82,7 +73,7 @@ def propagate(
     known = vertices.where("embedding is not null").select(key, "embedding", "degree")
     pair = ["qid", "root"]
     start = seeds.join(known.select(F.col(key).alias("root"), F.col("embedding").alias("own"), "degree"), "root").where(F.col("degree") <= degree_cap)
-    frontier = _cut(start.select(*pair, "query", F.col("root").alias("source"), "own", F.lit(1.0).alias("path_score"), F.lit(0).alias("source_rank")))
+    frontier = cut(start.select(*pair, "query", F.col("root").alias("source"), "own", F.lit(1.0).alias("path_score"), F.lit(0).alias("source_rank")))
     visited = frontier.select(*pair, F.col("source").alias(key))
     reported, counted = [], []
     for hop in range(1, hops + 1):
@@ -98,7 +89,7 @@ def propagate(
         found = found.withColumn("softmax_score", F.col("shifted") / F.sum("shifted").over(group))
         found = found.withColumn("rank", F.row_number().over(group.orderBy(F.desc("total_score"), key))).withColumn("candidates", F.count("*").over(group))
         counts = found.where("rank = 1").select(*pair, F.lit(hop).alias("hop"), "candidates")
-        kept = _cut(found.where((F.col("rank") <= top_k) & (F.col("total_score") >= threshold)).drop("shifted", "candidates"))
+        kept = cut(found.where((F.col("rank") <= top_k) & (F.col("total_score") >= threshold)).drop("shifted", "candidates"))
         reported.append(kept.select(*pair, F.lit(hop).alias("hop"), "rank", key, "source_title", "adjacent_score", "local_score", "global_score", "total_score", "softmax_score", "degree"))
         counted.append(counts)
         grown = kept.where(F.col("degree") <= degree_cap)

@@ -145,11 +145,11 @@ def special_cases(spark, sf_dir):
     return metrics.special_cases(rows).select("conv_id", "turn")
 
 
-@query(f"""WITH {TURNS}, w AS (SELECT *, list_filter(string_split(gold, ' '), lambda x: x <> '')[1:4] AS words, {norm_sql('output')} AS inside FROM turns),
+@query(f"""WITH {TURNS}, w AS (SELECT *, list_filter(string_split(gold, ' '), lambda x: x <> '') AS words, {norm_sql('output')} AS inside FROM turns),
   c AS (SELECT conv_id, turn, length(words) AS n, length(list_filter(words, lambda x: contains(inside, {norm_sql('x')}))) AS k FROM w)
   SELECT conv_id, turn, round(CASE WHEN n > 0 THEN k / n ELSE 0 END, 6)::DOUBLE AS em, (n > 0 AND k = n)::INTEGER::DOUBLE AS hit FROM c""")
 def str_em(spark, sf_dir):
-    words = F.slice(F.filter(F.split("gold", " "), lambda x: x != ""), 1, 4)
+    words = F.filter(F.split("gold", " "), lambda x: x != "")
     pairs = F.transform(words, lambda x: F.struct(F.array(x).alias("short_answers")))
     rows = _turns(spark, sf_dir).select("conv_id", "turn", metrics.presence_scores(pairs, F.col("output")).alias("s"))
     return rows.select("conv_id", "turn", F.round("s.em", 6).alias("em"), "s.hit")
@@ -168,18 +168,19 @@ def avg_len(spark, sf_dir):
     return metrics.mean_length(table(spark, sf_dir, "documents").select(F.col("text").alias("output"))).select(F.round("length", 6).alias("length"))
 
 
-@query(f"""WITH d AS (SELECT doc_id, text, list_filter(list_transform(string_split(text, ','), lambda x: trim(x)), lambda x: x <> '')[1:12] AS parts FROM documents),
-  g AS (SELECT doc_id, array_to_string(parts[1:7], ', ') AS out, list_transform(parts[3:], lambda x: {norm_sql('x')}) AS golds FROM d WHERE length(parts) >= 3),
+@query(f"""WITH d AS (SELECT doc_id, text, list_filter(list_transform(string_split(text, ','), lambda x: trim(x)), lambda x: x <> '') AS parts FROM documents),
+  g AS (SELECT doc_id, array_to_string(list_filter(parts, lambda x, i: i % 3 <> 0), ', ') AS out, list_transform(list_filter(parts, lambda x, i: i % 3 <> 1), lambda x: {norm_sql('x')}) AS golds FROM d),
   p AS (SELECT doc_id, golds, list_filter(list_transform(string_split(regexp_replace(regexp_replace(regexp_replace(out, '\\s+$', ''), '\\.+$', ''), ',+$', ''), ','), lambda x: {norm_sql('x')}), lambda x: x <> '') AS said FROM g),
   c AS (SELECT doc_id, length(said) AS n, length(golds) AS m, length(list_filter(said, lambda x: list_contains(golds, x))) AS ok, length(list_filter(golds, lambda x: list_contains(said, x))) AS hit FROM p),
-  r AS (SELECT doc_id, n, CASE WHEN n > 0 THEN ok / n ELSE 0 END AS p, hit / m AS r, least(5, hit) / least(5, m) AS r5 FROM c)
+  r AS (SELECT doc_id, n, CASE WHEN n > 0 THEN ok / n ELSE 0 END AS p, CASE WHEN m > 0 THEN hit / m ELSE 0 END AS r, CASE WHEN m > 0 THEN least(5, hit) / least(5, m) ELSE 0 END AS r5 FROM c)
   SELECT doc_id, n::INTEGER AS num_preds, round(p, 6)::DOUBLE AS precision, round(r, 6)::DOUBLE AS recall, round(r5, 6)::DOUBLE AS recall_top5,
   round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END, 6)::DOUBLE AS f1, round(CASE WHEN p + r5 > 0 THEN 2 * p * r5 / (p + r5) ELSE 0 END, 6)::DOUBLE AS f1_top5 FROM r""")
 def list_prf_top5(spark, sf_dir):
-    parts = F.slice(F.filter(F.transform(F.split("text", ","), F.trim), lambda x: x != ""), 1, 12)
-    rows = table(spark, sf_dir, "documents").select("doc_id", parts.alias("parts")).where(F.size("parts") >= 3)
-    golds = F.transform(F.slice("parts", 3, 12), lambda x: F.array(x))
-    s = metrics.list_scores(F.array_join(F.slice("parts", 1, 7), ", "), golds)
+    """Of each text's parts every third is only said, every third only expected, and the others are both."""
+    parts = F.filter(F.transform(F.split("text", ","), F.trim), lambda x: x != "")
+    rows = table(spark, sf_dir, "documents").select("doc_id", parts.alias("parts"))
+    golds = F.transform(F.filter("parts", lambda x, i: i % 3 != 0), lambda x: F.array(x))
+    s = metrics.list_scores(F.array_join(F.filter("parts", lambda x, i: i % 3 != 2), ", "), golds)
     rows = rows.select("doc_id", s.alias("s"))
     return rows.select("doc_id", "s.num_preds", *[F.round(f"s.{k}", 6).alias(k) for k in ("precision", "recall", "recall_top5", "f1", "f1_top5")])
 
@@ -506,32 +507,32 @@ def tfidf_top1(spark, sf_dir):
 # ---------------------------------------------------------------- context, parsers, runs
 
 
-@query("""WITH r AS (SELECT doc_id // 25 AS qid, doc_id AS "at", row_number() OVER (PARTITION BY doc_id // 25 ORDER BY n_chars DESC, doc_id) - 1 AS k FROM documents)
+@query("""WITH r AS (SELECT source AS qid, doc_id AS "at", row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) - 1 AS k FROM documents)
   SELECT qid, "at", row_number() OVER (PARTITION BY qid ORDER BY k % 2, CASE WHEN k % 2 = 0 THEN k ELSE -k END)::INTEGER AS place FROM r""")
 def context_interleave(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").select(F.expr("doc_id div 25").alias("qid"), F.col("doc_id").alias("at"), F.col("n_chars").alias("total_score"))
+    rows = table(spark, sf_dir, "documents").select(F.col("source").alias("qid"), F.col("doc_id").alias("at"), F.col("n_chars").alias("total_score"))
     return context.interleaved(rows).select("qid", "at", "place")
 
 
-@query("""WITH w AS (SELECT doc_id // 25 AS qid, doc_id AS place, text, regexp_extract_all(text, '\\S+') AS w FROM documents),
+@query("""WITH w AS (SELECT source AS qid, doc_id AS place, text, regexp_extract_all(text, '\\S+') AS w FROM documents),
   s AS (SELECT *, length(w) AS n, coalesce(sum(length(w)) OVER (PARTITION BY qid ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM w)
-  SELECT qid, place, CASE WHEN b + n <= 3800 THEN text ELSE array_to_string(w[1:(3800 - b)::BIGINT], ' ') END AS text FROM s WHERE b <= 3800 AND NOT EXISTS (SELECT 1 FROM s o WHERE o.qid = s.qid AND o.place < s.place AND o.b + o.n > 3800)""")
+  SELECT qid, place, CASE WHEN b + n <= 3800 THEN text ELSE array_to_string(w[1:(3800 - b)::BIGINT], ' ') END AS text FROM s WHERE b <= 3800""")
 def context_budget(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").select(F.expr("doc_id div 25").alias("qid"), F.col("doc_id").alias("place"), "text")
+    rows = table(spark, sf_dir, "documents").select(F.col("source").alias("qid"), F.col("doc_id").alias("place"), "text")
     return context.within_budget(rows, 3800)
 
 
-@query("""WITH m AS (SELECT doc_id // 25 AS qid, doc_id AS "at", CASE WHEN doc_id IN (SELECT doc_id FROM labels) THEN 0 ELSE 1 END AS g FROM documents)
+@query("""WITH m AS (SELECT source AS qid, doc_id AS "at", CASE WHEN doc_id IN (SELECT doc_id FROM labels) THEN 0 ELSE 1 END AS g FROM documents)
   SELECT qid, "at", row_number() OVER (PARTITION BY qid ORDER BY g, "at")::INTEGER AS place FROM m""")
 def context_matched_first(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").select(F.expr("doc_id div 25").alias("qid"), F.col("doc_id").alias("at"), F.col("doc_id").cast("string").alias("title"))
+    rows = table(spark, sf_dir, "documents").select(F.col("source").alias("qid"), F.col("doc_id").alias("at"), F.col("doc_id").cast("string").alias("title"))
     known = rows.join(table(spark, sf_dir, "labels").select(F.col("doc_id").alias("at")), "at", "left_semi").select("qid", "title")
     return context.matched_first(rows, known).select("qid", "at", "place")
 
 
-@query("SELECT conv_id, string_agg(CASE WHEN turn < 3 THEN role || chr(10) || text END, chr(10) || chr(10) ORDER BY turn) AS context FROM conversations WHERE turn < 3 GROUP BY conv_id")
+@query("SELECT conv_id, string_agg(coalesce(role, '') || chr(10) || coalesce(text, ''), chr(10) || chr(10) ORDER BY turn) AS context FROM conversations GROUP BY conv_id")
 def passages_context(spark, sf_dir):
-    rows = table(spark, sf_dir, "conversations").where("turn < 3").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.col("role").alias("title"), "text"))).alias("p"))
+    rows = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.col("role").alias("title"), "text"))).alias("p"))
     return rows.select("conv_id", context.passages_context(F.col("p")).alias("context"))
 
 
@@ -605,9 +606,9 @@ def sentence_split(spark, sf_dir):
 
 
 @query("""SELECT conv_id, turn, array_to_string(list_transform(list_filter(list_transform(regexp_split_to_array(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda x: trim(x)), lambda x: x <> ''),
-  lambda s: '[1][' || (turn % 3 + 2) || '] ' || s), ' ') AS cited FROM conversations WHERE text IS NOT NULL AND NOT contains(text, ']') AND NOT contains(text, ' |')""")
+  lambda s: '[1][' || (turn % 3 + 2) || '] ' || s), ' ') AS cited FROM (SELECT conv_id, turn, replace(replace(regexp_replace(regexp_replace(text, ' \\[[0-9]+', '', 'g'), '\\[[0-9]+', '', 'g'), ' |', ''), ']', '') AS text FROM conversations WHERE text IS NOT NULL)""")
 def force_cite(spark, sf_dir):
-    rows = table(spark, sf_dir, "conversations").where("text is not null and not contains(text, ']') and not contains(text, ' |')")
+    rows = table(spark, sf_dir, "conversations").where("text is not null")
     return rows.select("conv_id", "turn", T.force_citations(F.col("text"), F.expr("array(0, cast(turn % 3 + 1 as int))")).alias("cited"))
 
 
@@ -617,12 +618,11 @@ def hit_fields(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.hit_fields(ids).alias("h")).select("doc_id", "h.*")
 
 
-@query(f"""WITH {TURNS}, r AS (SELECT conv_id, turn, {norm_sql("string_split(gold, '.')[1]")} AS g, {norm_sql("string_split(output, '.')[1]")} AS s FROM turns)
+@query(f"""WITH {TURNS}, r AS (SELECT conv_id, turn, {norm_sql('gold')} AS g, {norm_sql('output')} AS s FROM turns)
   SELECT conv_id, turn, (g = s)::INTEGER::DOUBLE AS em, (g = s)::INTEGER::DOUBLE AS hit FROM r""")
 def qa_em_hit(spark, sf_dir):
-    first = lambda c: F.split(c, r"\.")[0]
-    pairs = F.array(F.struct(F.array(first("gold")).alias("short_answers")))
-    rows = _turns(spark, sf_dir).select("conv_id", "turn", metrics.qa_scores(pairs, F.array(first("output"))).alias("s"))
+    pairs = F.array(F.struct(F.array("gold").alias("short_answers")))
+    rows = _turns(spark, sf_dir).select("conv_id", "turn", metrics.qa_scores(pairs, F.array("output")).alias("s"))
     return rows.select("conv_id", "turn", "s.em", "s.hit")
 
 

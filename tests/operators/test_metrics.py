@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from dendra.operators import context, metrics, models, retrieval
+from dendra.operators.shared import running
 
 
 def one(spark, column, **values):
@@ -89,3 +90,21 @@ def test_summaries_fill_gaps(spark):
     df = spark.createDataFrame([("i", "q", docs), ("j", "q", [])], "id string, question string, docs array<struct<title:string,text:string,summary:string>>")
     got = {r.id: [d.summary for d in r.docs] for r in models.summarized(df, Loud, top=2).collect()}
     assert got == {"i": ["made", "had", None], "j": []}
+
+
+def test_running_sums_of_hot_null_and_small_groups(spark):
+    data = [("hot", i % 50, i % 7) for i in range(300)] + [(None, i, None if i == 1 else 2) for i in range(3)] + [("one", None, 5)]
+    rows = spark.createDataFrame([(*r, i) for i, r in enumerate(data)], "qid string, score int, w int, at int")
+    got = running(rows, "qid", [F.desc("score"), F.asc("at")], F.col("w")).collect()
+    assert len(got) == len(data)
+    rank = lambda r: (r["score"] is None, -(r["score"] or 0), r["at"])
+    for r in got:
+        group = [o for o in got if o["qid"] == r["qid"]]
+        assert r["_before"] == sum(o["w"] or 0 for o in group if rank(o) < rank(r))
+        assert r["_total"] == sum(o["w"] or 0 for o in group)
+
+
+def test_running_sums_of_an_empty_table(spark):
+    rows = spark.createDataFrame([], "qid string, at int")
+    assert running(rows, "qid", [F.asc("at")], F.lit(1)).columns == ["qid", "at", "_total", "_before"]
+    assert context.interleaved(rows.withColumn("total_score", F.lit(1))).count() == 0
