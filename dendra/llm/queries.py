@@ -10,6 +10,7 @@ from .decontaminate import find_leaks
 from .licenses import scan_documents
 from .media import fingerprint_documents
 from .pseudo_likelihood import score_documents as score_likelihood
+from .secrets import RULES as SECRET_RULES, secret_digests
 from .sharding import shard_documents
 from .simhash import near_duplicates
 from .substring_dedup import find_repeats
@@ -59,6 +60,10 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_combined_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_digests(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_sampled_splitters": op1_sampled_splitters,
     "op2_char_ngram_toxicity": op2_char_ngram_toxicity,
@@ -70,8 +75,22 @@ QUERIES = {
     "op8_masked_pseudo_likelihood": op8_masked_pseudo_likelihood,
     "op9_bm25_decontamination": op9_bm25_decontamination,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
+    "op11_combined_automaton": op11_combined_automaton,
 }
 
+
+def _spans_sql(kind: str, pattern: str, least: int, value: bool, place: int) -> str:
+    """(doc_id, kind, place, s, e) of a rule's matches in d(doc_id, t): starts are the lengths of all pieces and matches before."""
+    pattern = pattern.replace("'", "''")
+    said = "regexp_extract(m, '[:=] *[\"'']?(.*)$', 1)" if value else "m"
+    return f"""SELECT doc_id, '{kind}' AS kind, {place} AS place, s, e FROM (
+      SELECT doc_id, m, before - length(m) + sum(length(p)) OVER w AS s, before + sum(length(p)) OVER w AS e FROM (
+        SELECT doc_id, k, p, m, sum(length(m)) OVER w AS before FROM (
+          SELECT doc_id, generate_subscripts(found, 1) AS k, unnest(found) AS m, unnest(parts[:length(found)]) AS p FROM (
+            SELECT doc_id, regexp_extract_all(t, '{pattern}') AS found, regexp_split_to_array(t, '{pattern}') AS parts FROM d))
+        WINDOW w AS (PARTITION BY doc_id ORDER BY k)) WINDOW w AS (PARTITION BY doc_id ORDER BY k)) WHERE length({said}) >= {least}"""
+
+
 #: The CRC-32 of a text's bytes is folded over a table that is made from the polynomial.
 ORACLES = {
     "op1_sampled_splitters": """
@@ -114,5 +133,13 @@ hit AS (SELECT doc_id, pos, item_id, sum(x) AS score FROM (SELECT doc_id, pos, u
 ov AS (SELECT doc_id, pos, item_id, score, list_transform(s, lambda g: length(list_filter(g, lambda x: contains(' ' || array_to_string(p, ' ') || ' ', ' ' || x || ' '))) / length(g)) AS o FROM hit JOIN win USING (doc_id, pos) JOIN sh USING (item_id)),
 k AS (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY o[1] DESC, round(score, 9) DESC, pos) AS r FROM ov WHERE o[1] >= 0.8 OR (o[2] >= 0.8 AND o[3] >= 0.8))
 SELECT doc_id, item_id, pos AS passage_start, round(score, 6) AS score, round(o[1], 6) AS overlap, round(o[2], 6) AS question_overlap, round(o[3], 6) AS answer_overlap FROM k WHERE r = 1
+""",
+    "op11_combined_automaton": f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+sp AS ({" UNION ALL ".join(_spans_sql(r.kind, r.pattern, r.least, r.value, i) for i, r in enumerate(SECRET_RULES))}),
+a AS (SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+  string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, place) FILTER (place < 3) AS base, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, place) AS spans FROM sp GROUP BY doc_id)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN a USING (doc_id)
 """,
 }
