@@ -13,6 +13,7 @@ from .pseudo_likelihood import score_documents as score_likelihood
 from .secrets import RULES as SECRET_RULES, secret_digests
 from .sharding import shard_documents
 from .simhash import near_duplicates
+from .spelling import spelling_forms
 from .substring_dedup import find_repeats
 from .token_packing import pack_tokens
 from .toxicity import score_documents
@@ -64,6 +65,10 @@ def op11_combined_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_digests(table(spark, sf_dir, "documents"))
 
 
+def op12_trie_self_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_forms(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_sampled_splitters": op1_sampled_splitters,
     "op2_char_ngram_toxicity": op2_char_ngram_toxicity,
@@ -76,6 +81,7 @@ QUERIES = {
     "op9_bm25_decontamination": op9_bm25_decontamination,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
     "op11_combined_automaton": op11_combined_automaton,
+    "op12_trie_self_join": op12_trie_self_join,
 }
 
 
@@ -141,5 +147,29 @@ a AS (SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FIL
   string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, place) FILTER (place < 3) AS base, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, place) AS spans FROM sp GROUP BY doc_id)
 SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
 FROM d LEFT JOIN a USING (doc_id)
+""",
+    "op12_trie_self_join": """
+WITH RECURSIVE crc_table AS (
+  SELECT list(c ORDER BY i) AS tab FROM (
+    SELECT i, list_reduce(list_prepend(i::BIGINT, [0,1,2,3,4,5,6,7]::BIGINT[]),
+                          lambda c, k: xor(c >> 1, (c & 1) * 3988292384)) AS c FROM range(256) r(i))),
+runs AS (SELECT doc_id, run, count(*) AS c FROM (
+    SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\\x{00C0}-\\x{00FF}]+')) AS run FROM documents)
+  WHERE length(run) >= 5 GROUP BY ALL),
+hashed AS (SELECT run, c, xor(list_reduce(list_prepend(4294967295::BIGINT,
+             list_transform(range(1, 2 * octet_length(b), 2), lambda k: ('0x' || substr(hex(b), k, 2))::BIGINT)),
+             lambda c, x: xor(c >> 8, tab[1 + (xor(c, x) & 255)])), 4294967295)::BIGINT AS h
+  FROM (SELECT *, encode(doc_id || ':' || run) AS b FROM runs), crc_table),
+voc AS (SELECT word, sum(c)::BIGINT AS n FROM (
+    SELECT c, CASE WHEN h % 97 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word FROM hashed)
+  WHERE length(word) >= 5 GROUP BY word HAVING sum(c) >= 3),
+cut AS (SELECT word, n, i, substr(word, 1, i - 1) AS a, substr(word, i + 1) AS b FROM (SELECT *, unnest(range(1, length(word) + 1)) AS i FROM voc)),
+near AS (SELECT x.word, y.word AS other, y.n FROM cut x JOIN cut y ON x.i = y.i AND x.a = y.a AND x.b = y.b AND x.word <> y.word
+  UNION SELECT x.word, v.word, v.n FROM cut x JOIN voc v ON v.word = x.a || x.b
+  UNION SELECT v.word, x.word, x.n FROM cut x JOIN voc v ON v.word = x.a || x.b),
+best AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY word) AS n_near, row_number() OVER (PARTITION BY word ORDER BY n DESC, other) AS k FROM near) WHERE k = 1),
+named AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN b.n >= 2 * v.n THEN other END AS form, CASE WHEN b.n >= 2 * v.n THEN b.n END AS form_n FROM voc v LEFT JOIN best b USING (word)),
+chain AS (SELECT word, word AS root, form AS next FROM named UNION ALL SELECT c.word, c.next, m.form FROM chain c JOIN named m ON m.word = c.next)
+SELECT m.word, m.form, c.root, m.n, m.n_near, m.form_n FROM named m JOIN chain c ON c.word = m.word AND c.next IS NULL
 """,
 }
