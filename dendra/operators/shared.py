@@ -3,21 +3,51 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df written to the session's shared checkpoint folder, so that a plan doesn't grow and a lost executor repeats little.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir; without it a local session takes a temporary one, on a cluster it is an error.
 
-    Without that folder a local session takes a temporary one; on a cluster it is an error.
+    Files of checkpoints that nothing uses any more are deleted.
     """
-    context = df.sparkSession.sparkContext
+    context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        folder = spark.conf.get("spark.checkpoint.dir", None)
         if not folder and not context.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir names no shared folder")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="dendra-"))
+    context._jsc.sc().conf().set("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that no other call gets."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def deleted(spark: SparkSession, path: str) -> None:
+    """Deletes what new_folder() has named."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def parquet_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The Parquet table at path, or no rows if nothing was written there yet."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df written to the session's shared checkpoint folder, so that a plan doesn't grow and a lost executor repeats little."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from dendra.functions import parsers, prompts, text as T
 from dendra.functions.vector import cosine
 from dendra.operators import context, graph, metrics, pages, retrieval, tree
+from dendra.operators.shared import cut, deleted, new_folder
+from dendra.operators.stores import GraphStore, PostingsIndex
 from dendra.sources import readers, sinks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -352,6 +354,21 @@ def degree_stats(spark, sf_dir):
     return s.withColumn("mean", F.round("mean", 6))
 
 
+@query(f"""WITH {EDGES}, d AS (SELECT src, count(*) AS n FROM edge WHERE src <> dst GROUP BY src), v AS (SELECT url AS title, max(page_id) AS seq, arg_max(length(html), page_id) AS size FROM pages GROUP BY url)
+  SELECT coalesce(v.title, d.src) AS title, v.seq, v.size, coalesce(n, 0)::BIGINT AS degree FROM v FULL JOIN d ON v.title = d.src""")
+def graph_store_batches(spark, sf_dir):
+    """The stored graph after three batches of pages and a fourth that repeats one of them."""
+    path = new_folder(spark, "graph")
+    pages = table(spark, sf_dir, "pages")
+    found = F.regexp_extract_all("html", F.lit('<a href="([^"]+)"'), 1)
+    for batch in (0, 1, 2, 1):
+        rows = pages.where(F.col("page_id") % 3 == batch).select(F.col("url").alias("title"), F.col("page_id").alias("seq"), F.length("html").cast("long").alias("size"), found.alias("links"))
+        GraphStore(spark, path, "size long", buckets=8).upsert(rows, graph.edges_from_lists(rows, "links"))
+    stored = cut(GraphStore(spark, path, "size long").vertices().drop("bucket"))
+    deleted(spark, path)
+    return stored
+
+
 #: The document graph of the expansion queries: vector v is linked with (3v + 1), (5v + 2) and (11v + 7) modulo their number.
 _NEXT = ((3, 1), (5, 2), (11, 7))
 
@@ -475,17 +492,32 @@ def adjacent_cosine(spark, sf_dir):
 TOKEN_SQL = "regexp_extract_all(lower(text), '[^\\s.,;:!?|()\\[\\]\"]+')"
 
 
-@query(f"""WITH t AS (SELECT doc_id, {TOKEN_SQL} AS w FROM documents), st AS (SELECT count(*) AS n, avg(length(w)) AS mean FROM t),
+BM25_SQL = f"""WITH t AS (SELECT doc_id, {TOKEN_SQL} AS w FROM documents), st AS (SELECT count(*) AS n, avg(length(w)) AS mean FROM t),
   q AS (SELECT item_id, unnest(list_distinct({TOKEN_SQL})) AS term FROM benchmark), p AS (SELECT doc_id, length(w) AS len, unnest(w) AS term FROM t),
   c AS (SELECT doc_id, len, term, count(*) AS tf FROM p WHERE term IN (SELECT term FROM q) GROUP BY ALL), f AS (SELECT term, count(*) AS df FROM c GROUP BY term),
   s AS (SELECT item_id, doc_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 1.9 / (tf + 0.9 * (1 - 0.4 + 0.4 * len / mean))) AS score FROM c JOIN f USING (term) JOIN q USING (term), st GROUP BY item_id, doc_id),
   k AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM s)
-  SELECT item_id, doc_id, round(score, 5) AS score, rank::INTEGER AS rank FROM k WHERE rank <= 10""")
+  SELECT item_id, doc_id, round(score, 5) AS score, rank::INTEGER AS rank FROM k WHERE rank <= 10"""
+
+
+@query(BM25_SQL)
 def bm25_topk(spark, sf_dir):
     found = retrieval.bm25_top(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
     return found.withColumn("score", F.round("score", 5))
 
 
+@query(BM25_SQL)
+def bm25_index_topk(spark, sf_dir):
+    """The same search in an index that is written in two batches and opened again."""
+    path = new_folder(spark, "postings")
+    docs = table(spark, sf_dir, "documents")
+    for batch in (0, 1):
+        PostingsIndex(spark, path, buckets=16).append(docs.where(F.col("doc_id") % 2 == batch), batch)
+    found = cut(PostingsIndex(spark, path).search(table(spark, sf_dir, "benchmark"), k=10))
+    deleted(spark, path)
+    return found.withColumn("score", F.round("score", 5))
+
+
 @query("""WITH d AS (SELECT conv_id, turn AS doc, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]{2,}')) AS term FROM conversations WHERE role <> 'user' AND text IS NOT NULL),
   n AS (SELECT conv_id, count(*) AS n, min(turn) AS first FROM conversations WHERE role <> 'user' AND text IS NOT NULL GROUP BY conv_id), c AS (SELECT conv_id, doc, term, count(*) AS tf FROM d GROUP BY ALL),
   i AS (SELECT conv_id, term, ln((1.0 + any_value(n)) / (1.0 + count(*))) + 1 AS idf FROM c JOIN n USING (conv_id) GROUP BY conv_id, term),
