@@ -1,4 +1,4 @@
-"""Links of wiki pages to other pages: "see also" and "external links" sections, and the introduction."""
+"""Links of wiki pages to other pages: "see also" and "external links" sections, and the introduction; and links of raw web pages."""
 
 from __future__ import annotations
 
@@ -71,3 +71,14 @@ def page_links(pages: DataFrame) -> DataFrame:
     raw = pages.select("title").join(section_links(pages), "title", "left").join(intro_links(pages), "title", "left")
     raw = raw.select("title", *[F.coalesce(k, empty).alias(k) for k in ("see_also", "external", "intro")])
     return raw.join(resolve(raw, pages.select("title")), "title")
+
+
+def html_links(url: Column, html: Column) -> Column:
+    """The pages that a web page links, each once, in order: quoted targets of its <a> elements without fragments.
+
+    Targets with a leading slash belong to the page's host; fragments of the page itself and targets of other schemes (mail, scripts) are no pages. Null without html.
+    """
+    host = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/]*", 0)
+    targets = F.transform(F.regexp_extract_all(html, F.lit(r"""(?i)<a\s[^>]*?href=["']([^"']+)["']"""), 1), lambda t: F.regexp_replace(F.trim(t), "#.*$", ""))
+    pages = F.filter(targets, lambda t: (t != "") & (t.rlike("(?i)^https?://") | ~t.rlike("^[A-Za-z][A-Za-z0-9+.-]*:")))
+    return F.array_distinct(F.transform(pages, lambda t: F.when(F.startswith(t, F.lit("/")) & ~F.startswith(t, F.lit("//")), F.concat(host, t)).otherwise(t)))

@@ -111,11 +111,11 @@ class PostingsIndex:
     def append(self, docs: DataFrame, batch: int, key: str = "doc_id", text: str = "text") -> None:
         """Takes in a batch of documents. Null texts are left out; documents with one key count as two. A batch number that was given before is replaced.
 
-        A block's documents come from one task, so what is gathered for a term never exceeds a block, however frequent the term is.
+        A block's documents come from one task, so what is gathered for a term never exceeds a block, however frequent the term is. Documents are
+        written last: a batch that has none of them is not complete and must be given again.
         """
         rows = docs.where(F.col(text).isNotNull()).select(F.col(key).cast("long").alias("doc"), word_tokens(F.col(text)).alias("terms"))
         rows = rows.withColumn("length", F.size("terms"))
-        replaced(rows.select("doc", "length", F.lit(batch).cast("long").alias("batch")), f"{self.path}/documents", "batch")
         numbered = rows.withColumn("at", F.monotonically_increasing_id()).select("at", "doc", "length", F.explode("terms").alias("term"))
         counts = numbered.groupBy("at", "doc", "length", "term").agg(F.count("*").cast("int").alias("tf"))
         entry = F.struct("doc", "tf", "length").alias("entry")
@@ -125,6 +125,7 @@ class PostingsIndex:
         blocks = blocks.withColumn("batch", F.lit(batch).cast("long")).withColumn("bucket", bucket_of("term", self.buckets))
         spread = blocks.hint("rebalance", "bucket").sortWithinPartitions("batch", "bucket", "term")
         spread.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch", "bucket").parquet(f"{self.path}/postings")
+        replaced(rows.select("doc", "length", F.lit(batch).cast("long").alias("batch")), f"{self.path}/documents", "batch")
 
     def terms(self, terms: DataFrame) -> DataFrame:
         """The posting blocks of the terms in column `term`; only their buckets are read."""
