@@ -109,7 +109,7 @@ class PostingsIndex:
         return parquet_or_empty(self.spark, f"{self.path}/postings", "term string, block long, n int, max_tf int, min_length int, entries array<struct<doc: bigint, tf: int, length: int>>, batch long, bucket int")
 
     def append(self, docs: DataFrame, batch: int, key: str = "doc_id", text: str = "text") -> None:
-        """Takes in a batch of documents. Null texts are left out; documents with one key count as two. A batch number that was given before is replaced.
+        """Takes in a batch of documents. Null texts are left out; of documents with one key those of a batch may count as one, those of several batches don't. A batch number that was given before is replaced.
 
         A block's documents come from one task, so what is gathered for a term never exceeds a block, however frequent the term is. Documents are
         written last: a batch that has none of them is not complete and must be given again.
@@ -137,9 +137,9 @@ class PostingsIndex:
     def search(self, queries: DataFrame, k: int = 100, k1: float = 0.9, b: float = 0.4, query_key: str = "item_id", text: str = "text", probes: int = 3) -> DataFrame:
         """(query_key, doc_id, score, rank): the k best documents of each query by BM25 over its distinct terms; ties by document.
 
-        A query's `probes` strongest terms give its k-th best partial score, which no result is below. Terms that together can't reach it add no document of their own:
-        they are looked up for the documents of the other terms, of which blocks that can't reach it either are left out. So a frequent word's
-        documents don't meet every query that has it, and the results are exact.
+        All blocks of the same documents meet in one task, which holds the queries' terms (in slices of a checked size), so a document's score is summed where its
+        postings are and only k rows a query and task are shuffled, however frequent a word is. The k-th best sum over a query's `probes`
+        strongest terms is a score that no result is below; blocks of a term whose bound, with all other terms at their best, can't reach it are not opened.
         """
         stats = self.documents().agg(F.count("*").alias("n"), F.avg("length").alias("mean")).first()
         mean = float(stats.mean or 1.0)
@@ -152,31 +152,27 @@ class PostingsIndex:
         bound = weighted(F.col("max_tf"), F.col("min_length"))
         frequency = blocks.groupBy("term").agg(F.sum("n").alias("df"), F.max(bound).alias("bound"))
         idf = F.log(1 + (F.lit(float(stats.n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+        plan = asked.join(frequency.select("term", idf.alias("idf"), (idf * F.col("bound")).alias("upper")), "term")
         of_query = Window.partitionBy(query_key)
-        weak_first = of_query.orderBy("upper", "term")
-        plan = asked.join(frequency.select("term", idf.alias("idf"), (idf * F.col("bound")).alias("upper")), "term").withColumns(
-            {"total": F.sum("upper").over(of_query), "reach": F.sum("upper").over(weak_first.rowsBetween(Window.unboundedPreceding, 0)), "strength": F.row_number().over(of_query.orderBy(F.desc("upper"), F.desc("term")))}
-        )
-        plan = cut(plan)
-
-        def scored(terms: DataFrame, some: Column | None = None) -> DataFrame:
-            """(query, doc, score) sums over the given (query, term) rows; blocks that fail the condition are left out."""
-            met = terms.join(blocks, "term")
-            met = met if some is None else met.where(some)
-            one = met.select(query_key, "idf", F.explode("entries").alias("e")).select(query_key, F.col("e.doc").alias("doc_id"), (F.col("idf") * weighted(F.col("e.tf"), F.col("e.length"))).alias("part"))
-            return one.groupBy(query_key, "doc_id").agg(F.sum("part").alias("score"))
-
-        first = top_k(scored(plan.where(F.col("strength") <= probes)), [query_key], [F.desc("score")], k)
-        least = first.where(F.col("rank") == k).select(query_key, (F.col("score") - 1e-6).alias("least"))
-        plan = cut(plan.join(least, query_key, "left").withColumn("least", F.coalesce("least", F.lit(0.0))))
-        strong = F.col("reach") >= F.col("least")
-        able = F.col("idf") * bound + F.col("total") - F.col("upper") >= F.col("least")
-        lead = scored(plan.where(strong), able)
-        weak = plan.where(~strong)
-        rest = weak.groupBy(query_key).agg(F.max("least").alias("least"), F.sum("upper").alias("more"))
-        lead = cut(lead.join(rest, query_key, "left").where(F.col("more").isNull() | (F.col("score") + F.col("more") >= F.col("least"))).select(query_key, "doc_id", "score"))
-        wanted = lead.select(query_key, "doc_id").join(weak.select(query_key, "term", "idf"), query_key)
-        entries = blocks.join(weak.select("term").distinct(), "term", "left_semi").select("term", F.explode("entries").alias("e")).select("term", F.col("e.doc").alias("doc_id"), weighted(F.col("e.tf"), F.col("e.length")).alias("w"))
-        added = wanted.join(entries, ["term", "doc_id"]).select(query_key, "doc_id", (F.col("idf") * F.col("w")).alias("score"))
-        found = lead.unionByName(added).groupBy(query_key, "doc_id").agg(F.sum("score").alias("score"))
-        return top_k(found, [query_key], [F.desc(F.round("score", 9)), F.col("doc_id")], k)
+        plan = cut(plan.withColumns({"total": F.sum("upper").over(of_query), "strength": F.row_number().over(of_query.orderBy(F.desc("upper"), F.desc("term")))}))
+        slices = max(1, -(-plan.count() // QUERY_ROWS))
+        aligned = ["batch", "block"]
+
+        def best(terms: DataFrame, order: list[Column], some: Column | None = None) -> DataFrame:
+            """The k best documents by the sums over the given (query, term) rows; blocks that fail the condition are left out."""
+            opened = blocks.join(F.broadcast(terms.select("term").distinct()), "term", "left_semi").repartition(*aligned).join(F.broadcast(terms), "term")
+            opened = opened if some is None else opened.where(some)
+            one = opened.select(*aligned, query_key, "idf", F.explode("entries").alias("e"))
+            part = F.col("idf") * weighted(F.col("e.tf"), F.col("e.length"))
+            sums = one.select(*aligned, query_key, F.col("e.doc").alias("doc_id"), part.alias("part")).groupBy(*aligned, query_key, "doc_id").agg(F.sum("part").alias("score"))
+            return top_k(sums.select(query_key, "doc_id", "score"), [query_key], order, k)
+
+        found = None
+        for s in range(slices):
+            some = plan.where(F.pmod(F.xxhash64(query_key), F.lit(slices)) == s)
+            least = best(some.where(F.col("strength") <= probes), [F.desc("score")]).where(F.col("rank") == k).select(query_key, (F.col("score") - 1e-6).alias("least"))
+            some = cut(some.join(least, query_key, "left").withColumn("least", F.coalesce("least", F.lit(0.0))))
+            able = F.col("idf") * bound + F.col("total") - F.col("upper") >= F.col("least")
+            result = best(some, [F.desc(F.round("score", 9)), F.col("doc_id")], able)
+            found = result if found is None else found.unionByName(result)
+        return found
