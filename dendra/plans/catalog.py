@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from dendra.functions import parsers, prompts, text as T
 from dendra.functions.vector import cosine
-from dendra.operators import context, graph, metrics, pages, retrieval, tree
+from dendra.operators import context, divergence, graph, metrics, pages, retrieval, tree
 from dendra.operators.shared import cut, deleted, new_folder
 from dendra.operators.stores import GraphStore, PostingsIndex
 from dendra.sources import readers, sinks
@@ -487,6 +487,34 @@ def adjacent_cosine(spark, sf_dir):
     return rows.join(after, "vec_id").select("vec_id", F.round(cosine(F.col("embedding"), F.col("after")), 6).alias("adjacent"))
 
 
+def clusters_sql(bins: int, rounds: int) -> str:
+    """Histogram h of the bins that vectors of even and odd ids fall in, by the definition of the rounds."""
+    out = [f"v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS e FROM embeddings), c0 AS (SELECT row_number() OVER (ORDER BY id) - 1 AS bin, e FROM (SELECT * FROM v ORDER BY id LIMIT {bins}))"]
+    for r in range(rounds + 1):
+        out.append(f"a{r} AS (SELECT id, arg_min(bin, (d, bin)) AS bin FROM (SELECT v.id, c.bin, list_distance(v.e, c.e) AS d FROM v, c{r} c) GROUP BY id)")
+        moved = f"SELECT bin, list(x ORDER BY i) AS e FROM (SELECT bin, i, avg(x) AS x FROM (SELECT a.bin, unnest(v.e) AS x, generate_subscripts(v.e, 1) AS i FROM a{r} a JOIN v USING (id)) GROUP BY bin, i) GROUP BY bin"
+        out.append(f"c{r + 1} AS (SELECT c.bin, coalesce(m.e, c.e) AS e FROM c{r} c LEFT JOIN ({moved}) m USING (bin))")
+    return ", ".join(out) + f", h AS (SELECT bin::INTEGER AS bin, count(*) FILTER (id % 2 = 0) AS n_left, count(*) FILTER (id % 2 = 1) AS n_right FROM a{rounds} GROUP BY bin)"
+
+
+@query(f"WITH {clusters_sql(16, 3)} SELECT * FROM h")
+def quantized_histogram(spark, sf_dir):
+    """Vectors of even and of odd ids in the bins of their joint quantization."""
+    rows = table(spark, sf_dir, "embeddings")
+    return divergence.histograms(rows.where("vec_id % 2 = 0"), rows.where("vec_id % 2 = 1"), bins=16, rounds=3)
+
+
+@query(f"""WITH {clusters_sql(16, 3)}, s AS (SELECT n_left / sum(n_left) OVER () AS p, n_right / sum(n_right) OVER () AS q FROM h),
+  r AS (SELECT p, q, w, w * p + (1 - w) * q AS r FROM s, (SELECT 1e-6 + i * (1 - 2e-6) / 24 AS w FROM range(25) t(i))),
+  c AS (SELECT exp(-5 * sum(CASE WHEN q > 0 THEN q * ln(q / r) ELSE 0 END)) AS x, exp(-5 * sum(CASE WHEN p > 0 THEN p * ln(p / r) ELSE 0 END)) AS y FROM r GROUP BY w UNION ALL SELECT 0, 1 UNION ALL SELECT 1, 0),
+  t AS (SELECT (x - lag(x) OVER a) * (y + lag(y) OVER a) / 4 AS a, (y - lag(y) OVER b) * (x + lag(x) OVER b) / 4 AS b FROM c WINDOW a AS (ORDER BY x, y DESC), b AS (ORDER BY y, x DESC))
+  SELECT round(sum(a) + sum(b), 6) AS area FROM t""")
+def distribution_area(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings")
+    found = divergence.distribution_score(rows.where("vec_id % 2 = 0"), rows.where("vec_id % 2 = 1"), bins=16, rounds=3)
+    return found.select(F.round("area", 6).alias("area"))
+
+
 # ---------------------------------------------------------------- search
 
 TOKEN_SQL = "regexp_extract_all(lower(text), '[^\\s.,;:!?|()\\[\\]\"]+')"
