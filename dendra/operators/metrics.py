@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import math
+import re
 from collections import Counter
 from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from dendra.functions.stems import stem
 from dendra.functions.text import after_reasoning, list_answers, normalize_answer, trim_output, word_count
 
 #: Answers that count only if they are exactly equal.
@@ -194,21 +197,48 @@ def _lcs_places(a: list[str], b: list[str]) -> set[int]:
     return out
 
 
-def summary_overlap(reference: str, said: str) -> float:
-    """F-measure of the sentence-wise longest common subsequence (line feeds end sentences), words in lower case without stemming."""
-    import re
-
-    split = lambda t: [re.findall(r"[a-z0-9]+", s.lower()) for s in (t or "").split("\n")]
+def summary_overlap(reference: str, said: str, stems: bool = True) -> float:
+    """F-measure of the sentence-wise longest common subsequence: line feeds end sentences, words are in lower case and compared by their stems."""
+    word = stem if stems else str
+    split = lambda t: [[word(w) for w in re.findall(r"[a-z0-9]+", s.lower())] for s in (t or "").split("\n")]
     a, b = split(reference), split(said)
     n, m = sum(map(len, a)), sum(map(len, b))
     same = _union_lcs(a, b) if n and m else 0
     return 2.0 * same / (n + m) if same else 0.0
 
 
-@F.pandas_udf(T.DoubleType())
-def best_summary_overlap(references: pd.Series, said: pd.Series) -> pd.Series:
-    """Largest summary_overlap over an array of references."""
-    return pd.Series([max((summary_overlap(r, s) for r in (() if rs is None else rs)), default=0.0) for rs, s in zip(references, said)], dtype="float64")
+def best_summary_overlap(references: Column, said: Column, stems: bool = True) -> Column:
+    """Largest summary_overlap over an array of references; 0 without any."""
+
+    @F.pandas_udf(T.DoubleType())
+    def run(references: pd.Series, said: pd.Series) -> pd.Series:
+        return pd.Series([max((summary_overlap(r, s, stems) for r in (() if rs is None else rs)), default=0.0) for rs, s in zip(references, said)], dtype="float64")
+
+    return run(references, said)
+
+
+#: The chance that a Poisson number of mean 1 is at most 0, 1, 2, …
+_POISSON = [sum(math.exp(-1) / math.factorial(i) for i in range(k + 1)) for k in range(12)]
+
+
+def resampled(scores: DataFrame, score: str, keys: list[str], replicates: int = 1000, confidence: float = 0.95) -> DataFrame:
+    """(n, mean, low, high) of a score with its bootstrap interval, in one pass over the rows.
+
+    In each replicate a row counts as often as a Poisson number of mean 1 says, which a hash of its keys and the replicate's number fixes; so no row is drawn from a list, any
+    layout of the rows gives the same interval, and a task sends one row for each replicate. low and high are the replicates' means of the lowest and highest ranks
+    within the confidence. Null scores are left out; without rows the mean is null; replicates that draw no row have no mean.
+    """
+    rows = scores.where(F.col(score).isNotNull()).select(F.col(score).cast("double").alias("x"), F.concat_ws(":", *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys]).alias("key"))
+    rows = rows.select("x", "key", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"))
+    share = F.conv(F.substring(F.md5(F.concat_ws(":", "key", "replicate")), 1, 8), 16, 10).cast("long") / F.lit(float(1 << 32))
+    weight = sum((F.when(share >= F.lit(p), 1).otherwise(0) for p in _POISSON), F.lit(0))
+    sums = rows.select("replicate", "x", weight.alias("w")).groupBy("replicate").agg(F.sum("w").alias("w"), F.sum(F.col("w") * F.col("x")).alias("wx"))
+    means = F.array_sort(F.collect_list(F.when(F.col("w") > 0, F.col("wx") / F.col("w"))))
+    tail = (1 - confidence) / 2
+    at = lambda share: F.get("means", F.least(F.size("means") - 1, F.floor(F.size("means") * F.lit(share)).cast("int")))
+    interval = sums.agg(means.alias("means")).select(at(tail).alias("low"), at(1 - tail).alias("high"))
+    whole = scores.where(F.col(score).isNotNull()).agg(F.count("*").alias("n"), F.avg(score).alias("mean"))
+    return whole.join(F.broadcast(interval))
 
 
 def claim_recall(items: DataFrame, entails, key: str = "id") -> DataFrame:

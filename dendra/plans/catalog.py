@@ -140,6 +140,18 @@ def short_form_report(spark, sf_dir):
     return report.select("n", *[F.round(c, 6).alias(c) for c in report.columns if c != "n"])
 
 
+@query(f"""WITH {SCORES}, f1 AS (SELECT conv_id || ':' || turn AS k, CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END AS x FROM scored),
+  d AS (SELECT b, x, ('0x' || substr(md5(k || ':' || b), 1, 8))::BIGINT / 4294967296 AS u FROM f1, range(200) t(b)),
+  w AS (SELECT b, x, length(list_filter([{", ".join(map(repr, metrics._POISSON))}], lambda c: u >= c)) AS w FROM d),
+  m AS (SELECT list_sort(list(wx / w)) AS means FROM (SELECT sum(w) AS w, sum(w * x) AS wx FROM w GROUP BY b) WHERE w > 0)
+  SELECT (SELECT count(*) FROM f1) AS n, round((SELECT avg(x) FROM f1), 6) AS mean, round(means[1 + floor(length(means) * 0.025)::INTEGER], 6) AS low, round(means[1 + floor(length(means) * 0.975)::INTEGER], 6) AS high FROM m""")
+def resampled_f1(spark, sf_dir):
+    """Mean token F1 with its bootstrap interval."""
+    s = metrics.token_scores(F.col("output"), F.array("gold"))
+    found = metrics.resampled(_turns(spark, sf_dir).select("conv_id", "turn", s["f1"].alias("f1")), "f1", ["conv_id", "turn"], replicates=200)
+    return found.select("n", *[F.round(c, 6).alias(c) for c in ("mean", "low", "high")])
+
+
 @query(f"""WITH {TURNS} SELECT conv_id, turn FROM turns WHERE {norm_sql('gold')} <> '' AND contains({norm_sql("trim(output, chr(10) || '., ')")}, {norm_sql('gold')})
   AND {norm_sql("trim(output, chr(10) || '., ')")} <> {norm_sql('gold')}""")
 def special_cases(spark, sf_dir):
