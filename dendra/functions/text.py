@@ -103,6 +103,13 @@ def force_citations(text: Column, shown: Column) -> Column:
     return F.array_join(F.transform(sentences(strip_citations(text)), lambda s: F.concat(marks, F.lit(" "), s)), " ")
 
 
+def force_list_citations(text: Column, shown: Column) -> Column:
+    """Each comma-separated answer without its own citations and with those of the shown documents (numbers from 0) in front; a comma and a blank end the list."""
+    marks = F.array_join(F.transform(shown, lambda n: F.concat(F.lit("["), (n + 1).cast("string"), F.lit("]"))), "")
+    bare = F.regexp_replace(F.rtrim(strip_citations(text)), ",+$", "")
+    return F.concat(F.array_join(F.transform(F.split(bare, ","), lambda a: F.concat(marks, F.lit(" "), F.trim(a))), ", "), F.lit(", "))
+
+
 def hit_fields(document_id: Column) -> Column:
     """struct(title, url) of search hits whose id is a JSON object."""
     return F.from_json(document_id, "title string, url string")

@@ -8,13 +8,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from dendra.functions import parsers, prompts, text as T
 from dendra.functions.vector import cosine
 from dendra.operators import context, divergence, graph, metrics, pages, retrieval, tree
 from dendra.operators.shared import cut, deleted, new_folder
 from dendra.operators.stores import GraphStore, PostingsIndex
+from dendra.operators.turns import converse_in_turns
 from dendra.sources import readers, sinks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -698,6 +699,46 @@ def qa_em_hit(spark, sf_dir):
     return rows.select("conv_id", "turn", "s.em", "s.hit")
 
 
+class Scripted:
+    """Acts by the number in the prompt's first line and by the lines since."""
+
+    def generate(self, prompts: list[str], max_tokens: int) -> list[str]:
+        return [self.one(int(p.split("\n")[0]), p.count("\n", 0, p.find("Document [") + 1 or len(p)) - 1, p.endswith("Output:")) for p in prompts]
+
+    @staticmethod
+    def one(n: int, s: int, shown: bool) -> str:
+        if shown:
+            return f" seen {n}-{s}. It is so."
+        acts = [
+            "Check: [1][9][2]", f"Output: say {n} [2]. Then {s}.", "Check: [2][3][1][2]", f"Output: more {s}", "End" if s > 3 else "Check: [7]",
+            "I am sorry, there is no relevant document." if n % 5 == 0 else "???" if n % 7 == 0 else f"Output: last {n}.",
+        ]
+        return acts[(n + s) % 6] + "\nnot read"
+
+
+@query("""WITH RECURSIVE c AS (SELECT conv_id AS id, count(*)::INTEGER AS n FROM conversations WHERE text IS NOT NULL GROUP BY conv_id),
+  st AS (SELECT id, n, 0 AS s, false AS pending, '' AS said, [-1]::INTEGER[] AS shown, NULL::VARCHAR AS ended FROM c
+  UNION ALL SELECT id, n, s + 1, kind = 'look', CASE WHEN kind = 'output' THEN said || ' ' || cited ELSE said END,
+    CASE WHEN kind = 'look' THEN list_filter(list_transform(regexp_extract_all(act, '\\[(\\d+)', 1), lambda x: x::INTEGER), lambda x: x <= n)[1:3] ELSE shown END,
+    CASE WHEN kind NOT IN ('look', 'output') THEN kind WHEN s + 1 >= 6 THEN 'turns' END
+  FROM (SELECT *, CASE WHEN shown = [-1] THEN bare ELSE array_to_string(list_transform(list_filter(regexp_split_to_array(regexp_replace(bare, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda x: x <> ''),
+      lambda x: array_to_string(list_transform(shown, lambda d: '[' || d || ']'), '') || ' ' || x), ' ') || '.' END AS cited
+    FROM (SELECT *, trim(replace(replace(regexp_replace(act, ' \\[[0-9]+', '', 'g'), ']', ''), 'Output:', '')) AS bare,
+      CASE WHEN act = 'End' THEN 'end' WHEN act LIKE 'I am sorry%' THEN 'abstain' WHEN act LIKE 'Check%' THEN 'look' WHEN act LIKE 'Output%' THEN 'output' ELSE 'unknown' END AS kind
+    FROM (SELECT *, CASE WHEN pending THEN 'Output: seen ' || id || '-' || s || '. It is so.' ELSE CASE (id + s) % 6 WHEN 0 THEN 'Check: [1][9][2]' WHEN 1 THEN 'Output: say ' || id || ' [2]. Then ' || s || '.' WHEN 2 THEN 'Check: [2][3][1][2]'
+      WHEN 3 THEN 'Output: more ' || s WHEN 4 THEN CASE WHEN s > 3 THEN 'End' ELSE 'Check: [7]' END ELSE CASE WHEN id % 5 = 0 THEN 'I am sorry, there is no relevant document.' WHEN id % 7 = 0 THEN '???' ELSE 'Output: last ' || id || '.' END END END AS act
+    FROM st WHERE ended IS NULL))))
+  SELECT id AS conv_id, said AS output, s::INTEGER AS turns, ended FROM st WHERE ended IS NOT NULL""")
+def turn_conversations(spark, sf_dir):
+    """Scripted conversations over each conversation's turns as documents, with the citations of what was shown last."""
+    rows = table(spark, sf_dir, "conversations").where("text is not null")
+    docs = rows.select(F.col("conv_id").alias("id"), "turn", F.col("role").alias("title"), "text")
+    docs = docs.withColumn("doc", F.row_number().over(Window.partitionBy("id").orderBy("turn")) - 1)
+    asked = docs.select("id").distinct().select("id", F.col("id").cast("string").alias("prompt"))
+    found = converse_in_turns(asked, docs, Scripted, force="sentences", max_turns=6)
+    return found.select(F.col("id").alias("conv_id"), "output", "turns", "ended")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return propagate_hop1(spark, sf_dir)
 
