@@ -63,7 +63,7 @@ def clean_markup(text: Column, keep_links: bool = False) -> Column:
     return F.regexp_replace(out, r"^\s+|\s+$", "")
 
 
-#: A heading is a run of = at a line's start, its text, and the same run; a list item is colons, * or #, and its text.
+#: A heading is a run of = at a line's start, its text, and the same run; a list item is colons, * or #, and its text.
 HEADING = r"^(={2,})\s*(.*?)\s*\1"
 LIST_ITEM = r"^(:*)([*#]+)\s*(.*)"
 

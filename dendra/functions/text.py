@@ -64,7 +64,7 @@ def bullet_answers(output: Column, question: Column) -> Column:
     A candidate with a capital Q, or that the question contains, is left out; quotes around an answer and
     parentheses in it are removed. No bullet line gives an empty text.
     """
-    lines = F.transform(F.regexp_extract_all(output, F.lit(r"(?m)^\s*(?:[*+]|[0-9]+\.)\s+(.*)$")), F.trim)
+    lines = F.transform(F.regexp_extract_all(output, F.lit(r"(?m)^\s*(?:[*+]|[0-9]+\.)\s+(.*)$")), lambda x: F.trim(x))
     kept = F.filter(lines, lambda c: ~F.contains(c, F.lit("Q")) & ~F.contains(question, c))
     unquoted = F.transform(kept, lambda c: F.trim(F.btrim(F.btrim(c, F.lit('"')), F.lit("'"))))
     bare = F.transform(unquoted, lambda c: F.trim(F.regexp_replace(c, r"\([^)]*\)", "")))
@@ -94,7 +94,7 @@ def evidence_text(title: Column, sentence: Column, text: Column) -> Column:
 
 def sentences(text: Column) -> Column:
     """Sentences by their final mark and the blank after it; the default where no model splits them."""
-    return F.filter(F.transform(F.split(text, r"(?<=[.!?])\s+"), F.trim), lambda s: s != "")
+    return F.filter(F.transform(F.split(text, r"(?<=[.!?])\s+"), lambda x: F.trim(x)), lambda s: s != "")
 
 
 def force_citations(text: Column, shown: Column) -> Column:

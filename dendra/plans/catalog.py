@@ -10,9 +10,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from dendra.functions import parsers, prompts, text as T
+from dendra.functions import markup, parsers, prompts, text as T
 from dendra.functions.vector import cosine
-from dendra.operators import context, divergence, graph, metrics, pages, retrieval, tree
+from dendra.operators import context, divergence, graph, links, metrics, pages, retrieval, tree
 from dendra.operators.shared import cut, deleted, new_folder
 from dendra.operators.stores import GraphStore, PostingsIndex
 from dendra.operators.turns import converse_in_turns
@@ -192,7 +192,7 @@ def avg_len(spark, sf_dir):
   round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END, 6)::DOUBLE AS f1, round(CASE WHEN p + r5 > 0 THEN 2 * p * r5 / (p + r5) ELSE 0 END, 6)::DOUBLE AS f1_top5 FROM r""")
 def list_prf_top5(spark, sf_dir):
     """Of each text's parts every third is only said, every third only expected, and the others are both."""
-    parts = F.filter(F.transform(F.split("text", ","), F.trim), lambda x: x != "")
+    parts = F.filter(F.transform(F.split("text", ","), lambda x: F.trim(x)), lambda x: x != "")
     rows = table(spark, sf_dir, "documents").select("doc_id", parts.alias("parts"))
     golds = F.transform(F.filter("parts", lambda x, i: i % 3 != 0), lambda x: F.array(x))
     s = metrics.list_scores(F.array_join(F.filter("parts", lambda x, i: i % 3 != 2), ", "), golds)
@@ -339,6 +339,49 @@ def page_links(spark, sf_dir):
     return rows.select("page_id", F.lit(True).alias("linked"), F.size("l").alias("n"), F.size(F.array_distinct("l")).alias("kinds"))
 
 
+#: A page for each document: other documents in its introduction and sections, some misspelt, some unknown; every seventh title is repeated with another case.
+_LINKED = '''concat('See [[Doc ', doc_id * 3 % 1000, '|DOC ', doc_id * 5 % 1000, ']], [[doc ', doc_id * 3 % 1000, ']]<ref>[[Doc 1]]</ref> and [[Doc ', doc_id * 5 % 1000, ']].\n{{box [[Doc 2]]}}\n== Body ==\n[[Doc 3]]\n* [[Doc 4]]\n',
+  '==See Also==\n* [[x|Doc ', doc_id * 7 % 1000, ']] [[{Doc 5}]] [[Nobody]]\n[[Doc 6]]\n* [[doc ', doc_id * 11 % 1000, ']]\n=== External links ===\n* [[Doc 7]]\n{{Doc ', doc_id * 13 % 1000, '|state=on}}\n{{Authority control}}\n{{DOC ', doc_id * 17 % 1000, '}}\n{{x|y}}')'''
+
+
+@query(f'''WITH p AS (SELECT 'Doc ' || doc_id AS title, doc_id AS n, doc_id FROM documents UNION ALL SELECT 'DOC ' || doc_id, doc_id - 5000000, doc_id FROM documents WHERE doc_id % 7 = 0 UNION ALL SELECT 'dOC ' || doc_id, doc_id + 5000000, doc_id FROM documents WHERE doc_id % 7 = 1),
+  m AS (SELECT lower(title) AS l, arg_max(title, n) AS t FROM p GROUP BY 1),
+  r AS (SELECT title, n, ['Doc ' || doc_id * 7 % 1000, 'Nobody', 'doc ' || doc_id * 11 % 1000] AS see_also, ['Doc ' || doc_id * 13 % 1000, 'DOC ' || doc_id * 17 % 1000] AS external,
+    ['DOC ' || doc_id * 5 % 1000, 'doc ' || doc_id * 3 % 1000, 'Doc ' || doc_id * 5 % 1000] AS intro FROM p),
+  x AS (SELECT n, kind, pos, t FROM (SELECT n, kind, unnest(f) AS text, generate_subscripts(f, 1) AS pos FROM (SELECT n, 'see_also' AS kind, see_also AS f FROM r UNION ALL SELECT n, 'external', external FROM r UNION ALL SELECT n, 'intro', intro FROM r)) JOIN m ON lower(text) = l),
+  d AS (SELECT n, kind, list(t ORDER BY pos) AS docs FROM (SELECT n, kind, t, min(pos) AS pos FROM x GROUP BY ALL) GROUP BY ALL)
+  SELECT title, see_also, external, intro, coalesce(a.docs, []) AS see_also_docs, coalesce(b.docs, []) AS external_docs, coalesce(c.docs, []) AS intro_docs FROM r
+  LEFT JOIN d a ON a.n = r.n AND a.kind = 'see_also' LEFT JOIN d b ON b.n = r.n AND b.kind = 'external' LEFT JOIN d c ON c.n = r.n AND c.kind = 'intro' ''')
+def wiki_links(spark, sf_dir):
+    '''Raw and resolved links of pages that are cleaned for their introductions.'''
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.expr(_LINKED).alias("text"))
+    spellings = [("Doc ", 0, None), ("DOC ", -5000000, 0), ("dOC ", 5000000, 1)]
+    pages = [rows.where("true" if rest is None else f"doc_id % 7 = {rest}").select(F.concat(F.lit(name), F.col("doc_id").cast("string")).alias("title"), "text", (F.col("doc_id") + more).alias("n")) for name, more, rest in spellings]
+    return links.page_links(pages[0].unionByName(pages[1]).unionByName(pages[2]), "n")
+
+
+#: Markup around the lines of a text, by their number.
+_MARKED = '''CASE i % 12 WHEN 0 THEN concat('{{Box|', replace(replace(x, '{', ''), '}', ''), '}}') WHEN 1 THEN concat(x, '<ref name=a>', 'see</ref>') WHEN 2 THEN concat('[[File:a.png|', x, ']]') WHEN 3 THEN concat('[[A|', x, ']] [[B]]')
+  WHEN 4 THEN concat(x, '{{cite web|u}} {{Citation|', 'v}}') WHEN 5 THEN concat('{| class=x', chr(10), '| ', x, chr(10), '|}') WHEN 6 THEN concat('[https://e.org/', i, ' ', x, '] [http://e.org]') WHEN 7 THEN concat('| ', x)
+  WHEN 8 THEN concat('<b>', x, '</b><br/>&nbsp;') WHEN 9 THEN concat('[[Category:', x, ']]', chr(10), chr(10), '<gallery>', x, '</gallery>') WHEN 10 THEN concat('&lt;ref&gt;', x, '&lt;/ref&gt;', x) ELSE x END'''
+
+
+def _cleaned_sql() -> str:
+    out = "regexp_replace(t, '(?m)^\\{\\{[^{}]*\\}\\}$', '', 'g')"
+    for pattern, by in markup.REWRITES:
+        out = f"regexp_replace({out}, '{pattern}', '{by.replace('$', chr(92))}', 'g')"
+    return f"regexp_replace({out}, '^\\s+|\\s+$', '', 'g')"
+
+
+@query(f'''WITH l AS (SELECT doc_id, translate(unnest(string_split(text, chr(10))), '[]<>&|=', '') AS x, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents WHERE text IS NOT NULL),
+  p AS (SELECT doc_id, string_agg({_MARKED}, chr(10) ORDER BY i) AS t FROM l GROUP BY doc_id) SELECT doc_id, {_cleaned_sql()} AS text FROM p''')
+def clean_markup(spark, sf_dir):
+    '''Plain text of documents whose lines are wrapped in all kinds of markup.'''
+    lines = F.expr(f"transform(split(translate(text, '[]<>&|=', ''), '\\n'), (x, i) -> {_MARKED})")
+    rows = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.array_join(lines, "\n").alias("t"))
+    return rows.select("doc_id", markup.clean_markup(F.col("t")).alias("text"))
+
+
 def _page_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = F.regexp_extract_all("html", F.lit('<a href="([^"]+)"'), 1)
     rows = table(spark, sf_dir, "pages").select(F.col("url").alias("title"), found.alias("links"))

@@ -94,3 +94,22 @@ def test_links(spark):
     assert page.see_also == ["Delta", "GAMMA"] and page.external == ["Alpha", "Delta"] and page.intro == ["beta", "Gamma"]
     assert page.see_also_docs == ["Delta", "Gamma"] and page.external_docs == ["alpha", "Delta"] and page.intro_docs == ["Beta", "Gamma"]
     assert got["Other"].intro_docs == []
+
+
+def test_links_of_repeated_titles_and_spellings(spark):
+    pages = spark.createDataFrame([("A", "[[B]]", 1), ("A", "[[x|a]] [[b]] [[B]]", 2), ("B", None, 3), ("b", "==See also==\n* [[B]], [[{x}]], [[ ]]\n== External links and see also ==\n* [[A]]\n{{A}}", 0)], "title string, text string, n int")
+    got = [tuple(r) for r in links.page_links(pages, "n").orderBy("title", "intro").collect()]
+    assert got == [
+        ("A", [], [], ["B"], [], [], ["B"]),
+        ("A", [], [], ["a", "b", "B"], [], [], ["A", "B"]),
+        ("B", [], [], [], [], [], []),
+        ("b", ["B"], ["A"], [], ["B"], ["A"], []),
+    ]
+    assert {r.title: r.intro_docs for r in links.page_links(pages.where("title <> 'A' or n = 1").coalesce(1)).collect()}["A"] == ["b"]  # the last in the source
+    assert links.page_links(pages.limit(0)).collect() == []
+
+
+def test_html_links(spark):
+    html = '<A HREF="/x#a">1</A><a class=y href=\'/x\'>2</a><a href="#top"><a href="mailto:a@b"><a href="HTTPS://z/"><a href=" y.html "><a href="//h/p"><b href="/no">'
+    got = spark.createDataFrame([("http://host:1/dir/page", html), ("rel", '<a href="/x">'), ("http://a/", None)], "u string, h string").select(links.html_links(F.col("u"), F.col("h"))).collect()
+    assert [r[0] for r in got] == [["http://host:1/x", "HTTPS://z/", "y.html", "//h/p"], ["/x"], None]
