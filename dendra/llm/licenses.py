@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Iterator
 from difflib import SequenceMatcher
 from itertools import islice
 
@@ -60,7 +61,7 @@ _CUE = re.compile(CUES)
 _SENTENCE = re.compile(r"[^\n]+?(?:[.!?;:](?=\s)|(?=\n)|\Z)", re.S)
 _WORD = re.compile(r"[\w.+-]*\w")
 LEVEL = 3
-#: A run of sentences with cues is cut into blocks of about so many characters; what a cut divides is found in the text around a block.
+#: A run of sentences with cues, and a sentence without an end, is cut into blocks of up to so many characters; what a cut divides is found in the text around a block.
 BLOCK_CHARS = 2000
 
 
@@ -68,19 +69,32 @@ def words_of(text: str) -> list[str]:
     return [w.lower() for w in _WORD.findall(text)]
 
 
+def bounded_sentences(text: str) -> Iterator[tuple[int, int]]:
+    """Bounds of sentences; one without an end is cut before the last word that would make it longer than BLOCK_CHARS, or there within a word as long as that."""
+    for m in _SENTENCE.finditer(text):
+        at = m.start()
+        while m.end() - at > BLOCK_CHARS:
+            blank = max(text.rfind(x, at + 1, at + BLOCK_CHARS) for x in " \t")
+            to = blank if blank > at else at + BLOCK_CHARS
+            yield at, to
+            at = to
+        yield at, m.end()
+
+
 def blocks(text: str) -> list[tuple[int, int]]:
-    """Bounds of runs of sentences with a cue, up to BLOCK_CHARS or one sentence; one sentence without a cue inside a run doesn't end it. Lines end sentences."""
+    """Bounds of runs of sentences with a cue, up to BLOCK_CHARS; one sentence without a cue inside a run doesn't end it. Lines end sentences."""
     found: list[list[int]] = []
     idle = 2
-    for m in _SENTENCE.finditer(text):
-        if not m[0].strip():
+    for start, end in bounded_sentences(text):
+        said = text[start:end]
+        if not said.strip():
             continue
-        if _CUE.search(m[0]):
-            start = m.start() + len(m[0]) - len(m[0].lstrip())
-            if found and idle < 2 and m.end() - found[-1][0] <= BLOCK_CHARS:
-                found[-1][1] = m.end()
+        if _CUE.search(said):
+            start += len(said) - len(said.lstrip())
+            if found and idle < 2 and end - found[-1][0] <= BLOCK_CHARS:
+                found[-1][1] = end
             else:
-                found.append([start, m.end()])
+                found.append([start, end])
             idle = 0
         else:
             idle += 1

@@ -121,6 +121,20 @@ def test_long_runs_of_notices_take_time_in_proportion():
     assert took[1] < 8 * took[0]
 
 
+def test_sentences_without_an_end_take_time_in_proportion():
+    import time
+
+    rng, scanner, took = random.Random(3), Scanner(), []
+    for n in (20, 160):
+        text = " ".join(f"Licensed under the Apache License, Version 2.0 and {prose(rng, 60)} Released under the MIT License {prose(rng, 9)}" for k in range(n)).replace(". ", " ")
+        began = time.process_time()
+        got = [r for r in scanner.scan(text) if r[-1]]
+        took.append(time.process_time() - began)
+        assert sorted(r[2] for r in got) == sorted(["Apache-2.0", "MIT"] * n) and all(a[1] <= b[0] for a, b in zip(got, got[1:]))
+    assert took[1] < 20 * took[0]
+    assert Scanner().scan("x" * 9000 + "licence" + "y" * 9000)[0][1] <= 18007
+
+
 def test_scan_matches_brute_force_over_all_templates():
     """Each confirmed notice is a true one by its exact differences, and no template that stands unchanged in a text is missed."""
     rng, scanner = random.Random(17), Scanner()
