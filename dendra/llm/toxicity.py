@@ -156,8 +156,11 @@ def train(rows: DataFrame, features: int = 2048, max_fit_rows: int = 20_000) ->
 
     Log-count ratios come from all rows. The linear weights are fitted on about `max_fit_rows` rows drawn
     by a hash of the id, reduced to the chosen features: the `features` n-grams that stand out most, which bounds what the driver
-    holds; all others weigh 0. Without rows, or with rows of one label only, every text gets the smoothed share of label 1.
+    holds; all others weigh 0; more than BUCKETS is an error. Without rows, or with rows of one label only, every text gets the smoothed share of label 1.
     """
+    if not 0 < features <= BUCKETS:
+        raise ValueError(f"features is {features}, of {BUCKETS} buckets")
+    stored = "<u2" if features <= 1 << 16 else "<u4"
     counts, documents = count_presence(rows)
     weights = np.zeros(BUCKETS, dtype=np.float32)
     if not documents.all():
@@ -170,14 +173,14 @@ def train(rows: DataFrame, features: int = 2048, max_fit_rows: int = 20_000) ->
     def reduced(batches):
         for batch in batches:
             texts = [places.value[ngram_buckets(t.as_py())] for t in batch.column(2)]
-            kept = [np.unique(t[t >= 0]).astype("<u2").tobytes() for t in texts]
+            kept = [np.unique(t[t >= 0]).astype(stored).tobytes() for t in texts]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(kept, pa.binary())], ["id", "label", "found"])
 
     part = min(1.0, max_fit_rows / int(documents.sum()))
     drawn = rows.where(F.pmod(F.xxhash64("id", F.lit(7)), F.lit(1 << 20)) < int(part * (1 << 20)))
     sample = arrow_map(drawn.coalesce(4 * rows.sparkSession.sparkContext.defaultParallelism), reduced, "id long, label int, found binary").collect()
     sample.sort(key=lambda r: (r.id, r.label, r.found))
-    fitted, bias = fit_logistic([np.frombuffer(bytes(r.found), dtype="<u2") for r in sample], np.array([r.label for r in sample], dtype=float), ratios)
+    fitted, bias = fit_logistic([np.frombuffer(bytes(r.found), dtype=stored) for r in sample], np.array([r.label for r in sample], dtype=float), ratios)
     weights[chosen] = fitted
     return Model(weights, bias)
 

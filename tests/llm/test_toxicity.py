@@ -2,6 +2,7 @@ import random
 import zlib
 
 import numpy as np
+import pytest
 from dendra.llm import toxicity as T
 from tests.llm.conftest import SCHEMA, prose
 
@@ -72,6 +73,16 @@ def test_held_out_accuracy_and_odd_rows(docs, labels, rows):
     assert by_id[12].predicted == 1 and by_id[0].predicted == 0 and by_id[0].score == by_id[1].score
 
 
+def test_more_features_than_two_bytes_count(labels):
+    marked, texts = labels
+    truth = {r.doc_id: r.toxic for r in marked.where("doc_id >= 1000").collect()}
+    got = {r.doc_id: r.predicted for r in T.score_documents(texts, marked, features=200_000).collect()}
+    assert all(got[i] == truth[i] for i in truth if zlib.crc32(str(i).encode()) % 5 == 0)
+    for features in (0, T.BUCKETS + 1):
+        with pytest.raises(ValueError):
+            T.score_documents(texts, marked, features=features)
+
+
 def test_inputs_of_a_score_are_texts_alone(docs, labels):
     """Labels of the held-out fold, and all columns but the text, change no score."""
     marked, texts = labels
