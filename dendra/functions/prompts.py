@@ -72,13 +72,23 @@ class PromptPack:
             return F.rtrim(F.replace(out, F.lit("{A}"), F.lit("")))
         return F.replace(out, F.lit("{A}"), answer)
 
-    def few_shot(self, question: Column, docs: Column | None, shots: int) -> Column:
-        """The first `shots` demonstrations, then the question."""
-        parts = []
-        for demo in self.demos[:shots]:
+    def drawn(self, key: Column, shots: int, seed: int) -> Column:
+        """The numbers of `shots` demonstrations drawn without replacement for the item of each key, in the order of their hashes."""
+        chances = [F.struct(F.md5(F.concat_ws(":", F.lit(str(seed)), key.cast("string"), F.lit(str(i)))).alias("h"), F.lit(i).alias("i")) for i in range(len(self.demos))]
+        if not chances:
+            return F.array().cast("array<int>")
+        return F.transform(F.slice(F.array_sort(F.array(*chances)), 1, shots), lambda c: c["i"])
+
+    def few_shot(self, question: Column, docs: Column | None, shots: int, key: Column | None = None, seed: int = 0) -> Column:
+        """`shots` demonstrations, then the question: the first ones, or with a key those that drawn() gives the item."""
+        made = []
+        for demo in self.demos if key is not None else self.demos[:shots]:
             answer = demo["answer"]
             texts = None
             if docs is not None:
                 texts = F.array(*[self.document(F.lit(d["title"]), F.lit(d["text"]), F.lit(i)) for i, d in enumerate(demo.get("docs", []))])
-            parts += [self.shown(F.lit(demo["question"]), texts, F.lit("\n".join(answer) if isinstance(answer, list) else answer)), F.lit(self.demo_sep)]
-        return F.concat(*parts, self.shown(question, docs))
+            made.append(F.concat(self.shown(F.lit(demo["question"]), texts, F.lit("\n".join(answer) if isinstance(answer, list) else answer)), F.lit(self.demo_sep)))
+        if key is None or not made:
+            return F.concat(*made, self.shown(question, docs))
+        every = F.array(*made)
+        return F.concat(F.array_join(F.transform(self.drawn(key, shots, seed), lambda i: F.get(every, i)), ""), self.shown(question, docs))

@@ -5,43 +5,48 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from dendra.functions.text import word_count
-from dendra.operators.shared import running
+from dendra.operators.shared import running, unused
 
 
-def _placed(items: DataFrame, key: str, order: list[Column]) -> DataFrame:
-    return running(items, key, order, F.lit(1)).withColumn("place", (F.col("_before") + 1).cast("int")).drop("_before", "_total")
+def _placed(items: DataFrame, key: str, order: list[tuple[str, bool]]) -> DataFrame:
+    return running(items, key, order, F.lit(1), lambda before, total: {"place": (before + 1).cast("int")})
 
 
 def interleaved(items: DataFrame, key: str = "qid", score: str = "total_score", tie: str = "at") -> DataFrame:
     """items with `place`: by decreasing score the 1st, 3rd, 5th … come first and …, 6th, 4th, 2nd last."""
-    ranked, rank = running(items, key, [F.desc(score), F.asc(tie)], F.lit(1)), F.col("_before")
-    place = F.when(rank % 2 == 0, F.expr("_before div 2") + 1).otherwise(F.col("_total") - F.expr("_before div 2"))
-    return ranked.withColumn("place", place.cast("int")).drop("_before", "_total")
+
+    def place(before: Column, total: Column) -> dict[str, Column]:
+        half = F.floor(before / 2)
+        return {"place": F.when(before % 2 == 0, half + 1).otherwise(total - half).cast("int")}
+
+    return running(items, key, [(score, True), (tie, False)], F.lit(1), place)
 
 
 def matched_first(items: DataFrame, passages: DataFrame, key: str = "qid", title: str = "title", order: str = "at") -> DataFrame:
     """items with `place`: those whose title was retrieved before, then the others, each in their order."""
-    known = passages.select(key, F.trim(title).alias("_title"), F.lit(0).alias("_group")).distinct()
-    rows = items.withColumn("_title", F.trim(title)).join(known, [key, "_title"], "left").withColumn("_group", F.coalesce("_group", F.lit(1)))
-    return _placed(rows, key, [F.asc("_group"), F.asc(order)]).drop("_title", "_group")
+    later, known_key, known_title = unused(items, "later"), unused(items, "known_key"), unused(items, "known_title")
+    known = passages.select(F.col(key).alias(known_key), F.trim(F.col(title)).alias(known_title)).distinct()
+    rows = items.join(known, (F.col(key) == F.col(known_key)) & (F.trim(F.col(title)) == F.col(known_title)), "left")
+    rows = rows.withColumn(later, F.col(known_title).isNull().cast("int")).drop(known_key, known_title)
+    return _placed(rows, key, [(later, False), (order, False)]).drop(later)
 
 
 def score_order(items: DataFrame, key: str = "qid", score: str = "total_score", tie: str = "at") -> DataFrame:
     """items with `place`, by decreasing score."""
-    return _placed(items, key, [F.desc(score), F.asc(tie)])
+    return _placed(items, key, [(score, True), (tie, False)])
 
 
 def within_budget(items: DataFrame, budget: int, key: str = "qid", order: str = "place", text: str = "text", length: Column | None = None) -> DataFrame:
     """The longest prefix of each group whose lengths sum to at most `budget`, and the next item cut to what remains; nothing after it.
 
-    Lengths count blank-separated words unless another length is given; the cut is made in words.
+    Lengths count blank-separated words unless another length is given; the cut is made in words. A length is that of the item's row before the cut.
     """
-    n = word_count(F.col(text)) if length is None else length
-    rows = running(items.withColumn("_n", n), key, [F.asc(order)], F.col("_n"))
-    kept = rows.where(F.col("_before") <= budget)
+    size, left = unused(items, "size"), unused(items, "left")
+    rows = items.withColumn(size, word_count(F.col(text)) if length is None else length)
+    rows = running(rows, key, [(order, False)], F.col(size), lambda before, total: {left: F.lit(budget) - before}, keep=lambda before, total: before <= budget)
     words = F.filter(F.split(text, r"\s+"), lambda w: w != "")
-    cut = F.array_join(F.slice(words, 1, F.greatest(F.lit(0), F.lit(budget) - F.col("_before")).cast("int")), " ")
-    return kept.withColumn(text, F.when(F.col("_before") + F.col("_n") > budget, cut).otherwise(F.col(text))).drop("_n", "_before", "_total")
+    cut = F.array_join(F.slice(words, 1, F.greatest(F.lit(0), F.col(left)).cast("int")), " ")
+    return rows.withColumn(text, F.when(F.col(size) > F.col(left), cut).otherwise(F.col(text))).select(items.columns)
 
 
 def assembled(items: DataFrame, key: str = "qid", order: str = "place", text: str = "text", separator: str = "\n\n") -> DataFrame:

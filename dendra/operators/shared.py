@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
@@ -51,19 +52,37 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def running(items: DataFrame, key: str, order: list[Column], weight: Column) -> DataFrame:
-    """items with `_before` and `_total`: the sums of weight over the earlier rows of the key and over all of them.
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
-    Rows are dealt to ranges of (key, order), so a key with a large share of the rows is spread over many tasks. A window sums within
-    (key, range); another adds up the earlier ranges' sums, one row for each. Null weights count as 0; a null key is a group.
+
+def running(items: DataFrame, key: str, order: list[tuple[str, bool]], weight: Column, use: Callable[[Column, Column], dict[str, Column]], keep: Callable[[Column, Column], Column] | None = None) -> DataFrame:
+    """items with the columns that use(before, total) names, from the sums of weight over the earlier rows of the key and over all of them.
+
+    order: (column, whether it falls). keep(before, total) tells which rows stay. Null weights count as 0; a null key is a group; equal rows have some fixed order.
+
+    The rows are written to the checkpoint folder once. Only their numbers, keys, orders and weights are dealt to ranges of (key, order), so a key with a large share of the
+    rows is spread over many tasks: a window sums within (key, range), another adds up the earlier ranges' sums, one row for each. What stays meets its row by its number.
     """
-    rows = items.withColumn("_weight", F.coalesce(weight.cast("long"), F.lit(0)))
-    rows = cut(rows.repartitionByRange(F.col(key), *order).withColumn("_range", F.spark_partition_id()))
-    sums = rows.groupBy(F.col(key).alias("_key"), F.col("_range").alias("_at")).agg(F.sum("_weight").alias("_sum"))
-    group = Window.partitionBy("_key")
-    earlier = F.sum("_sum").over(group.orderBy("_at").rowsBetween(Window.unboundedPreceding, -1))
-    sums = sums.withColumns({"_offset": F.coalesce(earlier, F.lit(0)), "_total": F.sum("_sum").over(group)})
-    inside = Window.partitionBy(key, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("_inside", F.coalesce(F.sum("_weight").over(inside), F.lit(0)))
-    joined = rows.join(sums, (F.col("_range") == F.col("_at")) & F.col(key).eqNullSafe(F.col("_key")))
-    return joined.withColumn("_before", F.col("_offset") + F.col("_inside")).drop("_weight", "_range", "_key", "_at", "_sum", "_offset", "_inside")
+    number = unused(items, "number")
+    base = cut(items.withColumn(number, F.monotonically_increasing_id()))
+    names = [f"o{i}" for i in range(len(order))]
+    by = [F.desc(n) if falls else F.asc(n) for n, (_, falls) in zip(names, order)]
+    narrow = base.select(F.col(number).alias("number"), F.col(key).alias("key"), *[F.col(c).alias(n) for n, (c, _) in zip(names, order)], F.coalesce(weight.cast("long"), F.lit(0)).alias("weight"))
+    rows = cut(narrow.repartitionByRange(F.col("key"), *by, F.col("number")).withColumn("at", F.spark_partition_id()))
+    group = Window.partitionBy("key")
+    earlier = F.sum("sum").over(group.orderBy("at").rowsBetween(Window.unboundedPreceding, -1))
+    sums = rows.groupBy("key", "at").agg(F.sum("weight").alias("sum")).select("key", "at", F.coalesce(earlier, F.lit(0)).alias("offset"), F.sum("sum").over(group).alias("total"))
+    inside = F.sum("weight").over(Window.partitionBy("key", "at").orderBy(*by, "number").rowsBetween(Window.unboundedPreceding, -1))
+    rows, sums = rows.withColumn("inside", F.coalesce(inside, F.lit(0))).alias("r"), sums.alias("s")
+    found = rows.join(sums, (F.col("r.at") == F.col("s.at")) & F.col("r.key").eqNullSafe(F.col("s.key")))
+    found = found.select("number", (F.col("offset") + F.col("inside")).alias("before"), "total")
+    before, total = F.col("before"), F.col("total")
+    found = found if keep is None else found.where(keep(before, total))
+    made = use(before, total)
+    found = found.select(F.col("number").alias(number), *[c.alias(n) for n, c in made.items()])
+    return base.drop(*made).join(found, number).drop(number)

@@ -695,6 +695,21 @@ def prompt_pack(spark, sf_dir):
     return rows.select("conv_id", "turn", pack.shown(F.replace(F.col("text"), F.lit("\n"), F.lit(" ")), docs).alias("prompt"))
 
 
+@query("""WITH d AS (SELECT item_id, i, md5('42:' || item_id || ':' || i) AS h FROM benchmark, range(4) t(i)), k AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY h, i) AS r FROM d)
+  SELECT b.item_id, string_agg('Question: q' || i || chr(10) || 'Answer: a' || i || chr(10) || chr(10), '' ORDER BY r) || 'Question: ' || any_value(text) || chr(10) || 'Answer:' AS prompt
+  FROM benchmark b JOIN k ON k.item_id = b.item_id AND r <= 2 GROUP BY b.item_id""")
+def few_shot_draw(spark, sf_dir):
+    """Prompts with two of four demonstrations, drawn for each item."""
+    pack = prompts.PromptPack("", "Question: {Q}\nAnswer: {A}", "", demo_sep="\n\n", demos=[{"question": f"q{i}", "answer": f"a{i}"} for i in range(4)])
+    return table(spark, sf_dir, "benchmark").select("item_id", pack.few_shot(F.col("text"), None, 2, key=F.col("item_id"), seed=42).alias("prompt"))
+
+
+@query("""SELECT source, doc_id, drawn::INTEGER AS drawn FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY substr(md5('7:' || source || ':' || doc_id), 1, 15), doc_id) AS drawn FROM documents) WHERE drawn <= 3""")
+def seeded_draw(spark, sf_dir):
+    """Three documents of each source."""
+    return sinks.seeded_draw(table(spark, sf_dir, "documents"), 3, 7, ["doc_id"], group="source").select("source", "doc_id", "drawn")
+
+
 @query("SELECT sum(n_chars)::BIGINT AS prompt_tokens, sum(doc_id)::BIGINT AS completion_tokens, round(sum(n_chars) / 1000 * 0.03 + sum(doc_id) / 1000 * 0.06, 6) AS usd FROM documents")
 def token_cost(spark, sf_dir):
     rows = table(spark, sf_dir, "documents").select(F.col("n_chars").alias("prompt_tokens"), F.col("doc_id").alias("completion_tokens"))

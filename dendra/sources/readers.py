@@ -20,6 +20,19 @@ def json_lines(spark: SparkSession, path: str, schema: str, skip_malformed: bool
     return spark.read.option("mode", "DROPMALFORMED" if skip_malformed else "FAILFAST").schema(schema).json(path)
 
 
+def json_lines_counted(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
+    """(rows, counts): the objects of the lines that fit the schema, and (file, n, malformed) of each file, so that what is left out is known.
+
+    Malformed lines are those that Spark's reader marks as corrupt: no JSON object, or a value of another type. Both tables read the file once each, without a cache.
+    """
+    mark = "_corrupt_record"
+    lines = spark.read.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", mark).schema(f"{schema}, {mark} string").json(path)
+    parsed = F.length(F.to_json(F.struct(*[c for c in lines.columns if c != mark])))  # a line is told to be corrupt only by parsing its fields
+    counts = lines.select(F.col("_metadata.file_path").alias("file"), (F.col(mark).isNotNull() & (parsed > 0)).alias("bad"))
+    counts = counts.groupBy("file").agg(F.count("*").alias("n"), F.count_if("bad").alias("malformed"))
+    return lines.where(F.col(mark).isNull()).drop(mark), counts
+
+
 def json_document(spark: SparkSession, path: str, schema: str, inside: str | None = None) -> DataFrame:
     """A JSON file that is an array or an object; with `inside` the rows are the array of that name in each object."""
     reader = spark.read.option("multiLine", True)

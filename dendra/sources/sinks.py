@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 #: Fixed values, USD per 1000 tokens: (prompt, completion) of each model.
 PRICES = {"gpt-3.5-turbo": (0.0015, 0.002), "gpt-3.5-turbo-16k": (0.003, 0.004), "gpt-4": (0.03, 0.06), "gpt-4-32k": (0.06, 0.12)}
@@ -51,6 +51,17 @@ def remaining_by_count(rows: DataFrame, done: int, order: str) -> DataFrame:
     return rows.where(F.col(order) >= done)
 
 
+def seeded_draw(rows: DataFrame, n: int, seed: int, keys: list[str], group: str | None = None) -> DataFrame:
+    """n rows (of each group) drawn without replacement, with their place in the draw as `drawn`; the same draw whatever the layout of the rows.
+
+    A row's place follows from a hash of seed, group and keys (ties: the keys), so keys have to tell rows apart. A task keeps its n best rows of a group before anything is
+    shuffled: Spark limits ranked rows in each task first.
+    """
+    number = F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in ([group] if group else []) + keys])), 1, 15)
+    order = Window.partitionBy(*([group] if group else [F.lit(0)])).orderBy(number, *keys)
+    return rows.withColumn("drawn", F.row_number().over(order)).where(F.col("drawn") <= n)
+
+
 def some_rows(rows: DataFrame, n: int, seed: int | None = None) -> DataFrame:
     """For trial runs: the first n rows, or with a seed n rows drawn without replacement."""
     return rows.limit(n) if seed is None else rows.orderBy(F.rand(seed)).limit(n)

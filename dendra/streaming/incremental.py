@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 
@@ -14,9 +14,16 @@ def process_new(
     """Applies transform to all files that earlier runs haven't seen, appends to a Parquet sink, and ends.
 
     The checkpoint folder takes the place of counters and result scans: a run that failed repeats its open
-    batch, a finished batch is never repeated. transform may use any batch operator.
+    batch, a finished batch is never repeated. transform may use any batch operator. Malformed rows of JSON and CSV
+    are left out; their number is in the query's progress, as observedMetrics["read"] with `rows` and `malformed`.
     """
-    rows = spark.readStream.format(source_format).schema(schema).option("maxFilesPerTrigger", files_per_batch).load(source)
+    mark = "_corrupt_record"
+    marked = source_format in ("json", "csv")
+    reader = spark.readStream.format(source_format).schema(f"{schema}, {mark} string" if marked else schema).option("maxFilesPerTrigger", files_per_batch)
+    rows = reader.option("columnNameOfCorruptRecord", mark).load(source)
+    bad = F.col(mark).isNotNull() if marked else F.lit(False)
+    rows = rows.observe("read", F.count(F.lit(1)).alias("rows"), F.count_if(bad).alias("malformed"))
+    rows = rows.where(~bad).drop(mark) if marked else rows
 
     def write(batch: DataFrame, number: int) -> None:
         transform(batch).write.mode("overwrite").parquet(f"{sink}/batch={number}")

@@ -95,7 +95,8 @@ def test_summaries_fill_gaps(spark):
 def test_running_sums_of_hot_null_and_small_groups(spark):
     data = [("hot", i % 50, i % 7) for i in range(300)] + [(None, i, None if i == 1 else 2) for i in range(3)] + [("one", None, 5)]
     rows = spark.createDataFrame([(*r, i) for i, r in enumerate(data)], "qid string, score int, w int, at int")
-    got = running(rows, "qid", [F.desc("score"), F.asc("at")], F.col("w")).collect()
+    sums = lambda before, total: {"_before": before, "_total": total}
+    got = running(rows, "qid", [("score", True), ("at", False)], F.col("w"), sums).collect()
     assert len(got) == len(data)
     rank = lambda r: (r["score"] is None, -(r["score"] or 0), r["at"])
     for r in got:
@@ -106,5 +107,5 @@ def test_running_sums_of_hot_null_and_small_groups(spark):
 
 def test_running_sums_of_an_empty_table(spark):
     rows = spark.createDataFrame([], "qid string, at int")
-    assert running(rows, "qid", [F.asc("at")], F.lit(1)).columns == ["qid", "at", "_total", "_before"]
+    assert running(rows, "qid", [("at", False)], F.lit(1), lambda before, total: {"sum": total}).columns == ["qid", "at", "sum"]
     assert context.interleaved(rows.withColumn("total_score", F.lit(1))).count() == 0

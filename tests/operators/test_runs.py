@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from dendra.functions import parsers, prompts
-from dendra.operators import models
+from dendra.operators import context, models
 from dendra.plans import pipelines
 from dendra.schemas import dataset_of
 from dendra.sources import readers, sinks
@@ -140,3 +140,44 @@ def test_reports_and_trial_rows(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "j")).count() == 4
     cost = sinks.token_cost(spark.createDataFrame([(1000, 500)], "prompt_tokens int, completion_tokens int"), "gpt-4").first()
     assert cost.usd == pytest.approx(0.06)
+
+
+def test_context_keeps_columns_of_any_name(spark):
+    names = ("number", "NUMBER_", "place", "later", "size", "left", "known_key", "before", "total", "o0", "key", "weight", "_weight")
+    rows = spark.createDataFrame([("q", i, 10 - i, f"word{i} " * 4, "t%d" % (i % 2)) for i in range(5)] + [(None, 7, None, None, None), (None, 7, None, None, None)], "qid string, at long, total_score long, text string, title string")
+    for n in names:
+        rows = rows.selectExpr("*", f"'kept' AS `{n}`")
+    known = spark.createDataFrame([("q", "t1")], "qid string, title string")
+    for made in (context.interleaved(rows), context.score_order(rows), context.matched_first(rows, known)):
+        assert set(made.columns) == set(rows.columns) and made.count() == 7
+        got = made.collect()
+        assert all(r[n] == "kept" for r in got for n in names if n != "place")
+        assert sorted(r.place for r in got if r.qid) == [1, 2, 3, 4, 5] and sorted(r.place for r in got if not r.qid) == [1, 2]
+    cut = context.within_budget(rows, 10, order="at")
+    assert cut.columns == rows.columns
+    assert sorted((r.at, r.text) for r in cut.where("qid = 'q'").collect()) == [(0, "word0 " * 4), (1, "word1 " * 4), (2, "word2 word2")]
+    assert cut.where("qid is null").count() == 2
+
+
+def test_malformed_lines_are_counted(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/a.jsonl").write_text('{"id": 1, "t": "x"}\n{"id": "no", "t": "y"}\nbroken\n{"id": 2}\n')
+    (tmp_path / "in/b.jsonl").write_text('{"id": 3, "t": null}\n')
+    rows, counts = readers.json_lines_counted(spark, str(tmp_path / "in"), "id long, t string")
+    assert sorted((r.id, r.t) for r in rows.collect()) == [(1, "x"), (2, None), (3, None)]
+    assert {r.file.rsplit("/", 1)[1]: (r.n, r.malformed) for r in counts.collect()} == {"a.jsonl": (4, 2), "b.jsonl": (1, 0)}
+    query = process_new(spark, str(tmp_path / "in"), "id long, t string", lambda df: df, str(tmp_path / "out"), str(tmp_path / "check"), files_per_batch=1)
+    query.awaitTermination()
+    seen = [p.observedMetrics["read"] for p in query.recentProgress if "read" in p.observedMetrics]
+    assert sum(r.rows for r in seen) == 5 and sum(r.malformed for r in seen) == 2
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 3
+
+
+def test_draws_are_the_same_for_any_layout(spark):
+    rows = spark.range(200).select("id", (F.col("id") % 3).alias("g"))
+    drawn = lambda df, **k: sorted(map(tuple, sinks.seeded_draw(df, 5, 1, ["id"], **k).collect()))
+    assert drawn(rows, group="g") == drawn(rows.repartition(7), group="g") and len(drawn(rows, group="g")) == 15
+    assert len(drawn(rows)) == 5 and drawn(rows) != sorted(map(tuple, sinks.seeded_draw(rows, 5, 2, ["id"]).collect()))
+    pack = prompts.PromptPack("", "{Q}={A}", "", ";", [{"question": str(i), "answer": str(i)} for i in range(5)])
+    got = [r[0] for r in rows.select(pack.few_shot(F.lit("q"), None, 3, key=F.col("id"), seed=4)).collect()]
+    assert all(len(set(t.split(";"))) == 4 and t.endswith(";q=") for t in got) and len(set(got)) > 30
