@@ -19,6 +19,23 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(size > 0, dot(a, b) / size)
 
 
+def unit(a: Column) -> Column:
+    """The vector with length 1; zeros stay zeros."""
+    return F.get(F.transform(F.array(norm(a)), lambda n: F.transform(a, lambda x: F.when(n > 0, x.cast("double") / n).otherwise(0.0))), F.lit(0))
+
+
+def pooled(tokens: Column, mask: Column | None = None) -> Column:
+    """Mean of a text's token vectors (array of arrays of one width) with length 1, over those that the mask (array of 0 and 1) keeps.
+
+    Without a token to keep the result is zeros, as wide as the first token; null if the tokens are null or there are none. Entries of a shorter mask hide.
+    """
+    kept = tokens if mask is None else F.filter(tokens, lambda t, i: F.coalesce(F.get(mask, i), F.lit(0)) == 1)
+    zeros = F.transform(tokens[0], lambda x: F.lit(0.0))
+    total = F.aggregate(kept, zeros, lambda s, t: F.zip_with(s, t, lambda x, y: x + y.cast("double")))
+    count = F.greatest(F.size(kept), F.lit(1))
+    return F.when(F.size(tokens) > 0, unit(F.transform(total, lambda x: x / count)))
+
+
 def combined(local: Column, over_all: Column, local_weight: float, global_weight: float) -> Column:
     return F.lit(local_weight) * local + F.lit(global_weight) * over_all
 

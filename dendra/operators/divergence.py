@@ -43,8 +43,11 @@ def centers_of(vectors: DataFrame, bins: int, rounds: int = 10, key: str = "key"
     A bin that loses all its vectors keeps its center. Fewer vectors than bins give fewer bins; vectors must be complete (see histograms).
     """
     first = vectors.select(F.col(key).alias("key"), F.col("embedding").cast("array<double>").alias("embedding"))
-    centers = np.array([r.embedding for r in first.orderBy("key").limit(bins).collect()], dtype=np.float64)
-    for _ in range(rounds if len(centers) else 0):
+    start = [r.embedding for r in first.orderBy("key").limit(bins).collect()]
+    if not start:
+        return np.zeros((0, 1))
+    centers = np.array(start, dtype=np.float64)
+    for _ in range(rounds):
         sums = _assigned(centers, "sums", "bin int, n long, sums array<double>")(first)
         one = sums.select("bin", "n", F.posexplode("sums").alias("at", "x")).groupBy("bin", "at").agg(F.sum("x").alias("x"), F.sum("n").alias("n"))
         moved = centers.copy()
@@ -56,6 +59,20 @@ def centers_of(vectors: DataFrame, bins: int, rounds: int = 10, key: str = "key"
     return centers
 
 
+def cells_of(vectors: DataFrame, centers: np.ndarray, key: str) -> DataFrame:
+    """vectors (key, embedding) with the number of their nearest center as `cell`."""
+
+    def run(batches):
+        half = (centers**2).sum(axis=1) / 2
+        for batch in batches:
+            for part in (batch.slice(a, 4096) for a in range(0, batch.num_rows, 4096)):
+                points = part.column(1).flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1).astype(np.float64)
+                bins = np.argmin(half - points @ centers.T, axis=1).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(bins)], [key, "embedding", "cell"])
+
+    return vectors.select(key, "embedding").mapInArrow(run, f"{key} long, embedding array<float>, cell int")
+
+
 def histograms(left: DataFrame, right: DataFrame, bins: int = 500, rounds: int = 10, key: str = "vec_id") -> DataFrame:
     """(bin, n_left, n_right): how many vectors of each set (key, embedding) fall in each bin of their joint quantization.
 

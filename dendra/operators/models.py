@@ -11,12 +11,19 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from dendra.functions import parsers, prompts
+from dendra.functions.vector import pooled
 
 
 class Embedder(Protocol):
     def embed(self, texts: list[str]) -> list[list[float]]: ...
 
 
+class TokenEmbedder(Protocol):
+    """For each text the vectors of its tokens and the mask of those that count, at most so many."""
+
+    def tokens(self, texts: list[str], max_tokens: int) -> list[tuple[list[list[float]], list[int]]]: ...
+
+
 class Generator(Protocol):
     def generate(self, prompts: list[str], max_tokens: int) -> list[str]: ...
 
@@ -105,6 +112,21 @@ def embedded(text: Column, factory: Callable[[], Embedder], batch: int = 1024) -
     return run(text)
 
 
+def embedded_by_tokens(text: Column, factory: Callable[[], TokenEmbedder], max_tokens: int = 512, batch: int = 64) -> Column:
+    """Embedding of a text by the masked mean of its token vectors; the model runs in Arrow batches, the mean is an array expression."""
+
+    @F.pandas_udf("struct<tokens:array<array<float>>,mask:array<int>>")
+    def run(texts: pd.Series) -> pd.DataFrame:
+        model, out = _model(factory), []
+        given = texts.fillna("").tolist()
+        for at in range(0, len(given), batch):
+            out += model.tokens(given[at : at + batch], max_tokens)
+        return pd.DataFrame(out, columns=["tokens", "mask"])
+
+    made = run(text)
+    return F.get(F.transform(F.array(made), lambda m: pooled(m["tokens"], m["mask"])), F.lit(0))
+
+
 def generated(rows: DataFrame, prompt: str, output: str, factory: Callable[[], Generator], max_tokens: int = 512, batch: int = 16) -> DataFrame:
     """rows with `output` and `<output>_error`: a failing batch is tried one by one, a failing row keeps its place with the error's text.
 

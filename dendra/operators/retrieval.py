@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 TOKEN = r"[^\s.,;:!?|()\[\]\"]+"
 #: Query sides of up to so many rows are sent to all tasks; larger ones are taken in slices or joined by shuffling.
 QUERY_ROWS = 20_000
+#: Pairs of query and vector that are multiplied at once.
+STEP_CELLS = 1 << 22
 
 
 def word_tokens(text: Column, pattern: str = TOKEN) -> Column:
@@ -66,44 +68,118 @@ def tfidf_best(queries: DataFrame, docs: DataFrame, group: str, query_key: str,
     return top_k(known, [group, query_key], [F.desc(F.round("score", 9)), F.col(doc_key)], 1).drop("rank").unionByName(unknown)
 
 
+def _unit(m: np.ndarray) -> np.ndarray:
+    return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+
+
+class _Best:
+    """The k best rows of each query so far: scores (rounded for the order), ties by the row's key."""
+
+    def __init__(self, queries: int, k: int):
+        self.scores, self.keys, self.k = np.full((queries, k), -np.inf), np.full((queries, k), np.iinfo(np.int64).max), k
+
+    def add(self, asked: np.ndarray, scores: np.ndarray, keys: np.ndarray) -> None:
+        """scores: (asked queries) x (rows of keys)."""
+        scores = np.concatenate([self.scores[asked], scores], axis=1)
+        keys = np.concatenate([self.keys[asked], np.broadcast_to(keys, (len(asked), len(keys)))], axis=1)
+        order = np.lexsort((keys, -np.round(scores, 9)), axis=1)[:, : self.k]
+        self.scores[asked], self.keys[asked] = np.take_along_axis(scores, order, 1), np.take_along_axis(keys, order, 1)
+
+    def rows(self, ids: np.ndarray) -> list[pa.Array]:
+        there = np.isfinite(self.scores)
+        return [pa.array(np.repeat(ids, there.sum(axis=1))), pa.array(self.keys[there]), pa.array(self.scores[there])]
+
+
+def _scored_by_task(vectors: DataFrame, key: str, query_key: str, ids: np.ndarray, wanted: np.ndarray, k: int, normalized: bool, cells: np.ndarray | None = None) -> DataFrame:
+    """(query_key, key, score): each task's k best of its vectors for each query. cells: (query, cell) pairs, sorted by cell; then a vector meets the queries of its cell only.
+
+    A step multiplies at most STEP_CELLS pairs of query and vector.
+    """
+    spark = vectors.sparkSession
+    sent = spark.sparkContext.broadcast((ids, wanted, cells))
+
+    def searched(batches):
+        ids, wanted, cells = sent.value
+        best = _Best(len(ids), k)
+        for batch in batches:
+            parts = [(np.arange(len(ids)), batch)]
+            if cells is not None:
+                cell = batch.column(2).to_numpy(zero_copy_only=False)
+                parts = [(cells[slice(*np.searchsorted(cells[:, 1], [c, c + 1])), 0], batch.filter(pa.array(cell == c))) for c in np.unique(cell)]
+            for asked, part in parts:
+                step = max(1, STEP_CELLS // max(1, len(asked)))
+                for at in range(0, part.num_rows if len(asked) else 0, step):
+                    some = part.slice(at, step)
+                    matrix = _matrix(some.column(1))
+                    best.add(asked, wanted[asked] @ (_unit(matrix) if normalized else matrix).T, some.column(0).to_numpy())
+        yield pa.RecordBatch.from_arrays(best.rows(ids), [query_key, key, "score"])
+
+    rows = vectors.where(F.size("embedding") == wanted.shape[1]).select(F.col(key).cast("long").alias(key), "embedding", *(["cell"] if cells is not None else []))
+    return rows.mapInArrow(searched, f"{query_key} long, {key} long, score double")
+
+
+def _query_slices(queries: DataFrame, query_key: str):
+    """(ids, matrix) of slices of at most about QUERY_ROWS queries; those without a vector are left out."""
+    known = queries.where("embedding is not null").select(query_key, F.col("embedding").cast("array<double>").alias("embedding"))
+    slices = max(1, -(-known.count() // QUERY_ROWS))
+    for s in range(slices):
+        part = known.where(F.pmod(F.xxhash64(query_key), F.lit(slices)) == s).collect()
+        if part:
+            yield np.array([r[0] for r in part], dtype=np.int64), np.array([r[1] for r in part], dtype=np.float64)
+
+
+def _union(parts: list[DataFrame], spark, schema: str) -> DataFrame:
+    out = parts[0] if parts else spark.createDataFrame([], schema)
+    for more in parts[1:]:
+        out = out.unionByName(more)
+    return out
+
+
 def dense_top(vectors: DataFrame, queries: DataFrame, k: int = 100, key: str = "vec_id", query_key: str = "query_id", normalized: bool = False) -> DataFrame:
     """(query_key, key, score, rank): exact top k by dot product (or cosine, with `normalized`), query vectors against all vectors.
 
-    Queries are held by every task in slices of QUERY_ROWS; a task multiplies its batches with them and keeps
-    its own k best, so only k rows per query and task are shuffled.
+    Queries are held by every task in slices of QUERY_ROWS; a task multiplies its batches with them, a bounded number of pairs at once, and keeps
+    its own k best, so only k rows per query and task are shuffled. Vectors that are null or of another width are left out.
     """
-    spark, n = vectors.sparkSession, queries.count()
-    slices = max(1, -(-n // QUERY_ROWS))
-    schema, out = f"{query_key} long, {key} long, score double", None
+    found = [_scored_by_task(vectors, key, query_key, ids, _unit(m) if normalized else m, k, normalized) for ids, m in _query_slices(queries, query_key)]
+    rows = _union(found, vectors.sparkSession, f"{query_key} long, {key} long, score double")
+    return top_k(rows, [query_key], [F.desc(F.round("score", 9)), F.col(key)], k)
 
-    def unit(m: np.ndarray) -> np.ndarray:
-        if not normalized or not len(m):
-            return m
-        return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
 
-    for s in range(slices):
-        part = queries.where(F.pmod(F.xxhash64(query_key), F.lit(slices)) == s).select(query_key, "embedding").collect()
-        if not part:
-            continue
-        ids = np.array([r[0] for r in part], dtype=np.int64)
-        sent = spark.sparkContext.broadcast((ids, unit(np.array([r[1] for r in part], dtype=np.float64))))
-
-        def searched(batches, sent=sent):
-            ids, wanted = sent.value
-            best_ids, best = np.empty((len(ids), 0), dtype=np.int64), np.empty((len(ids), 0))
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                matrix = unit(np.array(batch.column(1).to_pylist(), dtype=np.float64))
-                scores = np.concatenate([best, wanted @ matrix.T], axis=1)
-                found = np.concatenate([best_ids, np.broadcast_to(batch.column(0).to_numpy(), (len(ids), batch.num_rows))], axis=1)
-                order = np.lexsort((found, -np.round(scores, 9)), axis=1)[:, :k]
-                best, best_ids = np.take_along_axis(scores, order, 1), np.take_along_axis(found, order, 1)
-            rows = best.shape[1]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, rows)), pa.array(best_ids.ravel()), pa.array(best.ravel())], [query_key, key, "score"])
-
-        found = vectors.where("embedding is not null").select(F.col(key).cast("long").alias(key), "embedding").mapInArrow(searched, schema)
-        out = found if out is None else out.unionByName(found)
-    if out is None:
-        out = spark.createDataFrame([], schema)
-    return top_k(out, [query_key], [F.desc(F.round("score", 9)), F.col(key)], k)
+def write_cells(vectors: DataFrame, path: str, cells: int, rounds: int = 5, key: str = "vec_id") -> None:
+    """Writes vectors (key, embedding) in cells of their nearest centers, partitioned by cell, and the centers beside them.
+
+    Centers are fitted by rounds over all vectors (see divergence.centers_of), every vector is written; those that are null or of another width than the first are left out.
+    """
+    from dendra.operators.divergence import cells_of, centers_of
+
+    first = vectors.where("embedding is not null").agg(F.min_by(F.size("embedding"), key).alias("n")).first().n
+    good = vectors.where((F.size("embedding") == (first or 0)) & ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x))).select(F.col(key).cast("long").alias(key), "embedding")
+    centers = centers_of(good, cells, rounds, key)
+    spark = vectors.sparkSession
+    spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(centers)], "cell int, center array<double>").write.mode("overwrite").parquet(f"{path}/centers")
+    cells_of(good, centers, key).hint("rebalance", "cell").write.mode("overwrite").partitionBy("cell").parquet(f"{path}/vectors")
+
+
+def cell_top(spark, path: str, queries: DataFrame, k: int = 100, probes: int = 8, key: str = "vec_id", query_key: str = "query_id", normalized: bool = False) -> DataFrame:
+    """(query_key, key, score, rank): of the vectors in the `probes` cells nearest to each query, the exact top k.
+
+    Only cells that some query probes are read. With as many probes as cells the result is dense_top's. The driver holds the centers, whose number the writer gave.
+    """
+    rows = spark.read.parquet(f"{path}/centers").orderBy("cell").collect()
+    schema, found = f"{query_key} long, {key} long, score double", []
+    if rows:
+        centers = np.array([r.center for r in rows])
+        stored = spark.read.schema(f"{key} long, embedding array<float>, cell int").parquet(f"{path}/vectors")
+        for ids, wanted in _query_slices(queries, query_key):
+            far = (centers**2).sum(axis=1) / 2 - wanted @ centers.T
+            near = np.argsort(far, axis=1, kind="stable")[:, :probes]
+            pairs = np.column_stack([np.repeat(np.arange(len(ids)), near.shape[1]), near.ravel()])
+            pairs = pairs[np.argsort(pairs[:, 1], kind="stable")]
+            read = stored.where(F.col("cell").isin(np.unique(near).tolist()))
+            found.append(_scored_by_task(read, key, query_key, ids, _unit(wanted) if normalized else wanted, k, normalized, pairs))
+    return top_k(_union(found, spark, schema), [query_key], [F.desc(F.round("score", 9)), F.col(key)], k)

@@ -67,10 +67,9 @@ class GraphStore:
         """Takes in vertices (title, seq, attributes…) and links (src, dst), and returns the buckets that were written.
 
         Of several rows of a title, stored or new, the one with the largest seq stays (of equal ones the new one; new ones that are equal in seq too must be
-        equal). A link's end without a vertex gets a bare row. Rows without a title and links without an end are left out, as are links of a
-        title with itself. Edges are written first and degrees counted from them, so a batch that failed between the two is made good when it is given again.
+        equal). A link's end without a vertex gets a bare row; a link of a title with itself is an edge. Rows without a title and links without an end are left out. Edges are written first and degrees counted from them, so a batch that failed between the two is made good when it is given again.
         """
-        ends = links.where("src is not null and dst is not null and src <> dst")
+        ends = links.where("src is not null and dst is not null")
         pairs = cut(symmetric(ends).withColumn("bucket", bucket_of("src", self.buckets)))
         given = vertices.where("title is not null").select("title", F.col("seq").cast("long").alias("seq"), *self.attributes).withColumn("bucket", bucket_of("title", self.buckets))
         touched = buckets_in(pairs, given)

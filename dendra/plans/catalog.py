@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from dendra.functions import markup, parsers, prompts, text as T
-from dendra.functions.vector import cosine
+from dendra.functions.vector import cosine, pooled
 from dendra.operators import context, divergence, graph, links, metrics, pages, retrieval, tree
 from dendra.operators.shared import cut, deleted, new_folder
 from dendra.operators.stores import GraphStore, PostingsIndex
@@ -410,7 +410,7 @@ def degree_stats(spark, sf_dir):
     return s.withColumn("mean", F.round("mean", 6))
 
 
-@query(f"""WITH {EDGES}, d AS (SELECT src, count(*) AS n FROM edge WHERE src <> dst GROUP BY src), v AS (SELECT url AS title, max(page_id) AS seq, arg_max(length(html), page_id) AS size FROM pages GROUP BY url)
+@query(f"""WITH {EDGES}, d AS (SELECT src, count(*) AS n FROM edge GROUP BY src), v AS (SELECT url AS title, max(page_id) AS seq, arg_max(length(html), page_id) AS size FROM pages GROUP BY url)
   SELECT coalesce(v.title, d.src) AS title, v.seq, v.size, coalesce(n, 0)::BIGINT AS degree FROM v FULL JOIN d ON v.title = d.src""")
 def graph_store_batches(spark, sf_dir):
     """The stored graph after three batches of pages and a fourth that repeats one of them."""
@@ -536,6 +536,18 @@ def dense_topk_dot(spark, sf_dir):
     return retrieval.dense_top(rows, asked, k=100).withColumn("score", F.round("score", 6))
 
 
+@query("""WITH x AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+  s AS (SELECT vec_id, k, sum(e[4 * r + k + 1]) / count(*) AS m FROM x, range(4) a(k), range(16) b(r) WHERE (vec_id + r) % 3 <> 0 GROUP BY vec_id, k),
+  n AS (SELECT vec_id, sqrt(sum(m * m)) AS size FROM s GROUP BY vec_id)
+  SELECT vec_id, list(round(m / size, 6) ORDER BY k) AS pooled FROM s JOIN n USING (vec_id) GROUP BY vec_id""")
+def pooled_embeddings(spark, sf_dir):
+    """Vectors cut into 16 token vectors of 4 numbers, of which a mask hides a third."""
+    tokens = F.expr("transform(sequence(0, 15), r -> slice(embedding, 4 * r + 1, 4))")
+    mask = F.expr("transform(sequence(0, 15), r -> cast((vec_id + r) % 3 <> 0 as int))")
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", pooled(tokens, mask).alias("p"))
+    return rows.select("vec_id", F.transform("p", lambda x: F.round(x, 6)).alias("pooled"))
+
+
 @query("SELECT a.vec_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS adjacent FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
 def adjacent_cosine(spark, sf_dir):
     rows = table(spark, sf_dir, "embeddings")
@@ -571,6 +583,22 @@ def distribution_area(spark, sf_dir):
     return found.select(F.round("area", 6).alias("area"))
 
 
+@query(f"""WITH {clusters_sql(12, 3)}, q AS (SELECT id, e FROM v WHERE id % 20 = 0),
+  near AS (SELECT id, bin FROM (SELECT q.id, c.bin, row_number() OVER (PARTITION BY q.id ORDER BY list_distance(q.e, c.e), c.bin) AS r FROM q, c3 c) WHERE r <= 5),
+  p AS (SELECT n.id AS query_id, a.id AS vec_id, list_cosine_similarity(q.e, v.e) AS s FROM near n JOIN a3 a USING (bin) JOIN q ON q.id = n.id JOIN v ON v.id = a.id),
+  k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, vec_id) AS rank FROM p)
+  SELECT query_id, vec_id, round(s, 6) AS score, rank::INTEGER AS rank FROM k WHERE rank <= 10""")
+def cell_topk(spark, sf_dir):
+    """The ten most similar vectors in the five nearest of twelve stored cells."""
+    path = new_folder(spark, "cells")
+    rows = table(spark, sf_dir, "embeddings")
+    retrieval.write_cells(rows, path, 12, rounds=3)
+    asked = rows.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    found = cut(retrieval.cell_top(spark, path, asked, k=10, probes=5, normalized=True))
+    deleted(spark, path)
+    return found.withColumn("score", F.round("score", 6))
+
+
 # ---------------------------------------------------------------- search
 
 TOKEN_SQL = "regexp_extract_all(lower(text), '[^\\s.,;:!?|()\\[\\]\"]+')"

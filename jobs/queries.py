@@ -35,7 +35,7 @@ WITH t AS (SELECT url, page_id, html, regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.
 l AS (SELECT url, host, regexp_replace(trim(raw), '#.*$', '') AS x FROM t),
 link AS (SELECT url AS src, CASE WHEN x LIKE '/%' AND x NOT LIKE '//%' THEN host || x ELSE x END AS dst FROM l
   WHERE x <> '' AND (regexp_matches(x, '(?i)^https?://') OR NOT regexp_matches(x, '^[A-Za-z][A-Za-z0-9+.-]*:'))),
-edge AS (SELECT src, dst FROM link WHERE src <> dst UNION SELECT dst, src FROM link WHERE src <> dst),
+edge AS (SELECT src, dst FROM link UNION SELECT dst, src FROM link),
 d AS (SELECT src AS title, count(*) AS degree FROM edge GROUP BY src),
 v AS (SELECT url AS title, page_id AS seq, page_id, nullif(trim(regexp_extract(html, '(?is)<title>\\s*([^<]*)', 1)), '') AS name FROM pages
   QUALIFY row_number() OVER (PARTITION BY url ORDER BY page_id DESC) = 1)

@@ -55,10 +55,10 @@ def test_link_graph_takes_only_new_files(spark, tmp_path):
     assert whole["read"]["pages"] == 6 and graph(spark, tmp_path / "whole") == grown
     found = {r.title: r for r in spark.read.parquet(f"{tmp_path}/grown/graph/vertices").collect()}
     assert (found["http://a.org/1"].page_id, found["http://a.org/1"].name, found["http://a.org/1"].degree) == (5, None, 3)
-    assert (found["http://a.org/2"].name, found["http://a.org/2"].degree) == ("A page", 2)
+    assert (found["http://a.org/2"].name, found["http://a.org/2"].degree) == ("A page", 3)  # itself among them
     assert (found["http://b.org/"].page_id, found["http://b.org/"].degree) == (4, 1)
     assert (found["other"].page_id, found["//d.org/x"].degree) == (None, 1) and "http://a.org/lost" not in found
-    assert whole["graph"] == {"n": 7, "least": 1, "most": 3, "mean": pytest.approx(10 / 7), "hubs": 1}
+    assert whole["graph"] == {"n": 7, "least": 1, "most": 3, "mean": pytest.approx(11 / 7), "hubs": 2}
 
 
 def test_link_graph_repeats_a_batch_that_failed(spark, tmp_path, monkeypatch):

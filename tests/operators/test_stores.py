@@ -30,7 +30,7 @@ def frames(spark, batch):
 
 
 def plain(batches):
-    pairs = {p for _, links in batches for a, b in links if a and b and a != b for p in ((a, b), (b, a))}
+    pairs = {p for _, links in batches for a, b in links if a and b for p in ((a, b), (b, a))}
     seen = {}
     for titles, _ in batches:
         for t, seq, name in titles:
