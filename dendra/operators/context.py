@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from dendra.functions.text import word_count
+from dendra.operators import models
 from dendra.operators.shared import running, unused
 
+MODES = ("none", "passages", "tree", "matched", "interleaved")
+
 
 def _placed(items: DataFrame, key: str, order: list[tuple[str, bool]]) -> DataFrame:
     return running(items, key, order, F.lit(1), lambda before, total: {"place": (before + 1).cast("int")})
@@ -36,17 +41,53 @@ def score_order(items: DataFrame, key: str = "qid", score: str = "total_score",
     return _placed(items, key, [(score, True), (tie, False)])
 
 
-def within_budget(items: DataFrame, budget: int, key: str = "qid", order: str = "place", text: str = "text", length: Column | None = None) -> DataFrame:
+def within_budget(items: DataFrame, budget: int, key: str = "qid", order: str = "place", text: str = "text", length: Column | None = None, prefix: Callable[[Column, Column], Column] | None = None) -> DataFrame:
     """The longest prefix of each group whose lengths sum to at most `budget`, and the next item cut to what remains; nothing after it.
 
-    Lengths count blank-separated words unless another length is given; the cut is made in words. A length is that of the item's row before the cut.
+    Lengths count blank-separated words, and prefix(text, n) takes the first n of them, unless others are given; models.token_count and models.token_prefix do both in tokens.
+    Texts are measured once, then only their lengths are dealt out and summed, and the texts that stay are fetched; only the item that crosses the budget is cut.
     """
     size, left = unused(items, "size"), unused(items, "left")
     rows = items.withColumn(size, word_count(F.col(text)) if length is None else length)
     rows = running(rows, key, [(order, False)], F.col(size), lambda before, total: {left: F.lit(budget) - before}, keep=lambda before, total: before <= budget)
-    words = F.filter(F.split(text, r"\s+"), lambda w: w != "")
-    cut = F.array_join(F.slice(words, 1, F.greatest(F.lit(0), F.col(left)).cast("int")), " ")
-    return rows.withColumn(text, F.when(F.col(size) > F.col(left), cut).otherwise(F.col(text))).select(items.columns)
+    some = F.greatest(F.lit(0), F.col(left)).cast("int")
+    crosses = F.col(size) > F.col(left)
+    fitted = first_words(F.col(text), some) if prefix is None else prefix(F.when(crosses, F.col(text)), some)
+    return rows.withColumn(text, F.when(crosses, fitted).otherwise(F.col(text))).select(items.columns)
+
+
+def first_words(text: Column, n: Column) -> Column:
+    return F.array_join(F.slice(F.filter(F.split(text, r"\s+"), lambda w: w != ""), 1, n), " ")
+
+
+def reader_contexts(
+    questions: DataFrame, items: DataFrame, mode: str, budget: int | None = None, tokenizer: Callable[[], models.Tokenizer] | None = None, top_k: int = -1, key: str = "qid", text: str = "text", order: str = "at"
+) -> DataFrame:
+    """(key, context) of every question, by mode; an empty text where there is nothing to show.
+
+    none: nothing. passages: the retrieved passages of questions.pre_retrieved_passages (array<struct<title, text>>), the first top_k or all. tree: the
+    items' texts in their order, within the budget if there is one. matched: those of retrieved titles first. interleaved: by decreasing total_score from both ends.
+    items: (key, order, title, total_score, text). A budget counts the tokenizer's tokens, or words without one; only `tree` has one. Items without text are left out.
+    """
+    if mode not in MODES:
+        raise ValueError(f"mode is {mode}, not one of {MODES}")
+    asked = questions.select(key)
+    if mode == "none":
+        return asked.withColumn("context", F.lit(""))
+    if mode == "passages":
+        shown = passages_context(F.col("pre_retrieved_passages"), top_k)
+        return questions.select(key, F.coalesce(shown, F.lit("")).alias("context"))
+    items = items.where(F.col(text).isNotNull() & (F.col(text) != ""))
+    if mode == "matched":
+        titles = questions.select(key, F.explode("pre_retrieved_passages").alias("p")).select(key, F.col("p.title").alias("title"))
+        items, order = matched_first(items, titles, key, order=order), "place"
+    elif mode == "interleaved":
+        items, order = interleaved(items, key, tie=order), "place"
+    elif budget is not None:
+        length = None if tokenizer is None else models.token_count(F.col(text), tokenizer)
+        prefix = None if tokenizer is None else lambda t, n: models.token_prefix(t, n, tokenizer)
+        items = within_budget(items, budget, key, order, text, length, prefix)
+    return asked.join(assembled(items, key, order, text), key, "left").withColumn("context", F.coalesce("context", F.lit("")))
 
 
 def assembled(items: DataFrame, key: str = "qid", order: str = "place", text: str = "text", separator: str = "\n\n") -> DataFrame:

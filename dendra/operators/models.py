@@ -24,6 +24,14 @@ class TokenEmbedder(Protocol):
     def tokens(self, texts: list[str], max_tokens: int) -> list[tuple[list[list[float]], list[int]]]: ...
 
 
+class Tokenizer(Protocol):
+    """Token numbers of texts, without marks of beginning and end, and the text of token numbers."""
+
+    def encode(self, texts: list[str]) -> list[list[int]]: ...
+
+    def decode(self, tokens: list[int]) -> str: ...
+
+
 class Generator(Protocol):
     def generate(self, prompts: list[str], max_tokens: int) -> list[str]: ...
 
@@ -34,6 +42,25 @@ class Entailment(Protocol):
     def entail(self, premises: list[str], claims: list[str]) -> list[float]: ...
 
 
+class BytePairTokenizer:
+    """Byte-pair tokens of a vocabulary file: one base64 token and its number a line; pattern cuts a text into the pieces that are encoded each."""
+
+    def __init__(self, path: str, pattern: str = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"):
+        import base64
+
+        import tiktoken
+
+        with open(path, "rb") as f:
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        self.encoding = tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        return [self.encoding.encode_ordinary(t) for t in texts]
+
+    def decode(self, tokens: list[int]) -> str:
+        return self.encoding.decode(tokens)
+
+
 class HashEmbedder:
     """Bag of hashed words, length 1: deterministic, for tests and dry runs."""
 
@@ -112,6 +139,27 @@ def embedded(text: Column, factory: Callable[[], Embedder], batch: int = 1024) -
     return run(text)
 
 
+def token_count(text: Column, factory: Callable[[], Tokenizer]) -> Column:
+    """Number of tokens; 0 for null."""
+
+    @F.pandas_udf("int")
+    def run(texts: pd.Series) -> pd.Series:
+        return pd.Series([len(_model(factory).encode([t])[0]) if t else 0 for t in texts], dtype="int32")
+
+    return run(text)
+
+
+def token_prefix(text: Column, n: Column, factory: Callable[[], Tokenizer]) -> Column:
+    """The text of the first n tokens; a character that the cut divides is replaced by the tokenizer's mark."""
+
+    @F.pandas_udf("string")
+    def run(texts: pd.Series, counts: pd.Series) -> pd.Series:
+        model = _model(factory)
+        return pd.Series([None if t is None else model.decode(model.encode([t])[0][: max(0, int(k or 0))]) for t, k in zip(texts, counts)], dtype=object)
+
+    return run(text, n)
+
+
 def embedded_by_tokens(text: Column, factory: Callable[[], TokenEmbedder], max_tokens: int = 512, batch: int = 64) -> Column:
     """Embedding of a text by the masked mean of its token vectors; the model runs in Arrow batches, the mean is an array expression."""
 

@@ -680,6 +680,28 @@ def passages_context(spark, sf_dir):
     return rows.select("conv_id", context.passages_context(F.col("p")).alias("context"))
 
 
+@query("""WITH t AS (SELECT conv_id AS qid, turn AS "at", role AS title, text, length(text) AS score, length(regexp_extract_all(text, '\\S+')) AS n FROM conversations),
+  q AS (SELECT DISTINCT conv_id AS qid FROM conversations),
+  r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, "at") - 1 AS k, coalesce(sum(n) OVER (PARTITION BY qid ORDER BY "at" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM t WHERE text <> ''),
+  c AS (SELECT 'matched' AS mode, qid, string_agg(text, chr(10) || chr(10) ORDER BY title <> 'user', "at") AS context FROM r GROUP BY qid
+    UNION ALL SELECT 'interleaved', qid, string_agg(text, chr(10) || chr(10) ORDER BY k % 2, CASE WHEN k % 2 = 0 THEN k ELSE -k END) FROM r GROUP BY qid
+    UNION ALL SELECT 'tree', qid, string_agg(x, chr(10) || chr(10) ORDER BY "at") FILTER (x <> '') FROM (SELECT qid, "at", CASE WHEN b + n <= 60 THEN text ELSE array_to_string(regexp_extract_all(text, '\\S+')[1:(60 - b)::BIGINT], ' ') END AS x FROM r WHERE b <= 60) GROUP BY qid
+    UNION ALL SELECT 'passages', qid, string_agg(coalesce(title, '') || chr(10) || coalesce(text, ''), chr(10) || chr(10) ORDER BY "at") FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY "at") AS p FROM t) WHERE p <= 2 GROUP BY qid)
+  SELECT mode, qid, coalesce(context, '') AS context FROM (SELECT * FROM q, (SELECT unnest(['none', 'passages', 'tree', 'matched', 'interleaved']) AS mode)) LEFT JOIN c USING (qid, mode)""")
+def context_modes(spark, sf_dir):
+    """Contexts of all modes: a conversation's turns are its items and passages, the user's turns are the retrieved ones."""
+    turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("qid"), F.col("turn").alias("at"), F.col("role").alias("title"), F.length("text").alias("total_score"), "text")
+    every = F.transform(F.array_sort(F.collect_list(F.struct("at", "title", "text"))), lambda x: F.struct(x["title"].alias("title"), x["text"].alias("text")))
+    asked = turns.groupBy("qid").agg(every.alias("pre_retrieved_passages"))
+    users = turns.where("title = 'user'").select("qid", F.struct("title", "text").alias("p")).groupBy("qid").agg(F.collect_list("p").alias("pre_retrieved_passages"))
+    one = [context.reader_contexts(users if m == "matched" else asked, turns, m, budget=60, top_k=2).withColumn("mode", F.lit(m)) for m in context.MODES]
+    missing = asked.join(users, "qid", "left_anti").select("qid", F.lit("").alias("context"), F.lit("matched").alias("mode"))
+    found = one[0]
+    for more in [*one[1:], missing]:
+        found = found.unionByName(more)
+    return found
+
+
 @query("SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def resume_anti(spark, sf_dir):
     return sinks.remaining_by_key(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "doc_id").select("doc_id", "source")

@@ -34,11 +34,13 @@ def answer(
     keep: Callable[[DataFrame, str], DataFrame],
     dataset: str = "generic",
     budget: int | None = 3800,
+    mode: str = "tree",
+    tokenizer: Callable[[], models.Tokenizer] | None = None,
     **beam,
 ) -> DataFrame:
     """questions(qid, question, pre_retrieved_passages) with context, prompt and output.
 
-    keep(df, name) writes what a model stage made and returns it reread: model calls are never repeated.
+    mode, budget and tokenizer: see context.reader_contexts; items are in the order of their scores. keep(df, name) writes what a model stage made and returns it reread: model calls are never repeated.
     """
     asked = questions.withColumn("query", models.embedded(F.col("question"), embedder))
     seeds = keep(asked.select("qid", "query", F.explode("pre_retrieved_passages").alias("p")).select("qid", F.col("p.title").alias("root"), "query").dropDuplicates(["qid", "root"]), "seeds")
@@ -58,7 +60,6 @@ def answer(
     picked = picked.withColumn("cleaned_output", valid).where(F.size("cleaned_output") > 0)
     picked = keep(picked.select("qid", "title", "cleaned_output", tree.rendered(F.col("nodes"), tree.lit_by_paragraphs(F.col("nodes"), F.col("cleaned_output"))).alias("text")), "evidence")
     scored = picked.join(graph.last_scores(hops), ["qid", "title"], "left").withColumn("total_score", F.coalesce("total_score", F.lit(100.0)))
-    items = context.score_order(scored, tie="title")
-    items = context.within_budget(items, budget) if budget else items
-    rows = questions.join(context.assembled(items), "qid", "left").withColumn("context", F.coalesce("context", F.lit("")))
+    items = context.score_order(scored, tie="title").withColumnRenamed("place", "at")
+    rows = questions.join(context.reader_contexts(questions, items, mode, budget, tokenizer), "qid")
     return keep(models.read(rows, generator, dataset), "answers")

@@ -181,3 +181,23 @@ def test_draws_are_the_same_for_any_layout(spark):
     pack = prompts.PromptPack("", "{Q}={A}", "", ";", [{"question": str(i), "answer": str(i)} for i in range(5)])
     got = [r[0] for r in rows.select(pack.few_shot(F.lit("q"), None, 3, key=F.col("id"), seed=4)).collect()]
     assert all(len(set(t.split(";"))) == 4 and t.endswith(";q=") for t in got) and len(set(got)) > 30
+
+
+def test_budget_in_tokens(spark):
+    path = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+    rows = [("q", i, f"T{i}", float(-i), "Some words, naïve ones: " * (3 * i + 1)) for i in range(4)] + [("r", 0, "x", 0.0, None), ("r", 1, "x", 0.0, "")]
+    items = spark.createDataFrame(rows, "qid string, at int, title string, total_score double, text string")
+    asked = spark.createDataFrame([("q",), ("r",), ("s",)], "qid string")
+    make = lambda: models.BytePairTokenizer(path)
+    model, left, want = make(), 60, []
+    for r in rows[:4]:
+        tokens = model.encode([r[4]])[0]
+        want.append(r[4] if len(tokens) <= left else model.decode(tokens[:left]))
+        left -= len(tokens)
+        if left < 0:
+            break
+    got = {r.qid: r.context for r in context.reader_contexts(asked, items, "tree", 60, make).collect()}
+    assert got == {"q": "\n\n".join(want), "r": "", "s": ""} and len(want) == 3
+    assert {r.context for r in context.reader_contexts(asked, items, "none").collect()} == {""}
+    with pytest.raises(ValueError):
+        context.reader_contexts(asked, items, "all")
