@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from dendra.functions import markup, parsers, prompts, text as T
 from dendra.functions.vector import cosine, pooled
-from dendra.operators import context, divergence, graph, links, metrics, pages, retrieval, tree
+from dendra.operators import context, divergence, graph, links, metrics, models, pages, retrieval, tree
 from dendra.operators.shared import cut, deleted, new_folder
 from dendra.operators.stores import GraphStore, PostingsIndex
 from dendra.operators.turns import converse_in_turns
@@ -160,6 +160,64 @@ def special_cases(spark, sf_dir):
     return metrics.special_cases(rows).select("conv_id", "turn")
 
 
+@query(f"""WITH {TURNS}, r AS (SELECT conv_id, turn, gold, CASE turn % 3 WHEN 0 THEN gold WHEN 1 THEN 'It is: ' || gold ELSE output END AS said FROM turns),
+  n AS (SELECT *, {norm_sql("trim(said, chr(10) || '., ')")} AS s, {norm_sql('gold')} AS g FROM r) SELECT conv_id, turn FROM n WHERE g <> '' AND contains(s, g) AND s <> g""")
+def special_cases_found(spark, sf_dir):
+    """Of outputs that repeat the gold answer, add to it or differ, those that hold it without being equal."""
+    said = F.when(F.col("turn") % 3 == 0, F.col("gold")).when(F.col("turn") % 3 == 1, F.concat(F.lit("It is: "), "gold")).otherwise(F.col("output"))
+    rows = _turns(spark, sf_dir).select("conv_id", "turn", said.alias("output"), F.array("gold").alias("golden_answers"))
+    return metrics.special_cases(rows).select("conv_id", "turn")
+
+
+def word_set_sql(x: str) -> str:
+    return f"list_distinct(regexp_extract_all(lower({x}), '[\\p{{L}}\\p{{N}}_]+'))"
+
+
+def sentences_sql(x: str) -> str:
+    return f"list_filter(list_transform(regexp_split_to_array(regexp_replace({x}, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda x: trim(x)), lambda x: x <> '')"
+
+
+def entails_sql(premise: str, claim: str) -> str:
+    """Whether a text has at least half of another's words."""
+    said, held = word_set_sql(claim), word_set_sql(premise)
+    return f"CASE WHEN length({said}) > 0 AND length(list_intersect({said}, {held})) * 2 >= length({said}) THEN 1 ELSE 0 END"
+
+
+@query(f"""WITH {TURNS}, c AS (SELECT conv_id, turn, output, unnest({sentences_sql('gold')}) AS claim FROM turns),
+  e AS (SELECT conv_id, turn, avg({entails_sql('output', 'claim')}) AS r FROM c GROUP BY conv_id, turn)
+  SELECT conv_id, turn, round(coalesce(r, 0), 6)::DOUBLE AS claim_recall FROM turns LEFT JOIN e USING (conv_id, turn)""")
+def claim_recall(spark, sf_dir):
+    """The share of the gold answer's sentences whose words the output has."""
+    rows = _turns(spark, sf_dir).select(F.struct("conv_id", "turn").alias("id"), "output", T.sentences(F.col("gold")).alias("claims"))
+    return metrics.claim_recall(rows, models.entailment(models.OverlapEntailment)).select("id.conv_id", "id.turn", F.round("claim_recall", 6).alias("claim_recall"))
+
+
+@query(f"""WITH {TURNS}, d AS (SELECT conv_id, turn, {sentences_sql('output')} AS docs, {sentences_sql("gold || ' ' || output")} AS s FROM turns),
+  x AS (SELECT conv_id, turn, docs, unnest(s) AS s, generate_subscripts(s, 1) AS i FROM d),
+  r AS (SELECT *, CASE i % 4 WHEN 0 THEN []::BIGINT[] WHEN 1 THEN [1] WHEN 2 THEN [1, 2] ELSE [2, 99] END AS refs FROM x),
+  v AS (SELECT *, CASE WHEN length(list_filter(refs, lambda k: k > length(docs))) = 0 THEN refs ELSE []::BIGINT[] END AS ok FROM r),
+  j AS (SELECT *, CASE WHEN length(ok) > 0 THEN {entails_sql("array_to_string(list_transform(ok, lambda k: docs[k]), chr(10))", 's')} ELSE 0 END AS joint FROM v),
+  p AS (SELECT *, CASE WHEN length(ok) <= 1 THEN joint WHEN joint = 0 THEN 0 ELSE
+    (CASE WHEN {entails_sql('docs[1]', 's')} = 1 OR {entails_sql('docs[2]', 's')} = 0 THEN 1 ELSE 0 END) + (CASE WHEN {entails_sql('docs[2]', 's')} = 1 OR {entails_sql('docs[1]', 's')} = 0 THEN 1 ELSE 0 END) END AS precise FROM j)
+  SELECT conv_id, turn, round(avg(joint), 6)::DOUBLE AS citation_recall, round(CASE WHEN sum(length(ok)) > 0 THEN sum(precise) / sum(length(ok)) ELSE 0 END, 6)::DOUBLE AS citation_precision FROM p GROUP BY conv_id, turn""")
+def citation_scores(spark, sf_dir):
+    """Sentences of both turns that cite none, one or two of the output's sentences, or one that isn't there."""
+    refs = F.expr("transform(sequence(1, size(s)), i -> CASE i % 4 WHEN 0 THEN array() WHEN 1 THEN array(0) WHEN 2 THEN array(0, 1) ELSE array(1, 98) END)")
+    rows = _turns(spark, sf_dir).select(F.struct("conv_id", "turn").alias("id"), T.sentences(F.col("output")).alias("docs"), T.sentences(F.concat("gold", F.lit(" "), "output")).alias("s")).where(F.size("s") > 0)
+    items = rows.select("id", "docs", F.zip_with("s", refs, lambda s, r: F.struct(s.alias("sentence"), r.cast("array<int>").alias("refs"))).alias("sentences"))
+    return metrics.citation_scores(items, models.entailment(models.OverlapEntailment)).select("id.conv_id", "id.turn", F.round("citation_recall", 6).alias("citation_recall"), F.round("citation_precision", 6).alias("citation_precision"))
+
+
+@query("""WITH t AS (SELECT conv_id, turn, text, length(text) % 7 AS score, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM conversations)
+  SELECT conv_id AS id, arg_max(text, (score, -i)) FILTER (score IS NOT NULL) AS answer FROM t GROUP BY conv_id""")
+def best_scored_answer(spark, sf_dir):
+    """The answer of the highest score in the long-answer result format: a conversation's turns are its answers."""
+    answers = F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: F.struct(x["text"].alias("text"), (F.length(x["text"]) % 7).alias("score")))
+    rows = table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("q_id")).agg(answers.alias("answers"))
+    rows = rows.withColumns({"question": F.lit("q"), "output": F.lit("o"), "claims": F.array(F.lit("c"))})
+    return sinks.final_answers(rows, "eli5").select("id", "answer")
+
+
 @query(f"""WITH {TURNS}, w AS (SELECT *, list_filter(string_split(gold, ' '), lambda x: x <> '') AS words, {norm_sql('output')} AS inside FROM turns),
   c AS (SELECT conv_id, turn, length(words) AS n, length(list_filter(words, lambda x: contains(inside, {norm_sql('x')}))) AS k FROM w)
   SELECT conv_id, turn, round(CASE WHEN n > 0 THEN k / n ELSE 0 END, 6)::DOUBLE AS em, (n > 0 AND k = n)::INTEGER::DOUBLE AS hit FROM c""")
@@ -658,6 +716,12 @@ def context_interleave(spark, sf_dir):
     return context.interleaved(rows).select("qid", "at", "place")
 
 
+@query("""SELECT source AS qid, doc_id AS "at", row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id)::INTEGER AS place FROM documents""")
+def context_score_order(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select(F.col("source").alias("qid"), F.col("doc_id").alias("at"), F.col("n_chars").alias("total_score"))
+    return context.score_order(rows).select("qid", "at", "place")
+
+
 @query("""WITH w AS (SELECT source AS qid, doc_id AS place, text, regexp_extract_all(text, '\\S+') AS w FROM documents),
   s AS (SELECT *, length(w) AS n, coalesce(sum(length(w)) OVER (PARTITION BY qid ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM w)
   SELECT qid, place, CASE WHEN b + n <= 3800 THEN text ELSE array_to_string(w[1:(3800 - b)::BIGINT], ' ') END AS text FROM s WHERE b <= 3800""")
