@@ -6,6 +6,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from dendra.operators.shared import cut
+
 TOKEN = r"[^\s.,;:!?|()\[\]\"]+"
 #: Query sides of up to so many rows are sent to all tasks; larger ones are taken in slices or joined by shuffling.
 QUERY_ROWS = 20_000
@@ -26,20 +28,28 @@ def term_counts(docs: DataFrame, key: str, text: str = "text", pattern: str = TO
 def bm25_top(docs: DataFrame, queries: DataFrame, k: int = 100, k1: float = 0.9, b: float = 0.4, doc_key: str = "doc_id", query_key: str = "item_id", text: str = "text") -> DataFrame:
     """(query_key, doc_key, score, rank): the k best documents of each query by BM25 over distinct query terms.
 
-    Document terms are kept only if a query has them, so postings of other words never leave their task.
+    Document terms are kept only if a query has them. They are dealt by document, and every task holds the queries' terms (in slices of QUERY_ROWS), so a document's
+    score is summed where its terms are: a frequent word's documents don't meet in one task, and only k rows a query and task are shuffled.
     """
     terms = queries.select(query_key, F.explode(F.array_distinct(word_tokens(F.col(text)))).alias("term"))
     words = terms.select("term").distinct()
     words = F.broadcast(words) if words.count() <= QUERY_ROWS else words
     tokens = docs.select(doc_key, word_tokens(F.col(text)).alias("terms")).withColumn("length", F.size("terms"))
     stats = tokens.agg(F.count("*").alias("n"), F.avg("length").alias("mean")).first()
-    postings = tokens.select(doc_key, "length", F.explode("terms").alias("term")).join(words, "term", "left_semi").groupBy(doc_key, "length", "term").agg(F.count("*").alias("tf"))
+    known = tokens.select(doc_key, "length", F.explode("terms").alias("term")).join(words, "term", "left_semi")
+    postings = known.repartition(doc_key).groupBy(doc_key, "length", "term").agg(F.count("*").alias("tf"))
     frequency = postings.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.lit(float(stats.n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.lit(float(stats.mean or 1.0))))
-    scored = postings.join(frequency, "term").select(doc_key, "term", weight.alias("weight"))
-    found = scored.join(terms, "term").groupBy(query_key, doc_key).agg(F.sum("weight").alias("score"))
-    return top_k(found, [query_key], [F.desc(F.round("score", 9)), F.col(doc_key)], k)
+    plan = cut(terms.join(frequency, "term").select(query_key, "term", idf.alias("idf")))
+    slices = max(1, -(-plan.count() // QUERY_ROWS))
+    weight = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.lit(float(stats.mean or 1.0))))
+    found = None
+    for s in range(slices):
+        some = F.broadcast(plan.where(F.pmod(F.xxhash64(query_key), F.lit(slices)) == s))
+        scored = postings.join(some, "term").groupBy(doc_key, query_key).agg(F.sum(weight).alias("score")).select(query_key, doc_key, "score")
+        best = top_k(scored, [query_key], [F.desc(F.round("score", 9)), F.col(doc_key)], k)
+        found = best if found is None else found.unionByName(best)
+    return found
 
 
 def top_k(rows: DataFrame, keys: list[str], order: list[Column], k: int) -> DataFrame:
