@@ -36,7 +36,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     edges: long columns u and v, in any direction, repeated or not; self-links are ignored. Nodes are
     ordered numbers. Every round runs as joins and grouped minima: no neighbour list is ever gathered, so
     a node with very many links costs no more memory than others, and the rows of a hot node are split by
-    the adaptive skew join. An empty table gives an empty result. Raises RuntimeError if the rounds do not
+    the adaptive skew join. A link with a null end is ignored, other columns aren't read. An empty table gives an empty result. Raises RuntimeError if the rounds do not
     suffice (their number grows as the logarithm of the longest path).
     """
     now = checkpoint(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())

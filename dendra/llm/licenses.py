@@ -223,8 +223,9 @@ def scan_documents(docs: DataFrame, templates=TEMPLATES, max_difference: float =
 
     `confirmed` tells whether the wording differs from the template in at most `max_difference` of its words;
     other rows name the nearest template of a block that has a cue but no known wording. Texts without a cue
-    are left out before Python. A null or empty text has no rows; a null doc_id is returned as null; repeated rows are
-    each scanned; an empty table gives an empty result; other columns are not read.
+    are left out before Python. A null or empty text has no rows; a very long text is scanned whole, in blocks of bounded size; of
+    templates that differ by an equal share of words the longer one is named, then the one with the larger reduction; a null doc_id is returned as
+    null; repeated rows are each scanned; an empty table gives an empty result; other columns are not read, whatever their names.
     """
     names = [c.split()[0] for c in SCHEMA.split(", ")]
     kinds = [pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.bool_()]

@@ -121,7 +121,8 @@ FEATURES = (
 def media_features(stored: DataFrame) -> DataFrame:
     """Columns FEATURES from (doc_id, n_bytes, media): the samples are read back by the wave module and fingerprinted.
 
-    peak_times and peak_codes are parallel arrays, one entry for each pair of peaks, in order of time.
+    peak_times and peak_codes are parallel arrays, one entry for each pair of peaks, in order of time. A null doc_id stays null, repeated rows
+    are each returned, an empty table gives an empty result; media as encode_media() makes it is never null.
     """
     names = [c.split()[0] for c in FEATURES.split(", ")]
 
@@ -144,8 +145,9 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
     """One row per document: the digest columns of the stored and reread form, feature, and the fingerprint arrays.
 
     feature: frames, pairs and the hash of the time-coded arrays as text. Equal texts give equal values; null
-    and empty texts are 192 blanks; a null doc_id stays null; repeated rows are each returned; an empty table
-    gives an empty result; other columns are not read.
+    and empty texts are 192 blanks; a very long text is one recording, held whole by the task that encodes it; peaks of equal
+    strength go by their frequency; a null doc_id stays null; repeated rows are each returned; an empty table
+    gives an empty result; other columns are not read, whatever their names.
     """
     made = media_features(encode_media(docs))
     code = F.sha2(F.concat_ws(";", F.array_join("peak_times", ","), F.array_join("peak_codes", ",")), 256)

@@ -132,15 +132,20 @@ def near_duplicates(docs: DataFrame, radius: int = 4, id_column: str = "doc_id",
     fingerprint: 16 hex digits. component_id: the smallest doc_id that can be reached over links of at most
     `radius` differing bits, its own included. A null text counts as empty: fingerprint 0, linked like any
     other. A null doc_id is returned as null and gets the component_id of its group (null if the group has
-    no id at all). Repeated rows are returned as often as they come; an empty table gives an empty result;
-    other columns are not read.
+    no id at all). Very long texts are fingerprinted whole, in pieces; of equally small doc_ids there is nothing to choose, since a
+    component is named by the number. Repeated rows are returned as often as they come; an empty table gives an empty result;
+    other columns are not read, whatever their names.
     """
     found = clustered(fingerprints(docs, id_column, text_column), radius)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), BITS // 4, "0")).alias("fingerprint"), "component_id")
 
 
 def clustered(fps: DataFrame, radius: int = 4) -> DataFrame:
-    """Rows (doc_id, fp, ...) with component_id, the smallest doc_id that can be reached, and root, a number of the component that is never null."""
+    """Rows (doc_id, fp, ...) with component_id, the smallest doc_id that can be reached, and root, a number of the component that is never null.
+
+    A null doc_id names no component; repeated rows are all returned; an empty table gives an empty result. Further columns are kept, but those named component_id
+    or root would clash. Texts aren't read.
+    """
     fps = checkpoint(fps)
     return fps.join(_named(fps, radius), "fp")
 
@@ -160,6 +165,7 @@ def keep_one_of_each(docs: DataFrame, radius: int = 4) -> DataFrame:
     """docs without the documents that have a near-duplicate of smaller doc_id; columns as they came.
 
     Of each component the document with the smallest doc_id stays (as often as its row is repeated); rows
-    without a doc_id can't be named and all stay.
+    without a doc_id can't be named and all stay. Null and empty texts are near-duplicates of each other; very long texts are
+    compared whole; an empty table stays empty; other columns are carried along, whatever their names.
     """
     return without_ids(docs, near_duplicates(docs, radius).where("doc_id <> component_id").select("doc_id"))
