@@ -1,10 +1,12 @@
-"""Connected components of a link table, by alternating large-star and small-star steps."""
+"""Connected components of a link table: each task joins its own links, alternating large-star and small-star steps join the rest."""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import checkpoint, settled, small
+from .common import arrow_map, checkpoint, settled, small
 
 
 #: Links that one task writes at least.
@@ -29,22 +31,61 @@ def _small_star(edges: DataFrame, tasks: int) -> DataFrame:
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct().coalesce(tasks)
 
 
+def joined(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of these links that aren't the smallest of their component, and that smallest one."""
+    nodes, ends = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = ends.reshape(2, -1)
+    root = np.arange(len(nodes))
+    while True:
+        a, b = root[a], root[b]
+        a, b = a[a != b], b[a != b]
+        if not len(a):
+            break
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while (root[root] != root).any():
+            root = root[root]
+    below = root < np.arange(len(nodes))
+    return nodes[below], nodes[root[below]]
+
+
+def _contracted(edges: DataFrame, tasks: int) -> DataFrame:
+    """The same components with at most one link a node and task: from each node to the smallest one that its task's links reach."""
+
+    def contract(batches):
+        u, v = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
+        for batch in batches:
+            more = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(2))
+            u, v = (np.concatenate(x) for x in zip((u, v), more))
+            if len(u) > 2 * TASK_LINKS:
+                u, v = joined(u, v)
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in joined(u, v)], ["u", "v"])
+
+    return arrow_map(edges.select("u", "v").coalesce(tasks), contract, "u long, v long")
+
+
 @settled
 def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     """(node, root) for each node that stands in a link; root is the smallest node of its component.
 
     edges: long columns u and v, in any direction, repeated or not; self-links are ignored. Nodes are
-    ordered numbers. Every round runs as joins and grouped minima: no neighbour list is ever gathered, so
+    ordered numbers. The links are dealt by their hash to tasks of about TASK_LINKS; each joins what its own links
+    connect, in plain arrays, and keeps one link a node. Where one task holds them all, that is the result. Else every round
+    runs as joins and grouped minima until so few links are left: no neighbour list is ever gathered, so
     a node with very many links costs no more memory than others, and the rows of a hot node are split by
     the adaptive skew join. A link with a null end is ignored, other columns aren't read. An empty table gives an empty result. Raises RuntimeError if the rounds do not
     suffice (their number grows as the logarithm of the longest path).
     """
     now = checkpoint(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    mark = _mark(now)
+    tasks = 1 + now.count() // TASK_LINKS  # few links don't make many small tasks and files
+    now = checkpoint(_contracted(now, tasks))
+    mark = _mark(now) if tasks > 1 else None
     for _ in range(max_rounds):
-        if mark[0] == 0:
+        if tasks == 1:
+            break
+        tasks = 1 + mark[0] // TASK_LINKS
+        if tasks == 1:
+            now = checkpoint(_contracted(now, 1))
             break
-        tasks = 1 + mark[0] // TASK_LINKS  # few links don't make many small tasks and files
         now = checkpoint(_small_star(checkpoint(_large_star(now, tasks)), tasks))
         before, mark = mark, _mark(now)
         if before == mark:

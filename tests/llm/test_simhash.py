@@ -1,7 +1,10 @@
 import random
 
+import numpy as np
+import pytest
 import xxhash
-from dendra.llm.components import connected_components
+from dendra.llm import components as links_joined
+from dendra.llm.components import connected_components, joined
 from dendra.llm.simhash import HOT_BUCKET, fingerprint, keep_one_of_each, link_fingerprints, near_duplicates, segments
 
 
@@ -83,7 +86,9 @@ def test_segments_cover_the_radius():
     assert [(w, b) for _, w, b in segments(4, 2)] == [(32, 2), (32, 1)]
 
 
-def test_components(spark):
+@pytest.mark.parametrize("task_links", [200_000, 60])
+def test_components(spark, monkeypatch, task_links):
+    monkeypatch.setattr(links_joined, "TASK_LINKS", task_links)
     rng = random.Random(2)
     edges = [(rng.randrange(400), rng.randrange(400)) for _ in range(250)] + [(1000 + i, 1001 + i) for i in range(40)] + [(5, 5)]
     got = {r.node: r.root for r in connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
@@ -100,3 +105,21 @@ def test_components(spark):
     linked = {x for a, b in edges if a != b for x in (a, b)}
     assert got == {x: find(x) for x in linked}
     assert connected_components(spark.createDataFrame([], "u long, v long")).collect() == []
+
+
+def test_links_of_one_task():
+    rng = np.random.default_rng(4)
+    assert [len(x) for x in joined(np.empty(0, np.int64), np.empty(0, np.int64))] == [0, 0]
+    for nodes, n in ((50, 30), (5, 40), (3000, 2900), (3000, 3000)):
+        u, v = rng.integers(-nodes, nodes, (2, n))
+        if n == 3000:
+            u, v = np.arange(n), np.arange(n) + 1  # a path
+        least = {x: x for x in np.concatenate([u, v]).tolist()}
+        changed = True
+        while changed:
+            changed = False
+            for a, b in [*zip(u.tolist(), v.tolist())] + [*zip(u.tolist(), v.tolist())][::-1]:
+                if least[a] != least[b]:
+                    least[a] = least[b] = min(least[a], least[b])
+                    changed = True
+        assert dict(zip(*(x.tolist() for x in joined(u, v)))) == {a: b for a, b in least.items() if a != b}
