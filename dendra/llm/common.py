@@ -9,7 +9,7 @@ from contextvars import ContextVar
 from functools import wraps
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 #: Spaces as the word rules of these operators see them: blank, tab, line feed, vertical tab, form feed, return.
 SPACES = " \t\n\x0b\x0c\r"
@@ -89,10 +89,20 @@ def removed(df: DataFrame) -> None:
         _delete(file.rpartition("/")[0])
 
 
+def _size(lists: str | None) -> Column:
+    return F.count("*") if lists is None else F.coalesce(F.sum(F.size(lists)), F.lit(0))
+
+
 def small(df: DataFrame, lists: str | None = None) -> DataFrame:
     """df, broadcast if it is small; its size is its rows, or the entries of the array column `lists`."""
-    size = F.count("*") if lists is None else F.coalesce(F.sum(F.size(lists)), F.lit(0))
-    return F.broadcast(df) if df.agg(size).first()[0] <= BROADCAST_ROWS else df
+    return F.broadcast(df) if df.agg(_size(lists)).first()[0] <= BROADCAST_ROWS else df
+
+
+def small_checkpoint(df: DataFrame, lists: str | None = None) -> DataFrame:
+    """small(checkpoint(df)), its size seen while it is written instead of by a job of its own."""
+    seen = Observation()
+    made = checkpoint(df.observe(seen, _size(lists).alias("size")))
+    return F.broadcast(made) if seen.get["size"] <= BROADCAST_ROWS else made
 
 
 def unused(df: DataFrame, name: str) -> str:

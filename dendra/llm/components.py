@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import arrow_map, checkpoint, settled, small
+from .common import arrow_map, checkpoint, settled, small_checkpoint
 
 
 #: Links that one task writes at least.
@@ -15,7 +15,7 @@ TASK_LINKS = 200_000
 
 def _least(links: DataFrame, least, tasks: int) -> DataFrame:
     """(u, m) with the aggregate m of each u: written first, so that a small one is broadcast and else the adaptive skew join can split a hot node's rows."""
-    return small(checkpoint(links.groupBy("u").agg(least.alias("m")).coalesce(tasks)))
+    return small_checkpoint(links.groupBy("u").agg(least.alias("m")).coalesce(tasks))
 
 
 def _large_star(edges: DataFrame, tasks: int) -> DataFrame:
