@@ -6,7 +6,8 @@ import pandas as pd
 import regex
 from pyspark.sql import Column, functions as F, types as T
 
-_BALANCED = regex.compile(r"\{\{(?:[^{}]|(?R))*\}\}")
+#: Possessive, as nothing that it takes could be given back for a match; so no state is kept for each character.
+_BALANCED = regex.compile(r"\{\{(?:[^{}]++|(?R))*+\}\}")
 
 
 def strip_edge_templates(text: str) -> str:
@@ -53,13 +54,17 @@ REWRITES = (
     (r"\n+", "\n"),
 )
 
+#: Java repeats a group by recursion, which overflows the stack (and ends the executor) within some thousand characters. This form of a table matches the same text in a
+#: loop: its end is the first outer brace that closes, so nothing that was taken is ever given back.
+IN_LOOPS = {r"(?s)\{\|(?:[^{}]|\{[^{}]*\})*\|\}": r"(?s)\{\|(?:[^{}|]++|\|(?!\})|\{[^{}]*+\})*+\|\}"}
+
 
 def clean_markup(text: Column, keep_links: bool = False) -> Column:
     """Plain text of wiki markup; with keep_links the [[…]] stay for link extraction."""
     out = edge_templates_removed(text)
     for pattern, by in REWRITES:
         if not (keep_links and (pattern, by) == LINK):
-            out = F.regexp_replace(out, pattern, by)
+            out = F.regexp_replace(out, IN_LOOPS.get(pattern, pattern), by)
     return F.regexp_replace(out, r"^\s+|\s+$", "")
 
 
