@@ -36,6 +36,11 @@ def pooled(tokens: Column, mask: Column | None = None) -> Column:
     return F.when(F.size(tokens) > 0, unit(F.transform(total, lambda x: x / count)))
 
 
+def rounded(x: Column, digits: int) -> Column:
+    """x to so many digits, halves away from zero. As elsewhere by IEEE a negative number that becomes zero keeps its sign, which F.round drops."""
+    return F.round(F.abs(x), digits) * F.signum(x)
+
+
 def combined(local: Column, over_all: Column, local_weight: float, global_weight: float) -> Column:
     return F.lit(local_weight) * local + F.lit(global_weight) * over_all
 

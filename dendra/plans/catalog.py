@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from dendra.functions import markup, parsers, prompts, text as T
-from dendra.functions.vector import cosine, pooled
+from dendra.functions.vector import cosine, pooled, rounded
 from dendra.operators import context, divergence, graph, links, metrics, models, pages, retrieval, tree
 from dendra.operators.shared import cut, deleted, new_folder
 from dendra.operators.stores import GraphStore, PostingsIndex
@@ -603,14 +603,14 @@ def pooled_embeddings(spark, sf_dir):
     tokens = F.expr("transform(sequence(0, 15), r -> slice(embedding, 4 * r + 1, 4))")
     mask = F.expr("transform(sequence(0, 15), r -> cast((vec_id + r) % 3 <> 0 as int))")
     rows = table(spark, sf_dir, "embeddings").select("vec_id", pooled(tokens, mask).alias("p"))
-    return rows.select("vec_id", F.transform("p", lambda x: F.round(x, 6)).alias("pooled"))
+    return rows.select("vec_id", F.transform("p", lambda x: rounded(x, 6)).alias("pooled"))
 
 
 @query("SELECT a.vec_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS adjacent FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
 def adjacent_cosine(spark, sf_dir):
     rows = table(spark, sf_dir, "embeddings")
     after = rows.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("after"))
-    return rows.join(after, "vec_id").select("vec_id", F.round(cosine(F.col("embedding"), F.col("after")), 6).alias("adjacent"))
+    return rows.join(after, "vec_id").select("vec_id", rounded(cosine(F.col("embedding"), F.col("after")), 6).alias("adjacent"))
 
 
 def clusters_sql(bins: int, rounds: int) -> str:

@@ -56,3 +56,11 @@ def test_empty_sides(spark, tmp_path):
     assert retrieval.dense_top(none, none.withColumnRenamed("vec_id", "query_id")).collect() == []
     retrieval.write_cells(none, str(tmp_path), 4)
     assert retrieval.cell_top(spark, str(tmp_path), frame(spark, [[1, 2]], "query_id")).collect() == []
+
+
+def test_rounded_zero_keeps_its_sign(spark):
+    from dendra.functions.vector import rounded
+
+    values = [-1e-7, 1e-7, 0.0, -5e-7, 5e-7, -0.1234567, None]
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double").select("i", rounded(F.col("v"), 6).alias("r")).orderBy("i").collect()
+    assert [repr(r.r) for r in rows] == ["-0.0", "0.0", "0.0", "-1e-06", "1e-06", "-0.123457", "None"]
