@@ -52,6 +52,17 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Bytes of a batch of rows that a Python worker is sent.
+BATCH_BYTES = 4 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Lowers the session's limit on the bytes of an Arrow batch to BATCH_BYTES, so that long texts don't add up in a Python worker."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name)) > BATCH_BYTES:
+        spark.conf.set(name, BATCH_BYTES)
+
+
 def unused(df: DataFrame, name: str) -> str:
     """A column name that df doesn't have, whatever the case."""
     taken = {c.lower() for c in df.columns}

@@ -9,16 +9,27 @@ from __future__ import annotations
 
 import re
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from dendra.functions.markup import HEADING, LIST_ITEM, clean_markup
 from dendra.operators.pages import articles
+from dendra.operators.shared import bound_batches
 from dendra.schemas import NODE
 
 #: A section whose heading contains one of these is left out with all below it.
 BOILERPLATE = ("external links", "notes", "references", "see also", "gallery", "images", "pictures", "photographs", "sources", "citations")
 _HEADING, _ITEM = re.compile(HEADING), re.compile(LIST_ITEM)
+#: Documents whose nodes are Python objects at once; a batch of rows is taken in slices of so many, so a worker's memory doesn't grow with the table.
+SLICE = 32
+_INT, _STRING = pa.int32(), pa.string()
+_NODES = pa.list_(pa.struct({"id": _INT, "text": _STRING, "type": _STRING, "up_id": _INT, "down_ids": pa.list_(_INT), "span_start": _INT, "span_end": _INT, "level": _INT, "subtree_end": _INT}.items()))
+
+
+def _slices(*columns: pa.Array):
+    """The columns as lists of Python objects, SLICE rows at a time."""
+    for at in range(0, len(columns[0]), SLICE):
+        yield [c.slice(at, SLICE).to_pylist() for c in columns]
 
 
 def _classified(text: str, lists: bool):
@@ -100,13 +111,16 @@ def finish(nodes: list[dict], prune: bool = True) -> tuple[list[dict], str]:
 def trees(pages: DataFrame, clean: bool = True, lists: bool = True, prune: bool = True) -> DataFrame:
     """(title, num_nodes, nodes, full_text) of each article. Filters run before cleaning, cleaning before Python builds the trees."""
     kept = articles(pages).select("title", (clean_markup(F.col("text")) if clean else F.col("text")).alias("text"))
+    bound_batches(pages.sparkSession)
 
-    @F.pandas_udf(f"struct<num_nodes:int,nodes:array<{NODE}>,full_text:string>")
-    def built(title: pd.Series, text: pd.Series) -> pd.DataFrame:
-        made = [finish(parse_nodes(t, x, lists), prune) for t, x in zip(title, text)]
-        return pd.DataFrame({"num_nodes": [len(n) for n, _ in made], "nodes": [n for n, _ in made], "full_text": [f for _, f in made]})
+    def built(batches):
+        for batch in batches:
+            for titles, texts in _slices(*batch.columns):
+                made = [finish(parse_nodes(t, x, lists), prune) for t, x in zip(titles, texts)]
+                columns = [pa.array(titles, _STRING), pa.array([len(n) for n, _ in made], _INT), pa.array([n for n, _ in made], _NODES), pa.array([f for _, f in made], _STRING)]
+                yield pa.RecordBatch.from_arrays(columns, ["title", "num_nodes", "nodes", "full_text"])
 
-    return kept.select("title", built("title", "text").alias("t")).select("title", "t.*")
+    return kept.mapInArrow(built, f"title string, num_nodes int, nodes array<{NODE}>, full_text string")
 
 
 def nodes_of(docs: DataFrame, *keys: str) -> DataFrame:
@@ -161,9 +175,9 @@ def lit_by_headings(nodes: Column, headings: Column, with_intro: bool = True, wi
     with_intro: also content directly under the root. with_siblings: also content directly under each ancestor of a chosen heading.
     """
 
-    @F.pandas_udf("array<int>")
-    def run(nodes: pd.Series, headings: pd.Series) -> pd.Series:
-        return pd.Series([_lit(n, list(h), with_intro, with_siblings, True) for n, h in zip(nodes, headings)], dtype=object)
+    @F.arrow_udf("array<int>")
+    def run(nodes: pa.Array, headings: pa.Array) -> pa.Array:
+        return pa.array([_lit(n, h, with_intro, with_siblings, True) for some in _slices(nodes, headings) for n, h in zip(*some)], pa.list_(_INT))
 
     return run(nodes, headings)
 
@@ -171,10 +185,13 @@ def lit_by_headings(nodes: Column, headings: Column, with_intro: bool = True, wi
 def lit_by_paragraphs(nodes: Column, ids: Column) -> Column:
     """Ids of the chosen content nodes and of their ancestors."""
 
-    @F.pandas_udf("array<int>")
-    def run(nodes: pd.Series, ids: pd.Series) -> pd.Series:
-        content = [{n["id"] for n in ns if n["type"] == "content"} for ns in nodes]
-        return pd.Series([_lit(n, [i for i in chosen if i in c], False, False, False) for n, c, chosen in zip(nodes, content, ids)], dtype=object)
+    def lit(nodes: list[dict], chosen: list[int]) -> list[int]:
+        content = {n["id"] for n in nodes if n["type"] == "content"}
+        return _lit(nodes, [i for i in chosen if i in content], False, False, False)
+
+    @F.arrow_udf("array<int>")
+    def run(nodes: pa.Array, ids: pa.Array) -> pa.Array:
+        return pa.array([lit(n, chosen) for some in _slices(nodes, ids) for n, chosen in zip(*some)], pa.list_(_INT))
 
     return run(nodes, ids)
 
@@ -182,18 +199,18 @@ def lit_by_paragraphs(nodes: Column, ids: Column) -> Column:
 def rendered(nodes: Column, lit: Column) -> Column:
     """Lines `id: text` of lit nodes whose parents are shown too, indented by depth. Document order is the order of ids."""
 
-    @F.pandas_udf("string")
-    def run(nodes: pd.Series, lit: pd.Series) -> pd.Series:
-        out = []
-        for ns, ids in zip(nodes, lit):
-            ids, depth, lines = set(ids), {}, []
-            for n in ns:
-                if n["id"] in ids and (n["up_id"] is None or n["up_id"] in depth):
-                    depth[n["id"]] = 0 if n["up_id"] is None else depth[n["up_id"]] + 1
-                    text = f"={n['text']}=" if n["id"] == 0 else n["text"]
-                    lines.append(f"{'    ' * depth[n['id']]}{n['id']}: {text}")
-            out.append("\n".join(lines))
-        return pd.Series(out, dtype=object)
+    def shown(nodes: list[dict], ids: list[int]) -> str:
+        ids, depth, lines = set(ids), {}, []
+        for n in nodes:
+            if n["id"] in ids and (n["up_id"] is None or n["up_id"] in depth):
+                depth[n["id"]] = 0 if n["up_id"] is None else depth[n["up_id"]] + 1
+                text = f"={n['text']}=" if n["id"] == 0 else n["text"]
+                lines.append(f"{'    ' * depth[n['id']]}{n['id']}: {text}")
+        return "\n".join(lines)
+
+    @F.arrow_udf("string")
+    def run(nodes: pa.Array, lit: pa.Array) -> pa.Array:
+        return pa.array([shown(n, ids) for some in _slices(nodes, lit) for n, ids in zip(*some)], _STRING)
 
     return run(nodes, lit)
 

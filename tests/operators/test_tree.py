@@ -1,3 +1,4 @@
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from dendra.functions.markup import clean_markup, strip_edge_templates
@@ -120,3 +121,13 @@ def test_long_tables_are_cleaned(spark):
     long = "a\n{| class=x\n| " + "word {w} | " * 20_000 + "\n|}\nb {| c |"
     got = spark.createDataFrame([(long,)], "t string").select(clean_markup(F.col("t"))).first()[0]
     assert got == "a\nb {| c |"
+
+
+def test_trees_hold_few_documents_at_once(spark):
+    """At most SLICE documents are Python objects at once and 4 MB are sent at once, however many rows a batch has; before, up to 10,000 documents of any size were."""
+    assert [len(n) for n, _ in tree._slices(pa.array([[1]] * 1000), pa.array([[2]] * 1000))] == [tree.SLICE] * (1000 // tree.SLICE) + [1000 % tree.SLICE]
+    docs = spark.range(0, 1000, 1, 1).select(F.concat(F.lit("t"), F.col("id")).alias("title"), F.concat(F.lit("intro\n== h ==\nbody "), F.col("id")).alias("text"))
+    made = tree.trees(docs)
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b")) <= 4 << 20
+    shown = made.select("title", tree.rendered(F.col("nodes"), tree.lit_by_headings(F.col("nodes"), F.array(F.lit(2)))).alias("s"))
+    assert {(r.title, r.s) for r in shown.collect()} == {(f"t{i}", f"0: =t{i}=\n    1: intro\n    2: ==h==\n        3: body {i}") for i in range(1000)}
