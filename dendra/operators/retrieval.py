@@ -4,15 +4,18 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from dendra.operators.shared import cut
+from dendra.operators.shared import bound_batches, cut
 
 TOKEN = r"[^\s.,;:!?|()\[\]\"]+"
 #: Query sides of up to so many rows are sent to all tasks; larger ones are taken in slices or joined by shuffling.
 QUERY_ROWS = 20_000
 #: Pairs of query and vector that are multiplied at once.
 STEP_CELLS = 1 << 22
+#: Sums of a document and a query that a task holds at once, and (document, term, query) triples that are added to them at once.
+SUM_CELLS = 1 << 20
 
 
 def word_tokens(text: Column, pattern: str = TOKEN) -> Column:
@@ -28,30 +31,133 @@ def term_counts(docs: DataFrame, key: str, text: str = "text", pattern: str = TO
 def bm25_top(docs: DataFrame, queries: DataFrame, k: int = 100, k1: float = 0.9, b: float = 0.4, doc_key: str = "doc_id", query_key: str = "item_id", text: str = "text") -> DataFrame:
     """(query_key, doc_key, score, rank): the k best documents of each query by BM25 over distinct query terms.
 
-    Document terms are kept only if a query has them. They are dealt by document, and every task holds the queries' terms (in slices of QUERY_ROWS), so a document's
-    score is summed where its terms are: a frequent word's documents don't meet in one task, and only k rows a query and task are shuffled.
+    Every task holds the queries' terms (in slices of QUERY_ROWS), sums a bounded number of its documents' scores at once and keeps k rows a query; only these are shuffled, and
+    for the frequencies one row a term and task. Rows of a doc_key that stands in several rows are one document; only these are brought together by joins.
     """
     terms = queries.select(query_key, F.explode(F.array_distinct(word_tokens(F.col(text)))).alias("term"))
     words = terms.select("term").distinct()
     words = F.broadcast(words) if words.count() <= QUERY_ROWS else words
+    bound_batches(docs.sparkSession)
     tokens = docs.select(doc_key, word_tokens(F.col(text)).alias("terms")).withColumn("length", F.size("terms"))
     stats = tokens.agg(F.count("*").alias("n"), F.avg("length").alias("mean")).first()
-    known = tokens.select(doc_key, "length", F.explode("terms").alias("term")).join(words, "term", "left_semi")
-    postings = known.repartition(doc_key).groupBy(doc_key, "length", "term").agg(F.count("*").alias("tf"))
-    frequency = postings.groupBy("term").agg(F.count("*").alias("df"))
+    repeated = cut(docs.groupBy(F.col(doc_key).alias("again")).agg(F.count("*").alias("n")).where("n > 1").select("again"))
+    many = repeated.count()
+    again = F.broadcast(repeated) if many <= QUERY_ROWS else repeated
+    twice = F.col(doc_key).eqNullSafe(F.col("again"))
+    lone = tokens.join(again, twice, "left_anti") if many else tokens
+    found_in = lone.select(F.explode(F.array_distinct("terms")).alias("term")).join(words, "term", "left_semi")
+    postings = None
+    if many:
+        known = tokens.join(again, twice, "left_semi").select(doc_key, "length", F.explode("terms").alias("term")).join(words, "term", "left_semi")
+        postings = cut(known.groupBy(doc_key, "length", "term").agg(F.count("*").alias("tf")))
+        found_in = found_in.unionByName(postings.select("term"))
+    frequency = found_in.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.lit(float(stats.n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     plan = cut(terms.join(frequency, "term").select(query_key, "term", idf.alias("idf")))
     slices = max(1, -(-plan.count() // QUERY_ROWS))
-    weight = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.lit(float(stats.mean or 1.0))))
+    mean = float(stats.mean or 1.0)
+    schema = T.StructType([plan.schema[query_key], docs.schema[doc_key], T.StructField("score", T.DoubleType())])
+    order = [F.desc(F.round("score", 9)), F.col(doc_key)]
     found = None
     for s in range(slices):
-        some = F.broadcast(plan.where(F.pmod(F.xxhash64(query_key), F.lit(slices)) == s))
-        scored = postings.join(some, "term").groupBy(doc_key, query_key).agg(F.sum(weight).alias("score")).select(query_key, doc_key, "score")
-        best = top_k(scored, [query_key], [F.desc(F.round("score", 9)), F.col(doc_key)], k)
+        some = plan.where(F.pmod(F.xxhash64(query_key), F.lit(slices)) == s)
+        asked = docs.sparkSession.sparkContext.broadcast(TermTable(some.toArrow(), query_key))
+
+        def scored(batches, asked=asked):
+            best = BestSums(asked.value, k)
+            for batch in batches:
+                lists, length = batch.column("terms"), batch.column("length").to_numpy(zero_copy_only=False)
+                row = np.repeat(np.arange(batch.num_rows), pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False))
+                term = asked.value.numbers(lists.flatten())
+                cell, tf = np.unique(row[term >= 0] * asked.value.n_terms + term[term >= 0], return_counts=True)
+                row, term = np.divmod(cell, max(1, asked.value.n_terms))
+                best.add(batch.column(doc_key), row, term, tf * (k1 + 1) / (tf + k1 * (1 - b + b * length[row] / mean)))
+            yield from best.batches(schema.names)
+
+        best = top_k(lone.select(doc_key, "terms", "length").mapInArrow(scored, schema), [query_key], order, k)
+        if many:
+            weight = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.lit(mean)))
+            sums = postings.repartition(doc_key).join(F.broadcast(some), "term").groupBy(doc_key, query_key).agg(F.sum(weight).alias("score")).select(query_key, doc_key, "score")
+            best = top_k(best.drop("rank").unionByName(top_k(sums, [query_key], order, k).drop("rank")), [query_key], order, k)
         found = best if found is None else found.unionByName(best)
     return found
 
 
+class TermTable:
+    """The (query, term, idf, …) rows of some queries as arrays, by term: what each task of a search holds."""
+
+    def __init__(self, rows: pa.Table, query_key: str):
+        rows = rows.combine_chunks().sort_by("term")
+        column = lambda name: rows.column(name).combine_chunks()
+        self.terms = pc.unique(column("term"))
+        self.n_terms = len(self.terms)
+        self.start = np.searchsorted(self.numbers(column("term")), np.arange(self.n_terms + 1))
+        queries = pc.dictionary_encode(column(query_key), null_encoding="encode")
+        self.queries, self.query = queries.dictionary, queries.indices.to_numpy(zero_copy_only=False)
+        self.of = {name: column(name).to_numpy(zero_copy_only=False) for name in rows.column_names if name not in (query_key, "term")}
+
+    def numbers(self, words: pa.Array) -> np.ndarray:
+        """The place of each word among the terms, -1 for others."""
+        return pc.index_in(words, value_set=self.terms).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+class BestSums:
+    """The k best documents of each query, from the terms of documents that a task has; ties by the document's key. Not more than about SUM_CELLS sums are held at once."""
+
+    def __init__(self, asked: TermTable, k: int):
+        self.asked, self.k = asked, k
+        self.held: pa.Table | None = None
+        self.least = np.zeros(len(asked.queries))
+
+    def add(self, keys: pa.Array, row: np.ndarray, term: np.ndarray, weight: np.ndarray, bound: np.ndarray | None = None) -> None:
+        """Document keys[row] (rows in order) has the term with this weight. bound: of the weights of the posting's block; queries whose k-th best it can't reach leave it."""
+        width = len(self.asked.queries)
+        step = max(1, SUM_CELLS // max(1, width))
+        for at in range(0, len(keys) if width else 0, step):
+            a, b = np.searchsorted(row, [at, at + step])
+            n = min(step, len(keys) - at)
+            if a < b:
+                sums = self._sums(row[a:b] - at, term[a:b], weight[a:b], None if bound is None else bound[a:b], n * width).reshape(n, width)
+                self._take(keys.slice(at, n), sums)
+
+    def _sums(self, row: np.ndarray, term: np.ndarray, weight: np.ndarray, bound: np.ndarray | None, cells: int) -> np.ndarray:
+        start, of = self.asked.start, self.asked.of
+        sizes = start[term + 1] - start[term]
+        upto, sums = np.cumsum(sizes), np.zeros(cells)
+        at = 0
+        while at < len(row):
+            end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + SUM_CELLS, side="right")))
+            posting = np.repeat(np.arange(at, end), sizes[at:end])
+            pair = start[term[posting]] + np.arange(len(posting)) - (upto[posting] - sizes[posting] - (upto[at - 1] if at else 0))
+            if bound is not None:
+                able = of["idf"][pair] * bound[posting] + of["total"][pair] - of["upper"][pair] >= of["least"][pair]
+                posting, pair = posting[able], pair[able]
+            sums += np.bincount(row[posting] * len(self.asked.queries) + self.asked.query[pair], weights=of["idf"][pair] * weight[posting], minlength=cells)
+            at = end
+        return sums
+
+    def _take(self, keys: pa.Array, sums: np.ndarray) -> None:
+        order = np.round(sums, 9)
+        least = np.partition(order, len(order) - self.k, axis=0)[len(order) - self.k] if len(order) >= self.k else np.zeros(sums.shape[1])
+        row, query = np.nonzero((sums > 0) & (order >= np.maximum(least, self.least)))
+        if not len(row):
+            return
+        new = pa.table({"query": query, "key": keys.take(pa.array(row)), "score": sums[row, query], "order": order[row, query]})
+        rows = new if self.held is None else pa.concat_tables([self.held, new])
+        rows = rows.take(pc.sort_indices(rows, sort_keys=[("query", "ascending"), ("order", "descending"), ("key", "ascending")], null_placement="at_start"))
+        query = rows.column("query").to_numpy()
+        place = np.arange(len(query)) - np.searchsorted(query, query)
+        self.held = rows.filter(pa.array(place < self.k)).combine_chunks()
+        last = np.flatnonzero(place == self.k - 1)
+        self.least[query[last]] = rows.column("order").to_numpy()[last]
+
+    def batches(self, names: list[str]):
+        """Record batches (query, key, score) of what is kept."""
+        if self.held is not None:
+            queries = self.asked.queries.take(self.held.column("query").combine_chunks())
+            yield from pa.table([queries, self.held.column("key"), self.held.column("score")], names=names).to_batches()
+
+
 def top_k(rows: DataFrame, keys: list[str], order: list[Column], k: int) -> DataFrame:
     """rows with `rank` up to k in each group; Spark prunes each task's rows before the shuffle."""
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("rank") <= k)

@@ -6,14 +6,18 @@ and a batch that is given again, after a failure or by mistake, leaves the same
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from dendra.operators.graph import symmetric
-from dendra.operators.retrieval import QUERY_ROWS, top_k, word_tokens
-from dendra.operators.shared import cut, parquet_or_empty
+from dendra.operators.retrieval import QUERY_ROWS, BestSums, TermTable, top_k, word_tokens
+from dendra.operators.shared import bound_batches, cut, parquet_or_empty
 
-#: Documents of one posting list block, as a power of two.
-BLOCK_BITS = 8
+#: Documents of one posting list block at most.
+BLOCK = 256
+_ENTRY = "struct<doc:bigint,tf:int,length:int>"
 
 
 def bucket_of(value: Column | str, buckets: int) -> Column:
@@ -110,17 +114,14 @@ class PostingsIndex:
     def append(self, docs: DataFrame, batch: int, key: str = "doc_id", text: str = "text") -> None:
         """Takes in a batch of documents. Null texts are left out; of documents with one key those of a batch may count as one, those of several batches don't. A batch number that was given before is replaced.
 
-        A block's documents come from one task, so what is gathered for a term never exceeds a block, however frequent the term is. Documents are
+        A block's documents are neighbours in one task, which makes its posting lists; so they are shuffled once, into their buckets, and what is gathered for a term never exceeds a block, however frequent the term is. Documents are
         written last: a batch that has none of them is not complete and must be given again.
         """
         rows = docs.where(F.col(text).isNotNull()).select(F.col(key).cast("long").alias("doc"), word_tokens(F.col(text)).alias("terms"))
         rows = rows.withColumn("length", F.size("terms"))
-        numbered = rows.withColumn("at", F.monotonically_increasing_id()).select("at", "doc", "length", F.explode("terms").alias("term"))
-        counts = numbered.groupBy("at", "doc", "length", "term").agg(F.count("*").cast("int").alias("tf"))
-        entry = F.struct("doc", "tf", "length").alias("entry")
-        blocks = counts.groupBy("term", F.shiftright("at", BLOCK_BITS).alias("block")).agg(
-            F.count("*").cast("int").alias("n"), F.max("tf").alias("max_tf"), F.min("length").alias("min_length"), F.array_sort(F.collect_list(entry)).alias("entries")
-        )
+        bound_batches(self.spark)
+        numbered = rows.select(F.monotonically_increasing_id().alias("at"), "doc", "length", "terms")
+        blocks = numbered.mapInArrow(_posting_blocks, f"term string, block long, n int, max_tf int, min_length int, entries array<{_ENTRY}>")
         blocks = blocks.withColumn("batch", F.lit(batch).cast("long")).withColumn("bucket", bucket_of("term", self.buckets))
         spread = blocks.hint("rebalance", "bucket").sortWithinPartitions("batch", "bucket", "term")
         spread.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch", "bucket").parquet(f"{self.path}/postings")
@@ -137,7 +138,7 @@ class PostingsIndex:
         """(query_key, doc_id, score, rank): the k best documents of each query by BM25 over its distinct terms; ties by document.
 
         All blocks of the same documents meet in one task, which holds the queries' terms (in slices of a checked size), so a document's score is summed where its
-        postings are and only k rows a query and task are shuffled, however frequent a word is. The k-th best sum over a query's `probes`
+        postings are, a bounded number at once, and only k rows a query and task are kept and shuffled, however frequent a word is. The k-th best sum over a query's `probes`
         strongest terms is a score that no result is below; blocks of a term whose bound, with all other terms at their best, can't reach it are not opened.
         """
         stats = self.documents().agg(F.count("*").alias("n"), F.avg("length").alias("mean")).first()
@@ -157,21 +158,81 @@ class PostingsIndex:
         slices = max(1, -(-plan.count() // QUERY_ROWS))
         aligned = ["batch", "block"]
 
-        def best(terms: DataFrame, order: list[Column], some: Column | None = None) -> DataFrame:
-            """The k best documents by the sums over the given (query, term) rows; blocks that fail the condition are left out."""
-            opened = blocks.join(F.broadcast(terms.select("term").distinct()), "term", "left_semi").repartition(*aligned).join(F.broadcast(terms), "term")
-            opened = opened if some is None else opened.where(some)
-            one = opened.select(*aligned, query_key, "idf", F.explode("entries").alias("e"))
-            part = F.col("idf") * weighted(F.col("e.tf"), F.col("e.length"))
-            sums = one.select(*aligned, query_key, F.col("e.doc").alias("doc_id"), part.alias("part")).groupBy(*aligned, query_key, "doc_id").agg(F.sum("part").alias("score"))
-            return top_k(sums.select(query_key, "doc_id", "score"), [query_key], order, k)
+        order = [F.desc(F.round("score", 9)), F.col("doc_id")]
+        schema = T.StructType([plan.schema[query_key], T.StructField("doc_id", T.LongType()), T.StructField("score", T.DoubleType())])
+        bound_batches(self.spark)
+
+        def best(terms: DataFrame, pruned: bool = False) -> DataFrame:
+            """The k best documents by the sums over the given (query, term) rows; pruned: without the blocks of a term that can't reach a query's least."""
+            asked = self.spark.sparkContext.broadcast(TermTable(terms.toArrow(), query_key))
+            opened = blocks.join(F.broadcast(terms.select("term").distinct()), "term", "left_semi").repartition(*aligned).sortWithinPartitions(*aligned)
+
+            def summed(batches):
+                found, rest = BestSums(asked.value, k), None
+                for batch in (b for b in batches if b.num_rows):
+                    rows = pa.Table.from_batches([batch])
+                    rows = rows if rest is None else pa.concat_tables([rest, rows]).combine_chunks()
+                    ids = np.column_stack([rows.column(c).to_numpy() for c in aligned])
+                    last = np.flatnonzero((ids == ids[-1]).all(axis=1))[0]  # more of the last block may follow
+                    rest = rows.slice(last)
+                    _add_postings(found, rows.slice(0, last), ids[:last], weigh, pruned)
+                if rest is not None:
+                    _add_postings(found, rest, np.column_stack([rest.column(c).to_numpy() for c in aligned]), weigh, pruned)
+                yield from found.batches(schema.names)
+
+            return top_k(opened.select(*aligned, "term", "max_tf", "min_length", "entries").mapInArrow(summed, schema), [query_key], order, k)
+
+        def weigh(tf: np.ndarray, length: np.ndarray) -> np.ndarray:
+            return tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / mean))
 
         found = None
         for s in range(slices):
             some = plan.where(F.pmod(F.xxhash64(query_key), F.lit(slices)) == s)
-            least = best(some.where(F.col("strength") <= probes), [F.desc("score")]).where(F.col("rank") == k).select(query_key, (F.col("score") - 1e-6).alias("least"))
+            least = best(some.where(F.col("strength") <= probes)).where(F.col("rank") == k).select(query_key, (F.col("score") - 1e-6).alias("least"))
             some = cut(some.join(least, query_key, "left").withColumn("least", F.coalesce("least", F.lit(0.0))))
-            able = F.col("idf") * bound + F.col("total") - F.col("upper") >= F.col("least")
-            result = best(some, [F.desc(F.round("score", 9)), F.col("doc_id")], able)
+            result = best(some, pruned=True)
             found = result if found is None else found.unionByName(result)
         return found
+
+
+def _posting_blocks(batches):
+    """Posting lists of each BLOCK neighbouring documents (at, doc, length, terms); a block's name is its first document's number."""
+    entry = pa.struct({"doc": pa.int64(), "tf": pa.int32(), "length": pa.int32()}.items())
+    names = ["term", "block", "n", "max_tf", "min_length", "entries"]
+    for batch in (b.slice(at, BLOCK) for b in batches for at in range(0, b.num_rows, BLOCK)):
+        block = batch.column("at")[0].as_py()
+        batch = batch.take(pc.sort_indices(batch.column("doc")))
+        terms = batch.column("terms").flatten().dictionary_encode()
+        row = np.repeat(np.arange(batch.num_rows), pc.list_value_length(batch.column("terms")).to_numpy(zero_copy_only=False))
+        cell, tf = np.unique(terms.indices.to_numpy(zero_copy_only=False).astype(np.int64) * BLOCK + row, return_counts=True)
+        if not len(cell):
+            continue
+        term, row = np.divmod(cell, BLOCK)
+        first = np.flatnonzero(np.concatenate(([True], term[1:] != term[:-1])))
+        length = batch.column("length").to_numpy(zero_copy_only=False)[row]
+        entries = pa.StructArray.from_arrays([batch.column("doc").take(pa.array(row)), pa.array(tf, pa.int32()), pa.array(length, pa.int32())], fields=list(entry))
+        ends = np.append(first, len(cell))
+        columns = [
+            terms.dictionary.take(pa.array(term[first])), pa.array(np.full(len(first), block), pa.int64()), pa.array(np.diff(ends), pa.int32()), pa.array(np.maximum.reduceat(tf, first), pa.int32()),
+            pa.array(np.minimum.reduceat(length, first), pa.int32()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), entries),
+        ]
+        yield pa.RecordBatch.from_arrays(columns, names)
+
+
+def _add_postings(found: BestSums, rows: pa.Table, ids: np.ndarray, weigh, pruned: bool) -> None:
+    """Adds the posting lists of whole blocks (ids: their batch and block, in order)."""
+    if not rows.num_rows:
+        return
+    new = np.concatenate(([True], (ids[1:] != ids[:-1]).any(axis=1)))
+    lists = rows.column("entries").combine_chunks()
+    sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+    block = np.repeat(np.cumsum(new) - 1, sizes)
+    entry = lists.flatten()
+    doc, tf, length = (entry.field(i) for i in range(3))
+    codes = pc.dictionary_encode(doc, null_encoding="encode")
+    cell, row = np.unique(block * len(codes.dictionary) + codes.indices.to_numpy(zero_copy_only=False), return_inverse=True)
+    by_row = np.argsort(row, kind="stable")
+    keys = codes.dictionary.take(pa.array(cell % len(codes.dictionary)))
+    term = np.repeat(found.asked.numbers(rows.column("term").combine_chunks()), sizes)
+    bound = np.repeat(weigh(*(rows.column(c).to_numpy() for c in ("max_tf", "min_length"))), sizes)[by_row] if pruned else None
+    found.add(keys, row[by_row], term[by_row], weigh(tf.to_numpy(zero_copy_only=False), length.to_numpy(zero_copy_only=False))[by_row], bound)

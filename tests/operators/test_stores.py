@@ -2,6 +2,8 @@ import os
 import random
 from pathlib import Path
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -139,3 +141,30 @@ def test_folders_are_unique_and_deleted(spark):
     kept = cut(spark.read.parquet(a))
     deleted(spark, a)
     assert kept.count() == 3
+
+
+def test_sums_are_bounded_and_exact(monkeypatch):
+    """The k best sums of each query, held a few at a time, equal those of the whole table; so does their order among equal sums."""
+    rng, k = np.random.default_rng(5), 3
+    plan = [(q, f"t{t}", float(rng.integers(1, 9))) for q in range(7) for t in rng.permutation(20)[:6]]
+    asked = retrieval.TermTable(pa.table(dict(zip(("item", "term", "idf"), map(list, zip(*plan))))), "item")
+    monkeypatch.setattr(retrieval, "SUM_CELLS", 50)
+    found, want = retrieval.BestSums(asked, k), {}
+    for part in range(4):
+        postings = sorted((int(r), int(t)) for r, t in {(r, t) for r, t in rng.integers(0, 20, (120, 2))})
+        row, term = np.array(postings).T
+        found.add(pa.array(np.arange(20) + 20 * part), row, term, np.ones(len(row)))
+        for r, t in postings:
+            for q, name, idf in plan:
+                if name == asked.terms[t].as_py():
+                    want[q, r + 20 * part] = want.get((q, r + 20 * part), 0) + idf
+    best = {q: sorted((-s, d) for (p, d), s in want.items() if p == q)[:k] for q in range(7)}
+    got = [tuple(r.values()) for b in found.batches(["q", "d", "s"]) for r in b.to_pylist()]
+    assert len(got) == 7 * k and {q: [(-s, d) for p, d, s in got if p == q] for q in range(7)} == best
+
+
+def test_rows_of_one_document_are_summed(spark):
+    queries = spark.createDataFrame([(1, "a b")], "item_id long, text string")
+    rows = spark.createDataFrame([(1, "a x"), (1, "b x"), (2, "a c"), (None, "b"), (None, "b"), (3, None)], "doc_id long, text string")
+    got = [(r.doc_id, r["rank"]) for r in retrieval.bm25_top(rows, queries, k=2).orderBy("rank").collect()]
+    assert got == [(None, 1), (1, 2)] or got == [(1, 1), (None, 2)]
