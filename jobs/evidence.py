@@ -15,6 +15,7 @@ import logging
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from dendra.operators import context
+from dendra.operators.retrieval import QUERY_ROWS
 from dendra.operators.shared import cut
 from dendra.operators.stores import PostingsIndex
 from jobs.common import command
@@ -45,7 +46,10 @@ def taken(index: PostingsIndex, docs: DataFrame, words: int) -> dict:
     ids = cut(new.groupBy("doc_id").agg(F.count("*").alias("n"), F.count_if(F.col("text").isNull()).alias("bare")))
     counts = {"documents": F.sum("n"), "without_id": F.sum(F.when(F.col("doc_id").isNull(), F.col("n"))), "without_text": F.sum("bare"), "repeated_ids": F.count_if(F.col("doc_id").isNotNull() & (F.col("n") > 1))}
     seen = ids.agg(*[F.coalesce(c, F.lit(0)).alias(k) for k, c in counts.items()]).first().asDict()
-    good = new.where("doc_id is not null and text is not null").join(ids.where("n > 1").select("doc_id"), "doc_id", "left_anti")
+    good = new.where("doc_id is not null and text is not null")
+    if seen["repeated_ids"]:  # few ids are sent to the texts, so that these aren't shuffled
+        again = ids.where("n > 1").select("doc_id")
+        good = good.join(F.broadcast(again) if seen["repeated_ids"] <= QUERY_ROWS else again, "doc_id", "left_anti")
     if seen["documents"]:
         index.append(passages(good, words), batch=0 if mark is None else mark + 1, key="passage")
     return {"mark": mark, **seen}
@@ -59,7 +63,8 @@ def run(spark: SparkSession, documents: str, questions: str, out: str, passage_w
     log.info("read %s from %s", read, documents)
     hits = index.search(asked, k=top_k).withColumn("found", F.shiftright("doc_id", NUMBER_BITS))
     hits = cut(hits.select("item_id", "rank", "score", F.col("doc_id").alias("passage"), "found"))
-    held = docs.join(hits.select(F.col("found").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    found = cut(hits.select(F.col("found").alias("doc_id")).distinct())
+    held = docs.join(F.broadcast(found) if found.count() <= QUERY_ROWS else found, "doc_id", "left_semi")
     rows = hits.drop("found").join(passages(held, passage_words), "passage").select("item_id", "rank", "doc_id", "place", "score", "text")
     evidence = context.within_budget(rows, budget, key="item_id", order="rank").withColumn("part", F.pmod("item_id", F.lit(parts)).cast("int"))
     evidence.repartition("part").write.mode("overwrite").partitionBy("part").parquet(f"{out}/evidence")
