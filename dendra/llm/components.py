@@ -1,4 +1,4 @@
-"""Connected components of a link table: each task joins its own links, alternating large-star and small-star steps join the rest."""
+"""Connected components of a link table: each task joins its own links, alternating large-star and small-star steps join what reaches into several tasks."""
 
 from __future__ import annotations
 
@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, functions as F
 from .common import arrow_map, checkpoint, settled, small_checkpoint
 
 
-#: Links that one task writes at least.
-TASK_LINKS = 200_000
+#: Links that one task writes at least, and links that it holds before it begins a new forest.
+TASK_LINKS, HELD_LINKS = 200_000, 1_600_000
 
 
 def _least(links: DataFrame, least, tasks: int) -> DataFrame:
@@ -48,19 +48,30 @@ def joined(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[below], nodes[root[below]]
 
 
-def _contracted(edges: DataFrame, tasks: int) -> DataFrame:
-    """The same components with at most one link a node and task: from each node to the smallest one that its task's links reach."""
+def _contracted(edges: DataFrame, dealt: DataFrame | None = None) -> DataFrame:
+    """The same components with at most one link a node and task: from each node to the smallest one that its task's links reach. `edges` go through one task if they aren't dealt already."""
 
     def contract(batches):
+        def forest():
+            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in joined(u, v)], ["u", "v"])
+
         u, v = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
         for batch in batches:
             more = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(2))
             u, v = (np.concatenate(x) for x in zip((u, v), more))
             if len(u) > 2 * TASK_LINKS:
                 u, v = joined(u, v)
-        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in joined(u, v)], ["u", "v"])
+            if len(u) > HELD_LINKS:
+                yield forest()
+                u, v = u[:0], v[:0]
+        yield forest()
+
+    return arrow_map(edges.select("u", "v").coalesce(1) if dealt is None else dealt.select("u", "v"), contract, "u long, v long")
 
-    return arrow_map(edges.select("u", "v").coalesce(tasks), contract, "u long, v long")
+
+def _members(forest: DataFrame) -> DataFrame:
+    """(node, root) of each node and root of the links from nodes to roots."""
+    return forest.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(forest.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
 @settled
@@ -68,32 +79,37 @@ def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     """(node, root) for each node that stands in a link; root is the smallest node of its component.
 
     edges: long columns u and v, in any direction, repeated or not; self-links are ignored. Nodes are
-    ordered numbers. The links are dealt by their hash to tasks of about TASK_LINKS; each joins what its own links
-    connect, in plain arrays, and keeps one link a node. Where one task holds them all, that is the result. Else every round
-    runs as joins and grouped minima until so few links are left: no neighbour list is ever gathered, so
-    a node with very many links costs no more memory than others, and the rows of a hot node are split by
+    ordered numbers. The links are dealt by u to tasks of about TASK_LINKS; each joins what its own links
+    connect, in plain arrays of bounded size, and keeps one link a node. Where one task holds them all, that is the result. Else only
+    nodes with different roots in several tasks link these roots, and just these links go on: as many as one task may hold are joined there, more by
+    rounds of joins and grouped minima: no neighbour list is ever gathered, so
+    a node with very many links costs no more memory than others, and in the rounds the rows of a hot node are split by
     the adaptive skew join. A link with a null end is ignored, other columns aren't read. An empty table gives an empty result. Raises RuntimeError if the rounds do not
     suffice (their number grows as the logarithm of the longest path).
     """
-    now = checkpoint(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    now = checkpoint(edges.where("u <> v").select("u", "v"))
     tasks = 1 + now.count() // TASK_LINKS  # few links don't make many small tasks and files
-    now = checkpoint(_contracted(now, tasks))
-    mark = _mark(now) if tasks > 1 else None
+    if tasks == 1:
+        return _members(checkpoint(_contracted(now)))
+    members = checkpoint(_members(checkpoint(_contracted(now, now.repartition(tasks, "u")))))
+    torn = members.groupBy("node").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least < most").select("node", "least")
+    between = members.join(small_checkpoint(torn), "node").where("root <> least").select(F.col("root").alias("u"), F.col("least").alias("v"))
+    roots = small_checkpoint(_members(_settled_links(checkpoint(between.distinct()), max_rounds)).select(F.col("node").alias("root"), F.col("root").alias("top")))
+    return members.join(roots, "root", "left").groupBy("node").agg(F.min(F.coalesce("top", "root")).alias("root"))
+
+
+def _settled_links(now: DataFrame, max_rounds: int) -> DataFrame:
+    """(u, v): a link from each node to the smallest one of its component, from distinct links with u > v."""
+    mark = None
     for _ in range(max_rounds):
+        tasks = 1 + (mark[0] if mark else now.count()) // TASK_LINKS
         if tasks == 1:
-            break
-        tasks = 1 + mark[0] // TASK_LINKS
-        if tasks == 1:
-            now = checkpoint(_contracted(now, 1))
-            break
+            return checkpoint(_contracted(now))
         now = checkpoint(_small_star(checkpoint(_large_star(now, tasks)), tasks))
         before, mark = mark, _mark(now)
         if before == mark:
-            break
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    members = now.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    return members.unionByName(members.select(F.col("root").alias("node"), "root").distinct())
+            return now
+    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 
 def _mark(edges: DataFrame) -> tuple:

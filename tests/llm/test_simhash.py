@@ -123,3 +123,16 @@ def test_links_of_one_task():
                     least[a] = least[b] = min(least[a], least[b])
                     changed = True
         assert dict(zip(*(x.tolist() for x in joined(u, v)))) == {a: b for a, b in least.items() if a != b}
+
+
+def test_components_in_tasks_of_bounded_memory(spark, monkeypatch):
+    """Links that are spread over many tasks and forests: pairs are settled in their own tasks, so only what reaches into several goes on."""
+    monkeypatch.setattr(links_joined, "TASK_LINKS", 20)
+    monkeypatch.setattr(links_joined, "HELD_LINKS", 60)
+    went_on, plain = [], links_joined._settled_links
+    monkeypatch.setattr(links_joined, "_settled_links", lambda now, rounds: went_on.append(now.count()) or plain(now, rounds))
+    path = random.Random(1).sample(range(1000, 1120), 120)
+    for edges, most in (([(2 * k, 2 * k + 1) for k in range(150)], 0), ([(7, x) for x in range(200)], 0), (list(zip(path, path[1:])), 119)):
+        got = {r.node: r.root for r in connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
+        nodes = {x for e in edges for x in e}
+        assert got == ({x: x - x % 2 for x in nodes} if len(nodes) == 300 else {x: min(nodes) for x in nodes}) and went_on.pop() <= most
