@@ -13,9 +13,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import arrow_map, checkpoint, chunks, settled, small, small_checkpoint, texts_of
-from .components import connected_components
-from .words import RUN_BASE, Words, mixed, run_hashes
+from .common import arrow_map, checkpoint, chunks, settled, small, texts_with
+from .components import connected_components, joined
+from .words import Words, mixed
 
 SHINGLE = 5
 BLOCK = 50
@@ -27,7 +27,11 @@ PLACES = AROUND - SHINGLE + 1
 TILE = 256
 #: Tiles are broadcast up to so many (1.4 kB each); more are joined by shuffling.
 BROADCAST_TILES = 8192
-PIVOTS, TURNS = 3, 2
+PIVOTS = 3
+#: Entries of a part of a crowded bucket, entries compared at once (whole cells, so twice CELL_ROWS may be added), and pairs of them that are listed at once.
+CELL_ROWS, ROWS_AT_ONCE, PAIRS_AT_ONCE = 8192, 4096, 1 << 18
+#: Places of blocks that share what they look up.
+STRIDE = 8
 #: Windows handled at once in a very long text.
 PIECE = 1 << 18
 _LOW = np.uint64(63)
@@ -90,8 +94,8 @@ def _tiles(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                     held.append(padded[tile * TILE : (tile + 1) * TILE + AROUND - 1].tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(tiles, pa.int32()), pa.array(held, pa.binary())], ["doc_id", "tile", "hashes"])
 
-    lists = small_checkpoint(wanted.distinct().groupBy("doc_id").agg(F.collect_list("tile").alias("tiles")), "tiles")
-    return arrow_map(texts_of(docs).join(lists, "doc_id").select("doc_id", "text", "tiles"), cut, "doc_id long, tile int, hashes binary")
+    lists = wanted.distinct().groupBy("doc_id").agg(F.collect_list("tile").alias("tiles"))
+    return arrow_map(texts_with(docs, lists, "tiles"), cut, "doc_id long, tile int, hashes binary")
 
 
 def _shingles_of(hashes: np.ndarray) -> np.ndarray:
@@ -156,6 +160,21 @@ def shared_bounds(shared: np.ndarray, first: np.ndarray, last: np.ndarray) -> tu
 
 
 LINK = "u long, up int, v long, vp int, us int, ue int, vs int, ve int, uc int, ud int"
+LINK_NAMES = [c.split()[0] for c in LINK.split(", ")]
+LINK_KINDS = [pa.int64(), pa.int32(), pa.int64(), *[pa.int32()] * 7]
+CELL = "cell long, doc_id long, word int, run int, hashes binary"
+CELL_NAMES = [c.split()[0] for c in CELL.split(", ")]
+
+
+def _compared(a: np.ndarray, b: np.ndarray, up: np.ndarray, ur: np.ndarray, vp: np.ndarray, vr: np.ndarray, similarity: float) -> tuple[np.ndarray, tuple]:
+    """Which pairs of entries have similar blocks, given the shingles around both, and the columns us to ud of their links."""
+    low, high = BEFORE - np.minimum(ur >> 6, vr >> 6), BEFORE - np.maximum(ur & 63, vr & 63)
+    alike, in_v, in_u = similar_places(a, b, low, high, similarity)
+    kept = np.flatnonzero(alike.any(axis=1))
+    first, last = alike[kept].argmax(axis=1), SPAN - 1 - alike[kept][:, ::-1].argmax(axis=1)
+    p, q, r = up[kept], vp[kept], ur[kept]
+    (us, ue), (vs, ve) = ([p0 - BEFORE + x for x in shared_bounds(of[kept], first, last)] for of, p0 in ((in_v, p), (in_u, q)))
+    return kept, (us, ue, vs, ve, np.maximum(us, p - (r & 63)), np.minimum(ue, p - (r >> 6) + BLOCK))
 
 
 @settled
@@ -172,8 +191,6 @@ def verified(docs: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
     tiles = F.broadcast(tiles) if tiles.count() <= BROADCAST_TILES else tiles
     left = tiles.select(F.col("doc_id").alias("u"), F.col("tile").alias("ut"), F.col("hashes").alias("uh"))
     right = tiles.select(F.col("doc_id").alias("v"), F.col("tile").alias("vt"), F.col("hashes").alias("vh"))
-    names = [c.split()[0] for c in LINK.split(", ")]
-    kinds = [pa.int64(), pa.int32(), pa.int64(), *[pa.int32()] * 7]
 
     def side(batch: pa.RecordBatch, column: str) -> tuple[np.ndarray, np.ndarray]:
         """Shingles of all rows of a column one after another, and where each row starts."""
@@ -196,14 +213,9 @@ def verified(docs: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
                 around = np.arange(PLACES)
                 a = ush[(ustart[row[k]] + up[k] - u0[k])[:, None] + around]
                 b = vsh[(vstart[row[k]] + vp[k] - v0[k])[:, None] + around]
-                low, high = BEFORE - np.minimum(ur[k] >> 6, vr[k] >> 6), BEFORE - np.maximum(ur[k] & 63, vr[k] & 63)
-                alike, in_v, in_u = similar_places(a, b, low, high, similarity)
-                kept = np.flatnonzero(alike.any(axis=1))
-                first, last = alike[kept].argmax(axis=1), SPAN - 1 - alike[kept][:, ::-1].argmax(axis=1)
-                p, q, r = up[k][kept], vp[k][kept], ur[k][kept]
-                (us, ue), (vs, ve) = ([p0 - BEFORE + x for x in shared_bounds(of[kept], first, last)] for of, p0 in ((in_v, p), (in_u, q)))
-                made = (u[k][kept], p, v[k][kept], q, us, ue, vs, ve, np.maximum(us, p - (r & 63)), np.minimum(ue, p - (r >> 6) + BLOCK))
-                yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(made, kinds)], names)
+                kept, made = _compared(a, b, up[k], ur[k], vp[k], vr[k], similarity)
+                made = (u[k][kept], up[k][kept], v[k][kept], vp[k][kept], *made)
+                yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(made, LINK_KINDS)], LINK_NAMES)
 
     # only the words around the pair's own anchors are sent on
     own = {c: F.expr(f"substring({c}h, cast(4 * ({c}0 % {TILE}) + 1 as int), cast(4 * ({c}1 - {c}0 + {AROUND}) as int))").alias(f"{c}h") for c in "uv"}
@@ -211,64 +223,173 @@ def verified(docs: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
     return arrow_map(halves.join(right, ["v", "vt"]).select("u", "v", "places", "uh", own["v"], "u0", "v0"), compared, LINK)
 
 
-def _equal_blocks(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(doc_id, word, start, block) of all blocks of the wanted entries (doc_id, word, run): where each starts, and a hash of its words."""
+def _around(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Columns CELL of the wanted entries (cell, doc_id, word, run), read from their documents; hashes: 4 bytes of each of the AROUND words around the anchor."""
 
     def cut(batches):
         for batch in (part for b in batches for part in chunks([b], 64)):
-            out: list[list] = [[np.empty(0, dtype=np.int64)] for _ in range(4)]
-            for i, text, wants in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
-                hashes = Words.of(text.as_py()).hashes
-                for word, run in (w.values() for w in wants):
-                    start = np.arange(word - (run >> 6), word - (run & 63) + 1)
-                    block = run_hashes(hashes[start[0] : start[-1] + BLOCK], start - start[0], start - start[0] + BLOCK, RUN_BASE).view(np.int64)
-                    for column, values in zip(out, (np.full(len(start), i), np.full(len(start), word), start, block)):
-                        column.append(values)
-            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), kind) for c, kind in zip(out, kinds)], ["doc_id", "word", "start", "block"])
+            for i, text, wants in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
+                cell, word, run = (wants.values.field(k).to_numpy(zero_copy_only=False) for k in range(3))
+                hashes = (Words.of(text.as_py()).hashes >> np.uint64(32)).astype("<u4")
+                padded = np.concatenate([np.arange(BEFORE, dtype="<u4"), hashes, np.arange(TILE, TILE + BLOCK, dtype="<u4")])
+                for at in range(0, len(word), 4096):
+                    k = slice(at, at + 4096)
+                    near = padded[word[k].astype(np.int64)[:, None] + np.arange(AROUND)]
+                    held = pa.FixedSizeBinaryArray.from_buffers(pa.binary(4 * AROUND), len(near), [None, pa.py_buffer(near.tobytes())]).cast(pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array(cell[k], pa.int64()), pa.array(np.full(len(near), i), pa.int64()), pa.array(word[k], pa.int32()), pa.array(run[k], pa.int32()), held], CELL_NAMES)
+
+    lists = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("cell", "word", "run")).alias("wants"))
+    return arrow_map(texts_with(docs, lists, "wants"), cut, CELL)
+
 
-    lists = small_checkpoint(wanted.distinct().groupBy("doc_id").agg(F.collect_list(F.struct("word", "run")).alias("wants")), "wants")
-    return arrow_map(texts_of(docs).join(lists, "doc_id").select("doc_id", "text", "wants"), cut, "doc_id long, word int, start int, block long")
+def _first_of_each(group: np.ndarray, *order: np.ndarray) -> np.ndarray:
+    """For each row, the first row of its group (ascending numbers without gaps) in this order."""
+    by = np.lexsort((*reversed(order), group))
+    return by[np.searchsorted(group[by], np.arange(group.max() + 1))][group]
+
+
+def _probes(keys: np.ndarray, low: np.ndarray, high: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, start, end) of what each row of PLACES shingles looks up in `holders`, and holders: rows by shingle.
+
+    Similar blocks hold all but few of each other's shingles, so of more than these few at least one is shared. Each row
+    looks up its rarest ones: for every STRIDE places of blocks those among the shingles that all of these blocks hold.
+    A row with repeated shingles looks up all of its shingles.
+    """
+    n, place = len(keys), np.arange(PLACES)
+    inside = (place >= low[:, None]) & (place < high[:, None] + SPAN)
+    names, ids = np.unique(keys[inside], return_inverse=True)
+    row = np.broadcast_to(np.arange(n)[:, None], keys.shape)[inside]
+    held = np.unique(ids.astype(np.int64) * n + row)
+    bounds = np.searchsorted(held, np.arange(len(names) + 1) * n)
+    numbers = np.full(keys.shape, -1, dtype=np.int64)
+    numbers[inside] = ids
+    ordered = np.sort(numbers, axis=1)
+    plain = ~((ordered[:, 1:] == ordered[:, :-1]) & (ordered[:, 1:] >= 0)).any(axis=1)
+    common = np.diff(bounds)[numbers]
+    few = int((1 - similarity) * SPAN + 1e-6) + 1
+    plain &= few <= SPAN - STRIDE
+    found = [(ids * n + row)[~plain[row]]]
+    for first in range(0, SPAN, STRIDE):
+        some = np.flatnonzero(plain & (low + first <= high))
+        start = low[some] + first
+        last = np.minimum(start + STRIDE - 1, high[some])
+        at = last[:, None] + np.arange(SPAN)
+        count = np.where(at < start[:, None] + SPAN, np.take_along_axis(common[some], np.minimum(at, PLACES - 1), axis=1), n + 1)
+        if len(some):
+            rarest = np.take_along_axis(at, np.argpartition(count, few - 1, axis=1)[:, :few], axis=1)
+            found.append((numbers[some[:, None], rarest] * n + some[:, None]).ravel())
+    probes = np.unique(np.concatenate(found))
+    by, name = probes % n, probes // n
+    keep = np.flatnonzero(bounds[name + 1] - bounds[name] > 1)
+    keep = keep[np.argsort(by[keep], kind="stable")]
+    return by[keep], bounds[name[keep]], bounds[name[keep] + 1], held % n
+
+
+def linked_in_cells(cell: np.ndarray, doc: np.ndarray, word: np.ndarray, run: np.ndarray, hashes: np.ndarray, similarity: float) -> list[tuple]:
+    """Columns LINK of similar entries of a cell, for whole cells: no two components of them are left that a similar pair of a cell would join.
+
+    Rows are sorted by cell; hashes: AROUND words a row. Each entry is compared with its cell's smallest document's and up to PIVOTS others, drawn by a
+    hash of the document; then with all entries of other components that share one of its rare shingles (see _probes).
+    """
+    n = len(cell)
+    flat = _shingles_of(np.concatenate([hashes.ravel(), np.zeros(SHINGLE - 1, dtype="<u4")]))
+    shingles = flat.reshape(n, AROUND)[:, :PLACES]
+    low, high = BEFORE - (run >> 6), BEFORE - (run & 63)
+    group = np.unique(cell, return_inverse=True)[1]
+    label, made = np.arange(n), []
+
+    def compare(a: np.ndarray, b: np.ndarray, prune: bool) -> None:
+        nonlocal label
+        swap = doc[a] > doc[b]
+        a, b = np.where(swap, b, a), np.where(swap, a, b)
+        for at in range(0, len(a), 256):
+            i, j = a[at : at + 256], b[at : at + 256]
+            if prune:
+                i, j = (x[label[i] != label[j]] for x in (i, j))
+            if not len(i):
+                continue
+            kept, columns = _compared(shingles[i], shingles[j], word[i], run[i], word[j], run[j], similarity)
+            if len(kept):
+                u, v = i[kept], j[kept]
+                made.append((doc[u], word[u], doc[v], word[v], *columns))
+                nodes, roots = joined(label[u], label[v])
+                to = np.arange(n)
+                to[nodes] = roots
+                label = to[label]
+
+    leads = [_first_of_each(group, doc, word, run), *(_first_of_each(group, mixed(doc.view(np.uint64) + np.uint64(k)), doc, word, run) for k in range(1, PIVOTS + 1))]
+    pairs = np.unique(np.concatenate([np.minimum(x, np.arange(n)) * n + np.maximum(x, np.arange(n)) for x in leads]))
+    pairs = pairs[doc[pairs // n] != doc[pairs % n]]
+    compare(pairs // n, pairs % n, False)
+
+    several = np.zeros(group.max() + 1, dtype=bool)
+    several[group[label != label[np.searchsorted(group, group)]]] = True
+    rest = np.flatnonzero(several[group])
+    if not len(rest):
+        return made
+    keys = mixed(shingles[rest] + mixed(cell[rest].view(np.uint64))[:, None])
+    by, start, end, holders = _probes(keys, low[rest], high[rest], similarity)
+    upto = np.cumsum(end - start)
+    at = 0
+    while at < len(by):
+        to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + PAIRS_AT_ONCE)))
+        size = end[at:to] - start[at:to]
+        i = np.repeat(by[at:to], size)
+        j = holders[np.arange(len(i)) + np.repeat(start[at:to] - (np.cumsum(size) - size), size)]
+        i, j = rest[i[i < j]], rest[j[i < j]]
+        open_pairs = (label[i] != label[j]) & (doc[i] != doc[j])
+        pairs = np.unique(i[open_pairs] * n + j[open_pairs])
+        compare(pairs // n, pairs % n, True)
+        at = to
+    return made
+
+
+def _linked(cells: DataFrame, similarity: float) -> DataFrame:
+    """Columns LINK of the similar entries of each cell of rows CELL; see linked_in_cells."""
+
+    def run(batches):
+        def links(held: pa.RecordBatch):
+            numbers = [held.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(4)]
+            hashes = np.frombuffer(b"".join(x.as_buffer() for x in held.column(4)), dtype="<u4").reshape(-1, AROUND)
+            for made in linked_in_cells(*numbers, hashes, similarity):
+                yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(made, LINK_KINDS)], LINK_NAMES)
+
+        rest = None
+        for batch in batches:
+            rest = batch if rest is None else pa.concat_batches([rest, batch])
+            if rest.num_rows >= ROWS_AT_ONCE:
+                cell = rest.column(0).to_numpy()
+                n = int(np.searchsorted(cell, cell[-1]))  # the last cell may go on
+                if n:
+                    yield from links(rest.slice(0, n))
+                    rest = rest.slice(n)
+        if rest is not None and rest.num_rows:
+            yield from links(rest)
+
+    return arrow_map(cells.repartition("cell").sortWithinPartitions("cell", "doc_id", "word", "run"), run, LINK)
 
 
 @settled
 def similar_blocks(docs: DataFrame, entries: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
     """(links, roots): columns LINK of verified pairs of entries (bucket, doc_id, word, run), and (node, root) of the components they form.
 
-    A bucket of two documents' entries is a pair to be verified. In a larger bucket each entry is verified against
-    the smallest document's and up to PIVOTS others, drawn by a hash of the document, so that neighbouring buckets
-    of a group of copies draw the same. Entries that no link holds yet go through this again among themselves, in TURNS in all.
-    What is still without a link is compared with all entries of its bucket by hashes of every block, so that equal
-    blocks are always linked. All this grows with the entries, not with the square of a bucket.
+    A bucket of two documents' entries is a pair to be verified. The entries of a larger bucket are brought together with the
+    words around them and compared there: each with the smallest document's and up to PIVOTS others, then with all of other components that share
+    a shingle which similar blocks must share. So no similar pair of a bucket is left in two components, and a group
+    of copies isn't paired with itself. A bucket of more than CELL_ROWS entries is cut into parts of about that many, and every two parts
+    meet in a cell of their own: a task holds no more, but the cells of such a bucket grow with its square.
     """
-    place = F.struct("doc_id", "word", "run")
     # longs only, so that the counts are made by hashing and not by sorting
     at = F.shiftleft(F.col("word").cast("long"), 12) + F.col("run")
     ends = [F.min("doc_id").alias("u"), F.min_by(at, "doc_id").alias("ua"), F.max("doc_id").alias("v"), F.max_by(at, "doc_id").alias("va")]
     shared = checkpoint(entries.groupBy("bucket").agg(F.count("*").alias("n"), *ends).where("u < v"))
-    lone = [F.struct(F.col(c).alias("doc_id"), F.shiftright(f"{c}a", 12).cast("int").alias("word"), F.col(f"{c}a").bitwiseAND(4095).cast("int").alias("run")).alias(n) for c, n in (("u", "a"), ("v", "b"))]
-    pairs = shared.where("n = 2").select(*lone)
-    crowded = placed = checkpoint(entries.join(small(shared.where("n > 2").select("bucket")), "bucket").select("bucket", place.alias("a")))
-    links = None
-    for turn in range(TURNS):
-        drawn = [F.min_by("a", F.xxhash64("a.doc_id", F.lit(k))) for k in range(PIVOTS)]
-        pivots = placed.groupBy("bucket").agg(F.min("a").alias("lead"), F.array(*drawn).alias("drawn")).select("bucket", F.array_distinct(F.concat(F.array("lead"), "drawn")).alias("pivots"))
-        own = placed.join(small_checkpoint(pivots), "bucket").select("a", F.explode("pivots").alias("b"))
-        pairs = pairs.unionByName(own) if turn == 0 else own
-        pairs = pairs.where("a.doc_id <> b.doc_id").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        pairs = pairs.select(F.col("a.doc_id").alias("u"), F.col("a.word").alias("up"), F.col("a.run").alias("ur"), F.col("b.doc_id").alias("v"), F.col("b.word").alias("vp"), F.col("b.run").alias("vr"))
-        found = verified(docs, pairs, similarity)
-        links = found if links is None else links.unionByName(found)
-        linked = found.select(F.col("u").alias("doc_id"), F.col("up").alias("word")).unionByName(found.select(F.col("v").alias("doc_id"), F.col("vp").alias("word"))).distinct()
-        placed = checkpoint(placed.join(small_checkpoint(linked), [F.col("a.doc_id") == F.col("doc_id"), F.col("a.word") == F.col("word")], "left_anti"))
-
-    beside = crowded.join(small_checkpoint(placed.select("bucket").distinct()), "bucket", "left_semi")
-    blocks = checkpoint(_equal_blocks(docs, beside.select("a.*")))
-    first = blocks.groupBy("block").agg(F.min(F.struct("doc_id", "word", "start")).alias("first"), F.max("doc_id").alias("most")).where("first.doc_id < most")
-    equal = blocks.join(small_checkpoint(first.select("block", "first")), "block").where("first.doc_id < doc_id")
-    us, vs = F.col("first.start"), F.col("start")
-    equal = equal.select(F.col("first.doc_id").alias("u"), F.col("first.word").alias("up"), F.col("doc_id").alias("v"), F.col("word").alias("vp"), us.alias("us"), (us + BLOCK).alias("ue"), vs.alias("vs"), (vs + BLOCK).alias("ve"), us.alias("uc"), (us + BLOCK).alias("ud"))
-    links = checkpoint(links.unionByName(equal.distinct()))
+    lone = [x for c in "uv" for x in (F.col(c), F.shiftright(f"{c}a", 12).cast("int").alias(f"{c}p"), F.col(f"{c}a").bitwiseAND(4095).cast("int").alias(f"{c}r"))]
+    found = verified(docs, shared.where("n = 2").select(*lone), similarity)
+    crowded = small(shared.where("n > 2").select("bucket", F.ceil(F.col("n") / CELL_ROWS).cast("int").alias("parts")))
+    crowded = entries.join(crowded, "bucket").withColumn("part", F.pmod(F.xxhash64("doc_id", "word"), "parts").cast("int"))
+    met = F.expr("transform(sequence(0, parts - 1), p -> xxhash64(bucket, least(part, p), greatest(part, p)))")
+    cells = _around(docs, crowded.select(F.explode(met).alias("cell"), "doc_id", "word", "run"))
+    links = checkpoint(found.unionByName(_linked(cells, similarity)))
     return links, connected_components(links.select(_node("u", "up").alias("u"), _node("v", "vp").alias("v")))
 
 

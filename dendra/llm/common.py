@@ -136,6 +136,18 @@ def texts_of(docs: DataFrame, id_column: str = "doc_id", text_column: str = "tex
     return docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
 
 
+def texts_with(docs: DataFrame, lists: DataFrame, name: str) -> DataFrame:
+    """(doc_id, text, `name`) of the documents of lists (doc_id, `name`), an array. If their ids are few, other texts aren't shuffled."""
+    seen = Observation()
+    lists = checkpoint(lists.observe(seen, _size(name).alias("size"), F.count("*").alias("rows")))
+    texts = texts_of(docs)
+    if seen.get["size"] <= BROADCAST_ROWS:
+        lists = F.broadcast(lists)
+    elif seen.get["rows"] <= BROADCAST_ROWS:
+        texts = texts.join(F.broadcast(lists.select("doc_id")), "doc_id", "left_semi")
+    return texts.join(lists, "doc_id").select("doc_id", "text", name)
+
+
 def give_back_memory() -> None:
     """Returns what a Python worker has freed to the system; workers are kept for later stages."""
     pa.default_memory_pool().release_unused()

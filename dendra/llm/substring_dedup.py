@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .blocks import BLOCK, SHINGLE, block_entries, repeated_blocks, similar_blocks
-from .common import arrow_map, bound_batches, checkpoint, chunks, give_back_memory, removed, settled, small, small_checkpoint, texts_of, unused, written
+from .common import arrow_map, bound_batches, checkpoint, chunks, give_back_memory, removed, settled, small, small_checkpoint, texts_of, texts_with, unused, written
 from .components import connected_components
 from .words import POWERS, RUN_BASE, Words, mixed
 
@@ -109,8 +109,8 @@ def _shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                         sets.append(np.unique(hashes[a : b - SHINGLE + 1]))
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["key", "shingles"])
 
-    lists = small_checkpoint(wanted.groupBy("doc_id").agg(F.collect_list(F.struct("word", "words", "key")).alias("spans")), "spans")
-    return arrow_map(texts_of(docs).join(lists, "doc_id").select("text", "spans"), cut, "key long, shingles array<long>")
+    lists = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("word", "words", "key")).alias("spans"))
+    return arrow_map(texts_with(docs, lists, "spans").select("text", "spans"), cut, "key long, shingles array<long>")
 
 
 def _alike(a: Column, b: Column, similarity: float) -> Column:
@@ -167,7 +167,7 @@ def similar_paragraphs(docs: DataFrame, paragraphs: DataFrame, similarity: float
 @settled
 def whole_copies(docs: DataFrame, min_words: int) -> tuple[DataFrame, DataFrame]:
     """(copies, odd): (doc_id, words, kept_doc_id, component) of documents of `min_words` words or more whose whole text an earlier document has too, and (doc_id, mixed) of ids that stand in several rows, mixed if their texts differ."""
-    keys = checkpoint(docs.select("doc_id", F.xxhash64("text").alias("fp"), F.xxhash64(F.reverse("text"), F.lit(1)).alias("check")))
+    keys = checkpoint(docs.select("doc_id", F.xxhash64("text").alias("fp"), F.xxhash64(F.lit(1), "text").alias("check")))
     odd = checkpoint(keys.groupBy("doc_id").agg(F.count("*").alias("n"), (F.min("fp") < F.max("fp")).alias("mixed")).where("n > 1").drop("n"))
     keys = keys.join(small(odd.where("mixed").select("doc_id")), "doc_id", "left_anti")
     kept = keys.groupBy("fp", "check").agg(F.min("doc_id").alias("kept_doc_id"), F.max("doc_id").alias("most")).where("kept_doc_id < most").drop("most")

@@ -173,6 +173,55 @@ def test_similar_places_match_sets():
         assert got.any() and not got.all(axis=1).all()
 
 
+def test_no_pair_of_a_crowded_bucket_is_lost(spark, monkeypatch):
+    """Similar, unequal pairs among entries that share no more than a bucket, with whole buckets and with buckets in parts."""
+    rng, docs = random.Random(14), []
+    for _ in range(12):
+        words = prose(rng, 95, 10**6).split()
+        other = [*words[:60], "edited", *words[61:]]
+        docs += [" ".join(words), " ".join(other), prose(rng, 95, 10**6)]
+    rng.shuffle(docs)
+    rows, of = list(enumerate(docs)), {i: d.split()[0] for i, d in enumerate(docs)}
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    entries = spark.createDataFrame([(7, i, 45, 45 * 64) for i, _ in rows], "bucket long, doc_id long, word int, run int")
+    want = sorted((i, j) for i in of for j in of if i < j and of[i] == of[j])
+    for cell_rows in (8192, 10):
+        monkeypatch.setattr(B, "CELL_ROWS", cell_rows)
+        links, roots = B.similar_blocks(df, entries, 0.8)
+        assert len(want) == 12 and sorted({(r.u, r.v) for r in links.collect()}) == want
+        assert Counter(Counter(r.root for r in roots.collect()).values()) == {2: 12}
+
+
+def test_cells_match_brute_force():
+    """Clusters that no drawn entry belongs to, a stretch of words that all of a cell hold, few words that repeat, and several entries of a document."""
+    rng = np.random.default_rng(5)
+    for trial in range(4):
+        rows = []
+        for cell in range(3):
+            common = rng.integers(1 << 32, size=14)
+            for _ in range(8):
+                base = rng.integers(1 << 32 if trial % 2 else 12, size=B.AROUND)
+                base[40:54] = common
+                for _ in range(rng.integers(1, 6)):
+                    words = base.tolist()
+                    for at in rng.integers(B.AROUND, size=rng.integers(3)).tolist():
+                        words[at : at + 1] = [[9], [], [words[at], 7]][rng.integers(3)] if at < len(words) else []
+                    low, high = sorted(rng.integers(B.SPAN, size=2).tolist())
+                    rows.append((cell, len(rows) if rng.random() < 0.9 else 1, high * 64 + low, (words + rng.integers(1 << 32, size=9).tolist())[: B.AROUND]))
+        rows.sort(key=lambda r: r[:2])
+        cell, doc, run = (np.array([r[k] for r in rows]) for k in range(3))
+        hashes, word = np.array([r[3] for r in rows], dtype="<u4"), np.arange(len(rows))
+        sets = [[set(s[k : k + B.SPAN].tolist()) for k in range(B.SPAN)] for s in map(B._shingles_of, hashes)]
+        places = lambda i, j: range(B.BEFORE - min(run[i] >> 6, run[j] >> 6), B.BEFORE - max(run[i] & 63, run[j] & 63) + 1)
+        for similarity in (0.8, 0.6, 0.1):
+            alike = {(i, j) for i in word for j in word if cell[i] == cell[j] and doc[i] < doc[j] and any(len(sets[i][k] & sets[j][k]) >= (similarity - 1e-9) * len(sets[i][k] | sets[j][k]) for k in places(i, j))}
+            made = {(u, v) for m in B.linked_in_cells(cell, doc, word, run, hashes, similarity) for u, v in zip(m[1].tolist(), m[3].tolist())}
+            label = list(word)
+            for i, j in made:
+                label = [label[i] if x == label[j] else x for x in label]
+            assert made <= alike and all(label[i] == label[j] for i, j in alike)
+
+
 def test_bands_reach_the_recall():
     rng, bands = random.Random(4), tune_bands(0.8, 0.999)
     hits = total = 0
