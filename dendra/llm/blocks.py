@@ -141,14 +141,21 @@ def similar_places(a: np.ndarray, b: np.ndarray, low: np.ndarray, high: np.ndarr
         add(open_rows, shift)
         add(open_rows, -shift)
     out = (shared >= least) & inside
-    repeated = [np.flatnonzero((np.diff(np.sort(x, axis=1), axis=1) == 0).any(axis=1)) for x in (a, b)]
+    place = np.arange(PLACES)
+    seen = (place >= low[:, None]) & (place < high[:, None] + SPAN)
+    # what no compared block holds counts as distinct
+    repeated = [np.flatnonzero((np.diff(np.sort(np.where(seen, x, place.astype(np.uint64)), axis=1), axis=1) == 0).any(axis=1)) for x in (a, b)]
     # text moved within a block breaks it at two places, which costs 2 * (SHINGLE - 1) shingles; if so many may be lacking, diagonals don't suffice
-    for i in np.union1d(*repeated) if SPAN - least < 2 * (SHINGLE - 1) else range(n):
+    as_sets = np.union1d(*repeated) if SPAN - least < 2 * (SHINGLE - 1) else np.arange(n)
+    for at in range(0, len(as_sets), 64):
+        some = as_sets[at : at + 64]
+        same = a[some][:, :, None] == b[some][:, None, :]
+        in_b[some], in_a[some] = same.any(axis=2), same.any(axis=1)
+    for i in as_sets:
         for k in range(low[i], high[i] + 1):
             x, y = set(a[i, k : k + SPAN].tolist()), set(b[i, k : k + SPAN].tolist())
             both = len(x & y)
             out[i, k] = both >= (similarity - 1e-9) * (len(x) + len(y) - both)
-        in_b[i], in_a[i] = np.isin(a[i], b[i]), np.isin(b[i], a[i])
     return out, in_b, in_a
 
 
