@@ -70,48 +70,66 @@ class Network:
         return made
 
     def hidden(self, padded: np.ndarray, at: np.ndarray) -> np.ndarray:
-        low = at[0] - RADIUS
-        near, total = self.embed[padded[low : at[-1] + RADIUS + 1]], np.tile(self.bias, (len(at), 1))
+        n = at[-1] - at[0] + 1  # slices over the gaps between documents cost less than picking places
+        near, total = self.embed[padded[at[0] - RADIUS : at[-1] + RADIUS + 1]], np.tile(self.bias, (n, 1))
         for k, offset in enumerate(OFFSETS):
-            total += near[at + (offset - low)] * self.place[k]
+            total += near[RADIUS + offset : RADIUS + offset + n] * self.place[k]
+        total = total if n == len(at) else total[at - at[0]]
         return np.tanh(total, out=total)
 
     def log_probabilities(self, padded: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Conditional log-probability of the token at each place, given its neighbours."""
         hidden, target = self.hidden(padded, at), padded[at]
-        logits = hidden @ self.to_class.T
-        logits += self.class_bias
+        logits = self.to_class @ hidden.T
+        logits += self.class_bias[:, None]
         out = _log_softmax_at(logits, target // self.side)
-        for c, rows, part in self._by_class(target):
-            out[rows] += _log_softmax_at(hidden[rows] @ self.to_token[part].T + self.token_bias[part], target[rows] - c * self.side)
+        order, classes = self._by_class(target)
+        hidden, within, inner = hidden[order], target[order] % self.side, np.empty(len(at), dtype=out.dtype)
+        for rows, part in classes:
+            logits = self.to_token[part] @ hidden[rows].T
+            logits += self.token_bias[part, None]
+            inner[rows] = _log_softmax_at(logits, within[rows])
+        out[order] += inner
         return out
 
-    def _by_class(self, target: np.ndarray):
-        order = np.argsort(target // self.side, kind="stable")
-        bounds = np.searchsorted(target[order] // self.side, np.arange(self.side + 1))
-        for c in range(self.side):
-            if bounds[c] < bounds[c + 1]:
-                yield c, order[bounds[c] : bounds[c + 1]], slice(c * self.side, (c + 1) * self.side)
+    def _by_class(self, target: np.ndarray) -> tuple[np.ndarray, list[tuple[slice, slice]]]:
+        """The order of targets by class, and the slices of that order and of the tokens for each class that occurs."""
+        order = np.argsort((target // self.side).astype(np.int16), kind="stable")
+        bounds = np.searchsorted(target[order] // self.side, np.arange(self.side + 1)).tolist()
+        return order, [(slice(a, b), slice(c * self.side, (c + 1) * self.side)) for c, (a, b) in enumerate(zip(bounds, bounds[1:])) if a < b]
 
     def gradient(self, padded: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Gradient of the mean negative log-probability at these places."""
         hidden, target, n = self.hidden(padded, at), padded[at], len(at)
         slope = Network(np.zeros(len(self.flat), dtype=np.float32), self.side)
-        error = _softmax_error(hidden @ self.to_class.T + self.class_bias, target // self.side) / n
-        slope.to_class[:], slope.class_bias[:] = error.T @ hidden, error.sum(axis=0)
-        back = error @ self.to_class
-        for c, rows, part in self._by_class(target):
-            error = _softmax_error(hidden[rows] @ self.to_token[part].T + self.token_bias[part], target[rows] - c * self.side) / n
-            slope.to_token[part], slope.token_bias[part] = error.T @ hidden[rows], error.sum(axis=0)
-            back[rows] += error @ self.to_token[part]
-        back *= 1 - hidden**2
+        logits = self.to_class @ hidden.T
+        logits += self.class_bias[:, None]
+        error = _softmax_error(logits, target // self.side)
+        error /= n
+        slope.to_class[:], slope.class_bias[:] = error @ hidden, error.sum(axis=1)
+        back = error.T @ self.to_class
+        order, classes = self._by_class(target)
+        by_class, within, inner = hidden[order], target[order] % self.side, np.empty_like(back)
+        for rows, part in classes:
+            own, weights = by_class[rows], self.to_token[part]
+            logits = weights @ own.T
+            logits += self.token_bias[part, None]
+            error = _softmax_error(logits, within[rows])
+            error /= n
+            slope.to_token[part], slope.token_bias[part] = error @ own, error.sum(axis=1)
+            np.matmul(error.T, weights, out=inner[rows])
+        back[order] += inner
+        back *= 1 - hidden * hidden
         slope.bias[:] = back.sum(axis=0)
         # what each place in the text gets from all targets around it, then summed by its token
-        low = at[0] - RADIUS
-        tokens = padded[low : at[-1] + RADIUS + 1]
+        tokens, n = padded[at[0] - RADIUS : at[-1] + RADIUS + 1], at[-1] - at[0] + 1
         near, pull = self.embed[tokens], np.zeros((len(tokens), WIDTH), dtype=back.dtype)
+        if n > len(at):  # nothing comes from the gaps between documents
+            spread = np.zeros((n, WIDTH), dtype=back.dtype)
+            spread[at - at[0]] = back
+            back = spread
         for k, offset in enumerate(OFFSETS):
-            beside = at + (offset - low)
+            beside = slice(RADIUS + offset, RADIUS + offset + n)
             slope.place[k] = np.einsum("ij,ij->j", near[beside], back)
             pull[beside] += back * self.place[k]
         cell = tokens[:, None].astype(np.int64) * WIDTH + np.arange(WIDTH)
@@ -121,19 +139,19 @@ class Network:
 
 
 def _log_softmax_at(logits: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Uses up logits."""
-    logits -= logits.max(axis=1, keepdims=True)
-    chosen = logits[np.arange(len(at)), at]
+    """Uses up logits: a row a choice and a column a place, so that sums and maxima run along memory."""
+    logits -= logits.max(axis=0)
+    chosen = logits[at, np.arange(len(at))]
     np.exp(logits, out=logits)
-    return chosen - np.log(logits.sum(axis=1))
+    return chosen - np.log(logits.sum(axis=0))
 
 
 def _softmax_error(logits: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Uses up logits."""
-    logits -= logits.max(axis=1, keepdims=True)
+    """Uses up logits, laid out as for _log_softmax_at."""
+    logits -= logits.max(axis=0)
     np.exp(logits, out=logits)
-    logits /= logits.sum(axis=1, keepdims=True)
-    logits[np.arange(len(at)), at] -= 1
+    logits /= logits.sum(axis=0)
+    logits[at, np.arange(len(at))] -= 1
     return logits
 
 
