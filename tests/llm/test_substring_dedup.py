@@ -178,7 +178,7 @@ def test_no_pair_of_a_crowded_bucket_is_lost(spark, monkeypatch):
     rng, docs = random.Random(14), []
     for _ in range(12):
         words = prose(rng, 95, 10**6).split()
-        other = [*words[:60], "edited", *words[61:]]
+        other = [*words[:47], "edited", *words[48:]]  # in every block
         docs += [" ".join(words), " ".join(other), prose(rng, 95, 10**6)]
     rng.shuffle(docs)
     rows, of = list(enumerate(docs)), {i: d.split()[0] for i, d in enumerate(docs)}
