@@ -9,13 +9,16 @@ relative to the anchor that both runs hold.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import partial
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import arrow_map, checkpoint, chunks, settled, small, texts_with
+from .common import arrow_map, checkpoint, chunks, settled, small, texts_with, written
 from .components import connected_components, joined
-from .words import Words, mixed
+from .words import Words, mixed, words_of_groups
 
 SHINGLE = 5
 BLOCK = 50
@@ -47,28 +50,33 @@ def sliding_minimum(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def block_entries(words: Words, bands: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(bucket, anchor, run) of each run of blocks with one value in a band of two MinHash values.
+    """(bucket, anchor, run) of each run of a text's blocks with one value in a band of two MinHash values; anchors count the words of all texts.
 
     run holds how many words before the anchor the first and the last block start, as 64 * first + last.
     """
     rng = np.random.default_rng(31)
     scale = rng.integers(1 << 63, size=(bands, 2), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    shingles = words.shingles(SHINGLE)
+    shingles, text = words.shingles(SHINGLE), words.text
     found: list[tuple] = []
     for at in range(0, max(0, len(shingles) - SPAN + 1), PIECE):
         some = shingles[at : at + PIECE + SPAN - 1]
-        place = np.arange(at, at + len(some), dtype=np.uint64)
+        of = text[at : at + len(some) - SPAN + BLOCK]
+        place = (np.arange(at, at + len(some)) - words.first[of[: len(some)]]).astype(np.uint64)
+        whole = np.flatnonzero(of[: len(some) - SPAN + 1] == of[BLOCK - 1 :])
+        if not len(whole):
+            continue
+        of = of[whole]
         for band in range(bands):
             # the last bits name the place, so that the minimum tells where it stands
-            least = sliding_minimum((some * scale[band, 0]) & ~_LOW | place & _LOW, SPAN)
-            value = mixed((least & ~_LOW) + mixed(sliding_minimum(some * scale[band, 1], SPAN)) + np.uint64(band))
-            first = np.flatnonzero(np.concatenate(([True], value[1:] != value[:-1])))
+            least = sliding_minimum((some * scale[band, 0]) & ~_LOW | place & _LOW, SPAN)[whole]
+            value = mixed((least & ~_LOW) + mixed(sliding_minimum(some * scale[band, 1], SPAN)[whole]) + np.uint64(band))
+            first = np.flatnonzero(np.concatenate(([True], (value[1:] != value[:-1]) | (of[1:] != of[:-1]))))
             last = np.append(first[1:], len(value)) - 1
-            start = place[first]
-            before = (least[first] - start) & _LOW
+            start = whole[first]
+            before = (least[first] - place[start]) & _LOW
             after = before.astype(np.int64) - (last - first)
             keep = np.maximum(after, 0)  # a repeated shingle may stand for the blocks beyond it
-            found.append((value[first].view(np.int64), (start + before).astype(np.int64), before.astype(np.int64) * 64 + keep))
+            found.append((value[first].view(np.int64), at + start + before.astype(np.int64), before.astype(np.int64) * 64 + keep))
     if not found:
         return (np.empty(0, dtype=np.int64),) * 3
     return tuple(np.concatenate(c) for c in zip(*found))
@@ -78,14 +86,19 @@ def _node(doc: str, word: str):
     return F.xxhash64(F.col(doc), F.col(word))
 
 
+def _short_hashes(texts: pa.Array) -> Iterator[np.ndarray]:
+    """4-byte hashes of the words of each text."""
+    for _, words in words_of_groups(texts):
+        yield from np.split((words.hashes >> np.uint64(32)).astype("<u4"), words.first[1:-1])
+
+
 def _tiles(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(doc_id, tile, hashes): 4-byte hashes of the words around the anchors of the wanted tiles (doc_id, tile); cut off at the text's ends."""
 
     def cut(batches):
         for batch in (part for b in batches for part in chunks([b], 64)):
             ids, tiles, held = [], [], []
-            for i, text, wants in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
-                hashes = (Words.of(text.as_py()).hashes >> np.uint64(32)).astype("<u4")
+            for i, hashes, wants in zip(batch.column(0).to_pylist(), _short_hashes(batch.column(1)), batch.column(2).to_pylist()):
                 # what stands in for words before the text differs, so that it doesn't count as repeats
                 padded = np.concatenate([np.arange(BEFORE, dtype="<u4"), hashes, np.arange(BLOCK, dtype="<u4")])
                 for tile in wants:
@@ -119,46 +132,63 @@ def similar_places(a: np.ndarray, b: np.ndarray, low: np.ndarray, high: np.ndarr
     blocks of distinct shingles lack few of each other's, so that a shared shingle stands at most so many places
     apart and sums over these diagonals are exact; rows with repeated shingles are compared as sets.
     """
-    least, n = _least_shared(similarity), len(a)
-    shared, at = np.zeros((n, SPAN), dtype=np.int16), np.arange(SPAN)
-    inside = (at >= low[:, None]) & (at <= high[:, None])
-    in_b, in_a = np.zeros((n, PLACES), dtype=bool), np.zeros((n, PLACES), dtype=bool)
-
-    def add(rows: np.ndarray, shift: int) -> None:
-        own, other = a[rows], b[rows]
-        same = own[:, max(0, -shift) : PLACES - max(0, shift)] == other[:, max(0, shift) : PLACES + min(0, shift)]
-        in_b[rows, max(0, -shift) : PLACES - max(0, shift)] |= same
-        in_a[rows, max(0, shift) : PLACES + min(0, shift)] |= same
-        upto = np.zeros((len(rows), PLACES + 1), dtype=np.int16)
-        upto[:, 1 + max(0, -shift) : 1 + PLACES - max(0, shift)] = np.cumsum(same, axis=1)
-        if shift > 0:
-            upto[:, 1 + PLACES - shift :] = upto[:, PLACES - shift][:, None]
-        shared[rows] += upto[:, at + SPAN - max(0, shift)] - upto[:, at + max(0, -shift)]
-
-    add(np.arange(n), 0)
-    open_rows = np.flatnonzero((inside & (shared < least)).any(axis=1))
-    for shift in range(1, SPAN - least + 1):
-        add(open_rows, shift)
-        add(open_rows, -shift)
-    out = (shared >= least) & inside
-    place = np.arange(PLACES)
+    least, n, place = _least_shared(similarity), len(a), np.arange(PLACES)
+    inside = (place[:SPAN] >= low[:, None]) & (place[:SPAN] <= high[:, None])
     seen = (place >= low[:, None]) & (place < high[:, None] + SPAN)
     # what no compared block holds counts as distinct
-    repeated = [np.flatnonzero((np.diff(np.sort(np.where(seen, x, place.astype(np.uint64)), axis=1), axis=1) == 0).any(axis=1)) for x in (a, b)]
+    repeated = [(lambda x: (x[:, 1:] == x[:, :-1]).any(axis=1))(np.sort(np.where(seen, x, place.astype(np.uint64)), axis=1)) for x in (a, b)]
     # text moved within a block breaks it at two places, which costs 2 * (SHINGLE - 1) shingles; if so many may be lacking, diagonals don't suffice
-    as_sets = np.union1d(*repeated) if SPAN - least < 2 * (SHINGLE - 1) else np.arange(n)
-    for at in range(0, len(as_sets), 64):
-        some = as_sets[at : at + 64]
+    as_sets = repeated[0] | repeated[1] if SPAN - least < 2 * (SHINGLE - 1) else np.ones(n, dtype=bool)
+    out = np.zeros((n, SPAN), dtype=bool)
+    in_b, in_a = np.zeros((n, PLACES), dtype=bool), np.zeros((n, PLACES), dtype=bool)
+
+    def diagonals(rows: np.ndarray, shifts: range) -> np.ndarray:
+        """Shingles that the blocks from each place on share on these diagonals: pairs that end within the block, less those that begin before it."""
+        own, other, own_in, other_in = a[rows], b[rows], np.zeros((len(rows), PLACES), dtype=bool), np.zeros((len(rows), PLACES), dtype=bool)
+        begin, end = np.zeros((2, len(rows), PLACES), dtype=np.uint8)
+        for shift in shifts:
+            i, j = slice(max(0, -shift), PLACES - max(0, shift)), slice(max(0, shift), PLACES + min(0, shift))
+            same = own[:, i] == other[:, j]
+            own_in[:, i] |= same
+            other_in[:, j] |= same
+            begin[:, i if shift > 0 else j] += same.view(np.uint8)
+            end[:, j if shift > 0 else i] += same.view(np.uint8)
+        in_b[rows], in_a[rows] = own_in, other_in
+        begun = np.zeros((len(rows), SPAN), dtype=np.int16)
+        np.cumsum(begin[:, : SPAN - 1], axis=1, dtype=np.int16, out=begun[:, 1:])
+        return np.cumsum(end, axis=1, dtype=np.int16)[:, SPAN - 1 :] - begun
+
+    plain = np.flatnonzero(~as_sets)
+    shared = diagonals(plain, range(1))
+    out[plain] = shared >= least
+    rest = np.flatnonzero((inside[plain] & (shared < least)).any(axis=1))
+    out[plain[rest]] = diagonals(plain[rest], range(least - SPAN, SPAN - least + 1)) >= least
+    out &= inside
+    as_sets = np.flatnonzero(as_sets)
+    for at in range(0, len(as_sets), 32):
+        some = as_sets[at : at + 32]
         same = a[some][:, :, None] == b[some][:, None, :]
         in_b[some], in_a[some] = same.any(axis=2), same.any(axis=1)
-    for i in as_sets:
-        for k in range(low[i], high[i] + 1):
-            x, y = set(a[i, k : k + SPAN].tolist()), set(b[i, k : k + SPAN].tolist())
-            both = len(x & y)
-            out[i, k] = both >= (similarity - 1e-9) * (len(x) + len(y) - both)
+        sizes = [_distinct(x[some]) for x in (a, b)]
+        upto = np.zeros((len(some), PLACES, PLACES + 1), dtype=np.uint8)
+        np.cumsum(same, axis=2, dtype=np.uint8, out=upto[:, :, 1:])
+        held = upto[:, :, SPAN:] != upto[:, :, :SPAN]  # by the other's block from each place on
+        both = (held & sizes[0]).sum(axis=1, dtype=np.int16)
+        total = sizes[0].sum(axis=1, dtype=np.int16) + sizes[1].sum(axis=1, dtype=np.int16)
+        out[some] = (both >= (similarity - 1e-9) * (total - both)) & inside[some]
     return out, in_b, in_a
 
 
+def _distinct(rows: np.ndarray) -> np.ndarray:
+    """Whether each shingle stands in the block from each place on and no equal one before it there."""
+    place = np.arange(PLACES)
+    by = np.argsort(rows, axis=1, kind="stable")
+    ordered, before = np.take_along_axis(rows, by, axis=1), np.full(rows.shape, -1)
+    np.put_along_axis(before, by[:, 1:], np.where(ordered[:, 1:] == ordered[:, :-1], by[:, :-1], -1), axis=1)
+    block = (place[:, None] >= place[:SPAN]) & (place[:, None] < place[:SPAN] + SPAN)
+    return block & (before[:, :, None] < place[:SPAN])
+
+
 def shared_bounds(shared: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Place of the first shared shingle from `first` on, and after the last one's words, in blocks that start at `first` to `last`."""
     place = np.arange(PLACES)
@@ -235,9 +265,8 @@ def _around(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
     def cut(batches):
         for batch in (part for b in batches for part in chunks([b], 64)):
-            for i, text, wants in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
+            for i, hashes, wants in zip(batch.column(0).to_pylist(), _short_hashes(batch.column(1)), batch.column(2)):
                 cell, word, run = (wants.values.field(k).to_numpy(zero_copy_only=False) for k in range(3))
-                hashes = (Words.of(text.as_py()).hashes >> np.uint64(32)).astype("<u4")
                 padded = np.concatenate([np.arange(BEFORE, dtype="<u4"), hashes, np.arange(TILE, TILE + BLOCK, dtype="<u4")])
                 for at in range(0, len(word), 4096):
                     k = slice(at, at + 4096)
@@ -376,9 +405,9 @@ def _linked(cells: DataFrame, similarity: float) -> DataFrame:
     return arrow_map(cells.repartition("cell").sortWithinPartitions("cell", "doc_id", "word", "run"), run, LINK)
 
 
-@settled
-def similar_blocks(docs: DataFrame, entries: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
-    """(links, roots): columns LINK of verified pairs of entries (bucket, doc_id, word, run), and (node, root) of the components they form.
+@partial(settled, keep=partial(written, name="links"))
+def block_links(docs: DataFrame, entries: DataFrame, similarity: float) -> DataFrame:
+    """Columns LINK of verified pairs of entries (bucket, doc_id, word, run), as a table of written().
 
     A bucket of two documents' entries is a pair to be verified. The entries of a larger bucket are brought together with the
     words around them and compared there: each with the smallest document's and up to PIVOTS others, then with all of other components that share
@@ -396,7 +425,12 @@ def similar_blocks(docs: DataFrame, entries: DataFrame, similarity: float) -> tu
     crowded = entries.join(crowded, "bucket").withColumn("part", F.pmod(F.xxhash64("doc_id", "word"), "parts").cast("int"))
     met = F.expr("transform(sequence(0, parts - 1), p -> xxhash64(bucket, least(part, p), greatest(part, p)))")
     cells = _around(docs, crowded.select(F.explode(met).alias("cell"), "doc_id", "word", "run"))
-    links = checkpoint(found.unionByName(_linked(cells, similarity)))
+    return found.unionByName(_linked(cells, similarity))
+
+
+def similar_blocks(docs: DataFrame, entries: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """(links, roots): block_links(), for the caller to remove, and (node, root) of the components they form."""
+    links = block_links(docs, entries, similarity)
     return links, connected_components(links.select(_node("u", "up").alias("u"), _node("v", "vp").alias("v")))
 
 

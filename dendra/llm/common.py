@@ -49,8 +49,8 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return made
 
 
-def settled(function):
-    """A function whose resulting DataFrames are written to the shared folder; all other checkpoints that it made are deleted as soon as they are."""
+def settled(function, keep=checkpoint):
+    """A function whose resulting DataFrames are written to the shared folder, by `keep`; all other checkpoints that it made are deleted as soon as they are."""
 
     @wraps(function)
     def run(*args, **options):
@@ -60,7 +60,7 @@ def settled(function):
         try:
             found = function(*args, **options)
             _scopes.set(outer)  # results are the caller's to delete
-            found = tuple(map(checkpoint, found)) if isinstance(found, tuple) else checkpoint(found)
+            found = tuple(map(keep, found)) if isinstance(found, tuple) else keep(found)
         finally:
             _scopes.reset(inside)
             for path in made:

@@ -17,11 +17,13 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from .blocks import BLOCK, SHINGLE, block_entries, repeated_blocks, similar_blocks
 from .common import arrow_map, bound_batches, checkpoint, chunks, give_back_memory, removed, settled, small, small_checkpoint, texts_of, texts_with, unused, written
 from .components import connected_components
-from .words import POWERS, RUN_BASE, Words, mixed
+from .words import POWERS, RUN_BASE, Words, mixed, words_of_groups
 
 PIVOTS = 3
 #: MinHash values in a band of a line, and bands of the overlapping blocks (two values each).
 ROWS, BLOCK_BANDS = 3, 2
+#: Shingles of lines whose minima are taken at once, and lines or entries in a row of units.
+PIECE, LISTED = 1 << 15, 1 << 13
 
 
 def paragraphs_of(text: Words, min_words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -41,18 +43,22 @@ def tune_bands(similarity: float, recall: float, rows: int = ROWS) -> int:
 
 
 def minhash_bands(words: Words, first: np.ndarray, last: np.ndarray, bands: int, rows: int = ROWS) -> np.ndarray:
-    """One 64-bit value for each paragraph and band."""
+    """One 64-bit value for each paragraph and band; paragraphs follow each other and don't overlap."""
     rng = np.random.default_rng(29)
     scale = rng.integers(1 << 63, size=(bands * rows, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    shingles = words.shingles(SHINGLE)
-    out = np.empty((len(first), bands), dtype=np.uint64)
-    for i, (a, b) in enumerate(zip(first.tolist(), last.tolist())):
-        least = np.full((bands * rows, 1), np.iinfo(np.uint64).max, dtype=np.uint64)
-        for at in range(a, b - SHINGLE + 1, 4096):
-            some = shingles[at : min(at + 4096, b - SHINGLE + 1)]
-            # the product's high bits are well mixed, its low bits aren't; the minimum is decided by the high ones
-            least = np.minimum(least, (some * scale).min(axis=1, keepdims=True))
-        out[i] = mixed(least.reshape(bands, rows) * POWERS[RUN_BASE].upto(rows)[0]).sum(axis=1, dtype=np.uint64)
+    shingles, end = words.shingles(SHINGLE), last - SHINGLE + 1
+    least = np.full((bands * rows, len(first)), np.iinfo(np.uint64).max, dtype=np.uint64)
+    for at in range(0, len(shingles), PIECE):
+        some = shingles[at : at + PIECE]
+        k = slice(np.searchsorted(end, at, "right"), np.searchsorted(first, at + len(some)))
+        # from each paragraph's first shingle here to behind its last, and on to the next paragraph's
+        cuts = np.stack([np.maximum(first[k] - at, 0), np.minimum(end[k] - at, len(some))], axis=1).ravel()
+        cuts = cuts[: np.searchsorted(cuts, len(some))]
+        if len(cuts):
+            for own, by in zip(least, scale):
+                # the product's high bits are well mixed, its low bits aren't; the minimum is decided by the high ones
+                own[k] = np.minimum(own[k], np.minimum.reduceat(some * by, cuts)[::2])
+    out = mixed(least.T.reshape(-1, bands, rows) * POWERS[RUN_BASE].upto(rows)[0]).sum(axis=2, dtype=np.uint64)
     return mixed(out + np.arange(bands, dtype=np.uint64))
 
 
@@ -67,30 +73,29 @@ def _two_parts(keys: list[int]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def units(docs: DataFrame, min_words: int, bands: int) -> DataFrame:
-    """(doc_id, word, words, fp, check, bands): lines with their bands, equal fp and check meaning equal text; and block entries, with their run as words, their bucket as fp and neither check nor bands."""
-    names, kinds = ["doc_id", "word", "words", "fp", "check", "bands"], [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.list_(pa.int64())]
+    """(lines, entries), two arrays for each few documents: (doc_id, word, words, fp, check, bands) of lines, equal fp and check meaning equal text; and (bucket, doc_id, word, run) of block entries."""
+    line = [("doc_id", pa.int64()), ("word", pa.int32()), ("words", pa.int32()), ("fp", pa.int64()), ("check", pa.int32()), ("bands", pa.list_(pa.int64()))]
+    entry = [("bucket", pa.int64()), ("doc_id", pa.int64()), ("word", pa.int32()), ("run", pa.int32())]
+
+    def structs(columns: list, kinds: list, at: int) -> pa.Array:
+        """Those from row `at` on as a list; so many at once that no row grows with a text."""
+        held = pa.StructArray.from_arrays([c[at : at + LISTED] if isinstance(c, pa.Array) else pa.array(c[at : at + LISTED], kind) for c, (_, kind) in zip(columns, kinds)], fields=[pa.field(*k) for k in kinds])
+        return pa.ListArray.from_arrays(pa.array([0, len(held)], pa.int32()), held)
 
     def found(batches):
         for batch in (part for b in batches for part in chunks([b], 256)):
-            ids = batch.column(0).to_pylist()
-            lines: list[list] = [[np.empty(0, dtype=np.int64)] for _ in range(5)]
-            blocks: list[list] = [[np.empty(0, dtype=np.int64)] for _ in range(4)]
-            banded: list = []
-            for i, text in zip(ids, batch.column(1)):
-                words = Words.of(text.as_py())
+            for rows, words in words_of_groups(batch.column(1)):
+                ids, text = batch.column(0)[rows].to_numpy(), words.text
                 first, last = paragraphs_of(words, max(min_words, SHINGLE))
-                for column, values in zip(lines, (np.full(len(first), i), first, last - first, *_two_parts(_text_keys(words, first, last)))):
-                    column.append(values)
-                banded += [*minhash_bands(words, first, last, bands).view(np.int64)]
+                banded = minhash_bands(words, first, last, bands).view(np.int64)
+                banded = pa.ListArray.from_arrays(pa.array(np.arange(len(first) + 1) * bands, pa.int32()), pa.array(banded.ravel()))
+                lines = [ids[text[first]], first - words.first[text[first]], last - first, *_two_parts(_text_keys(words, first, last)), banded]
                 bucket, anchor, run = block_entries(words, BLOCK_BANDS)
-                for column, values in zip(blocks, (np.full(len(bucket), i), anchor, run, bucket)):
-                    column.append(values)
-            columns = [pa.array(np.concatenate(c), kind, safe=True) for c, kind in zip(lines, kinds)]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(banded, kinds[-1])], names)
-            columns = [pa.array(np.concatenate(c), kind, safe=True) for c, kind in zip(blocks, kinds)]
-            yield pa.RecordBatch.from_arrays([*columns, *(pa.nulls(len(columns[0]), kind) for kind in kinds[4:])], names)
+                entries = [bucket, ids[text[anchor]], anchor - words.first[text[anchor]], run]
+                for at in range(0, max(len(first), len(bucket)), LISTED):
+                    yield pa.RecordBatch.from_arrays([structs(lines, line, at), structs(entries, entry, at)], ["lines", "entries"])
 
-    return arrow_map(texts_of(docs), found, "doc_id long, word int, words int, fp long, check int, bands array<long>")
+    return arrow_map(texts_of(docs), found, "lines array<struct<doc_id: long, word: int, words: int, fp: long, check: int, bands: array<long>>>, entries array<struct<bucket: long, doc_id: long, word: int, run: int>>")
 
 
 def _shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -99,14 +104,14 @@ def _shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     def cut(batches):
         for batch in (part for b in batches for part in chunks([b], 256)):
             keys, sets = [], []
-            for text, spans in zip(batch.column(0), batch.column(1)):
-                words = Words.of(text.as_py())
+            for rows, words in words_of_groups(batch.column(0)):
                 hashes = words.shingles(SHINGLE).view(np.int64)
-                for span in spans.as_py():
-                    a, b = span["word"], span["word"] + span["words"]
-                    if b <= len(words.starts) and _two_parts(_text_keys(words, [a], [b]))[0][0] == span["key"]:
-                        keys.append(span["key"])
-                        sets.append(np.unique(hashes[a : b - SHINGLE + 1]))
+                for start, end, spans in zip(words.first[:-1], words.first[1:], batch.column(1)[rows].to_pylist()):
+                    for span in spans:
+                        a, b = start + span["word"], start + span["word"] + span["words"]
+                        if b <= end and _two_parts(_text_keys(words, [a], [b]))[0][0] == span["key"]:
+                            keys.append(span["key"])
+                            sets.append(np.unique(hashes[a : b - SHINGLE + 1]))
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["key", "shingles"])
 
     lists = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("word", "words", "key")).alias("spans"))
@@ -114,9 +119,10 @@ def _shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def _alike(a: Column, b: Column, similarity: float) -> Column:
-    """Whether the exact Jaccard similarity of two arrays of distinct values reaches the bound."""
-    both = F.size(F.array_intersect(a, b))
-    return both >= F.lit(similarity - 1e-9) * (F.size(a) + F.size(b) - both)
+    """Whether the exact Jaccard similarity of two arrays of distinct values reaches the bound, which sizes too far apart can't; the shared values are counted once."""
+    bound = similarity - 1e-9
+    near = F.least(F.size(a), F.size(b)) >= F.lit(bound) * F.greatest(F.size(a), F.size(b))
+    return near & (F.size(F.array_intersect(a, b)) >= F.lit(bound / (1 + bound)) * (F.size(a) + F.size(b)))
 
 
 @settled
@@ -173,8 +179,9 @@ def whole_copies(docs: DataFrame, min_words: int) -> tuple[DataFrame, DataFrame]
     kept = keys.groupBy("fp", "check").agg(F.min("doc_id").alias("kept_doc_id"), F.max("doc_id").alias("most")).where("kept_doc_id < most").drop("most")
     copies = keys.join(small_checkpoint(kept), ["fp", "check"]).where("doc_id > kept_doc_id").select("doc_id", "kept_doc_id", F.xxhash64("fp", "check").alias("component"))
     words = F.regexp_count("text", F.lit(r"[^ \t\n\x0B\f\r]+")).alias("words")
-    copies = docs.join(small_checkpoint(copies.distinct()), "doc_id").select("doc_id", words, "kept_doc_id", "component").where(F.col("words") >= min_words)
-    return copies.distinct(), odd
+    # written before it is filtered: the condition would be pushed below the join and count the words of all texts
+    copies = checkpoint(docs.join(small_checkpoint(copies.distinct()), "doc_id").select("doc_id", words, "kept_doc_id", "component"))
+    return copies.where(F.col("words") >= min_words).distinct(), odd
 
 
 @settled
@@ -198,8 +205,9 @@ def repeated_spans(docs: DataFrame, min_words: int = BLOCK, similarity: float =
     if not again.isEmpty():  # each document once
         docs = docs.join(small(again), "doc_id", "left_anti").unionByName(docs.join(small(again), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")))
     made = written(units(docs, min_words, tune_bands(similarity, recall)), "units")
-    lone = made.where("bands is not null").groupBy("fp").agg(F.min("check").alias("a"), F.max("check").alias("b")).where("a <> b").select("fp")
-    paragraphs = made.where("bands is not null").join(small_checkpoint(lone), "fp", "left_anti").select("doc_id", "word", "words", F.col("fp").alias("key"), "bands")
+    listed = made.select(F.inline("lines"))
+    lone = listed.groupBy("fp").agg(F.min("check").alias("a"), F.max("check").alias("b")).where("a <> b").select("fp")
+    paragraphs = listed.join(small_checkpoint(lone), "fp", "left_anti").select("doc_id", "word", "words", F.col("fp").alias("key"), "bands")
 
     roots = similar_paragraphs(docs, paragraphs, similarity)
     kinds = paragraphs.groupBy("key").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
@@ -209,9 +217,10 @@ def repeated_spans(docs: DataFrame, min_words: int = BLOCK, similarity: float =
     lines = paragraphs.drop("bands").join(small(known), "key").where("doc_id > kept_doc_id")
     lines = checkpoint(lines.select("doc_id", "word", "words", F.lit("paragraph").alias("kind"), "kept_doc_id", F.xxhash64("root").alias("component")))
 
-    entries = made.where("bands is null").select(F.col("fp").alias("bucket"), "doc_id", "word", F.col("words").alias("run"))
-    blocks = repeated_blocks(*similar_blocks(docs, entries, similarity))
+    links, block_roots = similar_blocks(docs, made.select(F.inline("entries")), similarity)
+    blocks = repeated_blocks(links, block_roots)
     removed(made)
+    removed(links)
     whole = copies.select("doc_id", F.lit(0).alias("word"), "words", F.lit("document").alias("kind"), "kept_doc_id", "component")
     return whole.unionByName(lines).unionByName(blocks.withColumn("kind", F.lit("block")))
 

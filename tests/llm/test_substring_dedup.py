@@ -2,9 +2,11 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 from dendra.llm import blocks as B
 from dendra.llm.substring_dedup import drop_repeats, find_repeats, minhash_bands, paragraphs_of, tune_bands, without_words
-from dendra.llm.words import Words
+from dendra.llm.words import Words, words_of_groups
+from pyspark.sql import functions as F
 from tests.llm.conftest import SCHEMA, prose
 
 
@@ -150,6 +152,57 @@ def test_entries_stand_for_every_block(monkeypatch):
     assert all(len(x) == 0 for x in B.block_entries(Words.of(prose(rng, 49)), 2))
 
 
+def test_short_texts_are_taken_together():
+    """Lines, bands and entries of many texts at once are those of each text, in far fewer steps than texts."""
+    rng = random.Random(17)
+    texts = ["", None, " \n", prose(rng, 49), prose(rng, 50), "Ünï " * 60, "\n" + prose(rng, 70, 9) + "\n\n", prose(rng, 70000)]
+    texts += ["\n".join(prose(rng, rng.randrange(80)) for _ in range(rng.randrange(6))) for _ in range(400)]
+    together, groups, numbers = [], 0, np.arange(len(texts))
+    for rows, words in words_of_groups(pa.array(texts)):
+        text, groups = words.text, groups + 1
+        a, b = paragraphs_of(words, 50)
+        of = numbers[rows][text[a]]
+        together += zip(of.tolist(), (a - words.first[text[a]]).tolist(), (b - a).tolist(), minhash_bands(words, a, b, 10).tolist())
+        bucket, anchor, run = B.block_entries(words, 2)
+        together += zip(numbers[rows][text[anchor]].tolist(), (anchor - words.first[text[anchor]]).tolist(), run.tolist(), bucket.tolist())
+    alone = []
+    for i, words in enumerate(map(Words.of, texts)):
+        a, b = paragraphs_of(words, 50)
+        alone += zip([i] * len(a), a.tolist(), (b - a).tolist(), minhash_bands(words, a, b, 10).tolist())
+        bucket, anchor, run = B.block_entries(words, 2)
+        alone += zip([i] * len(anchor), anchor.tolist(), run.tolist(), bucket.tolist())
+    assert len(alone) > 5000 and sorted(map(repr, together)) == sorted(map(repr, alone)) and groups < 20
+
+
+def test_minima_over_pieces(monkeypatch):
+    """Lines that begin, end or lie within a piece have the bands of their own words."""
+    import dendra.llm.substring_dedup as S
+
+    rng = random.Random(18)
+    words = Words.of("\n".join(prose(rng, rng.randrange(40, 120)) for _ in range(30)))
+    ends = paragraphs_of(words, 50)
+    want = [minhash_bands(Words.of(words.raw[words.starts[a] : words.ends[b - 1]]), np.array([0]), np.array([b - a]), 10)[0].tolist() for a, b in zip(*ends)]
+    for piece in (1 << 15, 64, 7):
+        monkeypatch.setattr(S, "PIECE", piece)
+        assert minhash_bands(words, *ends, 10).tolist() == want
+
+
+def test_words_of_copies_only_are_counted(spark, monkeypatch):
+    import dendra.llm.substring_dedup as S
+
+    rng, counted = random.Random(19), spark.sparkContext.accumulator(0)
+
+    @F.udf("int")
+    def count(text):
+        counted.add(1)
+        return len(text.split())
+
+    monkeypatch.setattr(S.F, "regexp_count", lambda text, _: count(text))
+    docs = [(i, prose(rng, 60)) for i in range(40)]
+    copies, _ = S.whole_copies(spark.createDataFrame([*docs, (40, docs[3][1]), (41, "a b"), (42, "a b")], "doc_id long, text string"), 50)
+    assert [(r.doc_id, r.words, r.kept_doc_id) for r in copies.collect()] == [(40, 60, 3)] and counted.value == 2
+
+
 def test_similar_places_match_sets():
     """Edits, inserted and dropped words, and texts of few words that repeat."""
     rng = random.Random(6)
